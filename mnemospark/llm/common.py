@@ -135,30 +135,30 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _M(31))
 
 
-def _lut(is_word) -> np.ndarray:
-    """Byte -> lower-cased byte, 0 for separators."""
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    for b in range(256):
-        if not is_word(b):
-            table[b] = 0
-    return table
-
-
-#: Everything but white space (space, U+0009 to U+000D); a zero byte counts as a word byte and maps to 1.
-NON_SPACE = _lut(lambda b: b != 32 and not 9 <= b <= 13)
-NON_SPACE[0] = 1
+class Alphabet:
+    """Which bytes are word bytes, and what each byte becomes."""
+
+    def __init__(self, is_word, lower: bool = True):
+        self.is_word = np.array([bool(is_word(b)) for b in range(256)])
+        self.becomes = np.arange(256, dtype=np.uint8)
+        if lower:
+            self.becomes[65:91] += 32
+
+
+#: Everything but white space (space, U+0009 to U+000D), A-Z lower-cased or as it is.
+NON_SPACE = Alphabet(lambda b: b != 32 and not 9 <= b <= 13)
+NON_SPACE_AS_IS = Alphabet(lambda b: b != 32 and not 9 <= b <= 13, lower=False)
 #: ASCII letters and digits, and every byte of a code point above U+007F.
-ALNUM = _lut(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
+ALNUM = Alphabet(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 
 
 class Words:
     """Words of a batch of texts: byte spans in `low`, the document each lies in and its 64-bit hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
-        self.low = low = table[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet):
+        self.low = low = alphabet.becomes[data]
         n = len(low)
-        is_word = low != 0
+        is_word = alphabet.is_word[data]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         if n:
             before[1:], after[:-1] = is_word[:-1], is_word[1:]

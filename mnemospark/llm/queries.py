@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mnemospark.llm import packing, token_counts, token_files
+from mnemospark.llm import decontaminate, lm_score, minhash, packing, pii, quality, token_counts, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +18,109 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.read_token_files(spark, folder))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside benchmark windows of 13 words."""
+    found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.judged(found).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 4-word shingle sets are similar by 0.8 or more."""
+    return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted properties of every text, and whether it is kept."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data: counts and digest of the base kinds, and all spans."""
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["rank"] < 4)
+    count = {k: F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long") for k in ("email", "ip", "card", "phone")}
+    return found.select("doc_id", *(c.alias(f"n_{k}") for k, c in count.items()), F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
+HOST_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that fits each page's url, and the verdict."""
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), [url_filter.host_rule(*r) for r in HOST_RULES])
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_suffix_sums(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op5_best_fit_packing, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more each document is like the wanted ones than like all."""
+    docs = _table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP2_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP3_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x20\\x09-\\x0D]+')"
+
+OP2_SQL = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_OP2_WORDS} AS w FROM benchmark),
+wi AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS p FROM i WHERE len(w) > 0)
+),
+d AS (SELECT doc_id, {_OP2_WORDS} AS w FROM documents),
+dw AS (
+  SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM wi) WHERE len(w) >= n)
+),
+m AS (SELECT doc_id, n, p, item_id FROM dw JOIN wi USING (n, win)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, n, p FROM m)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_OP3_WORDS} AS w FROM documents),
+s AS (
+  SELECT doc_id, hash(array_to_string(w[p : p + least(4, len(w)) - 1], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS p FROM d WHERE len(w) > 0) GROUP BY ALL
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(u, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.v) AS component_id, min(r.v) = d.doc_id AS kept
+FROM d JOIN r ON r.u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+OP8_SQL = f"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+b AS (SELECT page_id, {_LOWER.format("regexp_extract(r, '^[^/?#]*')")} AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM b
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN regexp_matches(host, '(^|[^0-9a-z])({'|'.join(url_filter.SPAM_WORDS)})([^0-9a-z]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM c
+"""
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_near_duplicates, op4_quality_rules, op5_best_fit_packing, op7_personal_data, op8_url_filter, op9_token_counts, op10_lm_score)}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op8_url_filter": OP8_SQL}
