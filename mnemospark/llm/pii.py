@@ -78,8 +78,8 @@ def _places(text: Column, kind: Kind) -> Column:
     pieces = F.split(text, kind.pattern, -1)
     rows = F.arrays_zip(pieces.alias("p"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"), F.slice(pieces, 2, 1 << 30).alias("a"))
     rows = F.transform(
-        F.filter(rows, lambda x: x["1"].isNotNull()),
-        lambda x: F.struct(F.length(x["0"]).alias("gap"), F.length(x["1"]).alias("n"), x["1"].alias("text"), F.right(x["0"], F.lit(CONTEXT)).alias("before"), F.left(x["2"], F.lit(CONTEXT)).alias("after")),
+        F.filter(rows, lambda x: x["m"].isNotNull()),
+        lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("n"), x["m"].alias("text"), F.right(x["p"], F.lit(CONTEXT)).alias("before"), F.left(x["a"], F.lit(CONTEXT)).alias("after")),
     )
     none = F.array().cast("array<struct<start:int,end:int,text:string,before:string,after:string>>")
 

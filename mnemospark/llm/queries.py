@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, lm_score, minhash, packing, pii, quality, token_counts, token_files, url_filter
+from mnemospark.llm import decontaminate, lm_score, minhash, packing, pii, quality, substrings, token_counts, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +42,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents have in common with an earlier document."""
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data: counts and digest of the base kinds, and all spans."""
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["rank"] < 4)
-    count = {k: F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long") for k in ("email", "ip", "card", "phone")}
+    kinds = F.transform("spans", lambda x: x["kind"])
+    count = {k: F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long") for k in ("email", "ip", "card", "phone")}
     return found.select("doc_id", *(c.alias(f"n_{k}") for k, c in count.items()), F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
 
 
@@ -64,8 +70,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much more each document is like the wanted ones than like all."""
-    docs = _table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs, _table(spark, sf_dir, "labels")))
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return lm_score.score(docs, lm_score.fit(docs, labels), labels)
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,5 +128,5 @@ SELECT page_id, host, path, rule, CASE
 FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_near_duplicates, op4_quality_rules, op5_best_fit_packing, op7_personal_data, op8_url_filter, op9_token_counts, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_near_duplicates, op4_quality_rules, op5_best_fit_packing, op6_repeated_passages, op7_personal_data, op8_url_filter, op9_token_counts, op10_lm_score)}
 ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op8_url_filter": OP8_SQL}
