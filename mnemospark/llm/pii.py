@@ -74,18 +74,14 @@ KINDS = (
 
 
 def _places(text: Column, kind: Kind) -> Column:
-    """array<struct<start, end, text, before, after>> of all matches, in code points."""
-    pieces = F.split(text, kind.pattern, -1)
-    rows = F.arrays_zip(pieces.alias("p"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"), F.slice(pieces, 2, 1 << 30).alias("a"))
-    rows = F.transform(
-        F.filter(rows, lambda x: x["m"].isNotNull()),
-        lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("n"), x["m"].alias("text"), F.right(x["p"], F.lit(CONTEXT)).alias("before"), F.left(x["a"], F.lit(CONTEXT)).alias("after")),
-    )
-    none = F.array().cast("array<struct<start:int,end:int,text:string,before:string,after:string>>")
+    """array<struct<start, end, text>> of all matches, in code points."""
+    rows = F.arrays_zip(F.split(text, kind.pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"))
+    rows = F.transform(F.filter(rows, lambda x: x["m"].isNotNull()), lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("n"), x["m"].alias("text")))
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
-        row = F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["text"].alias("text"), x["before"].alias("before"), x["after"].alias("after"))
+        row = F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["text"].alias("text"))
         return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
@@ -102,7 +98,8 @@ def _spans(text: Column, rank: int, kind: Kind, threshold: float) -> Column:
     def scored(x):
         score = F.lit(kind.score)
         if kind.context:
-            near = F.lower(F.concat_ws(" ", x["before"], x["after"])).rlike(r"(?U)(?<!\w)(?:" + "|".join(kind.context) + r")(?!\w)")
+            before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
+            near = F.lower(F.concat_ws(" ", before, F.substring(text, x["end"] + 1, F.lit(CONTEXT)))).rlike(r"(?U)(?<!\w)(?:" + "|".join(kind.context) + r")(?!\w)")
             score = F.least(F.lit(1.0), score + F.when(near, kind.boost).otherwise(0.0))
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind.name).alias("kind"), x["text"].alias("text"), score.alias("score"))
 

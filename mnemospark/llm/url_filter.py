@@ -23,10 +23,12 @@ Rule = tuple[str | None, str, list[str], str, int, int]  # name, expression, tok
 
 
 def host_rule(verdict: str, host: str, path: str) -> Rule:
-    """A rule for a host and all its subdomains whose urls' paths begin with `path`; it goes before any word rule."""
+    """A rule for a host and all its subdomains (empty: any host) whose urls' paths begin with `path`; it goes before any
+    word rule."""
     whole = path if not path or not path[-1].isalnum() else path[: len(path) - len(re.search(r"[0-9A-Za-z]+$", path)[0])]
     tokens = re.findall(r"[0-9a-z]+", f"{host} {whole}".lower())
-    return host + path, rf"^(?:[^/]*\.)?\Q{host.lower()}\E\Q{path}\E", tokens, verdict, 1, len(host + path)
+    site = rf"(?:[^/]*\.)?\Q{host.lower()}\E(?=/|$)" if host else "[^/]*"
+    return host + path, rf"^{site}\Q{path}\E", tokens, verdict, 1, len(host + path)
 
 
 def word_rule(verdict: str, word: str) -> Rule:
