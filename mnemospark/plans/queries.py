@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,18 +76,28 @@ def _query(sql: str | None = None):
     return add
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written once and read back, as blocks are when they are searched."""
+    path = _folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ---------------------------------------------------------------- sources, tables
 
 
 @_query(f"WITH {_M} SELECT request_id, user_id, session_id, count(*) AS n_messages, count(timestamp) AS n_times FROM m GROUP BY ALL")
 def q01_read_requests(spark, sf_dir):
     """Requests written as JSON and read with the fixed schema."""
-    import uuid
-
     from mnemospark.sources.requests import read_requests
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root}/requests-{uuid.uuid4().hex}"
+    path = _folder(spark, "requests")
     V.requests(spark, sf_dir).write.json(path)
     times = F.size(F.filter("messages", lambda m: m["timestamp"].isNotNull())).cast("long")
     return read_requests(spark, path).select("request_id", "user_id", "session_id", F.size("messages").cast("long").alias("n_messages"), times.alias("n_times"))
@@ -149,6 +160,14 @@ def q07_index_count(spark, sf_dir):
     return tables.index_count(V.blocks(spark, sf_dir), per_user=True)
 
 
+@_query(f"WITH {_B} SELECT * FROM b")
+def q08_write_tables(spark, sf_dir):
+    """Blocks written in folders by user bucket and read back."""
+    path, blocks = _folder(spark, "blocks"), V.blocks(spark, sf_dir)
+    tables.write_table(blocks, path, buckets=8)
+    return spark.read.parquet(path).select(*blocks.columns)
+
+
 # ---------------------------------------------------------------- add
 
 
@@ -274,15 +293,20 @@ def _toy_vectors(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), float(len(t.encode())), float(ord(t[0])) if t else 0.0] for t in texts]
 
 
-_CACHED = "SELECT DISTINCT sha256(content) AS content_hash FROM m WHERE len(content) % 3 = 0"
-
-
 def _cache(spark, sf_dir):
     known = ingest.messages_of(V.requests(spark, sf_dir)).where("char_length(content) % 3 = 0").select("content").distinct()
     one = F.array(*[F.lit(x).cast("float") for x in (1, 2, 3)])
     return known.select(F.lit("c").alias("coordinate"), embed.content_hash(F.col("content")).alias("content_hash"), F.lit(3).alias("dim"), one.alias("vec"), F.lit(0).cast("long").alias("created_at"))
 
 
+@_query(f"""WITH {_M} SELECT substr(sha256('{{"dim":3,"model":"toy","template":"v1"}}'), 1, 16) AS coordinate, '3' AS dims, count(DISTINCT content) AS n FROM m""")
+def q26_embedding_coordinate(spark, sf_dir):
+    """New cache rows under their coordinate, and the dimensions in use."""
+    texts = ingest.messages_of(V.requests(spark, sf_dir)).select(F.col("content").alias("text"))
+    new = embed.embed_missing(texts, _cache(spark, sf_dir), _toy_vectors, embed.embedding_coordinate("toy", embed.template_version(False), 3))[1]
+    return embed.dimension_report(new).withColumn("dims", F.array_join("dims", ","))
+
+
 @_query(f"WITH {_M} SELECT request_id, source_index, CASE WHEN len(content) % 3 = 0 THEN 1 ELSE len(content) END AS a, CASE WHEN len(content) % 3 = 0 THEN 2 ELSE strlen(content) END AS b FROM m")
 def q27_embed_missing(spark, sf_dir):
     texts = ingest.messages_of(V.requests(spark, sf_dir)).select("request_id", "source_index", F.col("content").alias("text"))
@@ -398,7 +422,7 @@ def q37_would_trigger_rate(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    blocks = V.blocks(spark, sf_dir)
+    blocks = _stored(V.blocks(spark, sf_dir), "blocks")
     return blocks, V.view(spark, sf_dir, V.CANDIDATES, blocks=blocks)
 
 
@@ -788,18 +812,10 @@ def q65_recovery_fill(spark, sf_dir):
 @_query()
 def q66_multi_hop_search(spark, sf_dir):
     """Planned search over the document memories with literal plans and answers."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-
-    def save(df, name):
-        path = f"{root}/hops-{uuid.uuid4().hex}-{name}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
     memories = V.view(spark, sf_dir, V.MEMORIES)
     index = retrieval.bm25_index(memories)
-    index.postings, index.frequencies, index.totals = (save(x, "index") for x in (index.postings, index.frequencies, index.totals))
+    index.postings, index.frequencies, index.totals = (_stored(x, "index") for x in (index.postings, index.frequencies, index.totals))
     queries = V.view(spark, sf_dir, V.QUERIES).select("query_id", "user_id", "query")
     plans = _replies(spark, sf_dir, [c.replace("who is {x}", "who is the").replace("one {x}", "the and of") for c in PLAN_CASES]).select("query_id", "reply")
 
@@ -808,7 +824,7 @@ def q66_multi_hop_search(spark, sf_dir):
         return asked.withColumn("reply", F.when(n == 0, '{"status": "unresolved", "answer": null, "evidence": []}').otherwise('{"status": "answered", "answer": "of the", "evidence": []}'))
 
     bodies = memories.select("memory_id", F.lit("").alias("day"), F.col("text").alias("body"))
-    found, _ = multihop.multi_hop_search(queries, lambda q: retrieval.bm25_topk(q, index), plans, answer, bodies, save)
+    found, _ = multihop.multi_hop_search(queries, lambda q: retrieval.bm25_topk(q, index), plans, answer, bodies, _stored)
     return found
 
 
@@ -849,16 +865,10 @@ def q69_category_counts(spark, sf_dir):
     return metrics.category_counts(V.view(spark, sf_dir, V.OBSERVATIONS), ["route", "stop_reason", "fact_status"])
 
 
-def _folder(spark, name):
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @_query(f"WITH {_B} SELECT * FROM b")
 def q70_ingest_stream(spark, sf_dir):
     """The blocks table after a stream of requests, replays and conflicts among them."""
+    from mnemospark.schemas import BLOCK
     from mnemospark.sources.requests import read_requests
     from mnemospark.streaming.jobs import Tables, ingest_stream
 
@@ -866,15 +876,11 @@ def q70_ingest_stream(spark, sf_dir):
     path, out = _folder(spark, "stream"), Tables(_folder(spark, "memory"))
     incoming.drop("payload_hash").write.json(path)
     ingest_stream(read_requests(spark, path, stream=True), out, _folder(spark, "stream-checkpoint")).awaitTermination()
-    from mnemospark.schemas import BLOCK
-
     return out.read(spark, "blocks", BLOCK)
 
 
 @_query(f"{_OBS} {_METRICS}")
 def q71_metrics_stream(spark, sf_dir):
-    import uuid
-
     from mnemospark.streaming.jobs import metrics_stream
 
     name, path = f"metrics_{uuid.uuid4().hex}", _folder(spark, "observations")
@@ -887,7 +893,7 @@ def q71_metrics_stream(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations to evidence: blocks, lexical search, neighbours, segments, packaging."""
-    blocks = V.blocks(spark, sf_dir)
+    blocks = _stored(V.blocks(spark, sf_dir), "blocks")
     texts = blocks.select(F.col("id").alias("memory_id"), "user_id", T.render(F.col("question"), F.col("answer")).alias("text"))
     asked = V.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), F.concat(F.lit("u"), F.col("item_id") % 20).alias("user_id"), F.col("text").alias("query"))
     found = retrieval.bm25_topk(asked, retrieval.bm25_index(texts)).select("query_id", "memory_id", "rank")
