@@ -28,6 +28,7 @@ THRESHOLD = 0.5
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 _BITS = 18
+_PART = 250  # rows of the sample handled at once when fitting
 _GRAMS = (3, 4)
 
 
@@ -109,18 +110,29 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, offsets) + self.shift, -30, 30)))
 
 
-def _logistic(indptr: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, rounds: int = 80, l2: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Full-batch gradient steps scaled per feature (Adagrad)."""
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # first element of each row, feature numbers, values, labels
+
+
+def _margins(rows: Rows, weights: np.ndarray) -> np.ndarray:
+    first, at, value, _ = rows
+    return np.add.reduceat(weights[at] * value, first)
+
+
+def _logistic(parts: list[Rows], rounds: int = 80, l2: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Full-batch gradient steps scaled per feature (Adagrad), summed over parts so that little memory is needed at once."""
     weights, square, bias, bias_square = np.zeros(1 << _BITS), np.full(1 << _BITS, 1e-12), 0.0, 1e-12
-    rows = np.repeat(np.arange(len(y)), np.diff(indptr))
+    n = sum(len(y) for *_, y in parts)
     for _ in range(rounds):
-        z = np.bincount(rows, weights[at] * value, len(y)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.bincount(at, error[rows] * value, 1 << _BITS) + l2 * weights
+        g, total = l2 * weights, 0.0
+        for rows in parts:
+            first, at, value, y = rows
+            error = (1 / (1 + np.exp(-np.clip(_margins(rows, weights) + bias, -30, 30))) - y) / n
+            g += np.bincount(at, np.repeat(error, np.diff(first, append=len(at))) * value, 1 << _BITS)
+            total += error.sum()
         square += g * g
         weights -= 3.0 * g / np.sqrt(square)
-        bias_square += error.sum() ** 2
-        bias -= 0.5 * error.sum() / np.sqrt(bias_square)
+        bias_square += total**2
+        bias -= 0.5 * total / np.sqrt(bias_square)
     return weights, bias
 
 
@@ -161,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 values.append(np.concatenate([p[1] / max(1, p[1].sum()) for p in parts]).astype("<f4").tobytes())
             yield to_batch(schema, h=batch.column(0), y=batch.column(1).cast(pa.float64()), at=ats, value=values)
 
-    table = rows.mapInArrow(features, "h long, y double, at binary, value binary").toArrow().sort_by("h")
+    table = rows.mapInArrow(features, "h long, y double, at binary, value binary").where("length(at) > 0").toArrow().sort_by("h")
     y = table["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return None
@@ -169,16 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
 
-    def matrix(mask: np.ndarray):
-        picked = table.filter(pa.array(mask))
-        at = [np.frombuffer(x.as_py(), "<i4") for x in picked["at"]]
-        return np.concatenate([[0], np.cumsum([len(x) for x in at])]), np.concatenate(at), np.concatenate([np.frombuffer(x.as_py(), "<f4") for x in picked["value"]])
-
-    weights, bias = _logistic(*matrix(~held), y[~held])
-    check = held if held.any() else ~held
-    indptr, at, value = matrix(check)
-    z = np.bincount(np.repeat(np.arange(check.sum()), np.diff(indptr)), weights[at] * value, check.sum()) + bias
-    return Classifier(weights.astype(np.float32), bias, *_calibrate(z, y[check]))
+    def part(index: np.ndarray) -> Rows:
+        picked = table.take(pa.array(index))
+        sizes = [len(x) // 4 for x in picked["at"].to_pylist()]
+        at, value = (np.frombuffer(b"".join(picked[c].to_pylist()), kind) for c, kind in (("at", "<i4"), ("value", "<f4")))
+        return np.cumsum([0, *sizes[:-1]]), at, value, picked["y"].to_numpy()
+
+    train, check = np.flatnonzero(~held), np.flatnonzero(held if held.any() else ~held)
+    parts, tests = ([part(index[i : i + _PART]) for i in range(0, len(index), _PART)] for index in (train, check))
+    del table
+    weights, bias = _logistic(parts)
+    z = np.concatenate([_margins(rows, weights) for rows in tests]) + bias
+    return Classifier(weights.astype(np.float32), bias, *_calibrate(z, np.concatenate([rows[3] for rows in tests])))
 
 
 # ---------------------------------------------------------------- operators
