@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import chunked, documents, text_buffers, to_batch
+from mnemospark.llm.common import chunked, documents, stage, text_buffers, to_batch
 from mnemospark.llm.tokens import END_ID, default_path, encoder
 
 #: Lengths in one block of the two-level suffix sums.
-BLOCK = 1024
+BLOCK = 128
 
 
 def length_histogram(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,9 +39,9 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
 
     docs_from, tokens_from: documents at least that long and their tokens; docs_to: documents at most that long;
     truncated_total: tokens left when every document is cut to the length. Sums are taken within blocks of lengths and
-    then over the few blocks, so no task sees all lengths.
+    then over the few blocks, so no task sees all lengths. The histogram is written once, as it is read twice.
     """
-    rows = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    rows = stage(histogram, "lengths").withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row for BLOCK lengths
     both = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
