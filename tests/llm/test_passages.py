@@ -78,6 +78,14 @@ def test_edited_passage(spark):
     assert (r.doc_id, r.start, r.first_doc_id, r.first_start) == (2, 0, 1, 80) and r.end >= 89
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(12)
+    passage = words(rng, 70, 5000)
+    rows = [(1, " ".join(passage)), (2, " ".join(words(rng, 300, 5000) + passage)), (2, "short"), (2, " ".join(words(rng, 90, 5000)))]
+    got = substrings.repeated_passages(table(spark, rows)).collect()
+    assert (2, 300, 1, 0) in {(r.doc_id, r.start, r.first_doc_id, r.first_start) for r in got}
+
+
 def test_passages_of_nothing(spark):
     assert substrings.repeated_passages(table(spark, [])).count() == 0
 
