@@ -5,8 +5,9 @@ buckets. In each round every document of a bucket is compared with the bucket's
 large, is never expanded into pairs. In half of the buckets the lead is the document that meets most others (the original of
 edited copies, as a rule), in the other half it is a random one. Verified links are joined into components; documents that
 are not in their lead's component go into the next round under a lead of their own, until a round brings no new link. Last,
-in buckets of at most 16 documents that are still in different components, all pairs across components are compared. Pairs
-are checked on signatures first (far below the threshold: dropped) and then on the full shingle sets of both texts.
+in every bucket that still holds different components all pairs across them are compared, whatever the bucket's size: it
+is cut into blocks, and pairs of blocks are spread over tasks. Pairs are checked on lengths and signatures first (far below
+the threshold: dropped) and then on the full shingle sets of both texts.
 
 With 45 bands of 6 rows a pair of similarity 0.8 shares no bucket with a probability of about one in a million.
 
@@ -28,8 +29,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 45, 6
 #: Standard errors that a signature's estimate may lie below the threshold before a pair is dropped unseen.
 SLACK_SIGMAS = 6.0
-#: In buckets up to this size the last step compares all documents of different components.
-SMALL_BUCKET = 16
+#: Documents of a bucket that the last step handles as one block, and blocks that meet all others in one task.
+BLOCK, SPREAD = 64, 8
 _SEED = 20_240_229
 
 
@@ -98,6 +99,45 @@ def _similar_signatures(pairs: DataFrame, signs: DataFrame, percent: int, hashes
     return both.mapInArrow(agree, "u long, v long")
 
 
+def _across_components(members: DataFrame, joined: DataFrame, signs: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """All distinct pairs (u, v) of a bucket's documents in different components that lengths and signatures allow."""
+    p = percent / 100
+    least = p - SLACK_SIGMAS * np.sqrt(p * (1 - p) / hashes)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def columns(rows: pa.StructArray):
+        rep, component, n = (rows.field(i).to_numpy() for i in range(3))
+        return rep, component, n, np.frombuffer(b"".join(rows.field(3).to_pylist()), np.uint8).reshape(len(rep), -1)
+
+    def compare(batches):
+        for batch in batches:
+            u, v = [], []
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                (p, c, n, s), (q, d, m, t) = columns(x.values), columns(y.values)
+                maybe = (c[:, None] != d) & (np.minimum(n[:, None], m) * 100 >= np.maximum(n[:, None], m) * percent)
+                i, j = np.nonzero(maybe)
+                for k in range(0, len(i), 4096):
+                    a, b = i[k : k + 4096], j[k : k + 4096]
+                    same = ((s[a] == t[b]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= least
+                    u.append(np.minimum(p[a[same]], q[b[same]]))
+                    v.append(np.maximum(p[a[same]], q[b[same]]))
+            if u:
+                pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
+                yield to_batch(schema, u=pairs[:, 0], v=pairs[:, 1])
+
+    placed = members.select("key", "rep", "n_shingles").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a < b")
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = placed.join(mixed.select("key", n_blocks.alias("n_blocks")), "key").join(signs, "rep")
+    placed = placed.withColumn("block", F.expr("pmod(xxhash64(rep, key, 1), n_blocks)"))
+    rows = F.collect_list(F.struct("rep", "component", "n_shingles", "signature"))  # about BLOCK of them
+    blocks = stage(placed.groupBy("key", "block", "n_blocks").agg(rows.alias("rows")), "blocks")
+    salts = F.expr(f"int(ceil(n_blocks / {SPREAD}))")
+    left = blocks.select("key", (F.col("block") % salts).cast("int").alias("salt"), F.col("block").alias("i"), F.col("rows").alias("x"))
+    right = blocks.select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("block").alias("j"), F.col("rows").alias("y"))
+    return left.join(right, ["key", "salt"]).where("i <= j").select("x", "y").mapInArrow(compare, "u long, v long").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets are similar enough."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -161,18 +201,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int
         rest = rest.join(of_lead, "lead", "left").where("component <> coalesce(lead_found, lead)")
         active = stage(rest.select("key", "rep", "n_shingles", "size", "priority", "component"), "buckets")
 
-    placed = members.where(F.col("size") <= SMALL_BUCKET).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    placed = stage(placed.join(mixed, "key"), "mixed-buckets")
-    left = placed.select("key", F.col("component").alias("c"), F.col("rep").alias("p"), F.col("n_shingles").alias("np"))
-    right = placed.select("key", F.col("component").alias("d"), F.col("rep").alias("q"), F.col("n_shingles").alias("nq"))
-    again = (
-        left.join(right, "key")
-        .where((F.col("c") < F.col("d")) & (F.least("np", "nq") * 100 >= F.greatest("np", "nq") * percent))
-        .select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    )
-    more = confirmed(again)
+    again = _across_components(members, joined, signs, percent, bands * rows).join(tried, ["u", "v"], "left_anti")
+    more = stage(_verified(stage(again, "pairs"), source, shingle, percent), "links")
     if not more.isEmpty():
         joined = stage(components(links.union(more)), "components")
 

@@ -75,6 +75,21 @@ def test_links_between_members_that_differ_from_the_first(spark):
     assert {r.doc_id: r.component_id for r in got} == brute_groups(rows, 4)
 
 
+def test_links_between_documents_that_never_lead(spark):
+    """Texts made of common pieces: every bucket holds dozens of unlike ones, and the linked ones are not among the leads."""
+    rng = random.Random(4)
+    pieces = [[" ".join(words(rng, 20, 3000)) for _ in range(3)] for _ in range(16)]
+    picks = [[rng.randrange(3) for _ in pieces] for _ in range(200)]
+    for p in picks[:3]:
+        picks.append([(x + 1) % 3 if i == 5 else x for i, x in enumerate(p)])
+    rows = [(d, " ".join(pieces[i][x] for i, x in enumerate(p))) for d, p in enumerate(picks)]
+    rng.shuffle(rows)
+    want = brute_groups(rows, 5)
+    assert sum(c != d for d, c in want.items()) == 3
+    got = minhash.near_duplicate_groups(table(spark, rows), bands=2, rows=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_deduplicate_keeps_columns_and_one_of_each(spark, odd_rows):
     df = table(spark, odd_rows)
     out = minhash.deduplicate(df)
