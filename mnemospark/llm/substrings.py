@@ -9,8 +9,9 @@ intervals around the centres gives candidate passages.
 So that a short phrase that very many texts share does not make candidates, windows also carry eight bits of every sixth
 shingle around the centre, and meet only if they agree on two samples in a row to the right or to the left (about 17
 words); a passage of the least length always does. Within such a group every window is compared with the group's first
-document only. What is not confirmed there goes into further rounds, with two leads a group, until a round confirms less
-than a hundredth of what was confirmed before. A pair of documents is compared once, on the words of both texts and over all
+document only. What is not confirmed there goes into further rounds, with two leads a group, while a round confirms
+more than a hundredth of what was confirmed before. Then all pairs of documents that are left in a group are compared,
+however large it is; the pairs of a large group are spread over tasks. A pair of documents is compared once, on the words of both texts and over all
 their common shingles: matching runs are extended over small edits, and must have the least number of words and the wanted similarity of shingle sets.
 
 Texts of documents without a candidate are kept out of the joins by a bitmap of fixed size over hashed document ids.
@@ -37,8 +38,10 @@ GAP = 6
 #: Samples of shingles around a centre: eight of eight bits, STEP apart, the centre's own the fifth.
 STEP = 6
 _OFFSETS = STEP * np.arange(-4, 4)
-#: Rounds end when one confirms less than this part of all passages confirmed before it.
+#: Rounds with leads give way to comparing all pairs when one confirms less than this part of all passages before it.
 STOP_SHARE = 0.01
+#: Windows of a group that meet all others of it in one task.
+SPREAD = 256
 #: Bits of the bitmap that keeps texts without candidates out of the joins (1 MB); more of them let fewer through.
 BITMAP = 1 << 23
 _SEEDS = np.random.default_rng(577_215).integers(1, 1 << 63, 64, dtype=np.uint64)
@@ -261,9 +264,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
         found = stage(_verify(pairs, near, min_words, shingle, percent).distinct(), "passages")
         new = found.count()
         done = found if done is None else done.unionByName(found)
-        if new <= STOP_SHARE * confirmed:
-            return done
-        confirmed += new
         # a window is settled if its centre lies in a passage found with one of its group's leads, or if it was a lead
         spans = done.groupBy(F.col("first_doc_id").alias("first"), F.col("doc_id").alias("last")).agg(F.collect_list(F.struct("start", "end", "first_start", "first_end")).alias("spans"))
         judged = meets.join(spans, ["first", "last"], "left")
@@ -273,3 +273,21 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
         rest = stage(rest.select("group", "doc_id", "place"), "shared-windows")
         unstage(left)
         left = rest
+        if new <= STOP_SHARE * confirmed:
+            break
+        confirmed += new
+
+    sizes = left.groupBy("group").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")
+    rest = left.join(sizes.select("group", F.expr(f"int(ceil(n / {SPREAD}))").alias("salts")), "group")
+    lower = rest.select("group", F.expr("int(pmod(xxhash64(doc_id, place), salts))").alias("salt"), F.col("doc_id").alias("first"), F.col("place").alias("first_place"))
+    upper = rest.select("group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "doc_id", "place")
+    (c, before, after), (first_c, first_before, first_after) = reach("place"), reach("first_place")
+    overlap = F.least(before, first_before) + F.least(after, first_after) + 1 >= least
+    pairs = lower.join(upper, ["group", "salt"]).where((F.col("first") < F.col("doc_id")) & overlap)
+    at = F.struct(first_c.cast("int").alias("first_c"), c.cast("int").alias("c"))
+    pairs = pairs.groupBy("first", "doc_id").agg(F.collect_set(at).alias("at"))
+    pairs = stage(pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
+    near = _with_bitmap(texts, pairs.select("doc_id").union(pairs.select("first")), "doc_id")
+    found = stage(_verify(pairs, near, min_words, shingle, percent), "passages")
+    firsts = found.groupBy("doc_id", "start", "end").agg(F.min(F.struct("first_doc_id", "first_start", "first_end", "similarity")).alias("x"))
+    return done.unionByName(firsts.select("doc_id", "start", "end", "x.*"))

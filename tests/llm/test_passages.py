@@ -78,6 +78,19 @@ def test_edited_passage(spark):
     assert (r.doc_id, r.start, r.first_doc_id, r.first_start) == (2, 0, 1, 80) and r.end >= 89
 
 
+def test_passages_around_a_frequent_phrase(spark):
+    """Few documents share what surrounds a phrase of many; they are not the leads of its groups."""
+    rng = random.Random(8)
+    phrase, rows = words(rng, 49, 5000), []
+    more = [words(rng, 6, 5000) for _ in range(3)]
+    for d in range(1, 81):
+        tail = more[d % 10 - 3] if d % 10 in (3, 4, 5) and d // 10 in (2, 5) else []
+        rows.append((d, " ".join(words(rng, 40, 10**6) + phrase + tail + words(rng, 40, 10**6))))
+    got = substrings.repeated_passages(table(spark, rows)).collect()
+    assert {(r.first_doc_id, r.doc_id) for r in got} == {(23, 53), (24, 54), (25, 55)}
+
+
+
 def test_rows_of_one_id_with_different_texts(spark):
     rng = random.Random(12)
     passage = words(rng, 70, 5000)
