@@ -6,9 +6,9 @@ right) stands for every subsequence inside left..right that holds the centre, an
 with a passage in common have nodes with the same minimum, so an equi-join on the minimum and an overlap condition on the
 intervals around the centres gives candidate passages.
 
-So that a short phrase that very many texts share does not make candidates, windows also carry eight bits of every sixth
-shingle around the centre, and meet only if they agree on two samples in a row to the right or to the left (about 17
-words); a passage of the least length always does. Within such a group every window is compared with the group's first
+So that the shortest phrases that very many texts share do not make candidates, windows also carry eight bits of the
+shingles three words before and after the centre, and meet only if they agree on one of the two (eight words in a row): an edit
+on one side of a centre leaves the other, and a run of eleven unedited words or more holds one of them wherever the centre is. Within such a group every window is compared with the group's first
 document only. What is not confirmed there goes into further rounds, with two leads a group, while a round confirms
 more than a hundredth of what was confirmed before. Then all pairs of documents that are left in a group are compared,
 however large it is; the pairs of a large group are spread over tasks. A pair of documents is compared once, on the words of both texts and over all
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import NON_SPACE, Words, chunked, documents, mix, shingle_hashes, shingle_set, stage, text_buffers, to_batch, unstage
 
-MIN_WORDS, SHINGLE, PERCENT, HASHES = 50, 5, 80, 2
+MIN_WORDS, SHINGLE, PERCENT, HASHES = 50, 5, 80, 4
 #: Words that an edit between two matching runs may span on either side.
 GAP = 6
 #: Samples of shingles around a centre: eight of eight bits, STEP apart, the centre's own the fifth.
-STEP = 6
+STEP = 3
 _OFFSETS = STEP * np.arange(-4, 4)
 #: Rounds with leads give way to comparing all pairs when one confirms less than this part of all passages before it.
 STOP_SHARE = 0.01
@@ -236,8 +236,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
     source = documents(docs, id_col, text_col).where("doc_id is not null")
     keys = windows(source, min_words, shingle, hashes).select("key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     made = stage(windows(source, min_words, shingle, hashes).join(keys, "key"), "windows")
-    # two samples in a row to the right of the centre, or to the left
-    sides = F.explode(F.array(F.xxhash64("key", F.lit(1), F.expr("shiftright(samples, 40) & 65535")), F.xxhash64("key", F.lit(2), F.expr("shiftright(samples, 16) & 65535")))).alias("group")
+    # the sample to the right of the centre, or the one to the left
+    sides = F.explode(F.array(F.xxhash64("key", F.lit(1), F.expr("shiftright(samples, 40) & 255")), F.xxhash64("key", F.lit(2), F.expr("shiftright(samples, 24) & 255")))).alias("group")
     met = made.select(sides, "doc_id", "place")
     shared = met.groupBy("group").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("group")
     left = stage(met.join(shared, "group"), "shared-windows")

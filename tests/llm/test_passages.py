@@ -91,6 +91,19 @@ def test_passages_around_a_frequent_phrase(spark):
 
 
 
+def test_recall_of_edited_passages(spark):
+    """Passages of 50 words, one in the middle replaced: similarity 41/51. All 200 are repeats by brute force."""
+    rng = random.Random(31)
+    rows = []
+    for d in range(0, 400, 2):
+        passage = words(rng, 50, 10**6)
+        rows += [(d, " ".join(passage)), (d + 1, " ".join(passage[:25] + ["new"] + passage[26:]))]
+    found = {(r.first_doc_id, r.doc_id) for r in substrings.repeated_passages(table(spark, rows)).collect()}
+    print("recall", len(found), "of 200")
+    assert found <= {(d, d + 1) for d in range(0, 400, 2)} and len(found) >= 194
+
+
+
 def test_rows_of_one_id_with_different_texts(spark):
     rng = random.Random(12)
     passage = words(rng, 70, 5000)
