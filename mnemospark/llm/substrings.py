@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from mnemospark.llm.common import NON_SPACE, Words, chunked, documents, mix, shingle_hashes, shingle_set, stage, text_buffers, to_batch, unstage
 
 MIN_WORDS, SHINGLE, PERCENT, HASHES = 50, 5, 80, 4
-#: Words that an edit between two matching runs may span on either side.
-GAP = 6
 #: Samples of shingles around a centre: eight of eight bits, STEP apart, the centre's own the fifth.
 STEP = 3
 _OFFSETS = STEP * np.arange(-4, 4)
@@ -137,18 +135,18 @@ def _span(x: np.ndarray, y: np.ndarray, a: int, b: int) -> tuple[int, int, int,
     return a - back, a + ahead, b - back, b + ahead
 
 
-def _past_edit(sx: np.ndarray, sy: np.ndarray, a: int, b: int, k: int, step: int) -> tuple[int, int] | None:
-    """The nearest places after (step 1) or before (step -1) an edit at (a, b) where k words agree again: the begin of the
-    common shingle, or its end."""
+def _past_edit(sx: np.ndarray, sy: np.ndarray, a: int, b: int, k: int, step: int, gap: int) -> list[tuple[int, int]]:
+    """Places after (step 1) or before (step -1) an edit at (a, b) of at most gap words a side where k words agree again,
+    nearest first, one for each shift of the texts: the begin of the common shingle, or its end."""
     if step > 0:
-        u, v = sx[a : a + GAP + 1], sy[b : b + GAP + 1]
+        u, v = sx[a : a + gap + 1], sy[b : b + gap + 1]
     else:
-        u, v = sx[max(0, a - k - GAP) : max(0, a - k + 1)][::-1], sy[max(0, b - k - GAP) : max(0, b - k + 1)][::-1]
-    i, j = np.nonzero(u[:, None] == v[None, :])
-    if not len(i):
-        return None
-    n = int(np.argmin(i + j))
-    return a + step * int(i[n]), b + step * int(j[n])
+        u, v = sx[max(0, a - k - gap) : max(0, a - k + 1)][::-1], sy[max(0, b - k - gap) : max(0, b - k + 1)][::-1]
+    _, i, j = np.intersect1d(u, v, return_indices=True)  # the nearest place of each shingle in both
+    order = np.argsort(i + j, kind="stable")
+    i, j = i[order], j[order]
+    _, nearest = np.unique(i - j, return_index=True)
+    return [(a + step * int(i[n]), b + step * int(j[n])) for n in np.sort(nearest)]
 
 
 def _similarity(x: np.ndarray, y: np.ndarray, k: int) -> float:
@@ -169,16 +167,20 @@ def common_passage(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray,
     common, open_ends = a1 - a0 - k + 1, [1, -1]
     while open_ends:
         for step in list(open_ends):
-            at = _past_edit(sx, sy, a1, b1, k, 1) if step > 0 else _past_edit(sx, sy, a0, b0, k, -1)
-            if at is not None:
+            # the shingles that are not common may be so many if all words that follow agree
+            rest = min(len(x) - a1, len(y) - b1) if step > 0 else min(a0, b0)
+            gap = (common + rest) * (100 - percent) // percent
+            places = _past_edit(sx, sy, a1, b1, k, 1, gap) if step > 0 else _past_edit(sx, sy, a0, b0, k, -1, gap)
+            for at in places:
                 back, ahead = _run(x, y, *at)
                 n = ahead if step > 0 else back
                 new = (a0, at[0] + n, b0, at[1] + n) if step > 0 else (at[0] - n, a1, at[1] - n, b1)
                 shared = common + n - k + 1
                 if 100 * shared >= percent * (new[1] - new[0] + new[3] - new[2] - 2 * (k - 1) - shared):
                     (a0, a1, b0, b1), common = new, shared
-                    continue
-            open_ends.remove(step)
+                    break
+            else:
+                open_ends.remove(step)
     if min(a1 - a0, b1 - b0) < min_words:
         return None
     similarity = _similarity(x[a0:a1], y[b0:b1], k)

@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from mnemospark.llm import substrings
+from mnemospark.llm.common import shingle_hashes
 from tests.llm.conftest import table, words
 from tests.llm.test_near_duplicates import brute_groups, brute_hits
 from tests.llm.test_rules import brute_base, brute_counts, labelled
@@ -104,6 +105,18 @@ def test_recall_of_edited_passages(spark):
 
 
 
+@pytest.mark.parametrize("n", range(7, 15))
+@pytest.mark.parametrize("side", [10, 70])
+def test_passage_around_an_insertion(n, side):
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 1 << 62, 98).astype(np.uint64)
+    y = np.concatenate([x[:49], rng.integers(0, 1 << 62, n).astype(np.uint64), x[49:]])
+    sx, sy = shingle_hashes(x, 5), shingle_hashes(y, 5)
+    found = substrings.common_passage(x, y, sx, sy, side, side + n * (side > 49), 50, 5, 80)
+    assert found == (0, 98, 0, 98 + n, pytest.approx(90 / (98 + n)))
+
+
+
 def test_rows_of_one_id_with_different_texts(spark):
     rng = random.Random(12)
     passage = words(rng, 70, 5000)
