@@ -1,7 +1,7 @@
 """Shared pieces of the text operators: staging tables, Arrow text access, word scanning and hashing.
 
 Word scanning works on whole Arrow buffers with numpy: one pass lower-cases and classifies bytes,
-then polynomial prefix sums give every word a 64-bit hash without a Python loop over words.
+then sums over bytes times random factors give every word a 64-bit hash without a Python loop over words.
 """
 
 from __future__ import annotations
@@ -105,26 +105,33 @@ def _as_arrow(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def pair_blocks(rows: DataFrame, key: list[str], by: list[str], fields: list[str], block: int, spread: int) -> DataFrame:
+    """(x, y): arrays of structs of `fields`, so that any two rows of one key meet in an x and a y (or in one block that is both).
+
+    The rows of a key are cut into blocks of about `block` rows, by a hash of the columns `by`; a block meets the others in
+    tasks of `spread` blocks, so a key of any size is spread over tasks. key must hold no nulls.
+    """
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key, F.expr(f"int(ceil(_n / {block}))").alias("_blocks"))
+    sized = rows.join(stage(sizes, "sizes"), key).withColumn("_block", F.pmod(F.xxhash64(*key, *by), F.col("_blocks")).cast("int"))
+    blocks = stage(sized.groupBy(*key, "_block", "_blocks").agg(F.collect_list(F.struct(*fields)).alias("rows")), "blocks")
+    salts = F.expr(f"int(ceil(_blocks / {spread}))")
+    left = blocks.select(*key, (F.col("_block") % salts).cast("int").alias("_salt"), F.col("_block").alias("_i"), F.col("rows").alias("x"))
+    right = blocks.select(*key, F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), F.col("_block").alias("_j"), F.col("rows").alias("y"))
+    return left.join(right, [*key, "_salt"]).where("_i <= _j").select("x", "y")
+
+
 # ---------------------------------------------------------------- words and hashes
 
 _M = np.uint64
-BASE = _M(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _M(pow(int(BASE), -1, 1 << 64))
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_factors = np.zeros(0, np.uint64)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            grow = np.full(size, BASE, np.uint64)
-            grow[0] = 1
-            back = np.full(size, _INVERSE, np.uint64)
-            back[0] = 1
-            _powers, _inverses = np.multiply.accumulate(grow), np.multiply.accumulate(back)
-    return _powers[:n], _inverses[:n]
+def _factor_table(n: int) -> np.ndarray:
+    """At least n random factors, one for each place in a word; the same in every process, whatever n."""
+    global _factors
+    if len(_factors) < n:
+        _factors = np.random.default_rng(0x5EED).integers(0, 1 << 64, max(n, 1 << 10), dtype=np.uint64)
+    return _factors
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -152,6 +159,9 @@ NON_SPACE_AS_IS = Alphabet(lambda b: b != 32 and not 9 <= b <= 13, lower=False)
 ALNUM = Alphabet(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 
 
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class Words:
     """Words of a batch of texts: byte spans in `low`, the document each lies in and its 64-bit hash."""
 
@@ -169,11 +179,15 @@ class Words:
         self.end = np.flatnonzero(is_word & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)  # index of each document's first word, and one past the last
         self.count = np.diff(self.first)
-        powers, inverses = _tables(n + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(low * powers[:n], out=total[1:], dtype=np.uint64)
-            self.hash = mix((total[self.end] - total[self.start]) * inverses[self.start] + (self.end - self.start).astype(np.uint64))
+        length = self.end - self.start
+        begin = np.cumsum(length) - length
+        place = np.arange(int(length.sum())) - np.repeat(begin, length)
+        self.hash = np.zeros(0, np.uint64)
+        if len(length):
+            # a sum of bytes times random factors; unlike a polynomial it has no structured texts that always collide
+            with np.errstate(over="ignore"):
+                value = (low[is_word].astype(np.uint64) + _M(1)) * _factor_table(int(length.max()))[place]
+                self.hash = mix(np.add.reduceat(value, begin) + length.astype(np.uint64))
 
     def word(self, i: int) -> bytes:
         return self.low[self.start[i] : self.end[i]].tobytes()
@@ -181,6 +195,14 @@ class Words:
     def document(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
+    def lanes(self, which: np.ndarray, lane: int) -> np.ndarray:
+        """Bytes 8 * lane to 8 * lane + 8 of the given words (which have more than 8 * lane) as one number, zeros after the end."""
+        if not hasattr(self, "_wide"):
+            padded = np.concatenate([self.low, np.zeros(8, np.uint8)])
+            self._wide = np.ndarray(len(self.low) + 1, "<u8", padded, 0, (1,))
+        at = self.start[which] + 8 * lane
+        return self._wide[at] & _LANE_MASK[np.minimum(self.end[which] - at, 8)]
+
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k consecutive word hashes (none if there are fewer words)."""

@@ -1,24 +1,25 @@
 """Near-duplicate passages by compact windows.
 
-A passage is a run of words, seen as the sequence of its word shingles. For each of a few hash functions the Cartesian tree
-of a text's shingle hashes groups all its subsequences of at least the wanted length by their min-hash: a node (left, centre,
-right) stands for every subsequence inside left..right that holds the centre, and all of these share its minimum. Texts
-with a passage in common have nodes with the same minimum, so an equi-join on the minimum and an overlap condition on the
-intervals around the centres gives candidate passages.
-
-So that the shortest phrases that very many texts share do not make candidates, windows also carry eight bits of the
-shingles three words before and after the centre, and meet only if they agree on one of the two (eight words in a row): an edit
-on one side of a centre leaves the other, and a run of eleven unedited words or more holds one of them wherever the centre is. Within such a group every window is compared with the group's first
-document only. What is not confirmed there goes into further rounds, with two leads a group, while a round confirms
-more than a hundredth of what was confirmed before. Then all pairs of documents that are left in a group are compared,
-however large it is; the pairs of a large group are spread over tasks. A pair of documents is compared once, on the words of both texts and over all
-their common shingles: matching runs are extended over small edits, and must have the least number of words and the wanted similarity of shingle sets.
+A passage is a run of words, seen as the sequence of its grams (runs of GRAM words). For each of a few hash functions the
+Cartesian tree of a text's gram hashes groups all its subsequences of at least the wanted length by their min-hash: a node
+(left, centre, right) stands for every subsequence inside left..right that holds the centre, and all of these share its
+minimum. Texts with a passage in common have nodes with the same minimum, so an equi-join on the minimum and an overlap
+condition on the intervals around the centres gives candidate passages.
+
+A passage of 50 words with one edit, the most that a similarity of 0.8 allows there, holds an unedited run of 24 words; grams
+are half as long, so every run like that has grams to agree on, and shorter phrases that very many texts share make no
+candidates. All hash functions agree on an exact passage of the least length or more, whatever surrounds it; on 50 words
+with the middle one replaced each agrees with probability 27/51, and six of them miss one in a hundred.
+
+Texts with the same bytes form a class of which only the least document is compared. Each window then meets the leads of its
+group: the least document, then two drawn ones. A window is settled if its centre lies in a passage found with a lead. Last, all
+pairs of documents that are left in a group, of any size, are compared by sketches of the shingles around their centres, in
+pairs of blocks that are spread over tasks; only pairs whose sketches allow a passage go on. A pair of documents is
+verified once, on the words of both texts and over all their common shingles: matching runs are extended over small edits, and
+must have the least number of words and the wanted similarity of shingle sets.
 
 Texts of documents without a candidate are kept out of the joins by a bitmap of fixed size over hashed document ids.
 
-An exact passage of the least length or more shares its minimum under every hash, whatever surrounds it. Of edited ones a
-part is missed, more of them the shorter the runs between edits.
-
 Null, empty and short texts have no windows. Rows with a null doc_id are left out. Repeated rows of one doc_id are one
 document. Repeats inside one document are not reported. An empty table gives no rows; other columns are ignored.
 """
@@ -30,16 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import NON_SPACE, Words, chunked, documents, mix, shingle_hashes, shingle_set, stage, text_buffers, to_batch, unstage
+from mnemospark.llm.common import NON_SPACE, Words, chunked, documents, mix, pair_blocks, shingle_hashes, shingle_set, stage, text_buffers, to_batch, unstage
 
-MIN_WORDS, SHINGLE, PERCENT, HASHES = 50, 5, 80, 4
-#: Samples of shingles around a centre: eight of eight bits, STEP apart, the centre's own the fifth.
-STEP = 3
-_OFFSETS = STEP * np.arange(-4, 4)
-#: Rounds with leads give way to comparing all pairs when one confirms less than this part of all passages before it.
-STOP_SHARE = 0.01
-#: Windows of a group that meet all others of it in one task.
-SPREAD = 256
+MIN_WORDS, SHINGLE, PERCENT, HASHES, GRAM = 50, 5, 80, 6, 12
+#: Bits of the sketch of a window's shingles.
+SKETCH = 2048
+#: Windows of a group in one block of the last step, and blocks that meet all others in one task.
+BLOCK, SPREAD = 64, 8
+#: Bytes of text of candidate pairs that are verified at once.
+PAIR_BYTES = 1 << 20
 #: Bits of the bitmap that keeps texts without candidates out of the joins (1 MB); more of them let fewer through.
 BITMAP = 1 << 23
 _SEEDS = np.random.default_rng(577_215).integers(1, 1 << 63, 64, dtype=np.uint64)
@@ -57,35 +57,90 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
-def windows(docs: DataFrame, min_words: int, shingle: int, hashes: int) -> DataFrame:
-    """(key, doc_id, place, samples) of all compact windows of all documents.
+def windows(docs: DataFrame, min_words: int, gram: int, hashes: int) -> DataFrame:
+    """(key, doc_id, place) of all compact windows of all documents.
 
-    place packs the centre, counted in words, and how far the window reaches to the left and to the right (up to 65,535).
+    place packs the centre (a word number) and how far the window reaches to the left and to the right, as far as matters.
     """
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("samples", pa.int64())])
-    least = max(1, min_words - shingle + 1)
-    shifts = 8 * np.arange(8, dtype=np.uint64)
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+    least = max(1, min_words - gram + 1)
 
     def cut(batches):
         for batch in chunked(batches):
             w = Words(*text_buffers(batch.column(1)), NON_SPACE)
-            keys, places, samples, doc = [], [], [], []
+            keys, places, doc = [], [], []
             for d, i, j in zip(batch.column(0).to_pylist(), w.first.tolist(), w.first[1:].tolist(), strict=False):
-                s = shingle_hashes(w.hash[i:j], shingle)
+                s = shingle_hashes(w.hash[i:j], gram)
                 if len(s) < least:
                     continue
-                around = np.concatenate([np.zeros(4 * STEP, np.uint64), s >> np.uint64(56), np.zeros(4 * STEP, np.uint64)])
                 for seed in _SEEDS[:hashes]:
                     x = mix(s ^ seed)
                     left, centre, right = np.array(compact_windows(x, least), np.int64).T
                     keys.append(x[centre])
-                    places.append(centre << 32 | np.minimum(centre - left, 65535) << 16 | np.minimum(right - centre, 65535))
-                    samples.append((around[centre[:, None] + 4 * STEP + _OFFSETS] << shifts).sum(axis=1, dtype=np.uint64))
-                    doc += [d] * len(centre)
+                    places.append(centre << 32 | np.minimum(centre - left, least) << 16 | np.minimum(right - centre, least))
+                    doc.append(np.full(len(centre), d))
             if keys:
-                yield to_batch(schema, key=np.concatenate(keys).view(np.int64), doc_id=doc, place=np.concatenate(places), samples=np.concatenate(samples).view(np.int64))
+                yield to_batch(schema, key=np.concatenate(keys).view(np.int64), doc_id=np.concatenate(doc), place=np.concatenate(places))
+
+    return docs.mapInArrow(cut, "key long, doc_id long, place long")
+
+
+def _copies(source: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, first, n) of documents that are a copy of an earlier one, and (doc_id) of those with no other text."""
+    named = source.select("doc_id", F.sha2("text", 256).alias("id"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
+    named = stage(named.where(F.col("n") >= min_words).distinct(), "texts")
+    classes = stage(named.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "classes")
+    copies = stage(named.join(classes, "id").where("doc_id <> first").select("doc_id", "first", "n"), "copies")
+    several = named.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1")
+    dropped = stage(copies.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "dropped")
+    unstage(named, classes)
+    return copies, dropped
+
+
+def _left_pairs(rest: DataFrame, texts: DataFrame, min_words: int, shingle: int, percent: int) -> DataFrame:
+    """(first, doc_id, at): pairs of documents in windows (group, doc_id, place) of one group whose sketches allow a passage.
+
+    A sketch has a bit set for every shingle that a passage of the least length around the centre could reach. Two
+    passages share `percent` of their shingles, so their sketches share nearly as many bits.
+    """
+    reach = min_words * 100 // percent
+    least = (min_words - shingle + 1) * percent // 100
+    least -= least // 6  # shingles may share a bit; that so many of them do is next to impossible
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int32()), ("sketch", pa.binary())])
 
-    return docs.mapInArrow(cut, "key long, doc_id long, place long, samples long")
+    def draw(batches):
+        for whole in batches:
+            for batch in chunked([whole], "text"):
+                w = Words(*text_buffers(batch.column(2)), NON_SPACE)
+                out = []
+                for d, found, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), w.first.tolist(), w.first[1:].tolist(), strict=False):
+                    bits = (shingle_hashes(w.hash[i:j], shingle) % np.uint64(SKETCH)).astype(np.int64)
+                    for f in found:
+                        if f["c"] < len(bits):  # rows of one id may differ in text
+                            sketch = np.zeros(SKETCH, bool)
+                            sketch[bits[max(0, f["c"] - reach) : f["c"] + reach]] = True
+                            out.append((f["key"], d, f["c"], np.packbits(sketch).tobytes()))
+                for k in range(0, len(out), 4096):
+                    yield to_batch(schema, **dict(zip(schema.names, zip(*out[k : k + 4096], strict=True), strict=True)))
+
+    by_document = rest.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.expr("int(shiftright(place, 32))").alias("c"))).alias("found"))
+    drawn = by_document.join(texts, "doc_id").select("doc_id", "found", "text").mapInArrow(draw, "key long, doc_id long, c int, sketch binary")
+    schema_pairs = pa.schema([("first", pa.int64()), ("doc_id", pa.int64()), ("first_c", pa.int32()), ("c", pa.int32())])
+
+    def compare(batches):
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                (p, a, s), (q, b, t) = (
+                    (r.field(0).to_numpy(), r.field(1).to_numpy(), np.frombuffer(b"".join(r.field(2).to_pylist()), np.uint64).reshape(len(r), -1)) for r in (x.values, y.values)
+                )
+                for i in range(len(p)):
+                    j = np.flatnonzero((q != p[i]) & (np.bitwise_count(s[i] & t).sum(axis=1) >= least))
+                    if len(j):
+                        early = p[i] < q[j]
+                        yield to_batch(schema_pairs, first=np.minimum(p[i], q[j]), doc_id=np.maximum(p[i], q[j]), first_c=np.where(early, a[i], b[j]), c=np.where(early, b[j], a[i]))
+
+    pairs = pair_blocks(drawn, ["key"], ["doc_id", "c"], ["doc_id", "c", "sketch"], BLOCK, SPREAD).mapInArrow(compare, "first long, doc_id long, first_c int, c int")
+    return pairs.groupBy("first", "doc_id").agg(F.collect_set(F.struct("first_c", "c")).alias("at"))
 
 
 def _with_bitmap(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -197,9 +252,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, per
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64()), ("first_start", pa.int32()), ("first_end", pa.int32()), ("similarity", pa.float64())])
 
     def check(batches):
-        for whole in batches:
-            for row in range(0, whole.num_rows, 32):
-                batch = whole.slice(row, 32)
+        for part in chunked(batches, "x", PAIR_BYTES):
+            for batch in chunked([part], "y", PAIR_BYTES):
                 x, y = (Words(*text_buffers(batch.column(i)), NON_SPACE) for i in (3, 4))
                 out = []
                 for i, (first, doc, places) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
@@ -229,32 +283,32 @@ def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, per
     return both.mapInArrow(check, _PASSAGE)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int = SHINGLE, percent: int = PERCENT, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int = SHINGLE, percent: int = PERCENT, hashes: int = HASHES, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, first_doc_id, first_start, first_end, similarity): passages and where they are found first.
 
     Places are word numbers, end exclusive. A passage that many documents share is reported once for each of them but the
-    first, never for all their pairs.
+    first, never for all their pairs; a copy of a whole text is reported with the first such text, whose passages it has too.
     """
     source = documents(docs, id_col, text_col).where("doc_id is not null")
-    keys = windows(source, min_words, shingle, hashes).select("key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    made = stage(windows(source, min_words, shingle, hashes).join(keys, "key"), "windows")
-    # the sample to the right of the centre, or the one to the left
-    sides = F.explode(F.array(F.xxhash64("key", F.lit(1), F.expr("shiftright(samples, 40) & 255")), F.xxhash64("key", F.lit(2), F.expr("shiftright(samples, 24) & 255")))).alias("group")
-    met = made.select(sides, "doc_id", "place")
-    shared = met.groupBy("group").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("group")
-    left = stage(met.join(shared, "group"), "shared-windows")
+    gram = min(gram, min_words)
+    copies, dropped = _copies(source, min_words)
+    made = stage(windows(source, min_words, gram, hashes), "windows")
+    shared = stage(made.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), "keys")
+    left = stage(made.join(shared, "key").join(dropped, "doc_id", "left_anti").select("key", "doc_id", "place"), "shared-windows")
+    unstage(made, shared)
     texts = _with_bitmap(source, left.select("doc_id"), "doc_id")
-    least = (min_words - shingle + 1) * percent // 100
+    least = (min_words - gram + 1) * percent // 100
     reach = lambda p: (F.expr(f"shiftright({p}, 32)"), F.expr(f"shiftright({p}, 16) & 65535"), F.expr(f"{p} & 65535"))
-    done, tried, confirmed = None, None, 0
-    while True:
+    done = tried = None
+    used = [dropped]
+    for first_round in (True, False):
         row = F.struct("doc_id", "place")
-        leads = [F.min(row)] if done is None else [F.min_by(row, F.xxhash64("doc_id")), F.max_by(row, F.xxhash64("doc_id"))]
-        heads = left.groupBy("group").agg(F.array_distinct(F.array(*leads)).alias("h"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-        heads = heads.select("group", F.inline("h").alias("lead", "lead_place"))
+        leads = [F.min(row)] if first_round else [F.min_by(row, F.xxhash64("doc_id")), F.max_by(row, F.xxhash64("doc_id"))]
+        heads = left.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("h"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+        heads = stage(heads.select("key", F.inline("h").alias("lead", "lead_place")), "leads")
         (c, before, after), (lead_c, lead_before, lead_after) = reach("place"), reach("lead_place")
         overlap = F.least(before, lead_before) + F.least(after, lead_after) + 1 >= least
-        meets = left.join(heads, "group").withColumns({
+        meets = left.join(heads, "key").withColumns({
             "later": F.col("doc_id") > F.col("lead"), "first": F.least("doc_id", "lead"), "last": F.greatest("doc_id", "lead"), "c": c.cast("int"), "lead_c": lead_c.cast("int"),
         })
         at = F.when(F.col("later"), F.struct(F.col("lead_c").alias("first_c"), F.col("c"))).otherwise(F.struct(F.col("c").alias("first_c"), F.col("lead_c").alias("c")))
@@ -262,34 +316,26 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
         pairs = pairs.agg(F.collect_set(at).alias("at"))  # at most the windows of one document each
         pairs = stage(pairs if tried is None else pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
         tried = pairs.select("first", "doc_id") if tried is None else tried.union(pairs.select("first", "doc_id"))
-        near = _with_bitmap(texts, pairs.select("doc_id").union(pairs.select("first")), "doc_id") if done is not None else texts
+        near = texts if first_round else _with_bitmap(texts, pairs.select("doc_id").union(pairs.select("first")), "doc_id")
         found = stage(_verify(pairs, near, min_words, shingle, percent).distinct(), "passages")
-        new = found.count()
         done = found if done is None else done.unionByName(found)
         # a window is settled if its centre lies in a passage found with one of its group's leads, or if it was a lead
         spans = done.groupBy(F.col("first_doc_id").alias("first"), F.col("doc_id").alias("last")).agg(F.collect_list(F.struct("start", "end", "first_start", "first_end")).alias("spans"))
         judged = meets.join(spans, ["first", "last"], "left")
         inside = lambda s: F.when(F.col("later"), (s["start"] <= F.col("c")) & (F.col("c") < s["end"])).otherwise((s["first_start"] <= F.col("c")) & (F.col("c") < s["first_end"]))
         settled = (F.col("doc_id") == F.col("lead")) | F.coalesce(F.exists("spans", inside), F.lit(False))
-        rest = judged.groupBy("group", "doc_id", "place").agg(F.bool_or(settled).alias("settled")).where("not settled")
-        rest = stage(rest.select("group", "doc_id", "place"), "shared-windows")
-        unstage(left)
-        left = rest
-        if new <= STOP_SHARE * confirmed:
-            break
-        confirmed += new
-
-    sizes = left.groupBy("group").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")
-    rest = left.join(sizes.select("group", F.expr(f"int(ceil(n / {SPREAD}))").alias("salts")), "group")
-    lower = rest.select("group", F.expr("int(pmod(xxhash64(doc_id, place), salts))").alias("salt"), F.col("doc_id").alias("first"), F.col("place").alias("first_place"))
-    upper = rest.select("group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "doc_id", "place")
-    (c, before, after), (first_c, first_before, first_after) = reach("place"), reach("first_place")
-    overlap = F.least(before, first_before) + F.least(after, first_after) + 1 >= least
-    pairs = lower.join(upper, ["group", "salt"]).where((F.col("first") < F.col("doc_id")) & overlap)
-    at = F.struct(first_c.cast("int").alias("first_c"), c.cast("int").alias("c"))
-    pairs = pairs.groupBy("first", "doc_id").agg(F.collect_set(at).alias("at"))
+        rest = judged.groupBy("key", "doc_id", "place").agg(F.bool_or(settled).alias("settled")).where("not settled")
+        used += [left, heads, pairs, found]
+        left = stage(rest.select("key", "doc_id", "place"), "shared-windows")
+
+    sizes = stage(left.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), "keys")
+    rest = left.join(sizes, "key")
+    pairs = _left_pairs(rest, _with_bitmap(texts, rest.select("doc_id"), "doc_id"), min_words, shingle, percent)
     pairs = stage(pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
     near = _with_bitmap(texts, pairs.select("doc_id").union(pairs.select("first")), "doc_id")
-    found = stage(_verify(pairs, near, min_words, shingle, percent), "passages")
+    found = _verify(pairs, near, min_words, shingle, percent)
     firsts = found.groupBy("doc_id", "start", "end").agg(F.min(F.struct("first_doc_id", "first_start", "first_end", "similarity")).alias("x"))
-    return done.unionByName(firsts.select("doc_id", "start", "end", "x.*"))
+    whole = copies.select("doc_id", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), F.col("first").alias("first_doc_id"), F.lit(0).alias("first_start"), F.col("n").cast("int").alias("first_end"), F.lit(1.0).alias("similarity"))
+    out = stage(done.unionByName(firsts.select("doc_id", "start", "end", "x.*")).unionByName(whole), "passages")
+    unstage(*used, left, sizes, pairs, copies)
+    return out
