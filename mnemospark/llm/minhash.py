@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from mnemospark.llm.common import NON_SPACE, Words, chunked, documents, shingle_set, stage, text_buffers, to_batch
 from mnemospark.llm.components import components
@@ -213,7 +214,13 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """The documents, with all their columns, of which one of each group stays; repeated rows of a doc_id become one."""
-    kept = near_duplicate_groups(docs, id_col=id_col, **kwargs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.join(kept, named[id_col] == kept["_kept"], "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents, with all their columns, of which one of each group stays; of repeated rows of a doc_id the one of least
+    text stays (of equal texts, the one whose other columns hash lowest). Rows with a null doc_id all stay."""
+    groups = near_duplicate_groups(docs, id_col=id_col, **kwargs)
+    kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    named = named.join(kept, named[id_col] == kept["_kept"], "left_semi")
+    hashed = [F.col(f.name) for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    order = F.struct(F.coalesce(F.col(kwargs.get("text_col", "text")), F.lit("")), F.xxhash64(*hashed))
+    one = named.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

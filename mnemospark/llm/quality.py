@@ -6,7 +6,8 @@ weights and one quarter for the calibration of its probabilities. Texts are scor
 threshold.
 
 Null text has no words and fails the word count. Rows with a null doc_id are scored but never used for fitting; labels that
-are null or contradict each other for one doc_id are not used. With no labelled row of either kind there is no classifier
+are null or contradict each other for one doc_id are not used; of repeated rows of a labelled doc_id the least text is used for
+fitting. With no labelled row of either kind there is no classifier
 and the counted rules alone decide. Repeated rows are judged each for itself; an empty table gives no rows.
 """
 
@@ -75,23 +76,44 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
 # ---------------------------------------------------------------- classifier
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in a row, and the n + 1 offsets of the texts in them; bytes that are not UTF-8 become U+FFFD."""
+    raw = data.tobytes()
+    try:
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), "<u4")
+        begins = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
+        return points, begins[offsets]
+    except UnicodeDecodeError:
+        parts = [np.frombuffer(raw[a:b].decode(errors="replace").encode("utf-32-le"), "<u4") for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
 def hashed_features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (feature number of each element, n + 1 offsets of the texts in it): words, then each n-gram size."""
+    """Blocks of (feature number of each element, n + 1 offsets of the texts in it): words, then each size of character n-grams.
+
+    Characters are code points, and no n-gram reaches over the end of its text.
+    """
     w = Words(data, offsets, NON_SPACE)
     top = np.uint64(64 - _BITS)
     blocks = [((w.hash >> top).astype(np.int64), w.first)]
-    wide = data.astype(np.uint64)
+    points, begins = code_points(data, offsets)
+    wide, sizes = points.astype(np.uint64), np.diff(begins)
     for n in _GRAMS:
-        m = max(0, len(data) - n + 1)
+        m = max(0, len(points) - n + 1)
         h = np.full(m, n, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(n):
                 h = (h + wide[k : k + m]) * np.uint64(0x9FB21C651E98DF25)
-        # grams that reach into the next text count for the text they begin in: at most n - 1 of them
-        blocks.append((((h ^ (h >> np.uint64(32))) * np.uint64(0xC6BC279692B5C323) >> top).astype(np.int64), np.minimum(offsets, m)))
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC6BC279692B5C323) >> top
+        inside = np.arange(m) + n <= np.repeat(begins[1:], sizes)[:m]
+        blocks.append((h[inside].astype(np.int64), np.concatenate([[0], np.cumsum(np.maximum(0, sizes - n + 1))])))
     return blocks
 
 
+#: Weights are summed as whole multiples of 1 / _UNIT, so that a sum does not depend on the order or on other texts.
+_UNIT = 1 << 32
+
+
 @dataclass
 class Classifier:
     weights: np.ndarray
@@ -100,10 +122,10 @@ class Classifier:
     shift: float = 0.0
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = np.full(len(offsets) - 1, self.bias)
+        out, fixed = np.full(len(offsets) - 1, self.bias), np.round(self.weights.astype(np.float64) * _UNIT).astype(np.int64)
         for at, first in hashed_features(data, offsets):
-            total = np.concatenate([[0.0], np.cumsum(self.weights[at], dtype=np.float64)])
-            out += (total[first[1:]] - total[first[:-1]]) / np.maximum(1, np.diff(first))
+            total = np.concatenate([[0], np.cumsum(fixed[at])])
+            out += (total[first[1:]] - total[first[:-1]]) / (np.maximum(1, np.diff(first)) * float(_UNIT))
         return out
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -159,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     known = labels.where(F.col(label_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label_id).cast("long").alias("doc_id"))
     known = known.agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     chosen = known.select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
-    rows = documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("h", "y", "text")  # at most `sample` rows
+    rows = documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h", "y").agg(F.min("text").alias("text")).select("h", "y", "text")  # at most `sample` rows
     schema = pa.schema([("h", pa.int64()), ("y", pa.float64()), ("at", pa.binary()), ("value", pa.binary())])
 
     def features(batches):

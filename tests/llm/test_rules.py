@@ -69,6 +69,46 @@ def test_filter_keeps_columns_and_works_without_labels(spark, odd_rows):
     assert quality.filter_quality(table(spark, []), None).count() == 0
 
 
+def mask(x):
+    return x & ((1 << 64) - 1)
+
+
+def brute_margin(model, text):
+    """The score of one text by loops: mean weight of its words, of its 3-grams and of its 4-grams of code points."""
+    found = [[int(Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), NON_SPACE).hash[0]) >> 46 for w in WORD.findall(text or "")]]
+    for n in (3, 4):
+        grams = []
+        for i in range(len(text or "") - n + 1):
+            h = n
+            for c in text[i : i + n]:
+                h = mask((h + ord(c)) * 0x9FB21C651E98DF25)
+            grams.append(mask((h ^ (h >> 32)) * 0xC6BC279692B5C323) >> 46)
+        found.append(grams)
+    return model.bias + sum(sum(float(model.weights[g]) for g in grams) / max(1, len(grams)) for grams in found)
+
+
+def test_scores_match_brute_force_under_any_partitioning(spark, odd_rows):
+    rng = np.random.default_rng(3)
+    model = quality.Classifier(rng.normal(size=1 << 18).astype(np.float32), 0.1, 0.7, -0.2)
+    rows = [*odd_rows, (30, "ab"), (31, "é日本👍"), (32, "x"), (33, "Same text"), (34, "Same text")]
+    want = {d: 1 / (1 + math.exp(-(0.7 * brute_margin(model, t) - 0.2))) for d, t in rows if d}
+    seen = set()
+    for parts, order in ((1, "doc_id"), (7, "text"), (64, "text"), (1, "text")):
+        got = quality.score_quality(table(spark, rows).orderBy(order).repartition(parts), model).collect()
+        for r in got:
+            assert r.doc_id is None or r.probability == pytest.approx(want[r.doc_id], abs=1e-7)
+        seen.add(tuple(sorted((r.doc_id or -1, r.probability, r.kept) for r in got)))
+    assert len(seen) == 1
+
+
+def test_fit_does_not_depend_on_rows_or_order(spark):
+    rows, labels = labelled(200)
+    rows += [(d, t + " more") for d, t in rows[:40]]
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    models = [quality.fit(table(spark, rows).orderBy(order).repartition(parts), known) for parts, order in ((1, "doc_id"), (9, "text"))]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].shift == models[1].shift
+
+
 # ---------------------------------------------------------------- personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
