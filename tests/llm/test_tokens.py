@@ -1,12 +1,13 @@
 """Token files, packing and length histogram against brute force."""
 
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from mnemospark.llm import packing, token_counts, token_files
+from mnemospark.llm import common, packing, token_counts, token_files
 from mnemospark.llm.tokens import ChunkEncoder, default_path
 
 ODD = [
@@ -116,3 +117,46 @@ def test_length_histogram_and_answers(spark, docs, library):
 def test_length_histogram_of_nothing(spark):
     empty = token_counts.with_suffix_sums(token_counts.length_histogram(spark.createDataFrame([], SCHEMA)))
     assert empty.count() == 0 and token_counts.quantiles(empty, [0.5]).first().n_tokens is None
+
+
+def thue_morse(n=2048):
+    bits = np.array([bin(i).count("1") % 2 for i in range(n)])
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def coded(code, texts):
+    raw = [t.encode() for t in texts]
+    ids, offsets = code.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    return [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def test_structured_chunks_do_not_share_ids(spark, library):
+    """A string and its complement that any polynomial hash modulo a power of two confuses."""
+    texts = [*thue_morse(), *thue_morse(64), *thue_morse()[::-1], " ".join(thue_morse(32) * 3)]
+    want = [ids_of(library, t) for t in texts]
+    assert coded(ChunkEncoder(default_path()), texts) == want
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    files = token_files.with_crc32(token_files.read_token_files(spark, token_files.write_token_files(df)))
+    assert {r.doc_id: r.ids_crc32 for r in files.collect()} == dict(enumerate(map(crc, want)))
+    packed = {r.doc_id: bytes(r.ids) for r in packing.pack(df).collect()}
+    assert packed == {i: np.array(x, "<u4").tobytes() for i, x in enumerate(want)}
+    assert {r.n_tokens: r.n_docs for r in token_counts.length_histogram(df).collect()} == Counter(map(len, want))
+
+
+def test_equal_hashes_of_different_chunks(monkeypatch, library):
+    """With hashes of three bits nearly all chunks collide; bytes tell them apart."""
+    rng = random.Random(4)
+    texts = [t or "" for t in ODD] + [" ".join(f"w{rng.randrange(60)}{'x' * rng.randrange(90)}" for _ in range(80)) for _ in range(9)]
+    want = [ids_of(library, t) for t in texts]
+    monkeypatch.setattr(common, "mix", lambda x: x & np.uint64(7))
+    code = ChunkEncoder(default_path())
+    assert coded(code, texts) == want and coded(code, texts[::-1]) == want[::-1]
+
+
+def test_tokenizer_that_codes_white_space_gets_whole_texts():
+    import public_tokenizers
+
+    code = ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), None)
+    texts = [t or "" for t in ODD]
+    assert not code.chunkwise and ChunkEncoder(default_path()).chunkwise
+    assert coded(code, texts) == [code.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
