@@ -1,128 +1,120 @@
-"""Relative dates in a text, annotated with the calendar dates they mean on a given day."""
+"""Relative dates in a text, annotated with the calendar dates they mean on a given day. All of it stays in the JVM.
 
-from __future__ import annotations
+A text is cut once at all relative expressions; each piece found is looked at by its words, and its meaning, if it has one, is
+put after it. Durations (`for two years`) are a second pass over the result, as `for two months ago` holds one of either kind.
+"""
 
-import datetime as dt
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Number words and week days (with their short forms) that expressions may use.
-NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
-VAGUE = ("a few", "several", "a couple of", "couple of")
-DAYS = {"mon": 0, "monday": 0, "tue": 1, "tues": 1, "tuesday": 1, "wed": 2, "weds": 2, "wednesday": 2, "thu": 3, "thur": 3, "thurs": 3, "thursday": 3, "fri": 4, "friday": 4, "sat": 5, "saturday": 5, "sun": 6, "sunday": 6}
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: Number words from one on, and week days by their first three letters.
+NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
+DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 
-ONE_DAY = dt.timedelta(days=1)
+_COUNT = r"(?:an?|" + "|".join(NUMBERS) + r"|[0-9]+)"
+_WEEKDAY = r"(?:mon|tue|wed|fri|sun)(?:day)?|tues|tuesday|weds|wednesday|thu(?:rs?)?|thursday|sat|saturday"
+MOMENT = (
+    r"(?iU)\b(?:yesterday|(?:last|yesterday) night|this morning|today|tonight|the other day|tomorrow"
+    rf"|(?:last|this past|past)\s+(?:weekend|week|{_WEEKDAY})|(?:last|past|earlier this)\s+(?:month|year)"
+    rf"|{_COUNT}\s+(?:weekend|day|week|month|year)s?\s+ago)\b"
+)
+DURATION = rf"(?iU)\b(?:for|since)\s+{_COUNT}\s+(?:day|week|month|year)s?\b"
+MARKS = {"paren": (" (", ")"), "tag": (" [= ", "]")}
+#: The first day of the calendar, counted from 1970, and a count beyond any in it.
+_FIRST_DAY, _MANY = -719_162, 10_000_000
 
 
-def long_date(d: dt.date) -> str:
-    return f"{MONTHS[d.month - 1]} {d.day}, {d.year}"
+def long_date(d: Column) -> Column:
+    return F.date_format(d, "MMMM d, y")
 
 
-def span(first: dt.date, last: dt.date) -> str:
+def span(first: Column, last: Column) -> Column:
     """A range that names a shared month and year once."""
-    begin = f"{MONTHS[first.month - 1]} {first.day}"
-    if first.year != last.year:
-        begin += f", {first.year}"
-    end = str(last.day) if (first.year, first.month) == (last.year, last.month) else f"{MONTHS[last.month - 1]} {last.day}"
-    return f"{begin} to {end}, {last.year}"
+    begin = F.when(F.year(first) != F.year(last), long_date(first)).otherwise(F.date_format(first, "MMMM d"))
+    same_month = F.trunc(first, "month") == F.trunc(last, "month")
+    return F.concat(begin, F.lit(" to "), F.when(same_month, F.date_format(last, "d, y")).otherwise(long_date(last)))
 
 
-def month_before(d: dt.date, n: int) -> str:
-    at = d.year * 12 + d.month - 1 - n
-    if at < 12:
-        raise OverflowError("before year 1")
-    return f"{MONTHS[at % 12]} {at // 12}"
+def _days_before(d: Column, n: Column) -> Column:
+    """The day n days before d; null before the calendar begins."""
+    at = F.unix_date(d).cast("bigint") - n
+    return F.when(n <= _MANY, F.when(at >= _FIRST_DAY, F.date_from_unix_date(at.cast("int"))))
 
 
-def week_before(d: dt.date, weeks: int, day: int = 0) -> dt.date:
+def _week_day(d: Column, weeks: Column, day: int) -> Column:
     """Day (0 is Monday) of the ISO week so many weeks before d's."""
-    return d + ONE_DAY * (day - d.weekday() - 7 * weeks)
-
-
-def weekend_before(d: dt.date, weeks: int) -> str:
-    saturday = week_before(d, weeks, 5)
-    return span(saturday, saturday + ONE_DAY)
-
+    return _days_before(d, F.when(weeks <= _MANY, weeks * 7) + F.weekday(d) - day)
 
-def year_before(d: dt.date, n: int) -> str:
-    return str(d.year - n)
 
+def _weekend(d: Column, weeks: Column) -> Column:
+    return span(_week_day(d, weeks, 5), _week_day(d, weeks, 6))
 
-def _ago(d: dt.date, n: int, unit: str) -> str:
-    return {
-        "day": lambda: long_date(d - n * ONE_DAY), "week": lambda: long_date(d - 7 * n * ONE_DAY), "weekend": lambda: weekend_before(d, n),
-        "month": lambda: month_before(d, n), "year": lambda: year_before(d, n),
-    }[unit]()
 
+def _month(d: Column, n: Column) -> Column:
+    at = F.when(n <= _MANY, F.year(d) * 12 + F.month(d) - 1 - n)
+    return F.when(at >= 12, F.date_format(F.make_date(F.floor(at / 12).cast("int"), (at % 12 + 1).cast("int"), F.lit(1)), "MMMM y"))
 
-def _since(d: dt.date, n: int, unit: str) -> str | None:
-    return {"month": lambda: "since " + month_before(d, n), "year": lambda: "since " + year_before(d, n)}.get(unit, lambda: None)()
 
+def _year(d: Column, n: Column) -> Column:
+    return (F.year(d).cast("bigint") - n).cast("string")
 
-def _counted(meaning):
-    def value(m: re.Match, d: dt.date) -> str | None:
-        n = int(m[1]) if m[1].isdigit() else NUMBERS.get(m[1].lower())
-        return None if n is None else meaning(d, n, m[2].lower())
 
-    return value
+def _number(word: Column) -> Column:
+    """A number of digits or a number word; null beyond 64 bits."""
+    named = F.array_position(F.array(*map(F.lit, NUMBERS)), word)
+    return F.when(word.isin("a", "an"), 1).when(named > 0, named).otherwise(word.try_cast("bigint"))
 
 
-def _words(expression: str) -> re.Pattern:
-    return re.compile(rf"\b{expression}\b", re.IGNORECASE)
+def _moment(found: Column, d: Column) -> Column:
+    """What an expression of MOMENT means on day d."""
+    words = F.split(F.lower(found), r"(?U)\s+")
+    head, last, one = F.get(words, F.lit(0)), F.element_at(words, -1), F.lit(1).cast("bigint")
+    n, unit = _number(head), F.regexp_replace(F.get(words, F.lit(1)), "s$", "")
+    ago = (
+        F.when(unit == "day", long_date(_days_before(d, n))).when(unit == "week", long_date(_days_before(d, F.when(n <= _MANY, n * 7))))
+        .when(unit == "weekend", _weekend(d, n)).when(unit == "month", _month(d, n)).otherwise(_year(d, n))
+    )
+    back = F.pmod(F.weekday(d) - F.array_position(F.array(*map(F.lit, DAYS)), F.substring(last, 1, 3)), F.lit(7)) + 1
+    return (
+        F.when(last == "ago", ago)
+        .when(last.isin("yesterday", "night"), long_date(F.date_sub(d, 1)))
+        .when(last.isin("morning", "today", "tonight"), long_date(d))
+        .when(last == "day", long_date(F.date_sub(d, 2)))
+        .when(last == "tomorrow", long_date(F.date_add(d, 1)))
+        .when(last == "weekend", _weekend(d, one))
+        .when(last == "week", span(_week_day(d, one, 0), _week_day(d, one, 6)))
+        .when(last == "month", _month(d, one))
+        .when(last == "year", _year(d, one))
+        .otherwise(long_date(F.date_sub(d, back.cast("int"))))
+    )
 
 
-_NUMBER = "(" + "|".join([*VAGUE, *NUMBERS, r"\d+"]) + ")"
-_LAST = r"(?:last|this past|past)\s+"
-_EARLIER = r"(?:last|past|earlier this)\s+"
-#: In this order, each over what the ones before it have made.
-RULES = (
-    (_words("yesterday"), lambda m, d: long_date(d - ONE_DAY)),
-    (_words("(?:last|yesterday) night"), lambda m, d: long_date(d - ONE_DAY)),
-    (_words("this morning"), lambda m, d: long_date(d)),
-    (_words("today"), lambda m, d: long_date(d)),
-    (_words("tonight"), lambda m, d: long_date(d)),
-    (_words("the other day"), lambda m, d: long_date(d - 2 * ONE_DAY)),
-    (_words("tomorrow"), lambda m, d: long_date(d + ONE_DAY)),
-    (_words(_LAST + "weekend"), lambda m, d: weekend_before(d, 1)),
-    (_words(_LAST + "week"), lambda m, d: span(week_before(d, 1), week_before(d, 1, 6))),
-    (_words(_EARLIER + "month"), lambda m, d: month_before(d, 1)),
-    (_words(_EARLIER + "year"), lambda m, d: year_before(d, 1)),
-    (_words(_NUMBER + r"\s+(day|week|weekend|month|year)s?\s+ago"), _counted(_ago)),
-    (_words(r"(?:for|since)\s+" + _NUMBER + r"\s+(day|week|month|year)s?"), _counted(_since)),
-    (_words(_LAST + "(" + "|".join(DAYS) + ")"), lambda m, d: long_date(d - ONE_DAY * ((d.weekday() - DAYS[m[1].lower()] - 1) % 7 + 1))),
-)
-MARKS = {"paren": " ({})", "tag": " [= {}]"}
-#: What any text with a relative date holds; texts without it never reach Python.
-HINT = r"(?i)yesterday|night|morning|today|the other day|tomorrow|last|past|earlier|ago\b|for\s|since\s"
-
-
-def annotate(text: str, day: dt.date, mark: str = "paren") -> str:
-    """The text with each relative date followed by its meaning; dates outside the calendar stay as they are."""
-    form = MARKS[mark]
-    for pattern, meaning in RULES:
+def _duration(found: Column, d: Column) -> Column:
+    """What an expression of DURATION means on day d; days and weeks mean nothing."""
+    words = F.split(F.lower(found), r"(?U)\s+")
+    n, unit = _number(F.get(words, F.lit(1))), F.regexp_replace(F.get(words, F.lit(2)), "s$", "")
+    return F.concat(F.lit("since "), F.when(unit == "month", _month(d, n)).when(unit == "year", _year(d, n)))
 
-        def with_date(m: re.Match, meaning=meaning) -> str:
-            try:
-                value = meaning(m, day)
-            except (OverflowError, ValueError):
-                value = None
-            return m[0] if value is None else m[0] + form.format(value)
 
-        text = pattern.sub(with_date, text)
-    return text
+def _noted(text: Column, pattern: str, meaning, day: Column, mark: str) -> Column:
+    """The text with the meaning of each match of the pattern after it, where it has one."""
+    left, right = MARKS[mark]
+    note = lambda m: F.coalesce(F.concat(F.lit(left), meaning(m, day), F.lit(right)), F.lit(""))
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda part, m: F.concat(part, F.when(m.isNull(), "").otherwise(F.concat(m, note(m)))))
+    return F.array_join(pieces, "")
 
 
 def annotate_relative_dates(text: Column, day: Column, mark: str = "paren") -> Column:
-    """annotate() over a column of texts and one of days (date, or yyyy-MM-dd; empty or null: unchanged)."""
+    """The text with each relative date followed by what it means on the day (a date, or yyyy-MM-dd; empty or null: unchanged).
+
+    Numbers are words up to twelve or ASCII digits; dates outside the calendar stay as they are.
+    """
     if mark not in MARKS:
         raise ValueError(f"mark must be one of {', '.join(MARKS)}, not {mark!r}")
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, days: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not d else annotate(t, dt.date.fromisoformat(d), mark) for t, d in zip(texts, days, strict=True)])
-
-    return F.when(text.rlike(HINT) & day.isNotNull(), run(text, day.cast("string"))).otherwise(text)
+    at = day.try_cast("date")
+    # arrays of one element bind a value to a name, so that no text is made twice
+    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    noted = bind(_noted(text, MOMENT, _moment, at, mark), lambda t: _noted(t, DURATION, _duration, at, mark))
+    return F.when(at.isNotNull(), noted).otherwise(text)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
-from decimal import Decimal, localcontext
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemospark.functions import text as T
+
 #: Fixed values.
 KEY_MARKS = " ?.!。！？"
 PREPOSITIONS = ("of", "at", "for", "in", "to", "with", "by")
@@ -70,6 +70,11 @@ def fact_key(value: Column) -> Column:
     return F.when(value.rlike(r"^[\x00-\x7f]*$"), plain).otherwise(_strings(key_of)(value))
 
 
+def folded(value: Column) -> Column:
+    """Case-folded, by Python's rules."""
+    return _strings(str.casefold)(value)
+
+
 def relation_key(value: Column) -> Column:
     """fact_key() without trailing prepositions and simple plural endings."""
     cut = F.regexp_replace(fact_key(value), "(?: (?:" + "|".join(PREPOSITIONS) + "))+$", "")
@@ -83,12 +88,25 @@ def relation_key(value: Column) -> Column:
 # ---------------------------------------------------------------- token counters
 
 Counter = tuple[Callable[[str], list], Callable[[list], str]]  # encode, decode
-_PIECE = re.compile(r"\s+|\w+|[^\w\s]")
 
 
 def word_counter() -> Counter:
     """Pieces of the default counter, white space kept as pieces so that they join to the text."""
-    return _PIECE.findall, "".join
+    pattern = re.compile(r"\s+|\w+|[^\w\s]")
+    return pattern.findall, "".join
+
+
+def vocabulary_counter(path: str) -> Callable[[], Counter]:
+    """A factory of the counter of a public tokenizer file (of the `tokenizers` library); special tokens are ordinary text."""
+
+    def make() -> Counter:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, tokenizer.decode
+
+    return make
 
 
 def count_tokens(text: Column, make_counter: Callable[[], Counter]) -> Column:
@@ -106,30 +124,52 @@ def count_tokens(text: Column, make_counter: Callable[[], Counter]) -> Column:
 #: Fixed values.
 MARKER, SLACK = "\n...\n", 16
 EMBED_LIMIT = int(8192 * 0.56)
+#: A piece of the default counter with white space, as Spark's regular expressions have it.
+PIECE = rf"[{T.SPACE}]+|[\p{{L}}\p{{N}}\p{{M}}_]+|[^\p{{L}}\p{{N}}\p{{M}}_{T.SPACE}]"
+_MARKER_PIECES = 5  # the two line ends and three dots
 
 
-def middle_cut(text: str, limit: int, counter: Counter) -> str:
-    encode, decode = counter
-    ids = encode(text)
-    room = limit - len(encode(MARKER)) - SLACK
-    if len(ids) <= limit:
-        return text
-    if room < 2:
-        return decode(ids[:limit])
-    return decode(ids[: room // 2]) + MARKER + decode(ids[len(ids) - (room - room // 2) :])
+def kept_ends(limit: int, marker_tokens: int) -> tuple[int, int]:
+    """How many tokens stay at the begin and at the end of a text over the limit; all at the begin if the marker has no room."""
+    both = limit - marker_tokens - SLACK
+    return (limit, 0) if both < 2 else (both // 2, both - both // 2)
 
 
-def truncate_middle(text: Column, limit: int = EMBED_LIMIT, make_counter: Callable[[], Counter] = word_counter) -> Column:
-    """Texts over the limit keep their first and last halves; plain head cut if the marker does not fit."""
+def _check(limit: int) -> None:
     if limit <= 0:
         raise ValueError(f"limit must be positive, not {limit}")
+
+
+def truncate_middle(text: Column, limit: int = EMBED_LIMIT, make_counter: Callable[[], Counter] | None = None) -> Column:
+    """Texts over the limit keep their first and last halves around a marker; only their head if the marker does not fit.
+
+    Without a counter the default pieces count, in the JVM. A vocabulary counter cuts at its own tokens, so a cut may fall
+    inside a word.
+    """
+    _check(limit)
+    if make_counter is None:
+        first, last = kept_ends(limit, _MARKER_PIECES)
+        ends = lambda p: [F.slice(p, 1, first), *([F.array(F.lit(MARKER)), F.slice(p, -last, last)] if last else [])]
+        return _when_longer(text, limit, lambda p: F.concat(*ends(p)))
     make = Once(make_counter)
+
+    def cut(v: str) -> str:
+        encode, decode = make()
+        ids = encode(v)
+        if len(ids) <= limit:
+            return v
+        first, last = kept_ends(limit, len(encode(MARKER)))
+        return decode(ids[:first]) + (MARKER + decode(ids[-last:]) if last else "")
+
     # a text cannot have more tokens than bytes
-    return F.when(F.octet_length(text) > limit, _strings(lambda v: middle_cut(v, limit, make()))(text)).otherwise(text)
+    return F.when(F.octet_length(text) > limit, _strings(cut)(text)).otherwise(text)
 
 
-def truncate_head(text: Column, limit: int, make_counter: Callable[[], Counter] = word_counter) -> Column:
-    """The first `limit` tokens."""
+def truncate_head(text: Column, limit: int, make_counter: Callable[[], Counter] | None = None) -> Column:
+    """The first `limit` tokens, by the default pieces (in the JVM) or by a counter."""
+    _check(limit)
+    if make_counter is None:
+        return _when_longer(text, limit, lambda p: F.slice(p, 1, limit))
     make = Once(make_counter)
 
     def cut(v: str) -> str:
@@ -140,37 +180,45 @@ def truncate_head(text: Column, limit: int, make_counter: Callable[[], Counter]
     return F.when(F.octet_length(text) > limit, _strings(cut)(text)).otherwise(text)
 
 
+def _when_longer(text: Column, limit: int, keep: Callable[[Column], Column]) -> Column:
+    """What is kept of the pieces of texts that have more than `limit`; other texts as they are."""
+    cut = F.transform(F.array(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))), lambda p: F.when(F.size(p) > limit, F.array_join(keep(p), "")).otherwise(text))
+    return F.when(F.octet_length(text) > limit, F.get(cut, F.lit(0))).otherwise(text)
+
+
 # ---------------------------------------------------------------- sale totals
 
-_NOTE = " (calculated sale total: {q} × ${p} = ${v})"
-_NOTED = re.compile(r" \(calculated sale total: [^)]+\)")
-_AMOUNT = re.compile(r"\d+(?:\.\d+)?")
-
-
-def sale_total(content: str) -> str:
-    """A reported sale of Q pieces at $P each with their exact product noted; anything else unchanged."""
-    try:
-        record = json.loads(content)
-    except ValueError:
-        return content
-    if not isinstance(record, dict) or record.get("record_kind") != "reported sale" or record.get("currency_symbol") != "$" or "reported_total" in record:
-        return content
-    quote, q, p = (record.get(k) for k in ("user_quotation", "quantity", "unit_price"))
-    if not all(isinstance(v, str) for v in (quote, q, p)) or _NOTED.search(quote) or not (_AMOUNT.fullmatch(q) and _AMOUNT.fullmatch(p)):
-        return content
-    priced = re.search(rf"\bfor\s+\${re.escape(p)}\s+each\b", quote, re.IGNORECASE)
-    if not priced or not re.search(rf"\bsold\s+{re.escape(q)}\s", quote, re.IGNORECASE) or max(Decimal(q), Decimal(p)) > 1_000_000:
-        return content
-    with localcontext() as exact:
-        exact.prec = len(q) + len(p)
-        value = f"{Decimal(q) * Decimal(p):f}"
-    value = re.sub(r"\.?0+$", "", value) if "." in value else value
-    record["user_quotation"] = quote[: priced.end()] + _NOTE.format(q=q, p=p, v=value) + quote[priced.end() :]
-    return json.dumps(record, ensure_ascii=False)
+#: The record's kind and sign, and the words around the total.
+SALE_KIND, SALE_SIGN, NOTE = "reported sale", "$", "(calculated sale total: "
+MOST = 1_000_000
+#: Up to a million with so many decimals, and exact products of two of these.
+_AMOUNT, _PRODUCT = "decimal(18,11)", "decimal(38,22)"
 
 
 def annotate_unit_totals(content: Column) -> Column:
-    return F.when(content.contains("reported sale"), _strings(sale_total)(content)).otherwise(content)
+    """JSON records of reported sales whose quotation says `sold Q …` and `for $P each`, with the exact total noted in it.
+
+    A record is left as it is, byte for byte, unless its kind and currency fit, quantity and unit price are strings of a number
+    up to a million with at most eleven decimals, no total is reported and none is noted yet. A changed record is
+    written anew without blanks between its parts.
+    """
+    record = F.try_parse_json(content)
+    text = lambda key: F.when(F.schema_of_variant(F.try_variant_get(record, f"$.{key}", "variant")) == "STRING", F.try_variant_get(record, f"$.{key}", "string"))
+    amount = lambda x: F.when(x.rlike("^[0-9]{1,7}(?:[.][0-9]{1,11})?$"), x.try_cast(_AMOUNT))
+    quote, q, p = text("user_quotation"), text("quantity"), text("unit_price")
+    n, price = amount(q), amount(p)
+    literal = lambda x: F.replace(x, F.lit("."), F.lit("[.]"))
+    sold = F.concat(F.lit(r"(?iU)\bsold\s+"), literal(q), F.lit(r"\s"))
+    to_price = F.regexp_substr(quote, F.concat(F.lit(r"(?isU)^.*?\bfor\s+[$]"), literal(p), F.lit(r"\s+each\b")))  # up to the first such words
+    fits = (
+        (text("record_kind") == SALE_KIND) & (text("currency_symbol") == SALE_SIGN) & ~F.array_contains(F.json_object_keys(content), "reported_total")
+        & (n <= MOST) & (price <= MOST) & ~quote.contains(" " + NOTE) & F.regexp_like(quote, sold) & to_price.isNotNull()
+    )
+    total = F.regexp_replace((n * price).cast(_PRODUCT).cast("string"), r"[.]?0+$", "")
+    noted = F.concat(to_price, F.lit(" " + NOTE), q, F.lit(" × " + SALE_SIGN), p, F.lit(" = " + SALE_SIGN), total, F.lit(")"), F.substr(quote, F.char_length(to_price) + 1))
+    value = F.try_variant_get(F.parse_json(F.to_json(F.struct(noted.alias("x")))), "$.x", "variant")
+    changed = F.to_json(F.transform_values(F.from_json(content, "map<string,variant>"), lambda k, v: F.when(k == "user_quotation", value).otherwise(v)))
+    return F.when(content.contains(SALE_KIND) & fits, changed).otherwise(content)
 
 
 # ---------------------------------------------------------------- lexicon

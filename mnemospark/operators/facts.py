@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import helpers as H
 from mnemospark.functions import replies as R
 from mnemospark.functions import text as T
+from mnemospark.operators.rank import limited
 from mnemospark.operators.tables import upsert
 
 VERSION = "facts-v1"
@@ -139,11 +140,11 @@ def owner_names(facts: DataFrame, version: str = VERSION) -> DataFrame:
     return named.groupBy("user_id").agg(F.min_by(F.struct("subject", "subject_key"), F.struct("source_date", "id")).alias("x")).select("user_id", F.col("x.subject").alias("owner"), F.col("x.subject_key").alias("owner_key"))
 
 
-def facts_for_entities(queries: DataFrame, facts: DataFrame, blocks: DataFrame, version: str = VERSION, entities: str = "entities") -> DataFrame:
+def facts_for_entities(queries: DataFrame, facts: DataFrame, blocks: DataFrame, version: str = VERSION, entities: str = "entities", save=None) -> DataFrame:
     """Current facts of the groups that a query's entities name as subject or object: (query_id, fact columns, n).
 
     queries: (query_id, user_id, entities, limit). The whole history of a group is judged, then the limit holds a query. Two
-    equi-joins find the groups; an OR in one join would compare all with all.
+    equi-joins find the groups; an OR in one join would compare all with all. `save` writes the groups once, as they are used twice.
     """
     asked = queries.select("query_id", "user_id", F.explode(entities).alias("entity")).where(~T.is_blank(F.col("entity")))
     asked = asked.select("query_id", "user_id", H.fact_key(F.col("entity")).alias("key")).distinct()
@@ -151,12 +152,13 @@ def facts_for_entities(queries: DataFrame, facts: DataFrame, blocks: DataFrame,
     asked = asked.unionByName(speaker).distinct()
     known = facts.where(F.col("version") == version)
     parents = blocks.select(F.col("id").alias("parent_memory_id"), "user_id")
-    rooted = known.join(parents, ["parent_memory_id", "user_id"], "left_semi").select("user_id", "subject_key", "relation_key", "object_key").distinct()
-    groups = None
+    # the few keys come first: only facts that have one of them meet the blocks, and only their groups are read whole
+    hits = None
     for side in ("subject_key", "object_key"):
-        hit = rooted.withColumn("key", F.col(side)).join(asked, ["user_id", "key"]).select("query_id", "user_id", "subject_key", "relation_key")
-        groups = hit if groups is None else groups.unionByName(hit)
-    groups = groups.distinct()
+        hit = known.join(asked.withColumnRenamed("key", side), ["user_id", side]).select("query_id", "user_id", "parent_memory_id", "subject_key", "relation_key")
+        hits = hit if hits is None else hits.unionByName(hit)
+    groups = hits.distinct().join(parents, ["parent_memory_id", "user_id"], "left_semi").select("query_id", "user_id", "subject_key", "relation_key").distinct()
+    groups = groups if save is None else save(groups, "groups")
     touched = known.join(groups.drop("query_id").distinct(), ["user_id", "subject_key", "relation_key"], "left_semi")
     found = apply_supersession(touched).join(groups, ["user_id", "subject_key", "relation_key"]).join(queries.select("query_id", "limit"), "query_id")
     n = F.row_number().over(Window.partitionBy("query_id").orderBy(*fact_order()))
@@ -197,13 +199,15 @@ def fact_snippets(found: DataFrame, limit: int, order: str = "n") -> DataFrame:
     return rows.withColumn("position", at).where(F.col("position") < limit).select("query_id", "position", "content", "parent_memory_id")
 
 
-def append_facts(items: DataFrame, snippets: DataFrame, top_k: int) -> DataFrame:
-    """Items (query_id, position, id, content, created_at, score) with new snippets after them, up to top_k in all."""
+def append_facts(items: DataFrame, snippets: DataFrame, top_k: int | DataFrame) -> DataFrame:
+    """Items (query_id, position, id, content, created_at, score) with new snippets after them, up to top_k in all (a number,
+    or a table of query_id and top_k)."""
     taken = items.groupBy("query_id").agg(F.count("*").alias("taken"))
     fresh = snippets.join(items.select("query_id", "content"), ["query_id", "content"], "left_anti").join(taken, "query_id", "left")
     taken_n = F.coalesce("taken", F.lit(0))
     n = F.row_number().over(Window.partitionBy("query_id").orderBy("position")) - 1
-    fresh = fresh.withColumn("position", n + taken_n).where(F.col("position") < top_k)
+    fresh, most = limited(fresh.withColumn("position", n + taken_n), top_k)
+    fresh = fresh.where(F.col("position") < most)
     return items.select("query_id", "position", "id", "content", "created_at", "score").unionByName(
         fresh.select("query_id", F.col("position").cast("int").alias("position"), F.concat(F.lit("fact:"), "position").alias("id"), "content", F.lit("").alias("created_at"), F.lit(0.0).alias("score"))
     )

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.functions import helpers as H
 from mnemospark.functions import replies as R
 from mnemospark.functions import text as T
+from mnemospark.operators.rank import apply_rerank
 
 MAX_ROUNDS, PER_ROUND, SUFFICIENT = 4, 20, 0.8
 RECOVERY_REASONS = ("dependency_unresolved", "binding_conflict", "invalid_output", "llm_unavailable", "plan_invalid")
@@ -76,7 +78,14 @@ def cited_evidence(cited: DataFrame) -> DataFrame:
 
 
 def normal_query(query: Column) -> Column:
-    return F.lower(T.collapse(query))
+    """How queries are compared: case-folded, white space collapsed. ASCII stays in the JVM."""
+    plain = T.collapse(query)
+    return F.when(plain.rlike(r"^[\x00-\x7f]*$"), F.lower(plain)).otherwise(H.folded(plain))
+
+
+def fault_of(error: Column) -> Column:
+    """The stop reason of a failed model call: the model was not there, or it failed. Null without an error."""
+    return F.when(error == "unavailable", "llm_unavailable").when(error.isNotNull(), "llm_error")
 
 
 def react_stop(decisions: DataFrame, max_rounds: int = MAX_ROUNDS, sufficient: float = SUFFICIENT) -> DataFrame:
@@ -96,12 +105,14 @@ def react_stop(decisions: DataFrame, max_rounds: int = MAX_ROUNDS, sufficient: f
 def plan_stop(steps: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(query_id, stop_reason) of executed plans.
 
-    steps: (query_id, plan_status, step_no from 0, unbound, valid, status). The first step that cannot be used decides; a
-    plan cut at max_rounds, all steps answered, ends as max_rounds.
+    steps: (query_id, plan_status, step_no from 0, unbound, valid, status, perhaps error). The first step that cannot be used
+    decides, by a failed model call before anything else; a plan cut at max_rounds, all steps answered, ends as max_rounds.
     """
     ran = steps.where(F.coalesce("step_no", F.lit(0)) < max_rounds)
+    failed = fault_of(F.col("error")) if "error" in steps.columns else F.lit(None).cast("string")
     fault = (
-        F.when(F.col("plan_status") != "valid", "plan_invalid")
+        F.when(failed.isNotNull(), failed)
+        .when(F.col("plan_status") != "valid", "plan_invalid")
         .when(F.size("unbound") > 0, "unbound_placeholder")
         .when(~F.coalesce("valid", F.lit(False)), "invalid_output")
         .when(F.col("status") == "unresolved", "dependency_unresolved")
@@ -154,50 +165,141 @@ def completed_history(steps: DataFrame) -> DataFrame:
     return steps.groupBy("query_id").agg(F.coalesce(F.nullif(F.array_join(F.transform(rows, lambda x: x["block"]), "\n\n"), F.lit("")), F.lit("(none yet)")).alias("history"))
 
 
+Save = Callable[[DataFrame, str], DataFrame]
+Search = Callable[[DataFrame], DataFrame]
+
+
+def _with_error(replies: DataFrame) -> DataFrame:
+    """Replies with their `error`; a reply that is not there means that there was no model."""
+    error = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    return replies.withColumn("error", F.when(error.isNotNull(), error).when(F.col("reply").isNull(), "unavailable"))
+
+
+def _round_hits(ready: DataFrame, search: Search, rerank, per_round: int, save: Save, n: int) -> DataFrame:
+    """(query_id, round, memory_id, position): the best of a round's results, reranked by the round's query where there is a scorer."""
+    asked = ready.select("query_id", "user_id", F.col("executed_query").alias("query"))
+    hits = search(asked).select("query_id", "memory_id", "rank")
+    if rerank is not None:
+        hits = save(hits, f"found-{n}")
+        hits = apply_rerank(hits, rerank(hits, asked))
+    return save(hits.where(F.col("rank") < per_round).select("query_id", F.lit(n).alias("round"), "memory_id", F.col("rank").cast("int").alias("position")), f"hits-{n}")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def multi_hop_search(
     queries: DataFrame,
-    search: Callable[[DataFrame], DataFrame],
+    search: Search,
     plan_replies: DataFrame,
     answer: Callable[[DataFrame], DataFrame],
     bodies: DataFrame,
-    save: Callable[[DataFrame, str], DataFrame],
+    save: Save,
     top_k: int = PER_ROUND,
     max_rounds: int = MAX_ROUNDS,
     per_round: int = PER_ROUND,
+    rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(candidates, stops): all planned queries advance one step a round together; failed plans fall back to plain search.
 
-    queries: (query_id, user_id, query); search: such rows to (query_id, memory_id, rank); plan_replies: (query_id, reply);
-    answer: (query_id, round, executed_query, documents, ids) to the same with `reply`; bodies: (memory_id, day, body);
-    save: writes a table once and reads it back, which cuts the lineage of each round.
+    queries: (query_id, user_id, query); search: such rows to (query_id, memory_id, rank); plan_replies: (query_id, reply,
+    perhaps error), a query without one has no model; answer: (query_id, round, executed_query, documents, ids) to the same
+    with `reply` and perhaps `error`; bodies: (memory_id, day, body); save: writes a table once and reads it back, which cuts
+    the lineage of each round; rerank: (candidates, queries) to scores as apply_rerank() takes them, used in each round by its query.
+    stops: (query_id, stop_reason, recovery, rerank_query): the queries that ran, joined, for a last rerank of the pool (the
+    original where it was filled by recovery).
     """
-    steps = save(parse_plans(plan_replies, max_rounds), "plans")
+    asked_plans = queries.select("query_id").join(plan_replies, "query_id", "left")
+    failures = _with_error(asked_plans).select("query_id", "error")
+    steps = save(parse_plans(asked_plans.select("query_id", "reply"), max_rounds).join(failures, "query_id"), "plans")
     answers = steps.select("query_id").distinct().withColumn("answers", F.create_map().cast("map<string,string>"))
-    active, pool, records = steps.where("plan_status = 'valid'").select("query_id").distinct(), None, []
+    active = steps.where("plan_status = 'valid' and error is null").select("query_id").distinct()
+    pool, records, executed = [], [], []
     for n in range(max_rounds):
-        now = steps.where(F.col("step_no") == n).join(active, "query_id", "left_semi").join(answers, "query_id")
-        now = bind_placeholders(now)
-        ready = now.where(F.size("unbound") == 0).join(queries.select("query_id", "user_id"), "query_id")
-        hits = save(search(ready.select("query_id", "user_id", F.col("executed_query").alias("query"))).where(F.col("rank") < per_round), f"hits-{n}")
-        got = hits.select("query_id", F.lit(n).alias("round"), "memory_id", F.col("rank").alias("position"))
-        pool = got if pool is None else pool.unionByName(got)
+        now = bind_placeholders(steps.where(F.col("step_no") == n).drop("error").join(active, "query_id", "left_semi").join(answers, "query_id"))
+        ready = save(now.where(F.size("unbound") == 0).join(queries.select("query_id", "user_id"), "query_id"), f"ready-{n}")
+        got = _round_hits(ready, search, rerank, per_round, save, n)
+        pool.append(got)
+        executed.append(ready.select("query_id", F.lit(n).alias("round"), F.col("executed_query").alias("query")))
         shown = render_documents(got.join(bodies, "memory_id"))
-        asked = ready.select("query_id", "id", "executed_query").join(shown, "query_id", "left")
-        judged = parse_step_answers(answer(asked.withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))))
-        record = now.select("query_id", "plan_status", "step_no", "unbound").join(judged.select("query_id", "valid", "status", "answer", "id"), "query_id", "left")
+        asked = ready.select("query_id", "id", "executed_query").join(shown, "query_id", "left").withColumn("round", F.lit(n))
+        replied = _with_error(answer(asked.withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))))
+        judged = parse_step_answers(replied)
+        record = now.select("query_id", "plan_status", "step_no", "unbound").join(judged.select("query_id", "valid", "status", "answer", "id", "error"), "query_id", "left")
         record = save(record, f"round-{n}")
         records.append(record)
-        done = record.where("valid and status = 'answered'")
+        done = record.where("valid and status = 'answered' and error is null")
         new = done.select("query_id", F.create_map("id", "answer").alias("new"))
         answers = save(answers.join(new, "query_id", "left").select("query_id", F.map_concat("answers", F.coalesce("new", F.create_map().cast("map<string,string>"))).alias("answers")), f"answers-{n}")
         active = done.select("query_id")
         if active.isEmpty():
             break
-    ran = records[0]
-    for r in records[1:]:
-        ran = ran.unionByName(r)
-    broken = steps.where("plan_status <> 'valid'").select("query_id", "plan_status", "step_no", F.array().cast("array<string>").alias("unbound"), F.lit(None).cast("boolean").alias("valid"), F.lit(None).cast("string").alias("status"))
-    stops = save(plan_stop(ran.select(*broken.columns).unionByName(broken), max_rounds), "stops")
-    merged = save(round_pool(pool, per_round), "pool")
+    no_text, columns = F.lit(None).cast("string"), ["query_id", "plan_status", "step_no", "unbound", "valid", "status", "error"]
+    broken = steps.where("plan_status <> 'valid' or error is not null").groupBy("query_id").agg(F.first("plan_status").alias("plan_status"), F.first("error").alias("error"))
+    broken = broken.withColumns({"step_no": F.lit(0), "unbound": F.array().cast("array<string>"), "valid": F.lit(None).cast("boolean"), "status": no_text})
+    ran = _union(records).select(*columns)
+    stops = save(plan_stop(ran.unionByName(broken.select(*columns)), max_rounds), "stops")
+    merged = save(round_pool(_union(pool), per_round), "pool")
     filled, statuses = recovery_fill(merged, stops, search(queries.select("query_id", "user_id", "query")), top_k)
-    return filled.where(F.col("rank") < top_k), statuses
+    joint = joint_queries(_union(executed)).withColumnRenamed("query", "joint")
+    statuses = statuses.join(joint, "query_id", "left").join(queries.select("query_id", "query"), "query_id")
+    own = F.col("recovery") == "success"
+    return filled.where(F.col("rank") < top_k), statuses.select("query_id", "stop_reason", "recovery", F.when(own, F.col("query")).otherwise(F.coalesce("joint", "query")).alias("rerank_query"))
+
+
+def react_search(
+    queries: DataFrame,
+    search: Search,
+    decide: Callable[[DataFrame], DataFrame],
+    bodies: DataFrame,
+    save: Save,
+    max_rounds: int = MAX_ROUNDS,
+    per_round: int = PER_ROUND,
+    sufficient: float = SUFFICIENT,
+    rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(candidates, stops): search, show the documents, and search again by the query that the model asks for.
+
+    All queries that go on advance one round together. decide: (query_id, round, query, executed_query, used_queries, documents,
+    ids) to the same with `reply` and perhaps `error`; documents are the round's new ones, then those picked before. The other
+    arguments are those of multi_hop_search(). stops: (query_id, stop_reason, rounds, rerank_query, evidence): the last round's
+    reason, all executed queries joined, the picked memories in the order they were first picked.
+    """
+    state = queries.select("query_id", "user_id", "query", F.col("query").alias("executed_query"), F.array().cast("array<string>").alias("used"), F.array().cast("array<string>").alias("asked_before"))
+    pool, executed, picks, records = [], [], [], []
+    for n in range(max_rounds):
+        now = state.withColumns({"used": F.array_append("used", normal_query(F.col("executed_query"))), "asked_before": F.array_append("asked_before", F.col("executed_query"))})
+        now = save(now, f"asked-{n}")
+        got = _round_hits(now, search, rerank, per_round, save, n)
+        pool.append(got)
+        executed.append(now.select("query_id", F.lit(n).alias("round"), F.col("executed_query").alias("query")))
+        rows = got.select("query_id", "round", "memory_id", "position", F.lit(0).alias("selected_before"))
+        if picks:
+            first = _union(picks).groupBy("query_id", "memory_id").agg(F.min(F.struct("round", "position")).alias("at"))
+            place = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "memory_id")) - 1
+            kept = first.select("query_id", F.lit(n).alias("round"), "memory_id", place.cast("int").alias("position"), F.lit(1).alias("selected_before"))
+            kept = kept.join(now.select("query_id"), "query_id", "left_semi").join(got.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+            rows = rows.unionByName(kept)
+        shown = render_documents(rows.join(bodies, "memory_id"), ("selected_before", "position")).drop("round")
+        none = F.array().cast("array<string>")
+        asked = now.select("query_id", F.lit(n).alias("round"), "query", "executed_query", F.col("asked_before").alias("used_queries"), "used").join(shown, "query_id", "left")
+        asked = asked.withColumns({"documents": F.coalesce("documents", none), "ids": F.coalesce("ids", none)})
+        replied = _with_error(decide(asked)).withColumn("n_documents", F.size("ids"))
+        judged = react_stop(parse_react_decisions(replied).withColumn("round", F.col("round") + 1), max_rounds, sufficient)
+        reason = F.coalesce(fault_of(F.col("error")), F.when(~F.coalesce("valid", F.lit(False)), "invalid_output"), F.col("stop_reason"))
+        record = save(judged.select("query_id", (F.col("round") - 1).alias("round"), "ids", "evidence_indices", T.strip(F.col("new_query")).alias("new_query"), reason.alias("stop_reason")), f"round-{n}")
+        records.append(record)
+        places = record.where("evidence_indices is not null").select("query_id", "round", "ids", F.posexplode("evidence_indices").alias("position", "i"))
+        picks.append(places.select("query_id", "round", "position", F.get("ids", F.col("i")).alias("memory_id")))
+        on = record.where("stop_reason is null").select("query_id", "new_query")
+        state = now.join(on, "query_id").withColumn("executed_query", F.col("new_query")).drop("new_query")
+        if on.isEmpty():
+            break
+    last = _union([r.select("query_id", "round", "stop_reason") for r in records]).where("stop_reason is not null")
+    stops = queries.select("query_id").join(last, "query_id", "left").join(joint_queries(_union(executed)), "query_id", "left").join(cited_evidence(_union(picks)), "query_id", "left")
+    stops = stops.select("query_id", "stop_reason", (F.col("round") + 1).alias("rounds"), F.col("query").alias("rerank_query"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
+    return save(round_pool(_union(pool), per_round), "pool"), save(stops, "stops")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +34,38 @@ def apply_rerank(candidates: DataFrame, scores: DataFrame | None) -> DataFrame:
     return joined.select("query_id", "memory_id", (F.row_number().over(order) - 1).alias("rank"), F.when(F.col("ok"), "called").otherwise("degraded").alias("status"))
 
 
-def expand_neighbors(ranked: DataFrame, blocks: DataFrame, seed_limit: int = 1000, radius: int = 2) -> DataFrame:
+def score_pairs(candidates: DataFrame, queries: DataFrame, texts: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], batch_size: int = 64) -> DataFrame:
+    """(query_id, idx, score) of candidates (query_id, memory_id, rank) by a model on Arrow batches.
+
+    queries: (query_id, query); texts: (memory_id, text). scorer gets lists of queries and texts; a candidate without a text
+    gets no score, so that apply_rerank() leaves its query as it was.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), batch_size):
+                part = frame.iloc[i : i + batch_size]
+                scores = scorer(part["query"].tolist(), part["text"].tolist())
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "idx": part["idx"].to_numpy(), "score": np.asarray(scores, np.float64)})
+
+    pairs = candidates.join(queries.select("query_id", "query"), "query_id").join(texts.select("memory_id", "text"), "memory_id")
+    return pairs.select("query_id", F.col("rank").cast("int").alias("idx"), "query", "text").mapInPandas(run, "query_id string, idx int, score double")
+
+
+def expand_neighbors(ranked: DataFrame, blocks: DataFrame, seed_limit: int = 1000, radius: int = 2, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Selected memories (query_id, memory_id, rank, hop, missing): the candidates and their neighbours along prev/next links.
 
     Walks start from candidates ranked before seed_limit, in `radius` rounds of two joins on the id; memories that are
     already selected are neither added again nor walked through. Neighbours have no rank; ids without a block are missing.
+    `save` writes a table once and reads it back; without it each round makes the ones before it anew.
     """
+    save = save or (lambda df, name: df)
     links = blocks.select(F.col("id").alias("memory_id"), F.array_compact(F.array("prev_memory_id", "next_memory_id")).alias("near"))
-    selected = ranked.select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"), F.lit(0).alias("hop"))
+    selected = save(ranked.select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"), F.lit(0).alias("hop")), "selected")
     frontier = selected.where(F.col("rank") < seed_limit).select("query_id", "memory_id")
     for hop in range(1, radius + 1):
         met = frontier.join(links, "memory_id").select("query_id", F.explode("near").alias("memory_id")).distinct()
-        frontier = met.join(selected.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+        frontier = save(met.join(selected.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti"), f"frontier-{hop}")
         selected = selected.unionByName(frontier.select("query_id", "memory_id", F.lit(None).cast("long").alias("rank"), F.lit(hop).alias("hop")))
     known = blocks.select(F.col("id").alias("memory_id"), F.lit(False).alias("_known"))
     return selected.join(known, "memory_id", "left").select("query_id", "memory_id", "rank", "hop", F.coalesce("_known", F.lit(True)).alias("missing"))
@@ -87,22 +111,31 @@ def merge_segments(selected: DataFrame, blocks: DataFrame, placement: str = "kee
     return out.withColumn("token_count", T.token_count(F.col("content")) if count is None else count)
 
 
-def package(segments: DataFrame, top_k: int, max_tokens: int = MAX_TOKENS, separator_tokens: int = 0) -> DataFrame:
+def limited(rows: DataFrame, top_k: int | DataFrame) -> tuple[DataFrame, Column]:
+    """Rows with the limit of their query: one number, or a table (query_id, top_k)."""
+    if isinstance(top_k, int):
+        return rows, F.lit(top_k)
+    return rows.join(top_k.select("query_id", F.col("top_k").alias("_top_k")), "query_id"), F.col("_top_k")
+
+
+def package(segments: DataFrame, top_k: int | DataFrame, max_tokens: int = MAX_TOKENS, separator_tokens: int = 0) -> DataFrame:
     """Response items: of the first top_k segments of each query the longest prefix that fits the token budget."""
     order = Window.partitionBy("query_id").orderBy("best_rank", "anchor_memory_id")
-    rows = segments.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < top_k)
+    rows, most = limited(segments, top_k)
+    rows = rows.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < most)
     used = F.sum(F.col("token_count") + F.when(F.col("position") > 0, separator_tokens).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("used", used).where(F.col("used") <= max_tokens)
     return rows.select("query_id", "position", F.col("anchor_memory_id").alias("id"), "content", T.event_day(F.col("anchor_event_time")).alias("created_at"), (1 / (F.col("position") + 1.0)).alias("score"), "token_count")
 
 
-def package_summary(segments: DataFrame, items: DataFrame, top_k: int, separator_tokens: int = 0) -> DataFrame:
+def package_summary(segments: DataFrame, items: DataFrame, top_k: int | DataFrame, separator_tokens: int = 0) -> DataFrame:
     """Per query: considered segments, both truncation flags and output tokens."""
     all_ = segments.groupBy("query_id").agg(F.count("*").alias("considered_segments"))
     got = items.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("t"))
     n = F.coalesce("n", F.lit(0))
+    all_, most = limited(all_, top_k)
     return all_.join(got, "query_id", "left").select(
-        "query_id", "considered_segments", (F.col("considered_segments") > top_k).alias("truncated_by_top_k"),
-        (n < F.least("considered_segments", F.lit(top_k))).alias("truncated_by_budget"),
+        "query_id", "considered_segments", (F.col("considered_segments") > most).alias("truncated_by_top_k"),
+        (n < F.least("considered_segments", most)).alias("truncated_by_budget"),
         (F.coalesce("t", F.lit(0)) + separator_tokens * F.greatest(n - 1, F.lit(0))).alias("output_tokens"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,104 +15,145 @@ K1, B = 1.2, 0.75
 ARM_LIMIT = 200
 RRF_K = 61
 DIGITS = 6
-#: Query vectors sent to all executors at once, in bytes; more are handled in blocks.
-QUERY_BLOCK_BYTES = 64 << 20
+#: Bytes of index vectors in one block, and query vectors that meet it at once.
+BLOCK_BYTES, QUERY_CHUNK = 4 << 20, 256
+#: Queries of one user whose best results a task holds before it passes them on.
+HELD_QUERIES = 4096
 
 
-def rank_within(keys: list[str], score: str, tie: str, name: str = "rank") -> Column:
-    """0-based rank by score, highest first; equal scores by the tie column."""
-    return (F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(tie))) - 1).alias(name)
+def best_of(rows: DataFrame, keys: list[str], k: int, score: str = "score", tie: str = "memory_id") -> DataFrame:
+    """The k best rows of each group with their 0-based `rank`. The filter is on the row number itself, so that Spark cuts
+    each partition to k rows a group before the shuffle."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(tie)))
+    return rows.withColumn("rank", n).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 # ---------------------------------------------------------------- lexical
 
+Save = Callable[[DataFrame, str], DataFrame]
+
 
 class Bm25Index:
-    """Postings with what scoring needs: (user_id, term, memory_id, tf, length), document frequencies and mean length."""
+    """Postings (user_id, memory_id, term, tf, length, first) and the totals of their scope.
+
+    `first` marks one posting of each memory, so that memories are counted without a distinct.
+    """
+
+    def __init__(self, postings: DataFrame, totals: DataFrame, scope: list[str]):
+        self.postings, self.totals, self.scope = postings, totals, scope
 
-    def __init__(self, postings: DataFrame, frequencies: DataFrame, totals: DataFrame, scope: list[str]):
-        self.postings, self.frequencies, self.totals, self.scope = postings, frequencies, totals, scope
 
+def bm25_index(docs: DataFrame, idf_scope: str = "corpus", stop_words: list[str] | None = None, stem=None, save: Save | None = None) -> Bm25Index:
+    """docs: (memory_id, user_id, text), one row a memory. Frequencies are taken over the corpus, or per user with idf_scope='user'.
 
-def bm25_index(docs: DataFrame, idf_scope: str = "corpus", stop_words: list[str] | None = None, stem=None) -> Bm25Index:
-    """docs: (memory_id, user_id, text). Frequencies are taken over the corpus, or per user with idf_scope='user'."""
-    words = F.explode(T.terms(F.col("text"))).alias("term")
-    rows = docs.select("memory_id", "user_id", words)
+    Terms are counted inside each row, so postings need no shuffle. `save` writes a table once and reads it back; without it
+    postings are made anew for each use.
+    """
+    found = T.terms(F.col("text"))
     if stop_words:
-        rows = rows.where(~F.col("term").isin(stop_words))
+        found = F.filter(found, lambda t: ~t.isin(stop_words))
     if stem is not None:
-        rows = rows.withColumn("term", stem(F.col("term")))
-    postings = rows.groupBy("user_id", "memory_id", "term").agg(F.count("*").alias("tf"))
-    postings = postings.withColumn("length", F.sum("tf").over(Window.partitionBy("user_id", "memory_id")))
+        found = F.transform(found, stem)
+    rows = docs.select("memory_id", "user_id", F.sort_array(found).alias("s")).where(F.size("s") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    rows = rows.select("memory_id", "user_id", "s", F.size("s").cast("long").alias("length"), starts.alias("p"))
+    counted = F.transform("p", lambda at, i: F.struct(F.get("s", at).alias("term"), (F.coalesce(F.get("p", i + 1), F.size("s")) - at).cast("long").alias("tf"), (i == 0).alias("first")))
+    postings = rows.select("user_id", "memory_id", "length", F.inline(counted))
+    if save is not None:
+        postings = save(postings, "postings")
     scope = ["user_id"] if idf_scope == "user" else []
-    lengths = postings.groupBy("user_id", "memory_id").agg(F.first("length").alias("length"))
-    totals = lengths.groupBy(*scope).agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    frequencies = postings.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    return Bm25Index(postings, frequencies, totals, scope)
+    totals = postings.groupBy(*scope).agg(F.count_if("first").alias("n_docs"), (F.sum("tf") / F.count_if("first")).alias("mean_length"))
+    return Bm25Index(postings, totals, scope)
 
 
 def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = ARM_LIMIT) -> DataFrame:
-    """queries: (query_id, user_id, query) -> (query_id, user_id, memory_id, score, rank): documents with a common term."""
+    """queries: (query_id, user_id, query) -> (query_id, user_id, memory_id, score, rank): documents with a common term.
+
+    Document frequencies are counted for the terms asked for only. The asked (user, term) rows, few, meet the postings; where
+    they are too many to be broadcast, both sides are shuffled and a frequent term's postings are split among tasks.
+    """
     asked = queries.select("query_id", "user_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
-    # the terms asked for, few, are joined to their statistics first; postings meet them on (user, term)
-    asked = asked.join(index.frequencies, [*index.scope, "term"])
+    names = asked.select(*index.scope, "term").distinct()
+    frequencies = index.postings.join(names, [*index.scope, "term"], "left_semi").groupBy(*index.scope, "term").agg(F.count("*").alias("df"))
+    asked = asked.join(frequencies, [*index.scope, "term"])
     asked = asked.join(index.totals, index.scope) if index.scope else asked.crossJoin(F.broadcast(index.totals))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    asked = asked.select("query_id", "user_id", "term", idf.alias("idf"), "mean_length")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     scored = asked.join(index.postings, ["user_id", "term"]).groupBy("query_id", "user_id", "memory_id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
-    return scored.select("*", rank_within(["query_id"], "score", "memory_id")).where(F.col("rank") < k)
+    return best_of(scored, ["query_id"], k)
 
 
 # ---------------------------------------------------------------- dense
 
 
+def _blocked(rows: DataFrame, key: str, per_block) -> DataFrame:
+    """Rows (key, user_id, dim, dense) of each user and dimension in blocks of about `per_block` rows: (user_id, dim, block, ids, vectors)."""
+    sizes = rows.groupBy("user_id", "dim").agg(F.count("*").alias("n")).select("user_id", "dim", F.ceil(F.col("n") / per_block).cast("int").alias("blocks"))
+    placed = rows.join(sizes, ["user_id", "dim"]).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
+    return placed.groupBy("user_id", "dim", "block").agg(F.collect_list(F.struct(F.col(key).alias("id"), "dense")).alias("rows"))
+
+
 def dense_topk(queries: DataFrame, index: DataFrame, k: int = ARM_LIMIT) -> DataFrame:
     """queries: (query_id, user_id, dense); index: (memory_id, user_id, dense) -> like bm25_topk, scores are cosines.
 
-    Query vectors go to the executors in blocks of bounded size; each Arrow batch of the index is multiplied with the
-    vectors of its users' queries and keeps its best k a query, so no table of pairs is made.
+    The vectors of users that are asked for are gathered in blocks of bounded size, the users' queries in chunks; a chunk and a block are
+    multiplied at once and leave the best k a query, so no table of pairs is made, nothing passes the driver, and a user of
+    any size is spread over tasks. Only vectors of equal dimension are compared; null and empty vectors and those with nulls
+    or values that are not finite are left out, a zero vector scores 0.
     """
-    first = queries.select("dense").head()
-    if first is None:
-        return index.sparkSession.createDataFrame([], "query_id string, user_id string, memory_id string, score double, rank int")
-    per_block = max(1, QUERY_BLOCK_BYTES // (8 * max(1, len(first["dense"]))))
-    blocks = max(1, -(-queries.count() // per_block))
-    parts = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    found = None
-    for part in parts:
-        scored = _best_of_batches(part, index, k)
-        found = scored if found is None else found.unionByName(scored)
-    return found.select("*", rank_within(["query_id"], "score", "memory_id")).where(F.col("rank") < k)
-
-
-def _unit(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
-
-
-def _best_of_batches(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    by_user: dict = {}
-    for r in queries.select("query_id", "user_id", "dense").collect():  # one block, of bounded size
-        by_user.setdefault(r.user_id, []).append((r.query_id, r.dense))
-    packed = {u: ([q for q, _ in rows], _unit([v for _, v in rows])) for u, rows in by_user.items()}
-    sent = index.sparkSession.sparkContext.broadcast(packed)
+    finite = ~F.exists("dense", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    clean = lambda df, key: df.where((F.size("dense") > 0) & finite).select(key, "user_id", F.size("dense").alias("dim"), F.col("dense").cast("array<double>").alias("dense"))
+    asked = clean(queries, "query_id")
+    mine = clean(index, "memory_id").join(asked.select("user_id", "dim").distinct(), ["user_id", "dim"], "left_semi")
+    left = _blocked(asked, "query_id", F.lit(QUERY_CHUNK)).select("user_id", "dim", F.col("rows").alias("q"))
+    right = _blocked(mine, "memory_id", F.greatest(F.lit(64), F.lit(BLOCK_BYTES) / (8 * F.col("dim")))).select("user_id", "dim", F.col("rows").alias("m"))
+    both = left.join(right, ["user_id", "dim"]).select("user_id", "q", "m")
+    found = both.mapInArrow(_best_of_blocks(k), "query_id string, user_id string, memory_id string, score double")
+    return best_of(found, ["query_id"], k)
+
+
+def _best_of_blocks(k: int):
     schema = pa.schema([("query_id", pa.string()), ("user_id", pa.string()), ("memory_id", pa.string()), ("score", pa.float64())])
 
+    def columns(rows: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
+        ids, vectors = rows.values.field(0), rows.values.field(1).flatten().to_numpy()
+        x = vectors.reshape(len(ids), -1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.array(ids.to_pylist(), object).astype(str), x / np.where(norm > 0, norm, 1)
+
+    def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best, equal scores by id."""
+        if len(scores) > k:
+            some = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            ids, scores = ids[some], scores[some]
+        order = np.lexsort((ids, -scores))[:k]
+        return ids[order], scores[order]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            users, ids = np.array(batch.column(1).to_pylist(), object), np.array(batch.column(0).to_pylist(), object)
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.reshape(batch.num_rows, -1) if batch.num_rows else flat
-            for user in {*users.tolist()} & sent.value.keys():
-                names, matrix = sent.value[user]
-                mine = np.flatnonzero(users == user)
-                scores = np.round(matrix @ _unit(vectors[mine]).T, DIGITS)
-                for q, row in zip(names, scores, strict=True):
-                    best = np.lexsort((ids[mine].astype(str), -row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(best), pa.string()), pa.array([user] * len(best), pa.string()), pa.array(ids[mine][best], pa.string()), pa.array(row[best])], schema=schema)
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        of = None
+
+        def passed():
+            for query, (ids, scores) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([query] * len(ids), pa.string()), pa.array([of] * len(ids), pa.string()), pa.array(ids.tolist(), pa.string()), pa.array(scores)], schema=schema)
+            held.clear()
 
-    return index.select("memory_id", "user_id", "dense").mapInArrow(run, "query_id string, user_id string, memory_id string, score double")
+        for batch in batches:
+            for user, q, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if user != of or len(held) > HELD_QUERIES:
+                    yield from passed()
+                    of = user
+                (names, x), (ids, y) = columns(q), columns(m)
+                for name, scores in zip(names.tolist(), np.round(x @ y.T, DIGITS), strict=True):
+                    if name in held:
+                        before = held[name]
+                        held[name] = best(np.concatenate([before[0], ids]), np.concatenate([before[1], scores]))
+                    else:
+                        held[name] = best(ids, scores)
+        yield from passed()
+
+    return run
 
 
 # ---------------------------------------------------------------- fusion
@@ -135,8 +176,7 @@ def rrf_fuse(arms: list[DataFrame], k: int = RRF_K, weights: tuple[float, ...] =
         parts = part if parts is None else parts.unionByName(part)
     # decimals, so that the order of adding does not matter
     fused = parts.groupBy("query_id", "memory_id").agg(F.round(F.sum(F.col("part").cast("decimal(20,12)")), 10).cast("double").alias("score"))
-    ranked = fused.select("*", rank_within(["query_id"], "score", "memory_id"))
-    return ranked.where(F.col("rank") < min(2 * prefetch, top_k or 2 * prefetch))
+    return best_of(fused, ["query_id"], min(2 * prefetch, top_k or 2 * prefetch))
 
 
 def arm_rankings(lexical: DataFrame, dense: DataFrame, n: int = ARM_LIMIT) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import dates
 from mnemospark.functions import helpers as H
 from mnemospark.functions import text as T
-from mnemospark.operators import embed, facts, ingest, metrics, multihop, rank, retrieval, tables
+from mnemospark.operators import embed, facts, ingest, metrics, multihop, rank, retrieval, search, tables
 from mnemospark.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,9 +142,9 @@ def q04_rekey_blocks(spark, sf_dir):
     return ingest.rekey_blocks(legacy).select("id", "old_id", "local_index", "prev_memory_id", "next_memory_id")
 
 
-@_query(f"WITH {_B} SELECT id, request_id, local_index FROM b WHERE user_id = 'u3'")
+@_query(f"WITH {_B} SELECT id, request_id, local_index FROM b")
 def q05_read_blocks(spark, sf_dir):
-    return tables.read_blocks(V.blocks(spark, sf_dir), "u3").select("id", "request_id", "local_index")
+    return tables.read_blocks(V.blocks(spark, sf_dir)).select("id", "request_id", "local_index")
 
 
 @_query(f"""WITH {_B}, l AS (SELECT user_id, list_append(list(id ORDER BY id DESC), 'unknown') AS ids FROM b WHERE local_index = 0 GROUP BY user_id)
@@ -252,10 +252,16 @@ def q20_relative_dates(spark, sf_dir):
     return s.select("event_id", dates.annotate_relative_dates(F.col("text"), F.col("day")).alias("text"))
 
 
-@_query()
+_SALES = "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INT) AS STRING) AS q, CAST(floor(l_extendedprice) AS BIGINT) % 90000 + 1 AS cents FROM {lineitem}"
+_NOTED = "CAST(cents * CAST(q AS BIGINT) // 100 AS VARCHAR) || '.' || lpad(CAST(cents * CAST(q AS BIGINT) % 100 AS VARCHAR), 2, '0')"
+
+
+@_query(f"""WITH s AS (SELECT *, CAST(cents // 100 AS VARCHAR) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS p FROM ({_SALES.format(**_NAMES)}))
+SELECT l_orderkey, l_linenumber, '{{"record_kind":"reported sale","user_quotation":"I sold ' || q || ' boxes for $' || p || ' each (calculated sale total: ' || q || ' × $' || p || ' = $' || regexp_replace({_NOTED}, '[.]?0+$', '') || ') today","quantity":"' || q || '","unit_price":"' || p || '","currency_symbol":"$"}}' AS content FROM s""")
 def q21_unit_totals(spark, sf_dir):
-    """Sales of lineitem as JSON records with their exact totals noted (one product cannot be told from SQL's rounding)."""
-    sale = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").cast("string").alias("q"), F.format_string("%.2f", F.col("l_extendedprice") / 1000).alias("p"))
+    """Sales of lineitem as JSON records with their exact totals noted."""
+    cents = F.col("cents")
+    sale = V.view(spark, sf_dir, _SALES).withColumn("p", F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")))
     quote = F.concat(F.lit("I sold "), "q", F.lit(" boxes for $"), "p", F.lit(" each today"))
     record = F.to_json(F.struct(F.lit("reported sale").alias("record_kind"), quote.alias("user_quotation"), F.col("q").alias("quantity"), F.col("p").alias("unit_price"), F.lit("$").alias("currency_symbol")))
     return sale.select("l_orderkey", "l_linenumber", H.annotate_unit_totals(record).alias("content"))
@@ -266,7 +272,11 @@ def q22_token_count(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
 
 
-@_query()
+_PIECES = f"regexp_extract_all(text, '{_SPACE}+|[{_WORD}]+|[^{_WORD}{_SPACE[1:-1]}]')"
+
+
+@_query(f"""SELECT doc_id, CASE WHEN len(p) > 400 THEN array_to_string(p[1:189], '') || chr(10) || '...' || chr(10) || array_to_string(p[len(p) - 189 :], '') ELSE text END AS middle,
+  array_to_string(p[1:100], '') AS head FROM (SELECT doc_id, text, {_PIECES} AS p FROM documents)""")
 def q23_truncate(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents")
     return d.select("doc_id", H.truncate_middle(F.col("text"), 400).alias("middle"), H.truncate_head(F.col("text"), 100).alias("head"))
@@ -355,7 +365,7 @@ fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, m
 
 
 def _lexical(spark, sf_dir):
-    return retrieval.bm25_topk(V.view(spark, sf_dir, V.QUERIES), retrieval.bm25_index(V.view(spark, sf_dir, V.MEMORIES)))
+    return retrieval.bm25_topk(V.view(spark, sf_dir, V.QUERIES), retrieval.bm25_index(V.view(spark, sf_dir, V.MEMORIES), save=_stored))
 
 
 def _dense(spark, sf_dir):
@@ -393,7 +403,7 @@ def q33_arm_rankings(spark, sf_dir):
 
 @_query(f"WITH {_BM25}, {_DENSE}, {_RRF} SELECT fu.query_id, fu.memory_id, fu.score, fu.rank, qv.user_id FROM fu JOIN qv USING (query_id) WHERE rank < qv.top_k")
 def q34_hybrid_search(spark, sf_dir):
-    return retrieval.hybrid_search(V.view(spark, sf_dir, V.QUERY_VECTORS), retrieval.bm25_index(V.view(spark, sf_dir, V.MEMORIES)), V.view(spark, sf_dir, V.VECTORS))
+    return retrieval.hybrid_search(V.view(spark, sf_dir, V.QUERY_VECTORS), retrieval.bm25_index(V.view(spark, sf_dir, V.MEMORIES), save=_stored), V.view(spark, sf_dir, V.VECTORS))
 
 
 @_query(f"WITH {_C}, x AS (SELECT query_id, memory_id, min(rank) AS a_ FROM (SELECT query_id, memory_id, rank * 2 AS rank FROM c UNION ALL SELECT query_id, memory_id, 9 - rank FROM c WHERE rank < 9) GROUP BY ALL) SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY a_, memory_id) - 1 AS rank FROM x")
@@ -427,9 +437,9 @@ def _candidates(spark, sf_dir):
 
 
 @_query(f"""WITH {_C}, s AS ({V.RERANK_SCORES.format(candidates='c')})
-SELECT c.query_id, c.memory_id, CASE WHEN c.query_id IN ('q1', 'q2') THEN c.rank ELSE row_number() OVER (PARTITION BY c.query_id ORDER BY s.score DESC, c.rank) - 1 END AS rank,
-  CASE WHEN c.query_id IN ('q1', 'q2') THEN 'degraded' ELSE 'called' END AS status
-FROM c LEFT JOIN s ON s.query_id = c.query_id AND s.idx = c.rank AND c.query_id NOT IN ('q1', 'q2')""")
+SELECT c.query_id, c.memory_id, CASE WHEN bad THEN c.rank ELSE row_number() OVER (PARTITION BY c.query_id ORDER BY s.score DESC, c.rank) - 1 END AS rank,
+  CASE WHEN bad THEN 'degraded' ELSE 'called' END AS status
+FROM (SELECT *, query_id LIKE '%1-0' OR (query_id LIKE '%2-0' AND count(*) OVER (PARTITION BY query_id) > 1) AS bad FROM c) c LEFT JOIN s ON s.query_id = c.query_id AND s.idx = c.rank AND NOT bad""")
 def q38_apply_rerank(spark, sf_dir):
     _, c = _candidates(spark, sf_dir)
     return rank.apply_rerank(c, V.view(spark, sf_dir, V.RERANK_SCORES, candidates=c))
@@ -446,7 +456,7 @@ sel AS (SELECT * FROM h01 UNION ALL SELECT * FROM h2)"""
 @_query(f"WITH {_C}, {_EXPAND} SELECT query_id, memory_id, rank, hop, FALSE AS missing FROM sel")
 def q39_expand_neighbors(spark, sf_dir):
     blocks, c = _candidates(spark, sf_dir)
-    return rank.expand_neighbors(c, blocks)
+    return rank.expand_neighbors(c, blocks, save=_stored)
 
 
 _SEGMENTS = f"""pl AS (SELECT sel.*, b.* EXCLUDE (id), {_RENDER} AS text FROM sel JOIN b ON b.id = sel.memory_id),
@@ -461,7 +471,7 @@ se AS (SELECT *, CAST({_tokens('content')} AS BIGINT) AS token_count FROM sg)"""
 
 def _segments(spark, sf_dir):
     blocks, c = _candidates(spark, sf_dir)
-    return rank.merge_segments(rank.expand_neighbors(c, blocks), blocks)
+    return rank.merge_segments(_stored(rank.expand_neighbors(c, blocks, save=_stored), "expanded"), blocks)
 
 
 @_query(f"WITH {_C}, {_EXPAND}, {_SEGMENTS} SELECT * FROM se")
@@ -470,19 +480,19 @@ def q40_merge_segments(spark, sf_dir):
 
 
 _PACKED = """pk AS (SELECT query_id, row_number() OVER w - 1 AS position, anchor_memory_id AS id, content, {day} AS created_at, token_count, sum(token_count) OVER w AS used FROM se WINDOW w AS (PARTITION BY query_id ORDER BY best_rank, anchor_memory_id)),
-it AS (SELECT query_id, position, id, content, created_at, 1 / (position + 1.0) AS score, token_count FROM pk WHERE position < 5 AND used <= 600)""".format(day=_DAY.format("anchor_event_time"))
+it AS (SELECT query_id, position, id, content, created_at, 1 / (position + 1.0) AS score, token_count FROM pk WHERE position < 2 AND used <= 300)""".format(day=_DAY.format("anchor_event_time"))
 
 
 @_query(f"WITH {_C}, {_EXPAND}, {_SEGMENTS}, {_PACKED} SELECT query_id, position, id, content, created_at, round(CAST(score AS DOUBLE), 6) AS score, token_count FROM it")
 def q41_package(spark, sf_dir):
-    return rank.package(_segments(spark, sf_dir), 5, 600).withColumn("score", F.round("score", 6))
+    return rank.package(_segments(spark, sf_dir), 2, 300).withColumn("score", F.round("score", 6))
 
 
 @_query(f"""WITH {_C}, {_EXPAND}, {_SEGMENTS}, {_PACKED}, g AS (SELECT query_id, count(*) AS n, sum(token_count) AS t FROM it GROUP BY query_id)
-SELECT query_id, count(*) AS considered_segments, count(*) > 5 AS truncated_by_top_k, coalesce(max(g.n), 0) < least(count(*), 5) AS truncated_by_budget, CAST(coalesce(max(g.t), 0) AS BIGINT) AS output_tokens FROM se LEFT JOIN g USING (query_id) GROUP BY query_id""")
+SELECT query_id, count(*) AS considered_segments, count(*) > 2 AS truncated_by_top_k, coalesce(max(g.n), 0) < least(count(*), 2) AS truncated_by_budget, CAST(coalesce(max(g.t), 0) AS BIGINT) AS output_tokens FROM se LEFT JOIN g USING (query_id) GROUP BY query_id""")
 def q41_package_summary(spark, sf_dir):
-    s = _segments(spark, sf_dir)
-    return rank.package_summary(s, rank.package(s, 5, 600), 5)
+    s = _stored(_segments(spark, sf_dir), "segments")
+    return rank.package_summary(s, rank.package(s, 2, 300), 2)
 
 
 # ---------------------------------------------------------------- facts
@@ -623,7 +633,7 @@ fo AS (SELECT query_id, now.*, row_number() OVER (PARTITION BY query_id ORDER BY
 
 
 def _found(spark, sf_dir):
-    return facts.facts_for_entities(_entity_queries(spark, sf_dir), V.view(spark, sf_dir, V.FACTS), V.view(spark, sf_dir, V.PARENTS))
+    return facts.facts_for_entities(_entity_queries(spark, sf_dir), V.view(spark, sf_dir, V.FACTS), V.view(spark, sf_dir, V.PARENTS), save=_stored)
 
 
 @_query(f"{_F}, {_CURRENT}, {_FOUND} SELECT query_id, id, n FROM fo")
@@ -663,7 +673,7 @@ def q55_fact_snippets(spark, sf_dir):
     return facts.fact_snippets(_found(spark, sf_dir), 6)
 
 
-_ITEMS = "SELECT 'q' || CAST(user_id AS STRING) AS query_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS position, 'e' || CAST(event_id AS STRING) AS id, event_type AS content, '' AS created_at, CAST(0.5 AS DOUBLE) AS score FROM {events} WHERE event_id % 29 = 0"
+_ITEMS = "SELECT 'q' || CAST(user_id AS STRING) AS query_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS position, 'e' || CAST(event_id AS STRING) AS id, event_type AS content, '' AS created_at, CAST(0.5 AS DOUBLE) AS score FROM (SELECT user_id, event_type, min(event_id) AS event_id FROM {events} GROUP BY user_id, event_type)"
 
 
 @_query(f"""{_F}, {_CURRENT}, {_FOUND}, {_SNIPPETS}, im AS (SELECT * FROM ({_ITEMS.format(**_NAMES)}) WHERE position < 4), tk AS (SELECT query_id, count(*) AS t FROM im GROUP BY query_id),
@@ -814,8 +824,7 @@ def q66_multi_hop_search(spark, sf_dir):
     """Planned search over the document memories with literal plans and answers."""
 
     memories = V.view(spark, sf_dir, V.MEMORIES)
-    index = retrieval.bm25_index(memories)
-    index.postings, index.frequencies, index.totals = (_stored(x, "index") for x in (index.postings, index.frequencies, index.totals))
+    index = retrieval.bm25_index(memories, save=_stored)
     queries = V.view(spark, sf_dir, V.QUERIES).select("query_id", "user_id", "query")
     plans = _replies(spark, sf_dir, [c.replace("who is {x}", "who is the").replace("one {x}", "the and of") for c in PLAN_CASES]).select("query_id", "reply")
 
@@ -891,14 +900,50 @@ def q71_metrics_stream(spark, sf_dir):
     return spark.table(name)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations to evidence: blocks, lexical search, neighbours, segments, packaging."""
-    blocks = _stored(V.blocks(spark, sf_dir), "blocks")
-    texts = blocks.select(F.col("id").alias("memory_id"), "user_id", T.render(F.col("question"), F.col("answer")).alias("text"))
-    asked = V.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("query_id"), F.concat(F.lit("u"), F.col("item_id") % 20).alias("user_id"), F.col("text").alias("query"))
-    found = retrieval.bm25_topk(asked, retrieval.bm25_index(texts)).select("query_id", "memory_id", "rank")
-    return rank.package(rank.merge_segments(rank.expand_neighbors(found, blocks), blocks), 10)
+def _toy_scores(queries: list[str], texts: list[str]) -> list[float]:
+    """A deterministic stand-in for a reranker."""
+    return [len(t) * 37 % 101 / 101 for t in texts]
+
+
+_TOY = "[CAST(len({0}) AS DOUBLE), CAST(strlen({0}) AS DOUBLE), CAST(unicode({0}) AS DOUBLE)]"
+_DATED = _SEGMENTS.replace(f"{_RENDER} AS text", f"CASE WHEN {_RENDER} <> '' AND event_time IS NOT NULL THEN '[' || {_DAY.format('event_time')} || '] ' || {_RENDER} ELSE {_RENDER} END AS text")
+_FLAGSHIP = f"""WITH {_B}, q AS ({V.SEARCHES.format(**_NAMES)}), d AS (SELECT id AS memory_id, user_id, {_RENDER} AS text FROM b),
+{_BM25[_BM25.index("t AS (SELECT memory_id"):]},
+qv AS (SELECT *, {_TOY.format('query')} AS dense FROM q), iv AS (SELECT *, {_TOY.format('text')} AS dense FROM d WHERE text <> ''),
+{_DENSE[_DENSE.index("dn AS"):]}, {_RRF},
+c0 AS (SELECT fu.query_id, memory_id, rank FROM fu JOIN q USING (query_id) WHERE rank < top_k),
+c AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(len(text) * 37 % 101 AS DOUBLE) / 101 DESC, rank) - 1 AS rank FROM c0 JOIN d USING (memory_id)),
+{_EXPAND}, {_DATED},
+pk AS (SELECT query_id, row_number() OVER w - 1 AS position, anchor_memory_id AS id, content, {_DAY.format("anchor_event_time")} AS created_at, sum(token_count) OVER w AS used FROM se WINDOW w AS (PARTITION BY query_id ORDER BY best_rank, anchor_memory_id)),
+it AS (SELECT query_id, position, id, content, created_at, 1 / (position + 1.0) AS score FROM pk JOIN q USING (query_id) WHERE position < top_k AND used <= 900),
+f AS ({V.BLOCK_FACTS.format(blocks="b")}), {_CURRENT}, {_OWNERS},
+rm AS (SELECT q.query_id, q.user_id, top_k, count(it.id) AS taken FROM q LEFT JOIN it ON it.query_id = q.query_id GROUP BY ALL),
+fo AS (SELECT query_id, now.user_id, content, row_number() OVER (PARTITION BY query_id ORDER BY event_time IS NULL, event_time, parent_memory_id, now.id) AS n, top_k - taken AS room
+  FROM rm JOIN now ON now.user_id = rm.user_id AND subject_key = 'i' WHERE taken < top_k QUALIFY n <= room),
+sn AS (SELECT query_id, n, CASE WHEN owner IS NULL THEN content ELSE replace(content, 'Statement: my ', 'Statement: ' || owner || chr(39) || 's ') END AS content FROM fo LEFT JOIN ow USING (user_id)),
+s1 AS (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY query_id, lower(content) ORDER BY n) = 1),
+ap AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n) - 1 + taken AS at_position, content, top_k FROM s1 JOIN rm USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM it WHERE it.query_id = s1.query_id AND it.content = s1.content))
+SELECT query_id, position, id, content, created_at, round(CAST(score AS DOUBLE), 6) AS score FROM it
+UNION ALL SELECT query_id, at_position, 'fact:' || at_position, content, '', 0.0 FROM ap WHERE at_position < top_k"""
 
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations to evidence: blocks, both arms, fusion, rerank, neighbours, dated segments, packaging, facts."""
+    blocks = _stored(V.blocks(spark, sf_dir), "blocks")
+    encoded = lambda df, key, text: embed.encode_distinct(df.select(F.col(key).alias("content_hash"), F.col(text).alias("text")), _toy_vectors, 64).select(F.col("content_hash").alias(key), F.col("vec").alias("dense"))
+    texts = blocks.select(F.col("id").alias("memory_id"), "user_id", T.render(F.col("question"), F.col("answer")).alias("text")).where("text <> ''")
+    vectors = _stored(encoded(texts, "memory_id", "text").join(texts.select("memory_id", "user_id"), "memory_id"), "vectors")
+    asked = V.view(spark, sf_dir, V.SEARCHES)
+    asked = asked.join(encoded(asked, "query_id", "query"), "query_id")
+    memory = search.Memory(blocks, retrieval.bm25_index(texts, save=_stored), vectors, V.view(spark, sf_dir, V.BLOCK_FACTS, blocks=blocks))
+    items, _ = search.search(
+        asked, memory, _stored, search.Options(with_day=True, annotate=dates.annotate_relative_dates, max_tokens=900),
+        rerank=lambda candidates, queries: rank.score_pairs(candidates, queries, memory.texts, _toy_scores),
+        entities=asked.select("query_id", F.array(F.lit("User")).alias("entities")),
+    )
+    return items.withColumn("score", F.round("score", 6))
+
+
+ORACLES["flagship_search"] = _FLAGSHIP
 QUERIES["flagship_search"] = flagship
 assert all(re.match(r"q\d\d_|flagship", n) for n in QUERIES)

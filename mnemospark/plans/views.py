@@ -14,8 +14,9 @@ MESSAGES = """
 SELECT 'u' || CAST(conv_id % 20 AS STRING) AS user_id, 's' || CAST(conv_id AS STRING) AS session_id,
   'r' || CAST(conv_id AS STRING) || '-' || CAST(CAST(floor(turn / 4) AS BIGINT) AS STRING) AS request_id,
   CAST(row_number() OVER (PARTITION BY conv_id, floor(turn / 4) ORDER BY turn) - 1 AS INT) AS source_index,
-  role, text AS content, CASE WHEN turn % 5 = 3 THEN NULL ELSE 1700000000000 + conv_id * 86400000 + turn * 60000 END AS timestamp
-FROM {conversations} WHERE NOT (conv_id % 2 = 0 AND turn % 3 = 1)
+  CASE WHEN conv_id % 2 = 0 AND turn % 3 = 1 THEN 'user' ELSE role END AS role, text AS content,
+  CASE WHEN turn % 5 = 3 THEN NULL ELSE 1700000000000 + conv_id * 86400000 + turn * 60000 END AS timestamp
+FROM {conversations}
 """
 MEMORIES = "SELECT 'm' || CAST(doc_id AS STRING) AS memory_id, source AS user_id, text FROM {documents}"
 QUERIES = "SELECT 'q' || CAST(item_id AS STRING) AS query_id, 'src' || CAST(item_id % 20 AS STRING) AS user_id, text AS query, CAST(item_id % 7 AS INT) AS top_k FROM {benchmark}"
@@ -25,14 +26,25 @@ SELECT q.query_id, q.user_id, q.query, q.top_k, e.embedding AS dense
 FROM (SELECT 'q' || CAST(item_id AS STRING) AS query_id, 'src' || CAST(item_id % 20 AS STRING) AS user_id, text AS query, CAST(item_id % 7 AS INT) AS top_k,
   (item_id * 7) % (SELECT count(*) FROM {embeddings}) AS v FROM {benchmark}) q JOIN {embeddings} e ON e.vec_id = q.v
 """
+#: Two queries a session, so that their number grows with the table: one has the even blocks, the other the odd ones.
 CANDIDATES = """
 SELECT query_id, memory_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY memory_id) - 1 AS INT) AS rank
-FROM (SELECT 'q' || CAST(CAST(substr(session_id, 2) AS BIGINT) % 4 AS STRING) AS query_id, id AS memory_id
-  FROM {blocks} WHERE CAST(substr(session_id, 2) AS BIGINT) % 3 = 0 AND local_index % 2 = 0)
+FROM (SELECT 'q' || substr(session_id, 2) || '-' || CAST(local_index % 2 AS STRING) AS query_id, id AS memory_id FROM {blocks})
 """
+#: Queries that end in 1-0 have a repeated index, those in 2-0 lack the score of rank 1.
 RERANK_SCORES = """
-SELECT query_id, CASE WHEN query_id = 'q1' AND rank = 0 THEN 1 ELSE rank END AS idx, CAST(rank * 37 % 101 AS DOUBLE) / 101 AS score
-FROM {candidates} WHERE NOT (query_id = 'q2' AND rank = 1)
+SELECT query_id, CASE WHEN query_id LIKE '%1-0' AND rank = 0 THEN 1 ELSE rank END AS idx, CAST(rank * 37 % 101 AS DOUBLE) / 101 AS score
+FROM {candidates} WHERE NOT (query_id LIKE '%2-0' AND rank = 1)
+"""
+SEARCHES = "SELECT 'q' || CAST(item_id AS STRING) AS query_id, 'u' || CAST(item_id % 20 AS STRING) AS user_id, text AS query, CAST(3 + item_id % 5 AS INT) AS top_k FROM {benchmark}"
+BLOCK_FACTS = """
+SELECT 'f-' || id AS id, id AS parent_memory_id, user_id,
+  CASE WHEN n % 10 = 0 THEN 'Person ' || user_id ELSE 'I' END AS subject, CASE WHEN n % 10 = 0 THEN 'person ' || user_id ELSE 'i' END AS subject_key,
+  CASE WHEN n % 10 = 0 THEN 'name' ELSE 'likes' END AS relation, CASE WHEN n % 10 = 0 THEN 'name' ELSE 'like' END AS relation_key,
+  'thing ' || CAST(n % 5 AS STRING) AS object, 'thing ' || CAST(n % 5 AS STRING) AS object_key, 'I like ' || session_id AS statement,
+  'Memory fact' || chr(10) || 'Statement: my ' || session_id || ' ' || CAST(local_index AS STRING) AS content,
+  event_time, '2024-01-01' AS source_date, local_index = 1 AS supersedes, 'facts-v1' AS version
+FROM (SELECT *, CAST(substr(session_id, 2) AS BIGINT) AS n FROM {blocks})
 """
 FACTS = """
 SELECT 'f' || CAST(event_id AS STRING) AS id, 'b' || CAST(user_id * 10 + event_id % 10 AS STRING) AS parent_memory_id, 'u' || CAST(user_id AS STRING) AS user_id,

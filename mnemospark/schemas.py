@@ -16,6 +16,7 @@ FACT = (
 )
 COVERAGE = "parent_memory_id string, user_id string, version string"
 CACHE = "coordinate string, content_hash string, dim int, vec array<float>, created_at bigint"
+INDEX = "memory_id string, user_id string, session_id string, local_index int, event_time bigint, text string, dense array<float>"
 OBSERVATION_COUNTERS = ("rerank_candidates", "neighbors_added", "missing_rows", "considered_segments", "fact_snippets", "rounds", "truncated_by_top_k", "truncated_by_budget")
 OBSERVATION_CATEGORIES = ("fact_status", "route", "route_status", "reason", "fallback", "multi_hop_status", "stop_reason")
 COMPLETE, PENDING = "complete", "pending"

@@ -2,46 +2,78 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mnemospark import schemas
 from mnemospark.operators import ingest, metrics
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 @dataclass
 class Tables:
-    """Folders of the memory tables; a missing folder is an empty table."""
+    """Folders of the memory tables; a missing folder is an empty table.
+
+    Each table has one folder a batch. A batch counts from the moment its row in `commits`, written last, is there; what a
+    batch that broke off has left is never read.
+    """
 
     root: str
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def plain(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        """A table without batches (facts, coverage, index, cache)."""
+        return self._all(spark, name, schema)
+
+    def _all(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         empty = spark.createDataFrame([], schema)
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if not _exists(spark, self.path(name)):
             return empty
         return spark.read.schema(schema).parquet(self.path(name)).select(*empty.columns)
 
+    def read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        """The rows of committed batches."""
+        rows = self._all(spark, name, schema + ", batch string")
+        done = self._all(spark, "commits", "batch string").distinct()
+        return rows.join(done, "batch", "left_semi").drop("batch")
+
+
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives and dies with the checkpoint: batches of another or a renewed checkpoint never take its folders."""
+    path = f"{checkpoint.rstrip('/')}/ingest-run"
+    if not _exists(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex[:12],)], "run string").coalesce(1).write.json(path)
+    return spark.read.schema("run string").json(path).first()["run"]
 
-def ingest_batch(requests: DataFrame, tables: Tables, batch_id: int, after: Callable[[DataFrame], None] | None = None) -> None:
+
+def ingest_batch(requests: DataFrame, tables: Tables, batch: str, after: Callable[[DataFrame], None] | None = None) -> None:
     """One batch of requests into the tables; applying it again changes nothing.
 
-    Source tables come first and the registry last, each under a folder named by the batch, which a repeated batch
-    overwrites. `after` (facts, index) runs on the new blocks; its failure does not fail the ingest.
+    Source tables come first, the registry after them and the commit last, each under a folder named by the batch. A repeated batch
+    overwrites its own folders and no others; requests of other batches are known from the registry, so a request is never
+    stored twice, whichever stream brings it. `after` (facts, index) runs on the new blocks; its failure does not fail the
+    ingest.
     """
     spark = requests.sparkSession
     valid, rejected = ingest.validate_requests(requests)
-    applied = tables.read(spark, "applied", schemas.APPLIED + ", batch bigint").where(f"batch <> {batch_id}")
+    applied = tables.read(spark, "applied", schemas.APPLIED)
+    if not tables._all(spark, "commits", "batch string").where(F.col("batch") == batch).isEmpty():
+        return  # it was committed before the stream could note that
     resolved = ingest.resolve_batches(ingest.payload_fingerprint(valid), applied)
     # read by all writes below; kept in the shared folder, so a lost executor costs nothing
-    resolved.write.mode("overwrite").parquet(tables.path(f"resolved/batch={batch_id}"))
-    resolved = spark.read.parquet(tables.path(f"resolved/batch={batch_id}"))
+    resolved.write.mode("overwrite").parquet(tables.path(f"resolved/batch={batch}"))
+    resolved = spark.read.parquet(tables.path(f"resolved/batch={batch}"))
     messages = ingest.messages_of(resolved.where("outcome = 'new'"))
     out = {
         "blocks": ingest.compose_blocks(messages),
@@ -51,21 +83,30 @@ def ingest_batch(requests: DataFrame, tables: Tables, batch_id: int, after: Call
         "applied": ingest.record_batches(resolved, 0),
     }
     for name, df in out.items():
-        df.write.mode("overwrite").parquet(tables.path(f"{name}/batch={batch_id}"))
+        df.write.mode("overwrite").parquet(tables.path(f"{name}/batch={batch}"))
+    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(tables.path("commits"))
     if after is not None:
         try:
-            after(spark.read.schema(schemas.BLOCK).parquet(tables.path(f"blocks/batch={batch_id}")))
+            after(spark.read.schema(schemas.BLOCK).parquet(tables.path(f"blocks/batch={batch}")))
         except Exception as error:  # derived data can be rebuilt; the memory must not be lost
-            spark.createDataFrame([(batch_id, repr(error)[:500])], "batch long, error string").write.mode("append").json(tables.path("derived_errors"))
+            spark.createDataFrame([(batch, repr(error)[:500])], "batch string, error string").write.mode("append").json(tables.path("derived_errors"))
 
 
 def ingest_stream(requests: DataFrame, tables: Tables, checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """A stream of requests into the tables, all that is there now. What is known of a request lives in the tables, not in
-    stream state, so replays and conflicts are seen however late they come."""
-    return requests.writeStream.foreachBatch(lambda df, n: ingest_batch(df, tables, n, after)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream state, so replays and conflicts are seen however late they come, under this checkpoint or another.
+
+    One stream at a time writes to a set of tables.
+    """
+    run = run_id(requests.sparkSession, checkpoint)
+    return requests.writeStream.foreachBatch(lambda df, n: ingest_batch(df, tables, f"{run}-{n}", after)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def metrics_stream(observations: DataFrame, counters: list[str], checkpoint: str, name: str, latencies: tuple[str, ...] = metrics.LATENCIES) -> StreamingQuery:
-    """The running snapshot of search_metrics as the in-memory table `name`."""
+def metrics_stream(observations: DataFrame, counters: list[str], checkpoint: str, name: str, latencies: tuple[str, ...] = metrics.LATENCIES, path: str | None = None) -> StreamingQuery:
+    """The running snapshot of search_metrics, as the in-memory table `name` (one row), or as JSON at `path`, where each
+    micro-batch replaces the snapshot."""
     snapshot = metrics.search_metrics(observations, counters, latencies)
-    return snapshot.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = snapshot.writeStream.outputMode("complete").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if path is None:
+        return out.format("memory").start()
+    return out.foreachBatch(lambda df, n: df.write.mode("overwrite").json(path)).start()

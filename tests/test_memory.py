@@ -2,13 +2,15 @@
 
 import json
 import random
+import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark import schemas
 from mnemospark.functions import text as T
-from mnemospark.operators import embed, facts, ingest, metrics, multihop, rank, retrieval, tables
+from mnemospark.operators import add, embed, facts, ingest, metrics, multihop, rank, retrieval, search, tables
 from mnemospark.sources.requests import read_requests
 from mnemospark.streaming.jobs import Tables, ingest_batch, ingest_stream
 
@@ -100,24 +102,69 @@ def test_stream_equals_batch_and_replays_change_nothing(spark, tmp_path):
     df = requests(spark, ("r1", "uaua", 0), ("r2", "suat", 0), ("r1", "uaua", 1), ("r2", "u", 2))
     df.write.json(f"{tmp_path}/in")
     batch, out = Tables(f"{tmp_path}/batch"), Tables(f"{tmp_path}/stream")
-    ingest_batch(df, batch, 0)
+    ingest_batch(df, batch, "0")
     ingest_stream(read_requests(spark, f"{tmp_path}/in", stream=True), out, f"{tmp_path}/cp").awaitTermination()
     before = snapshot(spark, out)
     assert before == snapshot(spark, batch) and len(before["blocks"]) == 4
     df.write.mode("append").json(f"{tmp_path}/in")
     ingest_stream(read_requests(spark, f"{tmp_path}/in", stream=True), out, f"{tmp_path}/cp").awaitTermination()
     assert snapshot(spark, out) == before
-    ingest_batch(df, batch, 0)  # the same batch again, after a failure
+    ingest_batch(df, batch, "0")  # the same batch again, after a failure
     assert snapshot(spark, batch) == before
 
 
+def test_another_checkpoint_takes_nothing_away(spark, tmp_path):
+    """Two streams one after another into the same tables, a renewed checkpoint, and what a broken batch leaves."""
+    out = Tables(f"{tmp_path}/t")
+    for n, rows in enumerate([("r1", "ua", 0), ("r2", "uaua", 0), ("r1", "ua", 0)]):
+        requests(spark, rows).write.json(f"{tmp_path}/in{n}")
+        ingest_stream(read_requests(spark, f"{tmp_path}/in{n}", stream=True), out, f"{tmp_path}/cp{n}").awaitTermination()
+    assert {r.request_id for r in out.read(spark, "applied", schemas.APPLIED).collect()} == {"r1", "r2"}
+    before = snapshot(spark, out)
+    assert len(before["blocks"]) == 3
+    shutil.rmtree(f"{tmp_path}/cp0")
+    requests(spark, ("r2", "uaua", 0), ("r3", "u", 0)).write.json(f"{tmp_path}/in4")
+    ingest_stream(read_requests(spark, f"{tmp_path}/in4", stream=True), out, f"{tmp_path}/cp0").awaitTermination()
+    after = snapshot(spark, out)
+    assert len(after["blocks"]) == 4 and set(before["blocks"]) < set(after["blocks"])
+    spark.createDataFrame([("x",) * 4 + (0,) + ("x",) * 5 + (0,)], schemas.BLOCK).write.parquet(out.path("blocks/batch=broken-0"))
+    assert snapshot(spark, out) == after
+
+
+def test_add_job_catches_up(spark, tmp_path):
+    """Facts and index of all blocks, of those too for which an earlier run failed; a repeated run adds nothing."""
+    def save(df, name):
+        path = f"{tmp_path}/{random.random()}-{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    out = Tables(f"{tmp_path}/t")
+    reply = json.dumps([{"subject": "Anna", "relation": "likes", "object": "tea", "quote": "likes"}])
+    extract = lambda records: records.withColumn("reply", F.when(F.col("content").contains("Anna"), reply).otherwise("[]"))
+    job = lambda encode: add.derive(spark, out, encode, "toy", save, ["anna", "tea", "likes"], extract)
+
+    def broken(texts):
+        raise RuntimeError("no encoder")
+
+    ingest_batch(requests(spark, ("r1", [("user", "Anna likes tea", 5), ("assistant", "ok", 6)], 0)), out, "0", lambda _: job(broken))
+    assert out.plain(spark, "index", schemas.INDEX).count() == 0 and out.plain(spark, "facts", schemas.FACT).count() == 1
+    ingest_batch(requests(spark, ("r2", [("user", "other", 7)], 0)), out, "1", lambda _: job(lambda texts: [[float(len(t))] for t in texts]))
+    for _ in range(2):
+        index = {r.memory_id: r.text for r in out.plain(spark, "index", schemas.INDEX).collect()}
+        assert sorted(index.values()) == ["Q: Anna likes tea\nA: [assistant] ok", "Q: other"]
+        (fact,) = out.plain(spark, "facts", schemas.FACT).collect()
+        assert fact.subject_key == "anna" and fact.parent_memory_id in index
+        assert [r.parent_memory_id for r in out.plain(spark, "coverage", schemas.COVERAGE).collect()] == [fact.parent_memory_id]
+        job(broken)  # nothing is left to encode
+
+
 def test_failing_derived_data_does_not_fail_the_ingest(spark, tmp_path):
     out = Tables(f"{tmp_path}/t")
 
     def fail(_):
         raise RuntimeError("index is down")
 
-    ingest_batch(requests(spark, ("r1", "ua", 0)), out, 0, fail)
+    ingest_batch(requests(spark, ("r1", "ua", 0)), out, "0", fail)
     assert len(snapshot(spark, out)["blocks"]) == 1
     assert "index is down" in spark.read.json(out.path("derived_errors")).first().error
 
@@ -185,14 +232,37 @@ def test_users_never_mix_and_only_common_terms_count(spark):
     assert retrieval.hybrid_search(asked.withColumn("query", F.lit(" ")), retrieval.bm25_index(docs), index).count() == 0
 
 
-def test_query_vectors_in_blocks(spark, monkeypatch):
-    index = spark.createDataFrame([(f"m{i}", "u", [float(i), 1.0]) for i in range(9)], "memory_id string, user_id string, dense array<float>")
+def test_vectors_in_blocks(spark, monkeypatch):
+    index = spark.createDataFrame([(f"m{i}", "u", [float(i), 1.0]) for i in range(300)], "memory_id string, user_id string, dense array<float>")
     asked = spark.createDataFrame([(f"q{i}", "u", [1.0, float(i)]) for i in range(9)], "query_id string, user_id string, dense array<float>")
     whole = sorted(map(str, retrieval.dense_topk(asked, index, 3).collect()))
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", 48)
+    for name, n in (("BLOCK_BYTES", 1), ("QUERY_CHUNK", 2), ("HELD_QUERIES", 1)):
+        monkeypatch.setattr(retrieval, name, n)
     assert sorted(map(str, retrieval.dense_topk(asked, index, 3).collect())) == whole and len(whole) == 27
 
 
+def test_vectors_that_cannot_be_compared(spark):
+    index = spark.createDataFrame([("m1", "u", [1.0, 0.0]), ("m2", "u", None), ("m3", "u", [None, 1.0]), ("m4", "u", []), ("m5", "u", [1.0]), ("m6", "u", [float("nan"), 1.0])], "memory_id string, user_id string, dense array<float>")
+    asked = spark.createDataFrame([("q1", "u", [1.0, 1.0]), ("q2", "u", None), ("q3", "u", [2.0]), ("q4", "v", [1.0, 1.0])], "query_id string, user_id string, dense array<float>")
+    assert sorted((r.query_id, r.memory_id, r.score) for r in retrieval.dense_topk(asked, index).collect()) == [("q1", "m1", 0.707107), ("q3", "m5", 1.0)]
+
+
+def test_dense_arm_of_many_users(spark):
+    """5,000 users of 50 vectors: every query meets its user's vectors only, and the result equals numpy's."""
+    index = spark.range(250_000).select(F.concat(F.lit("m"), "id").alias("memory_id"), F.concat(F.lit("u"), F.col("id") % 5000).alias("user_id"), F.array(*[F.sin(F.col("id") * k).cast("float") for k in (1, 2, 3)]).alias("dense"))
+    asked = spark.range(5000).select(F.concat(F.lit("q"), "id").alias("query_id"), F.concat(F.lit("u"), "id").alias("user_id"), F.array(*[F.cos(F.col("id") * k).cast("float") for k in (1, 2, 3)]).alias("dense"))
+    got = retrieval.dense_topk(asked, index, 5)
+    rows = got.where("query_id in ('q7', 'q4999')").collect()
+    assert got.count() == 25_000
+    x = np.stack([np.sin(np.arange(250_000) * k).astype(np.float32) for k in (1, 2, 3)], axis=1).astype(float)
+    for q in (7, 4999):
+        v = np.cos(q * np.array([1, 2, 3])).astype(np.float32).astype(float)
+        mine = np.arange(q, 250_000, 5000)
+        scores = np.round(x[mine] @ v / np.linalg.norm(x[mine], axis=1) / np.linalg.norm(v), 6)
+        want = sorted((-s, f"m{i}") for s, i in zip(scores, mine, strict=True))[:5]
+        assert [(-r.score, r.memory_id) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == f"q{q}"] == want
+
+
 @pytest.mark.parametrize(
     ("scores", "order", "status"),
     [([(0, 0.1), (1, 0.9), (2, 0.1)], "bac", "called"), ([(0, 0.1), (1, 0.9)], "abc", "degraded"), ([(0, 0.1), (1, 0.9), (1, 0.3)], "abc", "degraded"), ([(0, 0.1), (1, float("nan")), (2, 1.0)], "abc", "degraded"), ([(0, 0.1), (1, 0.2), (3, 0.9)], "abc", "degraded"), ([(0, None), (1, 0.2), (2, 0.9)], "abc", "degraded"), ([], "abc", "degraded"), (None, "abc", "disabled")],
@@ -331,6 +401,95 @@ def test_multi_hop_rounds(spark, tmp_path):
     assert {r.query_id: (r.stop_reason, r.recovery) for r in stops.collect()} == {"q1": ("plan_complete", "not_triggered"), "q2": ("plan_invalid", "success"), "q3": ("dependency_unresolved", "empty")}
 
 
+def test_react_rounds(spark, tmp_path):
+    def save(df, name):
+        path = f"{tmp_path}/{random.random()}-{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    docs = spark.createDataFrame([("m1", "u", "the mayor is anna"), ("m2", "u", "anna lives in oslo"), ("m3", "u", "straße other")], "memory_id string, user_id string, text string")
+    index = retrieval.bm25_index(docs)
+    queries = spark.createDataFrame([("q1", "u", "mayor"), ("q2", "u", "Straße other"), ("q3", "u", "mayor"), ("q4", "u", "mayor"), ("q5", "u", "nothing here"), ("q6", "u", "mayor")], "query_id string, user_id string, query string")
+    say = lambda done, picks, query, score: F.lit(json.dumps({"is_sufficient": done, "evidence_indices": picks, "new_query": query, "confidence_score": score}))
+    shown = []
+
+    def decide(asked):
+        shown.extend(asked.collect())
+        first = F.col("round") == 0
+        reply = (
+            F.when((F.col("query_id") == "q1") & first, say(False, [0], " anna lives ", 0.2)).when(F.col("query_id") == "q1", say(True, [1, 0], "", 0.9))
+            .when(F.col("query_id") == "q2", say(False, [0], "STRASSE  other", 0.2)).when(F.col("query_id") == "q3", "no object").when(F.col("query_id") == "q5", say(True, [], "", 0.1))
+            .when(F.col("query_id") == "q6", F.concat(F.lit('{"is_sufficient": false, "evidence_indices": [], "confidence_score": 0, "new_query": "anna '), F.col("round").cast("string"), F.lit('"}')))
+        )
+        return asked.withColumn("reply", reply).withColumn("error", F.when(F.col("query_id") == "q4", "timeout"))
+
+    bodies = docs.select("memory_id", F.lit("").alias("day"), F.col("text").alias("body"))
+    found, stops = multihop.react_search(queries, lambda q: retrieval.bm25_topk(q, index), decide, bodies, save)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.memory_id)
+    assert got["q1"] == ["m1", "m2"] and got["q2"] == ["m3"] and got["q3"] == ["m1"] and "q5" not in got
+    by = {r.query_id: r for r in stops.collect()}
+    assert {q: (r.stop_reason, r.rounds) for q, r in by.items()} == {
+        "q1": ("sufficient", 2), "q2": ("duplicate_query", 1), "q3": ("invalid_output", 1), "q4": ("llm_error", 1), "q5": ("low_confidence", 1), "q6": ("max_rounds", 4)
+    }
+    second = next(r for r in shown if r.query_id == "q1" and r["round"] == 1)
+    assert second.ids == ["m2", "m1"] and list(second.used_queries) == ["mayor", "anna lives"]  # new documents, then those picked before
+    assert by["q1"].evidence == ["m1", "m2"] and by["q1"].rerank_query == "mayor\nanna lives"
+
+
+def test_multi_hop_faults_and_rerank(spark, tmp_path):
+    def save(df, name):
+        path = f"{tmp_path}/{random.random()}-{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    docs = spark.createDataFrame([("m1", "u", "mayor anna"), ("m2", "u", "mayor bert bert"), ("m3", "u", "where")], "memory_id string, user_id string, text string")
+    index = retrieval.bm25_index(docs)
+    queries = spark.createDataFrame([(f"q{i}", "u", "where mayor") for i in range(1, 5)], "query_id string, user_id string, query string")
+    plan = json.dumps({"steps": [{"id": "s1", "query": "mayor", "depends_on": []}]})
+    plans = spark.createDataFrame([("q1", plan, None), ("q2", plan, None), ("q3", None, "timeout")], "query_id string, reply string, error string")  # none for q4
+
+    def answer(asked):
+        return asked.withColumn("reply", F.lit('{"status": "answered", "answer": "anna", "evidence": []}')).withColumn("error", F.when(F.col("query_id") == "q2", "unavailable"))
+
+    bodies = docs.select("memory_id", F.lit("").alias("day"), F.col("text").alias("body"))
+    rerank = lambda c, q: rank.score_pairs(c, q, docs, lambda qs, ts: [float(len(t)) for t in ts])
+    found, stops = multihop.multi_hop_search(queries, lambda q: retrieval.bm25_topk(q, index), plans, answer, bodies, save, rerank=rerank)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.memory_id)
+    assert got["q1"] == ["m2", "m1"] and got["q2"] == ["m2", "m1", "m3"] and set(got["q4"]) == {"m1", "m2", "m3"} and "q3" not in got
+    assert {r.query_id: (r.stop_reason, r.recovery, r.rerank_query) for r in stops.collect()} == {
+        "q1": ("plan_complete", "not_triggered", "mayor"), "q2": ("llm_unavailable", "success", "where mayor"), "q3": ("llm_error", "not_triggered", "where mayor"), "q4": ("llm_unavailable", "success", "where mayor"),
+    }
+
+
+def test_search_with_routes(spark, tmp_path):
+    """Default, multi-hop and unusable queries in one search; reranked, expanded, packed, facts appended."""
+    def save(df, name):
+        path = f"{tmp_path}/{random.random()}-{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    blocks = ingest.compose_blocks(ingest.messages_of(requests(spark, ("r", [("user", "red fox", 1), ("assistant", "yes", 2), ("user", "blue sky", 3), ("assistant", "no", 4)], 0)))).cache()
+    memory = search.Memory(blocks, retrieval.bm25_index(blocks.select(F.col("id").alias("memory_id"), "user_id", T.render(F.col("question"), F.col("answer")).alias("text"))))
+    queries = spark.createDataFrame([("q1", "user1", "fox", 3), ("q2", "user1", "hop", 3), ("q3", "user1", " ", 3), ("q4", "user1", "fox", 0), ("q5", "other", "fox", 3), ("q6", "user1", "sky", 3)], "query_id string, user_id string, query string, top_k int")
+    routes = spark.createDataFrame([("q2", "MULTI_HOP"), ("q6", "MULTI_HOP")], "query_id string, route string")
+    second = blocks.where("question = 'blue sky'").select(F.lit("q2").alias("query_id"), F.col("id").alias("memory_id"), F.lit(0).alias("rank"))
+    stops = spark.createDataFrame([("q2", "sufficient", "joint"), ("q6", "llm_error", "sky")], "query_id string, stop_reason string, rerank_query string")
+    seen = []
+    rerank = lambda c, q: (seen.extend(q.collect()), rank.score_pairs(c, q, memory.texts, lambda qs, ts: [1.0] * len(ts)))[1]
+    items, notes = search.search(queries, memory, save, rerank=rerank, routes=routes, multi_hop=lambda q: (second, stops))
+    got = {(r.query_id, r.position): r.content for r in items.collect()}
+    both = "Q: red fox\nA: [assistant] yes\nQ: blue sky\nA: [assistant] no"
+    assert got == {("q1", 0): both, ("q2", 0): both, ("q6", 0): both}
+    by = {r.query_id: r for r in notes.collect()}
+    assert by["q1"].rerank_status == "called" and by["q1"].route == "DEFAULT" and by["q2"].stop_reason == "sufficient" and by["q5"].rerank_status == "disabled"
+    assert {r.query_id: r.query for r in seen}["q2"] == "joint"
+    blocks.unpersist()
+
+
 def test_metrics_count_only_calls(spark):
     df = spark.createDataFrame([(1.0, None, None, 1, "a"), (2.0, 4.0, None, 2, "")], "latency_ms double, router_latency_ms double, multi_hop_latency_ms double, n int, route string")
     m = metrics.search_metrics(df, ["n"]).first()

@@ -45,11 +45,19 @@ def one(spark, column, **values):
         ("for 3 days", "for 3 days"),
         ("9999999999 days ago and 99999 years ago", "9999999999 days ago and 99999 years ago (-97975)"),
         ("lastly, pastweek", "lastly, pastweek"),
+        ("Last night, a month ago. TODAY!", "Last night (March 14, 2024), a month ago (February 2024). TODAY (March 15, 2024)!"),
+        ("for 2 months ago", "for 2 months (since January 2024) ago (January 2024)"),
+        ("since an hour, for twelve weeks", "since an hour, for twelve weeks"),
+        ("this past thurs, last Sunday", "this past thurs (March 14, 2024), last Sunday (March 10, 2024)"),
+        ("2023 years ago, 30000 months ago", "2023 years ago (1), 30000 months ago"),
+        ("", ""),
     ],
 )
-def test_relative_dates(text, want):
-    assert dates.annotate(text, DAY) == want
-    assert dates.annotate(text, DAY, "tag").replace(" [= ", " (").replace("]", ")") == want
+def test_relative_dates(spark, text, want):
+    df = spark.createDataFrame([(text, DAY)], "t string, d date")
+    got = df.select(*(dates.annotate_relative_dates(F.col("t"), F.col("d"), mark).alias(mark) for mark in ("paren", "tag"))).first()
+    assert got.paren == want
+    assert got.tag.replace(" [= ", " (").replace("]", ")") == want
 
 
 def test_relative_date_column(spark):
@@ -61,9 +69,10 @@ def test_relative_date_column(spark):
         dates.annotate_relative_dates(F.col("t"), F.col("d"), "other")
 
 
-def test_ranges_over_months_and_years():
-    assert dates.span(dt.date(2023, 12, 30), dt.date(2024, 1, 5)) == "December 30, 2023 to January 5, 2024"
-    assert dates.span(dt.date(2024, 1, 29), dt.date(2024, 2, 4)) == "January 29 to February 4, 2024"
+def test_ranges_over_months_and_years(spark):
+    df = spark.createDataFrame([(dt.date(2023, 12, 30), dt.date(2024, 1, 5)), (dt.date(2024, 1, 29), dt.date(2024, 2, 4))], "a date, b date")
+    got = [r.out for r in df.select(dates.span(F.col("a"), F.col("b")).alias("out")).collect()]
+    assert got == ["December 30, 2023 to January 5, 2024", "January 29 to February 4, 2024"]
 
 
 def test_ids(spark):
@@ -116,11 +125,14 @@ def sale(**changes):
 
 
 def test_sale_totals(spark):
-    noted = json.loads(H.sale_total(sale()))["user_quotation"]
+    note = lambda c: one(spark, H.annotate_unit_totals(F.col("c")), c=c)
+    noted = json.loads(note(sale()))["user_quotation"]
     assert noted == "we sold 3 jars for $2.50 each (calculated sale total: 3 × $2.50 = $7.5)"
-    for same in (sale(user_quotation=noted), sale(reported_total="1"), sale(quantity="4"), sale(currency_symbol="€"), sale(quantity="2000000"), "no json", "[]", sale(unit_price=2)):
-        assert H.sale_total(same) == same
-    assert one(spark, H.annotate_unit_totals(F.col("c")), c=sale()) == H.sale_total(sale())
+    assert json.loads(note(sale(more=[1, {"a": None}]))) == json.loads(sale(more=[1, {"a": None}], user_quotation=noted))
+    exact = sale(user_quotation='It\nSOLD 12345.678901 "kg" for  $99999.00000000001 EACH.', quantity="12345.678901", unit_price="99999.00000000001")
+    assert json.loads(note(exact))["user_quotation"].endswith("EACH (calculated sale total: 12345.678901 × $99999.00000000001 = $1234555544.42109912345678901).")
+    for same in (sale(user_quotation=noted), sale(reported_total="1"), sale(reported_total=None), sale(quantity="4"), sale(currency_symbol="€"), sale(quantity="2000000"), "no json", "[]", sale(unit_price=2), '"reported sale"'):
+        assert note(same) == same
 
 
 def test_truncation(spark):
@@ -128,9 +140,14 @@ def test_truncation(spark):
     cut = one(spark, H.truncate_middle(F.col("t"), 60), t=text)
     head, tail = cut.split(H.MARKER)
     assert text.startswith(head) and text.endswith(tail) and len(H.word_counter()[0](cut)) <= 60
+    assert cut == one(spark, H.truncate_middle(F.col("t"), 60, H.word_counter), t=text)
     assert one(spark, H.truncate_middle(F.col("t"), 500), t=text) == text
     assert one(spark, H.truncate_middle(F.col("t"), 10), t=text) == "".join(H.word_counter()[0](text)[:10])
-    assert one(spark, H.truncate_head(F.col("t"), 3), t=text) == "0 1"
+    assert one(spark, H.truncate_head(F.col("t"), 3), t=text) == one(spark, H.truncate_head(F.col("t"), 3, H.word_counter), t=text) == "0 1"
+    import public_tokenizers
+
+    vocabulary = H.vocabulary_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    assert one(spark, H.truncate_head(F.col("t"), 3, vocabulary), t=text) == "0 1 2" and one(spark, H.count_tokens(F.col("t"), vocabulary), t="a<|endoftext|>b") > 3
     assert one(spark, H.count_tokens(F.col("t"), H.word_counter), t="a b") == 3
     with pytest.raises(ValueError):
         H.truncate_middle(F.col("t"), 0)
