@@ -12,11 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: Bits of the bitmap that keeps texts without candidates out of joins (1 MB); more of them let fewer through.
+BITMAP = 1 << 23
+#: Bytes in one block of rows that are compared with each other.
+BLOCK_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- staged tables
@@ -86,10 +90,12 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
+        texts = batch.column(batch.schema.get_field_index(column))
+        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1]
         begin = 0
         while begin < batch.num_rows:
-            end = int(np.searchsorted(offsets, offsets[begin] + most, side="right")) - 1
+            end = int(np.searchsorted(offsets, int(offsets[begin]) + most, side="right")) - 1
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
@@ -105,19 +111,50 @@ def _as_arrow(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def pair_blocks(rows: DataFrame, key: list[str], by: list[str], fields: list[str], block: int, spread: int) -> DataFrame:
-    """(x, y): arrays of structs of `fields`, so that any two rows of one key meet in an x and a y (or in one block that is both).
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents that may be among ids (one column): surely not, if their bit is not set. The bitmap has a fixed size."""
+    bit = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITMAP)) + 1  # the functions number buckets from 1, from the value 1 on
+    parts = ids.select(bit.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m"))
+    size = BITMAP // 8
+    whole = np.zeros(size + 4096 * 8, np.uint8)
+    for r in parts.collect():  # at most BITMAP / 32768 rows of 4 KB
+        whole[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(whole, bitorder="little").astype(bool))
 
-    The rows of a key are cut into blocks of about `block` rows, by a hash of the columns `by`; a block meets the others in
-    tasks of `spread` blocks, so a key of any size is spread over tasks. key must hold no nulls.
+    def keep(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                batch = whole.slice(i, 1024)
+                yield batch.select([0, 1]).filter(pa.array(sent.value[batch.column(2).to_numpy()]))
+
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("x")).mapInArrow(keep, "doc_id long, text string")
+
+
+def pair_blocks(rows: DataFrame, key: list[str], by: list[str], fields: list[str], block: int, spread: int, weight: Column | None = None, active: str | None = None) -> DataFrame:
+    """(*key, x, y): arrays of structs of `fields`, so that any two rows of one key meet, in an x and a y or in an x whose y is null.
+
+    The rows of a key are cut into blocks of about `block` rows (and of about BLOCK_BYTES of `weight`), by a hash of the
+    columns `by`; a block meets the others in tasks of `spread` blocks, so a key of any size is spread over tasks. A key of one
+    block is not shuffled again. With `active`, a boolean column, rows that are not active meet active ones only. key must
+    hold no nulls.
     """
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key, F.expr(f"int(ceil(_n / {block}))").alias("_blocks"))
-    sized = rows.join(stage(sizes, "sizes"), key).withColumn("_block", F.pmod(F.xxhash64(*key, *by), F.col("_blocks")).cast("int"))
-    blocks = stage(sized.groupBy(*key, "_block", "_blocks").agg(F.collect_list(F.struct(*fields)).alias("rows")), "blocks")
+    flag = F.lit(True) if active is None else F.col(active)
+    weight = F.lit(0) if weight is None else weight
+    many = lambda kind: F.expr(f"int(ceil(greatest(_n{kind} / {block}, _w{kind} / {BLOCK_BYTES})))")
+    sums = [x.alias(f"_{n}{k}") for k, cond in ((1, flag), (0, ~flag)) for n, x in (("n", F.count_if(cond)), ("w", F.coalesce(F.sum(F.when(cond, weight)), F.lit(0))))]
+    sizes = rows.groupBy(*key).agg(*sums).where("_n1 > 0 and _n1 + _n0 > 1").select(*key, many(1).alias("_blocks"), many(0).alias("_rest"))
+    sized = rows.join(stage(sizes, "sizes"), key)
+    spot = F.xxhash64(*key, *by)
+    place = F.when(flag, F.pmod(spot, F.col("_blocks"))).otherwise(F.col("_blocks") + F.pmod(spot, F.greatest("_rest", F.lit(1)))).cast("int")
+    sized = sized.withColumn("_block", place)
+    blocks = stage(sized.groupBy(*key, "_block", "_blocks", "_rest").agg(F.collect_list(F.struct(*fields)).alias("rows")), "blocks")
+    nothing = F.lit(None).cast(blocks.schema["rows"].dataType)
+    alone = blocks.where("_block < _blocks").select(*key, F.col("rows").alias("x"), nothing.alias("y"))
+    met = blocks.where("_blocks + _rest > 1")
     salts = F.expr(f"int(ceil(_blocks / {spread}))")
-    left = blocks.select(*key, (F.col("_block") % salts).cast("int").alias("_salt"), F.col("_block").alias("_i"), F.col("rows").alias("x"))
-    right = blocks.select(*key, F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), F.col("_block").alias("_j"), F.col("rows").alias("y"))
-    return left.join(right, [*key, "_salt"]).where("_i <= _j").select("x", "y")
+    left = met.where("_block < _blocks").select(*key, (F.col("_block") % salts).cast("int").alias("_salt"), F.col("_block").alias("_i"), F.col("rows").alias("x"))
+    right = met.select(*key, F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), F.col("_block").alias("_j"), F.col("rows").alias("y"))
+    return alone.unionByName(left.join(right, [*key, "_salt"]).where("_i < _j").select(*key, "x", "y"))
 
 
 # ---------------------------------------------------------------- words and hashes

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import ALNUM, Words, chunked, documents, shingle_hashes, stage, text_buffers, to_batch
+from mnemospark.llm.common import ALNUM, Words, chunked, documents, shingle_hashes, stage, text_buffers, to_batch, unstage
 
 WINDOW = 13
 SHINGLE = 5
@@ -159,10 +159,15 @@ def _scan(batches: Iterator[pa.RecordBatch], index: WindowIndex, schema: pa.Sche
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK_WINDOWS) -> DataFrame:
     """Rows (doc_id, n_words, hits, items): the places of words inside any occurring window and the sorted item ids."""
+    source = documents(docs, id_col, text_col).select(F.monotonically_increasing_id().cast("string").alias("row"), "doc_id", "text")
+    return _contamination(source, items, window, shingle, item_id, item_text, block).select("doc_id", "n_words", "hits", "items")
+
+
+def _contamination(source: DataFrame, items: DataFrame, window: int, shingle: int, item_id: str, item_text: str, block: int) -> DataFrame:
+    """Rows (row, doc_id, n_words, hits, items) of source (row, doc_id, text)."""
     windows = stage(item_windows(items, item_id, item_text, window), "windows")
     n_blocks = max(1, -(-windows.count() // block))
-    source = documents(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+    schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
     counted = pa.schema([("k", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
     out = None
     for b in range(n_blocks):
@@ -173,24 +178,28 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
             for r in source.select("text").mapInArrow(lambda it, x=index: _count(it, x, counted), "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
                 seen[r.k][r["at"]] = r.n
         index.choose_prefixes(seen)
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-        found = source.mapInArrow(lambda it, x=sent: _scan(it, x.value, schema), "row long, doc_id long, n_words long, hits array<int>, items array<string>")
+        sent = source.sparkSession.sparkContext.broadcast(index)
+        found = source.mapInArrow(lambda it, x=sent: _scan(it, x.value, schema), "row string, doc_id long, n_words long, hits array<int>, items array<string>")
         out = found if out is None else out.unionByName(found)
+    unstage(windows)
     if n_blocks > 1:
         out = out.groupBy("row", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.select("doc_id", "n_words", "hits", "items")
+    return out
 
 
 def judged(found: DataFrame, percent: int = 5) -> DataFrame:
     """The same rows with counts and `contaminated`: at least `percent` of the words are hit."""
     n_hit = F.size("hits").cast("long")
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), "items",
+        *[c for c in found.columns if c == "row"], "doc_id", "n_words", n_hit.alias("n_hit"), "items",
         ((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * percent)).alias("contaminated"),
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **kwargs) -> DataFrame:
-    """The documents, with all their columns, that are not contaminated (rows with a null doc_id stay)."""
-    bad = judged(find_contamination(docs, items, **kwargs)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[kwargs.get("id_col", "doc_id")] == bad["_bad"], "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK_WINDOWS) -> DataFrame:
+    """The documents, with all their columns, that are not contaminated. The verdict is one on the text: rows go by the digest
+    of theirs, whatever their doc_id, so that null and repeated ids neither save a row nor take another one with it."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.sha2(text, 256).alias("row"), F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+    bad = judged(_contamination(source, items, window, shingle, item_id, item_text, block)).where("contaminated").select(F.col("row").alias("_bad")).distinct()
+    return docs.join(bad, F.sha2(text, 256) == bad["_bad"], "left_anti")

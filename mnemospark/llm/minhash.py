@@ -1,13 +1,13 @@
 """MinHash near-duplicate groups: minima of many universal hashes, bands, verification, components.
 
 Copies with the same shingle set form a class at once and only its least document goes on. Bands of signature rows give
-buckets. In each round every document of a bucket is compared with the bucket's lead only, so a group of copies, however
-large, is never expanded into pairs. In half of the buckets the lead is the document that meets most others (the original of
-edited copies, as a rule), in the other half it is a random one. Verified links are joined into components; documents that
-are not in their lead's component go into the next round under a lead of their own, until a round brings no new link. Last,
-in every bucket that still holds different components all pairs across them are compared, whatever the bucket's size: it
-is cut into blocks, and pairs of blocks are spread over tasks. Pairs are checked on lengths and signatures first (far below
-the threshold: dropped) and then on the full shingle sets of both texts.
+buckets. First every document of a bucket is compared with the bucket's lead only, so a group of copies, however large, is
+never expanded into pairs. In half of the buckets the lead is the document that meets most others (the original of edited
+copies, as a rule), in the other half it is a random one. Verified links are joined into components, which makes them large
+early. Then, in every bucket that holds different components, all pairs across them are compared, whatever the bucket's
+size: it is cut into blocks, and pairs of blocks are spread over tasks, which give the links that connect components and not
+all of them. Pairs are checked on lengths and signatures first (far below the threshold: dropped) and then on the full
+shingle sets.
 
 With 45 bands of 6 rows a pair of similarity 0.8 shares no bucket with a probability of about one in a million.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from mnemospark.llm.common import NON_SPACE, Words, chunked, documents, shingle_set, stage, text_buffers, to_batch
+from mnemospark.llm.common import NON_SPACE, Words, among, chunked, documents, pair_blocks, shingle_set, stage, text_buffers, to_batch, unstage
 from mnemospark.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -100,43 +100,101 @@ def _similar_signatures(pairs: DataFrame, signs: DataFrame, percent: int, hashes
     return both.mapInArrow(agree, "u long, v long")
 
 
-def _across_components(members: DataFrame, joined: DataFrame, signs: DataFrame, percent: int, hashes: int) -> DataFrame:
-    """All distinct pairs (u, v) of a bucket's documents in different components that lengths and signatures allow."""
+def _candidates(x, y, key: int, percent: int, least: float):
+    """For each row of x the rows of y (of x after it, where y is None) that could be linked with it: other component, lengths and
+    signatures near enough, and no earlier bucket in common, which has this pair already. Fields of x and y as in _columns()."""
+    p, c, n, s, k = x[:5]
+    _, d, m, t, h = (x if y is None else y)[:5]
+    for i in range(len(p)):
+        j = np.flatnonzero((d != c[i]) & (np.minimum(n[i], m) * 100 >= np.maximum(n[i], m) * percent))
+        if y is None:
+            j = j[j > i]
+        j = j[((s[i] == t[j]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= least]
+        same = k[i] == h[j]
+        yield i, j[k[i][same.argmax(axis=1)] == key]
+
+
+def _columns(rows):
+    """rep, component, n_shingles, signatures, keys and, where they are there, shingle sets of one block; None for null."""
+    if rows is None:
+        return None
+    rep, component, n = (rows.field(i).to_numpy() for i in range(3))
+    signature = np.frombuffer(b"".join(rows.field(3).to_pylist()), np.uint8).reshape(len(rep), -1)
+    keys = rows.field(4).flatten().to_numpy().reshape(len(rep), -1)
+    sets = [np.frombuffer(x, np.uint64) for x in rows.field(5).to_pylist()] if rows.type.num_fields > 5 else None
+    return rep, component, n, signature, keys, sets
+
+
+def _across_components(members: DataFrame, joined: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int, hashes: int) -> DataFrame:
+    """Links (u, v) of similar documents of one bucket that are in different components: of every two blocks of a bucket's
+    documents as many as connect what is linked among them, never all pairs.
+
+    Lengths and signatures come first and leave the documents that could have a link; these meet again with their full shingle
+    sets. A pair is compared in the first bucket that it shares.
+    """
     p = percent / 100
     least = p - SLACK_SIGMAS * np.sqrt(p * (1 - p) / hashes)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    set_schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+    left_schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
 
-    def columns(rows: pa.StructArray):
-        rep, component, n = (rows.field(i).to_numpy() for i in range(3))
-        return rep, component, n, np.frombuffer(b"".join(rows.field(3).to_pylist()), np.uint8).reshape(len(rep), -1)
+    def near(batches):
+        for batch in batches:
+            for key, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                x, y = _columns(a.values), _columns(b.values)
+                found = [np.zeros(0, np.int64)]
+                for i, j in _candidates(x, y, key, percent, least):
+                    if len(j):
+                        found += [x[0][i : i + 1], (x if y is None else y)[0][j]]
+                reps = np.unique(np.concatenate(found))
+                if len(reps):
+                    yield to_batch(left_schema, key=np.full(len(reps), key), rep=reps)
+
+    def sets(batches):
+        for batch in chunked(batches):
+            w = Words(*text_buffers(batch.column(1)), NON_SPACE)
+            found = [shingle_set(w.hash[i:j], shingle).tobytes() for i, j in zip(w.first.tolist(), w.first[1:].tolist(), strict=False)]
+            yield to_batch(set_schema, rep=batch.column(0), shingles=found)
 
-    def compare(batches):
+    def link(batches):
         for batch in batches:
-            u, v = [], []
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                (p, c, n, s), (q, d, m, t) = columns(x.values), columns(y.values)
-                maybe = (c[:, None] != d) & (np.minimum(n[:, None], m) * 100 >= np.maximum(n[:, None], m) * percent)
-                i, j = np.nonzero(maybe)
-                for k in range(0, len(i), 4096):
-                    a, b = i[k : k + 4096], j[k : k + 4096]
-                    same = ((s[a] == t[b]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= least
-                    u.append(np.minimum(p[a[same]], q[b[same]]))
-                    v.append(np.maximum(p[a[same]], q[b[same]]))
-            if u:
-                pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
-                yield to_batch(schema, u=pairs[:, 0], v=pairs[:, 1])
+            for key, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                x, y = _columns(a.values), _columns(b.values)
+                z = x if y is None else y
+                root: dict[int, int] = {}
+                u, v = [], []
+
+                def find(i: int, root=root) -> int:
+                    while (j := root.get(i, i)) != i:
+                        i = j
+                    return i
+
+                for i, others in _candidates(x, y, key, percent, least):
+                    for j in others.tolist():
+                        left, right = find(int(x[1][i])), find(int(z[1][j]))
+                        if left == right:
+                            continue
+                        s, t = x[5][i], z[5][j]
+                        common = len(np.intersect1d(s, t, assume_unique=True))
+                        if common and 100 * common >= percent * (len(s) + len(t) - common):
+                            root[max(left, right)] = min(left, right)
+                            u.append(min(x[0][i], z[0][j]))
+                            v.append(max(x[0][i], z[0][j]))
+                if u:
+                    yield to_batch(schema, u=u, v=v)
 
     placed = members.select("key", "rep", "n_shingles").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a < b")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = placed.join(mixed.select("key", n_blocks.alias("n_blocks")), "key").join(signs, "rep")
-    placed = placed.withColumn("block", F.expr("pmod(xxhash64(rep, key, 1), n_blocks)"))
-    rows = F.collect_list(F.struct("rep", "component", "n_shingles", "signature"))  # about BLOCK of them
-    blocks = stage(placed.groupBy("key", "block", "n_blocks").agg(rows.alias("rows")), "blocks")
-    salts = F.expr(f"int(ceil(n_blocks / {SPREAD}))")
-    left = blocks.select("key", (F.col("block") % salts).cast("int").alias("salt"), F.col("block").alias("i"), F.col("rows").alias("x"))
-    right = blocks.select("key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("block").alias("j"), F.col("rows").alias("y"))
-    return left.join(right, ["key", "salt"]).where("i <= j").select("x", "y").mapInArrow(compare, "u long, v long").distinct()
+    mixed = stage(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key"), "mixed")
+    placed = stage(placed.join(mixed, "key"), "placed")
+    fields = ["rep", "component", "n_shingles", "signature", "keys"]
+    short = placed.join(reps.select("rep", "signature", "keys"), "rep")
+    left = stage(pair_blocks(short, ["key"], ["rep"], fields, BLOCK, SPREAD).mapInArrow(near, "key long, rep long").distinct(), "near")
+    full = stage(among(docs, left.select("rep")).mapInArrow(sets, "rep long, shingles binary"), "sets")
+    rows = placed.join(left, ["key", "rep"]).join(reps.select("rep", "signature", "keys"), "rep").join(full, "rep")
+    met = pair_blocks(rows, ["key"], ["rep"], [*fields, "shingles"], BLOCK, SPREAD, F.octet_length("shingles") + F.octet_length("signature") + 8 * F.size("keys"))
+    out = stage(met.mapInArrow(link, "u long, v long").distinct(), "links")
+    unstage(mixed, placed, left, full)
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -170,42 +228,24 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int
     )
 
     members = reps.select(F.explode("keys").alias("key"), "rep", "n_shingles")
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stage(members.join(shared, "key"), "buckets")
-    met = members.groupBy("rep").agg(F.sum("size").alias("met"))
+    shared = stage(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    sized = stage(members.join(shared, "key"), "buckets")
+    met = sized.groupBy("rep").agg(F.sum("size").alias("met"))
     hub = F.struct(F.col("met").alias("a"), (-F.col("rep")).alias("b"))
     drawn = F.struct(F.xxhash64("rep", "key").alias("a"), F.col("rep").alias("b"))
-    members = stage(members.join(met, "rep").select("key", "rep", "n_shingles", "size", F.when(F.expr("key & 1 = 0"), hub).otherwise(drawn).alias("priority")), "buckets")
+    members = stage(sized.join(met, "rep").select("key", "rep", "n_shingles", "size", F.when(F.expr("key & 1 = 0"), hub).otherwise(drawn).alias("priority")), "buckets")
 
+    unstage(sized, shared)
     signs = reps.select("rep", "signature")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return stage(_verified(_similar_signatures(pairs, signs, percent, bands * rows), source, shingle, percent), "links")
-
-    active = members.withColumn("component", F.col("rep"))
-    links = tried = joined = None
-    while True:
-        leads = active.groupBy("key").agg(F.max(F.struct("priority", "rep", "component")).alias("x")).select("key", F.col("x.rep").alias("lead"), F.col("x.component").alias("lead_component"))
-        compared = active.join(leads, "key").where("component <> lead_component")
-        pairs = compared.select(F.least("lead", "rep").alias("u"), F.greatest("lead", "rep").alias("v")).distinct()
-        pairs = stage(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        new = confirmed(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        first, links = links is None, new if links is None else links.union(new)
-        if first or not new.isEmpty():
-            joined = stage(components(links), "components")
-        elif not first:
-            break
-        where = joined.withColumnRenamed("node", "rep").withColumnRenamed("component", "found")
-        rest = active.drop("component").join(leads.drop("lead_component"), "key").join(where, "rep", "left").withColumn("component", F.coalesce("found", "rep")).drop("found")
-        of_lead = where.select(F.col("rep").alias("lead"), F.col("found").alias("lead_found"))
-        rest = rest.join(of_lead, "lead", "left").where("component <> coalesce(lead_found, lead)")
-        active = stage(rest.select("key", "rep", "n_shingles", "size", "priority", "component"), "buckets")
-
-    again = _across_components(members, joined, signs, percent, bands * rows).join(tried, ["u", "v"], "left_anti")
-    more = stage(_verified(stage(again, "pairs"), source, shingle, percent), "links")
+    leads = stage(members.groupBy("key").agg(F.max(F.struct("priority", "rep")).alias("x")).select("key", F.col("x.rep").alias("lead")), "leads")
+    pairs = stage(members.join(leads, "key").where("rep <> lead").select(F.least("lead", "rep").alias("u"), F.greatest("lead", "rep").alias("v")).distinct(), "pairs")
+    links = stage(_verified(_similar_signatures(pairs, signs, percent, bands * rows), source, shingle, percent), "links")
+    joined = components(links)
+    more = _across_components(members, joined, reps, source, shingle, percent, bands * rows)
     if not more.isEmpty():
-        joined = stage(components(links.union(more)), "components")
+        first, joined = joined, components(links.union(more))
+        unstage(first)
+    unstage(members, leads, pairs, links, more, reps)
 
     where = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(where, "set_id", "left")

@@ -36,6 +36,7 @@ class Kind:
     context: tuple[str, ...] = field(default=())
     boost: float = 0.3
     base: bool = False
+    trim: object = None
 
 
 def _digits(m: Column) -> Column:
@@ -56,6 +57,13 @@ def mod97(m: Column) -> Column:
     return F.aggregate(moved, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)) == 1
 
 
+def account_number(m: Column) -> Column:
+    """The longest head of the match that ends with it or before a blank and is a valid account number; null if there is none."""
+    groups = F.split(m, " ")
+    heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    return F.get(F.filter(heads, lambda h: (F.length(F.replace(h, F.lit(" "))) >= 15) & mod97(h)), F.lit(0))
+
+
 def _between(m: Column, low: int, high: int) -> Column:
     return F.length(_digits(m)).between(low, high)
 
@@ -66,7 +74,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "%.%.%.%", lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), base=True, score=0.7),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){13,}+", "", lambda m: _between(m, 14, 19) & luhn(m), base=True, score=0.8),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "%+%", lambda m: _between(m, 10, 15), base=True, score=0.8),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", mod97, 0.8, ("iban", "account", "bank", "konto", "cuenta", "compte"), 0.2),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", None, 0.8, ("iban", "account", "bank", "konto", "cuenta", "compte"), 0.2, trim=account_number),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "%-%-%", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.4, ("ssn", "social security", "tax id", "national id")),
     Kind("local_phone", r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", "", None, 0.4, ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone")),
     Kind("secret", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}+", "", lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"), 0.3, ("token", "secret", "password", "api key", "api_key", "apikey", "access key"), 0.4),
@@ -95,6 +103,11 @@ def _spans(text: Column, rank: int, kind: Kind, threshold: float) -> Column:
     if kind.check is not None:
         found = F.filter(found, lambda x: kind.check(x["text"]))
 
+    if kind.trim is not None:
+        heads = F.transform(found, lambda x: F.struct(x["start"].alias("start"), kind.trim(x["text"]).alias("text")))
+        heads = F.filter(heads, lambda x: x["text"].isNotNull())
+        found = F.transform(heads, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), x["text"].alias("text")))
+
     def scored(x):
         score = F.lit(kind.score)
         if kind.context:
@@ -133,6 +146,8 @@ def span_list(spans: Column) -> Column:
 def redact(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents with each span replaced by its kind in brackets; overlapping spans become one. Null text stays null."""
     helper = "_pii_spans"
+    while any(c.startswith(helper) for c in docs.columns):
+        helper += "_"
     found = _with_spans(docs, text_col, threshold, helper)
     text = F.col(text_col)
 

@@ -6,16 +6,20 @@ Cartesian tree of a text's gram hashes groups all its subsequences of at least t
 minimum. Texts with a passage in common have nodes with the same minimum, so an equi-join on the minimum and an overlap
 condition on the intervals around the centres gives candidate passages.
 
-A passage of 50 words with one edit, the most that a similarity of 0.8 allows there, holds an unedited run of 24 words; grams
-are half as long, so every run like that has grams to agree on, and shorter phrases that very many texts share make no
+A passage of 50 words with one edit, the most that a similarity of 0.8 allows there, holds an unedited run of 24 words. Grams
+are a third of that, so every run like that has many to agree on, and the shortest phrases that very many texts share make no
 candidates. All hash functions agree on an exact passage of the least length or more, whatever surrounds it; on 50 words
-with the middle one replaced each agrees with probability 27/51, and six of them miss one in a hundred.
+with the middle one replaced each agrees with probability 35/51, and four of them miss one in a hundred.
+
+Windows meet only if also six words before their centres or six after their grams agree (a run of 14 words or more); an unedited
+run of 20 words holds one of the two wherever the centre is.
 
 Texts with the same bytes form a class of which only the least document is compared. Each window then meets the leads of its
-group: the least document, then two drawn ones. A window is settled if its centre lies in a passage found with a lead. Last, all
-pairs of documents that are left in a group, of any size, are compared by sketches of the shingles around their centres, in
+group: the least document, then two drawn ones. A window is settled if its centre lies in a passage found in its document, which
+then has an earlier document for that place. Last, windows that are not settled are compared with
+all windows of their group that agree on a side, settled or not and however many, by sketches of the shingles around their centres, in
 pairs of blocks that are spread over tasks; only pairs whose sketches allow a passage go on. A pair of documents is
-verified once, on the words of both texts and over all their common shingles: matching runs are extended over small edits, and
+verified once, on the words of both texts and from all their common runs: matching runs are extended over small edits, and
 must have the least number of words and the wanted similarity of shingle sets.
 
 Texts of documents without a candidate are kept out of the joins by a bitmap of fixed size over hashed document ids.
@@ -31,66 +35,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import NON_SPACE, Words, chunked, documents, mix, pair_blocks, shingle_hashes, shingle_set, stage, text_buffers, to_batch, unstage
+from mnemospark.llm.common import NON_SPACE, Words, among, chunked, documents, mix, pair_blocks, shingle_hashes, shingle_set, stage, text_buffers, to_batch, unstage
 
-MIN_WORDS, SHINGLE, PERCENT, HASHES, GRAM = 50, 5, 80, 6, 12
+MIN_WORDS, SHINGLE, PERCENT, HASHES, GRAM = 50, 5, 80, 4, 8
+#: Words before a centre or after its gram that two windows must have in common, on one side at least.
+CONTEXT = 6
 #: Bits of the sketch of a window's shingles.
 SKETCH = 2048
 #: Windows of a group in one block of the last step, and blocks that meet all others in one task.
 BLOCK, SPREAD = 64, 8
 #: Bytes of text of candidate pairs that are verified at once.
-PAIR_BYTES = 1 << 20
-#: Bits of the bitmap that keeps texts without candidates out of the joins (1 MB); more of them let fewer through.
-BITMAP = 1 << 23
+PAIR_BYTES = 1 << 18
 _SEEDS = np.random.default_rng(577_215).integers(1, 1 << 63, 64, dtype=np.uint64)
 
 
-def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(left, centre, right), inclusive, of every Cartesian-tree node that spans at least `least` values."""
-    out, todo = [], [(0, len(values) - 1)]
-    while todo:
-        left, right = todo.pop()
-        if right - left + 1 >= least:
-            centre = left + int(values[left : right + 1].argmin())
-            out.append((left, centre, right))
-            todo += [(left, centre - 1), (centre + 1, right)]
-    return out
-
+def compact_windows(values: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, centre, right), inclusive, of every Cartesian-tree node that spans at least `least` values, for many texts at once.
 
-def windows(docs: DataFrame, min_words: int, gram: int, hashes: int) -> DataFrame:
-    """(key, doc_id, place) of all compact windows of all documents.
-
-    place packs the centre (a word number) and how far the window reaches to the left and to the right, as far as matters.
+    values: 64-bit hashes of all texts in a row; ends: for each value, up to where (exclusive) its text has values. left and right are given as far
+    as they are less than `least` from the centre. A node that spans so many values is the minimum of some `least` values in a
+    row, and every such minimum is the centre of such a node; so the nodes are the runs of one centre among the minima of all
+    runs of `least` values, which come from running minima of blocks in both directions.
+    """
+    n = len(values)
+    if n < least:
+        return (np.zeros(0, np.int64),) * 3
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    packed = np.full(-(-n // least) * least, np.iinfo(np.uint64).max, np.uint64)
+    packed[:n] = values >> bits << bits | np.arange(n, dtype=np.uint64)  # the first of equal minima
+    blocks = packed.reshape(-1, least)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    start = np.flatnonzero(np.arange(n - least + 1) + least <= ends[: n - least + 1])
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 3
+    centre = (np.minimum(back[start], ahead[start + least - 1]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
+    last = np.concatenate([begin[1:], [len(start)]]) - 1
+    return start[begin], centre[begin], start[last] + least - 1
+
+
+def windows(docs: DataFrame, min_words: int, gram: int, shingle: int, hashes: int) -> DataFrame:
+    """(key, doc_id, place, sides) of all compact windows of all documents, and (null, doc_id, number of words) of each of them.
+
+    place packs the centre (a word number) and how far the window reaches to the left and to the right, as far as matters;
+    sides packs 32 bits each of the shingles that begin CONTEXT words before the centre and end as many after its gram (0:
+    none, the text ends before).
     """
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("sides", pa.int64())])
     least = max(1, min_words - gram + 1)
 
     def cut(batches):
         for batch in chunked(batches):
             w = Words(*text_buffers(batch.column(1)), NON_SPACE)
-            keys, places, doc = [], [], []
-            for d, i, j in zip(batch.column(0).to_pylist(), w.first.tolist(), w.first[1:].tolist(), strict=False):
-                s = shingle_hashes(w.hash[i:j], gram)
-                if len(s) < least:
-                    continue
-                for seed in _SEEDS[:hashes]:
-                    x = mix(s ^ seed)
-                    left, centre, right = np.array(compact_windows(x, least), np.int64).T
-                    keys.append(x[centre])
-                    places.append(centre << 32 | np.minimum(centre - left, least) << 16 | np.minimum(right - centre, least))
-                    doc.append(np.full(len(centre), d))
-            if keys:
-                yield to_batch(schema, key=np.concatenate(keys).view(np.int64), doc_id=np.concatenate(doc), place=np.concatenate(places))
-
-    return docs.mapInArrow(cut, "key long, doc_id long, place long")
-
-
-def _copies(source: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, first, n) of documents that are a copy of an earlier one, and (doc_id) of those with no other text."""
-    named = source.select("doc_id", F.sha2("text", 256).alias("id"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
-    named = stage(named.where(F.col("n") >= min_words).distinct(), "texts")
+            ids, long = batch.column(0).to_numpy(), np.flatnonzero(w.count >= min_words)
+            if not len(long):
+                continue
+            yield to_batch(schema, key=pa.nulls(len(long), pa.int64()), doc_id=ids[long], place=w.count[long], sides=np.zeros(len(long), np.int64))
+            around = shingle_hashes(w.hash, shingle) >> np.uint64(32) | np.uint64(1)
+            grams = shingle_hashes(w.hash, gram)
+            ends = np.repeat(w.first[1:] - gram + 1, w.count)[: len(grams)]
+            for seed in _SEEDS[:hashes]:
+                x = mix(grams ^ seed)
+                left, centre, right = compact_windows(x, ends, least)
+                text = np.searchsorted(w.first, centre, side="right") - 1
+                place = (centre - w.first[text]) << 32 | (centre - left) << 16 | (right - centre)
+                before, after = centre - CONTEXT, centre + gram + CONTEXT - shingle
+                left = np.where(before >= w.first[text], around[np.maximum(before, 0)], 0)
+                right = np.where(after + shingle <= w.first[text + 1], around[np.minimum(after, len(around) - 1)], 0)
+                sides = (left << np.uint64(32) | right).view(np.int64)
+                yield to_batch(schema, key=x[centre].view(np.int64), doc_id=ids[text], place=place, sides=sides)
+
+    return docs.mapInArrow(cut, "key long, doc_id long, place long, sides long")
+
+
+def _copies(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, first) of documents that are a copy of an earlier one, and (doc_id) of those with no other text."""
+    named = stage(source.select("doc_id", F.sha2("text", 256).alias("id")).distinct(), "texts")
     classes = stage(named.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "classes")
-    copies = stage(named.join(classes, "id").where("doc_id <> first").select("doc_id", "first", "n"), "copies")
+    copies = stage(named.join(classes, "id").where("doc_id <> first").select("doc_id", "first"), "copies")
     several = named.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1")
     dropped = stage(copies.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "dropped")
     unstage(named, classes)
@@ -98,7 +121,8 @@ def _copies(source: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _left_pairs(rest: DataFrame, texts: DataFrame, min_words: int, shingle: int, percent: int) -> DataFrame:
-    """(first, doc_id, at): pairs of documents in windows (group, doc_id, place) of one group whose sketches allow a passage.
+    """(first, doc_id, at): pairs of documents in windows (key, doc_id, place, open) of one key, at least one of them open, whose
+    sketches allow a passage.
 
     A sketch has a bit set for every shingle that a passage of the least length around the centre could reach. Two
     passages share `percent` of their shingles, so their sketches share nearly as many bits.
@@ -106,7 +130,7 @@ def _left_pairs(rest: DataFrame, texts: DataFrame, min_words: int, shingle: int,
     reach = min_words * 100 // percent
     least = (min_words - shingle + 1) * percent // 100
     least -= least // 6  # shingles may share a bit; that so many of them do is next to impossible
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int32()), ("sketch", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int32()), ("open", pa.bool_()), ("sketch", pa.binary())])
 
     def draw(batches):
         for whole in batches:
@@ -119,47 +143,30 @@ def _left_pairs(rest: DataFrame, texts: DataFrame, min_words: int, shingle: int,
                         if f["c"] < len(bits):  # rows of one id may differ in text
                             sketch = np.zeros(SKETCH, bool)
                             sketch[bits[max(0, f["c"] - reach) : f["c"] + reach]] = True
-                            out.append((f["key"], d, f["c"], np.packbits(sketch).tobytes()))
+                            out.append((f["key"], d, f["c"], f["open"], np.packbits(sketch).tobytes()))
                 for k in range(0, len(out), 4096):
                     yield to_batch(schema, **dict(zip(schema.names, zip(*out[k : k + 4096], strict=True), strict=True)))
 
-    by_document = rest.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.expr("int(shiftright(place, 32))").alias("c"))).alias("found"))
-    drawn = by_document.join(texts, "doc_id").select("doc_id", "found", "text").mapInArrow(draw, "key long, doc_id long, c int, sketch binary")
+    by_document = rest.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.expr("int(shiftright(place, 32))").alias("c"), "open")).alias("found"))
+    drawn = by_document.join(texts, "doc_id").select("doc_id", "found", "text").mapInArrow(draw, "key long, doc_id long, c int, open boolean, sketch binary")
     schema_pairs = pa.schema([("first", pa.int64()), ("doc_id", pa.int64()), ("first_c", pa.int32()), ("c", pa.int32())])
 
     def compare(batches):
+        columns = lambda r: (r.field(0).to_numpy(), r.field(1).to_numpy(), np.frombuffer(b"".join(r.field(2).to_pylist()), np.uint64).reshape(len(r), -1))
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                (p, a, s), (q, b, t) = (
-                    (r.field(0).to_numpy(), r.field(1).to_numpy(), np.frombuffer(b"".join(r.field(2).to_pylist()), np.uint64).reshape(len(r), -1)) for r in (x.values, y.values)
-                )
+            for x, y in zip(batch.column(1), batch.column(2), strict=True):
+                p, a, s = columns(x.values)
+                q, b, t = (p, a, s) if y.values is None else columns(y.values)
                 for i in range(len(p)):
                     j = np.flatnonzero((q != p[i]) & (np.bitwise_count(s[i] & t).sum(axis=1) >= least))
                     if len(j):
                         early = p[i] < q[j]
                         yield to_batch(schema_pairs, first=np.minimum(p[i], q[j]), doc_id=np.maximum(p[i], q[j]), first_c=np.where(early, a[i], b[j]), c=np.where(early, b[j], a[i]))
 
-    pairs = pair_blocks(drawn, ["key"], ["doc_id", "c"], ["doc_id", "c", "sketch"], BLOCK, SPREAD).mapInArrow(compare, "first long, doc_id long, first_c int, c int")
+    pairs = pair_blocks(drawn, ["key"], ["doc_id", "c"], ["doc_id", "c", "sketch"], BLOCK, SPREAD, active="open").mapInArrow(compare, "first long, doc_id long, first_c int, c int")
     return pairs.groupBy("first", "doc_id").agg(F.collect_set(F.struct("first_c", "c")).alias("at"))
 
 
-def _with_bitmap(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Documents whose id may be among ids: surely not, if their bit is not set. The bitmap has a fixed size."""
-    bit = F.pmod(F.xxhash64(name), F.lit(BITMAP)) + 1  # the functions number buckets from 1, from the value 1 on
-    parts = ids.select(bit.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m"))
-    size = BITMAP // 8
-    whole = np.zeros(size + 4096 * 8, np.uint8)
-    for r in parts.collect():  # at most BITMAP / 32768 rows of 4 KB
-        whole[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(whole, bitorder="little").astype(bool))
-
-    def keep(batches):
-        for batch in batches:
-            yield batch.select([0, 1]).filter(pa.array(sent.value[batch.column(2).to_numpy()]))
-
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("x")).mapInArrow(keep, "doc_id long, text string")
-
-
 # ---------------------------------------------------------------- verification
 
 
@@ -190,18 +197,28 @@ def _span(x: np.ndarray, y: np.ndarray, a: int, b: int) -> tuple[int, int, int,
     return a - back, a + ahead, b - back, b + ahead
 
 
+def _agreements(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """Places (i, j) of equal values in two short arrays, nearest first, one for each shift i - j."""
+    if len(u) + len(v) > 256:
+        _, i, j = np.intersect1d(u, v, return_indices=True)
+        found = zip(i.tolist(), j.tolist(), strict=True)
+    else:
+        last = dict(zip(v[::-1].tolist(), range(len(v) - 1, -1, -1), strict=True))
+        found = ((i, last[x]) for i, x in enumerate(u.tolist()) if x in last)
+    nearest: dict[int, tuple[int, int]] = {}
+    for i, j in sorted(found, key=sum):
+        nearest.setdefault(i - j, (i, j))
+    return list(nearest.values())
+
+
 def _past_edit(sx: np.ndarray, sy: np.ndarray, a: int, b: int, k: int, step: int, gap: int) -> list[tuple[int, int]]:
     """Places after (step 1) or before (step -1) an edit at (a, b) of at most gap words a side where k words agree again,
-    nearest first, one for each shift of the texts: the begin of the common shingle, or its end."""
+    nearest first: the begin of the common shingle, or its end."""
     if step > 0:
         u, v = sx[a : a + gap + 1], sy[b : b + gap + 1]
     else:
         u, v = sx[max(0, a - k - gap) : max(0, a - k + 1)][::-1], sy[max(0, b - k - gap) : max(0, b - k + 1)][::-1]
-    _, i, j = np.intersect1d(u, v, return_indices=True)  # the nearest place of each shingle in both
-    order = np.argsort(i + j, kind="stable")
-    i, j = i[order], j[order]
-    _, nearest = np.unique(i - j, return_index=True)
-    return [(a + step * int(i[n]), b + step * int(j[n])) for n in np.sort(nearest)]
+    return [(a + step * i, b + step * j) for i, j in _agreements(u, v)]
 
 
 def _similarity(x: np.ndarray, y: np.ndarray, k: int) -> float:
@@ -225,17 +242,21 @@ def common_passage(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray,
             # the shingles that are not common may be so many if all words that follow agree
             rest = min(len(x) - a1, len(y) - b1) if step > 0 else min(a0, b0)
             gap = (common + rest) * (100 - percent) // percent
-            places = _past_edit(sx, sy, a1, b1, k, 1, gap) if step > 0 else _past_edit(sx, sy, a0, b0, k, -1, gap)
-            for at in places:
-                back, ahead = _run(x, y, *at)
-                n = ahead if step > 0 else back
-                new = (a0, at[0] + n, b0, at[1] + n) if step > 0 else (at[0] - n, a1, at[1] - n, b1)
-                shared = common + n - k + 1
-                if 100 * shared >= percent * (new[1] - new[0] + new[3] - new[2] - 2 * (k - 1) - shared):
-                    (a0, a1, b0, b1), common = new, shared
+            grown, near = False, 16
+            while not grown:  # small edits first, then larger ones up to the gap
+                near = min(near, gap)
+                for at in _past_edit(sx, sy, *((a1, b1) if step > 0 else (a0, b0)), k, step, near):
+                    back, ahead = _run(x, y, *at)
+                    n = ahead if step > 0 else back
+                    new = (a0, at[0] + n, b0, at[1] + n) if step > 0 else (at[0] - n, a1, at[1] - n, b1)
+                    shared = common + n - k + 1
+                    if 100 * shared >= percent * (new[1] - new[0] + new[3] - new[2] - 2 * (k - 1) - shared):
+                        (a0, a1, b0, b1), common, grown = new, shared, True
+                        break
+                if not grown and near == gap:
+                    open_ends.remove(step)
                     break
-            else:
-                open_ends.remove(step)
+                near *= 8
     if min(a1 - a0, b1 - b0) < min_words:
         return None
     similarity = _similarity(x[a0:a1], y[b0:b1], k)
@@ -244,10 +265,37 @@ def common_passage(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray,
     return (*exact, 1.0) if exact[1] - exact[0] >= min_words else None
 
 
+def _common_runs(gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of common grams begin in two texts' grams; of a gram that repeats in a text its first place counts."""
+    _, a, b = np.intersect1d(gx, gy, return_indices=True)
+    order = np.argsort(a)
+    a, b = a[order], b[order]
+    begins = np.ones(len(a), bool)
+    begins[1:] = (np.diff(a) != 1) | (np.diff(b) != 1)
+    return a[begins], b[begins]
+
+
+def _hopeful(sx: np.ndarray, sy: np.ndarray, at: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Of places in sx, those around which enough shingles are also in sy: some stretch of at least `least` shingles that holds
+    the place has the wanted part of them. Only such a place can grow into a passage."""
+    weight = np.where(np.isin(sx, sy), 100 - percent, -percent)
+    total = np.concatenate([[0], np.cumsum(weight)])
+    best = np.maximum.accumulate(total[::-1])[::-1]  # of the ends from here on
+    low = np.minimum.accumulate(total)  # of the begins up to here
+    n = len(sx)
+    begins = np.zeros(n + 1, bool)  # where a stretch that is long enough may begin
+    if n >= least:
+        begins[: n - least + 1] = best[least:] >= total[: n - least + 1]
+    so_far = np.concatenate([[0], np.cumsum(begins)])
+    near = so_far[at + 1] > so_far[np.maximum(0, at + 1 - least)]
+    far = (at >= least) & (best[at] >= low[np.maximum(0, at - least)])
+    return near | far
+
+
 _PASSAGE = "doc_id long, start int, end int, first_doc_id long, first_start int, first_end int, similarity double"
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, gram: int, percent: int) -> DataFrame:
     """Passages of candidate pairs (first, doc_id, at: array of centres in both)."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64()), ("first_start", pa.int32()), ("first_end", pa.int32()), ("similarity", pa.float64())])
 
@@ -255,17 +303,20 @@ def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, per
         for part in chunked(batches, "x", PAIR_BYTES):
             for batch in chunked([part], "y", PAIR_BYTES):
                 x, y = (Words(*text_buffers(batch.column(i)), NON_SPACE) for i in (3, 4))
+                (shx, gx), (shy, gy) = ((shingle_hashes(w.hash, shingle), shingle_hashes(w.hash, gram)) for w in (x, y))
                 out = []
                 for i, (first, doc, places) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
-                    u, v = (w.hash[w.first[i] : w.first[i + 1]] for w in (x, y))
-                    su, sv = shingle_hashes(u, shingle), shingle_hashes(v, shingle)
-                    # a pair is compared once, so all its common shingles are tried, those of the windows first
-                    _, more_a, more_b = np.intersect1d(su, sv, return_indices=True)
+                    (a, b), (c, d) = ((w.first[i], w.first[i + 1]) for w in (x, y))
+                    u, v, su, sv = x.hash[a:b], y.hash[c:d], shx[a : max(a, b - shingle + 1)], shy[c : max(c, d - shingle + 1)]
+                    # a pair is compared once, so all its common runs of words are tried, the centres of the windows first
+                    more_a, more_b = _common_runs(gx[a : max(a, b - gram + 1)], gy[c : max(c, d - gram + 1)])
                     tries = [(p["first_c"], p["c"]) for p in places]
                     seen_a, seen_b = np.zeros(len(u), bool), np.zeros(len(v), bool)
                     left = np.concatenate([np.array(tries, np.int64).reshape(-1, 2), np.stack([more_a, more_b], axis=1)])
                     left = left[(left[:, 0] < len(su)) & (left[:, 1] < len(sv))]  # rows of one id may differ in text
                     left = left[su[left[:, 0]] == sv[left[:, 1]]]
+                    if len(left):
+                        left = left[_hopeful(su, sv, left[:, 0], min_words - shingle + 1, percent)]
                     while len(left):
                         (a, b), left = left[0].tolist(), left[1:]
                         passage = common_passage(u, v, su, sv, a, b, min_words, shingle, percent)
@@ -283,6 +334,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, per
     return both.mapInArrow(check, _PASSAGE)
 
 
+_LEFT, _RIGHT = "shiftrightunsigned({0}, 32)", "({0} & 4294967295)"
+
+
+def _same_side(a: str, b: str) -> str:
+    return " OR ".join(f"({side.format(a)} <> 0 AND {side.format(a)} = {side.format(b)})" for side in (_LEFT, _RIGHT))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int = SHINGLE, percent: int = PERCENT, hashes: int = HASHES, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, first_doc_id, first_start, first_end, similarity): passages and where they are found first.
 
@@ -291,24 +349,27 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
     """
     source = documents(docs, id_col, text_col).where("doc_id is not null")
     gram = min(gram, min_words)
-    copies, dropped = _copies(source, min_words)
-    made = stage(windows(source, min_words, gram, hashes), "windows")
-    shared = stage(made.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), "keys")
-    left = stage(made.join(shared, "key").join(dropped, "doc_id", "left_anti").select("key", "doc_id", "place"), "shared-windows")
-    unstage(made, shared)
-    texts = _with_bitmap(source, left.select("doc_id"), "doc_id")
+    copies, dropped = _copies(source)
+    made = stage(windows(source, min_words, gram, shingle, hashes), "windows")
+    shared = stage(made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), "keys")
+    left = stage(made.join(shared, "key").join(dropped, "doc_id", "left_anti").select("key", "doc_id", "place", "sides", F.lit(True).alias("open")), "shared-windows")
+    sizes = made.where("key is null").select("doc_id", F.col("place").cast("int").alias("n"))
+    copied = stage(copies.join(sizes, "doc_id").distinct(), "copied")  # a copy of several texts may have several sizes
+    unstage(made, shared, copies)
+    texts = among(source, left.select("doc_id"))
     least = (min_words - gram + 1) * percent // 100
     reach = lambda p: (F.expr(f"shiftright({p}, 32)"), F.expr(f"shiftright({p}, 16) & 65535"), F.expr(f"{p} & 65535"))
     done = tried = None
     used = [dropped]
     for first_round in (True, False):
-        row = F.struct("doc_id", "place")
+        row = F.struct("doc_id", "place", "sides")
         leads = [F.min(row)] if first_round else [F.min_by(row, F.xxhash64("doc_id")), F.max_by(row, F.xxhash64("doc_id"))]
-        heads = left.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("h"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-        heads = stage(heads.select("key", F.inline("h").alias("lead", "lead_place")), "leads")
+        unsettled = left.where("open")
+        heads = unsettled.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("h"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+        heads = stage(heads.select("key", F.inline("h").alias("lead", "lead_place", "lead_sides")), "leads")
         (c, before, after), (lead_c, lead_before, lead_after) = reach("place"), reach("lead_place")
-        overlap = F.least(before, lead_before) + F.least(after, lead_after) + 1 >= least
-        meets = left.join(heads, "key").withColumns({
+        overlap = (F.least(before, lead_before) + F.least(after, lead_after) + 1 >= least) & F.expr(_same_side("sides", "lead_sides"))
+        meets = unsettled.join(heads, "key").withColumns({
             "later": F.col("doc_id") > F.col("lead"), "first": F.least("doc_id", "lead"), "last": F.greatest("doc_id", "lead"), "c": c.cast("int"), "lead_c": lead_c.cast("int"),
         })
         at = F.when(F.col("later"), F.struct(F.col("lead_c").alias("first_c"), F.col("c"))).otherwise(F.struct(F.col("c").alias("first_c"), F.col("lead_c").alias("c")))
@@ -316,26 +377,33 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
         pairs = pairs.agg(F.collect_set(at).alias("at"))  # at most the windows of one document each
         pairs = stage(pairs if tried is None else pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
         tried = pairs.select("first", "doc_id") if tried is None else tried.union(pairs.select("first", "doc_id"))
-        near = texts if first_round else _with_bitmap(texts, pairs.select("doc_id").union(pairs.select("first")), "doc_id")
-        found = stage(_verify(pairs, near, min_words, shingle, percent).distinct(), "passages")
+        near = texts if first_round else among(texts, pairs.select("doc_id").union(pairs.select("first")))
+        found = stage(_verify(pairs, near, min_words, shingle, gram, percent).distinct(), "passages")
         done = found if done is None else done.unionByName(found)
-        # a window is settled if its centre lies in a passage found with one of its group's leads, or if it was a lead
-        spans = done.groupBy(F.col("first_doc_id").alias("first"), F.col("doc_id").alias("last")).agg(F.collect_list(F.struct("start", "end", "first_start", "first_end")).alias("spans"))
-        judged = meets.join(spans, ["first", "last"], "left")
-        inside = lambda s: F.when(F.col("later"), (s["start"] <= F.col("c")) & (F.col("c") < s["end"])).otherwise((s["first_start"] <= F.col("c")) & (F.col("c") < s["first_end"]))
-        settled = (F.col("doc_id") == F.col("lead")) | F.coalesce(F.exists("spans", inside), F.lit(False))
-        rest = judged.groupBy("key", "doc_id", "place").agg(F.bool_or(settled).alias("settled")).where("not settled")
+        # settled: its centre lies in a passage found in its document, or it was the lead when all of its group were unsettled
+        spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # one document's passages with its groups' leads
+        inside = F.coalesce(F.exists("spans", lambda s: (s["start"] <= c) & (c < s["end"])), F.lit(False))
+        judged = left.join(spans, "doc_id", "left").withColumn("open", F.col("open") & ~inside).drop("spans")
+        if first_round:
+            led = heads.select("key", F.col("lead").alias("doc_id"), F.lit(True).alias("led"))
+            judged = judged.join(led, ["key", "doc_id"], "left").withColumn("open", F.col("open") & F.col("led").isNull())
         used += [left, heads, pairs, found]
-        left = stage(rest.select("key", "doc_id", "place"), "shared-windows")
-
-    sizes = stage(left.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), "keys")
-    rest = left.join(sizes, "key")
-    pairs = _left_pairs(rest, _with_bitmap(texts, rest.select("doc_id"), "doc_id"), min_words, shingle, percent)
+        left = stage(judged.select("key", "doc_id", "place", "sides", "open"), "shared-windows")
+
+    # what is left meets all windows with its key and one side
+    opened = stage(left.where("open").select("key").distinct(), "opened")
+    side = lambda n, bits: F.when(F.expr(f"{bits} <> 0"), F.xxhash64("key", F.lit(n), F.expr(bits)))
+    both_sides = F.explode(F.array_compact(F.array(side(1, _LEFT.format("sides")), side(2, _RIGHT.format("sides"))))).alias("key")
+    sided = stage(left.join(opened, "key", "left_semi").select(both_sides, "doc_id", "place", "open"), "sided")
+    alone = sided.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_or("open").alias("o")).where("a < b and o")
+    alone = stage(alone.select("key"), "keys")
+    rest = stage(sided.join(alone, "key"), "sided")
+    pairs = _left_pairs(rest, among(texts, rest.select("doc_id")), min_words, shingle, percent)
     pairs = stage(pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
-    near = _with_bitmap(texts, pairs.select("doc_id").union(pairs.select("first")), "doc_id")
-    found = _verify(pairs, near, min_words, shingle, percent)
+    near = among(texts, pairs.select("doc_id").union(pairs.select("first")))
+    found = _verify(pairs, near, min_words, shingle, gram, percent)
     firsts = found.groupBy("doc_id", "start", "end").agg(F.min(F.struct("first_doc_id", "first_start", "first_end", "similarity")).alias("x"))
-    whole = copies.select("doc_id", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), F.col("first").alias("first_doc_id"), F.lit(0).alias("first_start"), F.col("n").cast("int").alias("first_end"), F.lit(1.0).alias("similarity"))
+    whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("first").alias("first_doc_id"), F.lit(0).alias("first_start"), F.col("n").alias("first_end"), F.lit(1.0).alias("similarity"))
     out = stage(done.unionByName(firsts.select("doc_id", "start", "end", "x.*")).unionByName(whole), "passages")
-    unstage(*used, left, sizes, pairs, copies)
+    unstage(*used, left, opened, sided, alone, rest, pairs, copied)
     return out

@@ -4,14 +4,16 @@ A dataset folder holds, for each part, `part-N.ids` (uint16 or uint32, little-en
 than the part's documents, counted from the part's first id) and `part-N.docs` (int64 document ids). Parts follow each
 other in ascending doc_id order; the manifest's bases, prefix sums of the parts' sizes, make offsets global.
 
-Nulls: null text is an empty document (only the end id); rows with a null doc_id come first and are stored as the lowest
-64-bit integer. Repeated rows stay repeated, in an order fixed by doc_id and text. An empty table gives a dataset with no
-documents. Other columns are ignored.
+Nulls: null text is an empty document (only the end id); rows with a null doc_id come first, and the manifest says how many
+of a part's documents have none. Repeated rows stay repeated, in an order fixed by doc_id, a hash of the text and the text, by
+which also a doc_id of very many rows is spread over parts. An empty table gives a dataset with no documents. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,13 +27,12 @@ from pyspark.sql import functions as F
 from mnemospark.llm.common import chunked, documents, new_path, text_buffers, to_batch
 from mnemospark.llm.tokens import END_ID, default_path, encoder
 
-NULL_ID = -(1 << 63)
 _READ_IDS = 1 << 20
 
 
 def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, dtype: str, schema: pa.Schema):
     code, names, outs = encoder(tokenizer, end_id), None, None
-    docs = ids_written = 0
+    docs = ids_written = nulls = 0
     store, base = pafs.FileSystem.from_uri(folder)
     attempt, part = uuid.uuid4().hex, -1
     for batch in chunked(batches):
@@ -43,14 +44,16 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
         ids, offsets = code.encode(*text_buffers(batch.column(batch.schema.get_field_index("text"))))
         outs[0].write(ids.astype(dtype).tobytes())
         outs[1].write((offsets[1:] + ids_written).astype("<u8").tobytes())
-        outs[2].write(batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+        doc_id = batch.column(batch.schema.get_field_index("doc_id"))
+        outs[2].write(doc_id.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+        nulls += doc_id.null_count
         docs, ids_written = docs + batch.num_rows, ids_written + len(ids)
     if outs is None:
         return
     for out, name in zip(outs, names, strict=True):
         out.close()
-        store.move(f"{name}.{attempt}", name)  # a lost or repeated attempt never leaves half a part
-    yield to_batch(schema, part=[part], docs=[docs], ids=[ids_written])
+        store.move(f"{name}.{attempt}", name)  # a lost or repeated attempt never leaves half a part under its name
+    yield to_batch(schema, part=[part], docs=[docs], ids=[ids_written], nulls=[nulls])
 
 
 def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -64,20 +67,22 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
     dtype = "<u2" if _vocabulary(tokenizer) <= 1 << 16 else "<u4"
     ordered = (
         documents(docs, id_col, text_col)
-        .select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .repartitionByRange("doc_id", F.xxhash64("text"))
+        .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
         .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )
-    schema = pa.schema([("part", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
-    rows = ordered.mapInArrow(lambda it: _write_part(it, folder, tokenizer, end_id, dtype, schema), "part long, docs long, ids long").collect()
+    schema = pa.schema([("part", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("nulls", pa.int64())])
+    rows = ordered.mapInArrow(lambda it: _write_part(it, folder, tokenizer, end_id, dtype, schema), "part long, docs long, ids long, nulls long").collect()
     parts, base = [], 0
     for r in sorted(rows):
-        parts.append({"part": r.part, "docs": r.docs, "ids": r.ids, "base": base})
+        parts.append({"part": r.part, "docs": r.docs, "ids": r.ids, "nulls": r.nulls, "base": base})
         base += r.ids
     store, path = pafs.FileSystem.from_uri(folder)
     with store.open_output_stream(f"{path}/manifest.json") as out:
         out.write(json.dumps({"dtype": dtype, "end_id": end_id, "ids": base, "parts": parts}).encode())
+    for info in store.get_file_info(pafs.FileSelector(path)):  # what failed attempts have left
+        if re.search(r"/part-[0-9]+\.[a-z]+\.[0-9a-f]{32}$", info.path):
+            store.delete_file(info.path)
     return folder
 
 
@@ -143,7 +148,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     cut = ((at - at[0]) * 4).tolist()
                     raw = flat.tobytes()
                     doc_ids = docs.read(begin, begin + n)
-                    yield to_batch(schema, doc_id=pa.array(doc_ids, mask=doc_ids == NULL_ID), start=at[:-1] + part["base"], n_tokens=np.diff(at), ids=[raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])
+                    yield to_batch(schema, doc_id=pa.array(doc_ids, mask=np.arange(begin, begin + n) < part["nulls"]), start=at[:-1] + part["base"], n_tokens=np.diff(at), ids=[raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])
                     begin += n
 
     return spark.range(0, len(numbers), 1, max(1, len(numbers))).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids binary")

@@ -5,8 +5,13 @@ url must hold as whole tokens. Each rule is filed under the one of them that is
 fetch candidate rules by an equi-join, and only those run their expressions. Rules without a whole literal token are filed
 under an empty token that every url has. Work is done once a distinct host and path.
 
-Null urls and urls without `://` have an empty host and path, fit no rule and are allowed. Repeated pages are judged each
-for itself; an empty table gives no rows; other columns are ignored.
+Rules come from a list of hosts and paths and from a table of patterns (verdict, pattern), which may be of any size: `||host`
+fits a host and its subdomains, `*` any run of characters, `^` one character that isn't a letter or digit, or an end; other
+characters mean themselves, in lower case as in the url's host and path.
+
+Null urls and urls without `://` have an empty host and path, fit no rule, take no part in the joins and are allowed. Null
+patterns and verdicts other than allow and block are no rules. Repeated pages are judged each for itself; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +41,19 @@ def word_rule(verdict: str, word: str) -> Rule:
 
 
 DEFAULT_WORD_RULES = [word_rule("block", w) for w in SPAM_WORDS]
+_RULE = "name string, expression string, tokens array<string>, verdict string, level int, length int"
+
+
+def pattern_rules(table: DataFrame) -> DataFrame:
+    """Rules of a table (verdict, pattern). A token is a run of letters and digits of the pattern that has another literal character, or
+    the begin of a host, on either side; only such runs are whole tokens of every url that fits."""
+    rows = table.where("pattern is not null and pattern <> '' and verdict in ('allow', 'block')").select("verdict", F.lower("pattern").alias("pattern")).distinct()
+    body = F.regexp_replace("pattern", r"^[|][|]", "")
+    literal = F.regexp_replace(body, r"([^0-9a-z*^])", r"\\$1")
+    inner = F.replace(F.replace(literal, F.lit("^"), F.lit("(?:[^0-9a-z]|$)")), F.lit("*"), F.lit(".*"))
+    site = F.when(F.startswith("pattern", F.lit("||")), r"^(?:[^/]*\.)?").otherwise("")
+    tokens = F.regexp_extract_all(F.concat(F.when(F.startswith("pattern", F.lit("||")), "|").otherwise(""), body), F.lit(r"(?<=[^0-9a-z*])[0-9a-z]+(?=[^0-9a-z*])"), F.lit(0))
+    return rows.select(F.lit(None).cast("string").alias("name"), F.concat(site, inner).alias("expression"), tokens.alias("tokens"), "verdict", F.lit(0).alias("level"), F.length("pattern").alias("length"))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -48,16 +66,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], word_rules: list[Rule] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every page: the longest fitting host rule decides, else any word rule, else allow."""
+def judge_urls(pages: DataFrame, rules: list[Rule], word_rules: list[Rule] | None = None, id_col: str = "page_id", url_col: str = "url", patterns: DataFrame | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page: the longest fitting host rule decides, else the longest other rule (of
+    equal ones a blocking one), else allow. patterns: a table as pattern_rules() takes it."""
     spark = pages.sparkSession
     all_rules = [*rules, *(DEFAULT_WORD_RULES if word_rules is None else word_rules)]
-    schema = "name string, expression string, tokens array<string>, verdict string, level int, length int, id int"
-    table = spark.createDataFrame([(*r, i) for i, r in enumerate(all_rules)], schema)
+    table = spark.createDataFrame([tuple(r) for r in all_rules], _RULE)
+    if patterns is not None:
+        table = table.unionByName(pattern_rules(patterns))
+    table = table.withColumn("id", F.xxhash64("level", "expression", "verdict", F.coalesce("name", F.lit(""))))
 
     host, path = host_and_path(F.col(url_col))
     split = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = split.groupBy("host", "path").agg(F.count("*").alias("n"))
+    named_urls = split.where("host <> '' or path <> ''")
+    urls = named_urls.groupBy("host", "path").agg(F.count("*").alias("n"))
     words = F.array_distinct(F.split(F.lower(F.concat("host", F.lit(" "), "path")), "[^0-9a-z]+"))
     tokens = urls.select("host", "path", "n", F.explode(F.array_union(words, F.array(F.lit("")))).alias("token"))
 
@@ -69,4 +91,5 @@ def judge_urls(pages: DataFrame, rules: list[Rule], word_rules: list[Rule] | Non
     fits = tokens.join(index, "token").where(F.expr("concat(host, path) rlike expression"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("level", "length", F.expr("verdict = 'block'").alias("b"), "name", "verdict")).alias("x"))
     best = best.select("host", "path", F.col("x.name").alias("rule"), F.col("x.verdict").alias("found"))
-    return split.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("found", F.lit("allow")).alias("verdict"))
+    judged = named_urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("found", F.lit("allow")).alias("verdict"))
+    return judged.unionByName(split.where("host = '' and path = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict")))

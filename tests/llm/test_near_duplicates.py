@@ -86,7 +86,23 @@ def test_links_between_documents_that_never_lead(spark):
     rng.shuffle(rows)
     want = brute_groups(rows, 5)
     assert sum(c != d for d, c in want.items()) == 3
-    got = minhash.near_duplicate_groups(table(spark, rows), bands=2, rows=1).collect()
+    # six bands of one minimum: a pair of similarity 0.86 shares none of them once in 100,000 families of hashes
+    got = minhash.near_duplicate_groups(table(spark, rows), bands=6, rows=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_template_corpus(spark):
+    """900 variants of one text, mostly below the threshold among each other, and 30 pairs above it."""
+    rng = random.Random(17)
+    base = words(rng, 200, 10**6)
+    edit = lambda w, n: [f"e{rng.randrange(10**9)}" if i in chosen else x for chosen in [set(rng.sample(range(len(w)), n))] for i, x in enumerate(w)]
+    texts = [edit(base, 5) for _ in range(900)]
+    texts += [edit(w, 2) for w in texts[:30]]
+    rows = [(d, " ".join(w)) for d, w in enumerate(texts)]
+    rng.shuffle(rows)
+    want = brute_groups(rows, 4)
+    assert 30 <= sum(d != c for d, c in want.items()) < 100
+    got = minhash.near_duplicate_groups(table(spark, rows), shingle=4).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
@@ -153,9 +169,13 @@ def test_contaminated_documents_go(spark, odd_rows):
     rows, items = contamination_case(odd_rows)
     df, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     out = decontaminate.decontaminate(df, bench)
-    bad = {d for d, t in rows if d and (h := brute_hits(t, items))[1] and 20 * len(h[1]) >= h[0]}
-    assert out.columns == df.columns and bad
-    assert sorted(r.doc_id or -1 for r in out.collect()) == sorted(d or -1 for d, _ in rows if d not in bad)
+    is_bad = lambda t: bool((h := brute_hits(t, items))[1]) and 20 * len(h[1]) >= h[0]
+    assert out.columns == df.columns and any(is_bad(t) for _, t in rows)
+    assert sorted(r.doc_id or -1 for r in out.collect()) == sorted(d or -1 for d, t in rows if not is_bad(t))
+    bad = next(t for _, t in rows if is_bad(t))
+    some = table(spark, [(900, bad), (900, "clean"), (None, bad), (None, "clean too"), (None, None)])
+    for block in (200_000, 60):
+        assert {r.text for r in decontaminate.decontaminate(some, bench, block=block).collect()} == {"clean", "clean too", None}
 
 
 def test_query_digest(spark, odd_rows, tmp_path):

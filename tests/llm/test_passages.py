@@ -16,7 +16,7 @@ from tests.llm.test_rules import brute_base, brute_counts, labelled
 
 
 def brute_windows(x, least):
-    """Maximal (left, right) around each centre within which it is the (first) least value."""
+    """Maximal (left, right) around each centre within which it is the (first) least value, less than `least` from it."""
     out = []
     for c in range(len(x)):
         left = c
@@ -26,15 +26,18 @@ def brute_windows(x, least):
         while right + 1 < len(x) and x[right + 1] >= x[c]:
             right += 1
         if right - left + 1 >= least:
-            out.append((left, c, right))
+            out.append((max(left, c - least + 1), c, min(right, c + least - 1)))
     return out
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_compact_windows(seed):
     rng = np.random.default_rng(seed)
-    x = rng.integers(0, 40 if seed % 2 else 10**9, 300).astype(np.uint64)
-    assert sorted(substrings.compact_windows(x, 12)) == sorted(brute_windows(x, 12))
+    x = rng.integers(0, 40 if seed % 2 else 10**9, 300).astype(np.uint64) << np.uint64(32)
+    cuts = [0, 100, 105, 105, 117, 300]  # several texts in a row
+    want = [(a + i, a + c, a + j) for a, b in zip(cuts, cuts[1:], strict=False) for i, c, j in brute_windows(x[a:b], 12)]
+    ends = np.repeat(cuts[1:], np.diff(cuts))
+    assert list(zip(*(v.tolist() for v in substrings.compact_windows(x, ends, 12)), strict=True)) == sorted(want, key=lambda w: w[1])
 
 
 def planted(rng):

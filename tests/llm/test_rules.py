@@ -266,3 +266,22 @@ def test_scores_match_brute_force(spark, odd_rows):
 def test_scores_of_nothing(spark):
     none, known = table(spark, []), spark.createDataFrame([], "doc_id long, quality int")
     assert lm_score.score(none, lm_score.fit(none, known, bits=17), known, bits=17).count() == 0
+
+
+def test_pattern_rules_of_a_table(spark):
+    urls = ["http://ads.example.org/x/banner-7.gif", "http://myads.example.org/", "http://a.b/ads/", "http://a.b/Ads", "http://a.b/loads/", "http://x.ads.net/q", "http://a.b/p.a-q", "http://a.b/pxa-q", None, "no url", "http://a.b/good/ads/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([("block", "||ads.*^"), ("block", "/ADS^"), ("allow", "/good/ads/"), ("block", "/p.a-"), ("block", None), ("other", "a"), ("block", "")], "verdict string, pattern string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, [], [], patterns=table).collect()}
+    blocked = {0, 2, 5, 6}
+    assert got == {i: "block" if i in blocked else "allow" for i in range(len(urls))}
+    tokens = {tuple(r.tokens) for r in url_filter.pattern_rules(table).collect()}
+    assert tokens == {("ads",), ("good", "ads"), ("p", "a")}
+
+
+def test_account_number_before_other_capitals(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF and GB82 WEST 1234 5698 7654 33 NONE"
+    rows = spark.createDataFrame([(1, text, "x")], "doc_id long, text string, _pii_spans_base string")
+    assert [(x.kind, x.text) for x in pii.find_pii(rows).first().spans] == [("iban", "DE89 3704 0044 0532 0130 00")]
+    r = pii.redact(rows).first()
+    assert r.text.startswith("IBAN [IBAN] BIC COBADEFF") and r["_pii_spans_base"] == "x"

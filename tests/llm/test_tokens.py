@@ -54,6 +54,9 @@ def test_token_files_of_nothing_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b", None, None)], SCHEMA)
     row = token_files.read_token_files(spark, token_files.write_token_files(df)).first()
     assert row.doc_id is None and row.n_tokens == 3
+    df = spark.createDataFrame([(None, "a", None, None), (-(1 << 63), "b", None, None), (0, "c", None, None), (None, "d", None, None)], SCHEMA)
+    rows = token_files.read_token_files(spark, token_files.write_token_files(df)).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, -(1 << 63), 0]
 
 
 def test_packing_places_every_piece_once(spark, docs, library):
