@@ -28,10 +28,10 @@ from mnemospark.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 45, 6
-#: Standard errors that a signature's estimate may lie below the threshold before a pair is dropped unseen.
-SLACK_SIGMAS = 6.0
+#: Standard errors (less likely together than a pair that shares no bucket) that a signature's estimate may lie below the threshold before a pair is dropped unseen.
+SLACK_SIGMAS = 5.0
 #: Documents of a bucket that the last step handles as one block, and blocks that meet all others in one task.
-BLOCK, SPREAD = 64, 8
+BLOCK, SPREAD = 256, 8
 _SEED = 20_240_229
 
 

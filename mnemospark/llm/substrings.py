@@ -30,6 +30,8 @@ document. Repeats inside one document are not reported. An empty table gives no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +45,7 @@ CONTEXT = 6
 #: Bits of the sketch of a window's shingles.
 SKETCH = 2048
 #: Windows of a group in one block of the last step, and blocks that meet all others in one task.
-BLOCK, SPREAD = 64, 8
+BLOCK, SPREAD = 256, 8
 #: Bytes of text of candidate pairs that are verified at once.
 PAIR_BYTES = 1 << 18
 _SEEDS = np.random.default_rng(577_215).integers(1, 1 << 63, 64, dtype=np.uint64)
@@ -211,14 +213,28 @@ def _agreements(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     return list(nearest.values())
 
 
-def _past_edit(sx: np.ndarray, sy: np.ndarray, a: int, b: int, k: int, step: int, gap: int) -> list[tuple[int, int]]:
-    """Places after (step 1) or before (step -1) an edit at (a, b) of at most gap words a side where k words agree again,
-    nearest first: the begin of the common shingle, or its end."""
+def _past_edit(sx: np.ndarray, sy: np.ndarray, a: int, b: int, k: int, step: int, gap: int) -> Iterator[tuple[int, int]]:
+    """Places after (step 1) or before (step -1) an edit at (a, b) of at most gap words a side where k words agree again: the
+    begin of the common shingle, or its end. Replaced words and one or two more or fewer come first, then the nearest."""
     if step > 0:
         u, v = sx[a : a + gap + 1], sy[b : b + gap + 1]
     else:
         u, v = sx[max(0, a - k - gap) : max(0, a - k + 1)][::-1], sy[max(0, b - k - gap) : max(0, b - k + 1)][::-1]
-    return [(a + step * i, b + step * j) for i, j in _agreements(u, v)]
+    for i, j in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2)):
+        n = min(32, len(u) - i, len(v) - j)
+        if n > 0:
+            same = u[i : i + n] == v[j : j + n]
+            first = int(same.argmax())
+            if same[first]:
+                yield a + step * (i + first), b + step * (j + first)
+    near = 16
+    while True:
+        near = min(near, gap)
+        for i, j in _agreements(u[: near + 1], v[: near + 1]):
+            yield a + step * i, b + step * j
+        if near == gap:
+            return
+        near *= 8
 
 
 def _similarity(x: np.ndarray, y: np.ndarray, k: int) -> float:
@@ -227,36 +243,37 @@ def _similarity(x: np.ndarray, y: np.ndarray, k: int) -> float:
     return common / max(1, len(s) + len(t) - common)
 
 
-def common_passage(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, a: int, b: int, min_words: int, k: int, percent: int) -> tuple[int, int, int, int, float] | None:
+def _also_in(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """How many of the first shingles of s are also in t, for every number of them from 0 on."""
+    return np.concatenate([[0], np.cumsum(np.isin(s, t))])
+
+
+def common_passage(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, a: int, b: int, min_words: int, k: int, percent: int, shared_x: np.ndarray | None = None) -> tuple[int, int, int, int, float] | None:
     """The passage around the shared shingle at (a, b): places in x and y, end exclusive, and its similarity; None if too short.
 
-    x and y are word hashes, sx and sy their shingles. The run of equal words grows over one edit after another at either
+    x and y are word hashes, sx and sy their shingles, shared_x is _also_in(sx, sy). The run of equal words grows over one edit after another at either
     end, as long as the shingles of the runs are the wanted part of all; the result is measured on its sets.
     """
     if max(a - len(sx), b - len(sy)) >= 0 or sx[a] != sy[b]:
         return None
+    shared_x = _also_in(sx, sy) if shared_x is None else shared_x
     exact = a0, a1, b0, b1 = _span(x, y, a, b)
     common, open_ends = a1 - a0 - k + 1, [1, -1]
     while open_ends:
         for step in list(open_ends):
-            # the shingles that are not common may be so many if all words that follow agree
-            rest = min(len(x) - a1, len(y) - b1) if step > 0 else min(a0, b0)
+            # the shingles that are not common may be so many if all that follow and are in both become common
+            rest = int(shared_x[-1] - shared_x[min(a1 - k + 1, len(sx))] if step > 0 else shared_x[a0])
             gap = (common + rest) * (100 - percent) // percent
-            grown, near = False, 16
-            while not grown:  # small edits first, then larger ones up to the gap
-                near = min(near, gap)
-                for at in _past_edit(sx, sy, *((a1, b1) if step > 0 else (a0, b0)), k, step, near):
-                    back, ahead = _run(x, y, *at)
-                    n = ahead if step > 0 else back
-                    new = (a0, at[0] + n, b0, at[1] + n) if step > 0 else (at[0] - n, a1, at[1] - n, b1)
-                    shared = common + n - k + 1
-                    if 100 * shared >= percent * (new[1] - new[0] + new[3] - new[2] - 2 * (k - 1) - shared):
-                        (a0, a1, b0, b1), common, grown = new, shared, True
-                        break
-                if not grown and near == gap:
-                    open_ends.remove(step)
+            for at in _past_edit(sx, sy, *((a1, b1) if step > 0 else (a0, b0)), k, step, gap):
+                back, ahead = _run(x, y, *at)
+                n = ahead if step > 0 else back
+                new = (a0, at[0] + n, b0, at[1] + n) if step > 0 else (at[0] - n, a1, at[1] - n, b1)
+                shared = common + n - k + 1
+                if 100 * shared >= percent * (new[1] - new[0] + new[3] - new[2] - 2 * (k - 1) - shared):
+                    (a0, a1, b0, b1), common = new, shared
                     break
-                near *= 8
+            else:
+                open_ends.remove(step)
     if min(a1 - a0, b1 - b0) < min_words:
         return None
     similarity = _similarity(x[a0:a1], y[b0:b1], k)
@@ -275,21 +292,40 @@ def _common_runs(gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[begins], b[begins]
 
 
-def _hopeful(sx: np.ndarray, sy: np.ndarray, at: np.ndarray, least: int, percent: int) -> np.ndarray:
-    """Of places in sx, those around which enough shingles are also in sy: some stretch of at least `least` shingles that holds
-    the place has the wanted part of them. Only such a place can grow into a passage."""
-    weight = np.where(np.isin(sx, sy), 100 - percent, -percent)
-    total = np.concatenate([[0], np.cumsum(weight)])
-    best = np.maximum.accumulate(total[::-1])[::-1]  # of the ends from here on
-    low = np.minimum.accumulate(total)  # of the begins up to here
-    n = len(sx)
-    begins = np.zeros(n + 1, bool)  # where a stretch that is long enough may begin
-    if n >= least:
-        begins[: n - least + 1] = best[least:] >= total[: n - least + 1]
-    so_far = np.concatenate([[0], np.cumsum(begins)])
+def _stretches(begin: np.ndarray, end: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """Of places in two arrays of equal length, those with p <= at <= q, q - p at least `least` and begin[p] <= end[q]."""
+    best = np.maximum.accumulate(end[::-1])[::-1]  # of the ends from here on
+    low = np.minimum.accumulate(begin)  # of the begins up to here
+    starts = np.zeros(len(begin), bool)
+    if len(begin) > least:
+        starts[: len(begin) - least] = best[least:] >= begin[: len(begin) - least]
+    so_far = np.concatenate([[0], np.cumsum(starts)])
     near = so_far[at + 1] > so_far[np.maximum(0, at + 1 - least)]
-    far = (at >= least) & (best[at] >= low[np.maximum(0, at - least)])
-    return near | far
+    return near | ((at >= least) & (best[at] >= low[np.maximum(0, at - least)]))
+
+
+def _hopeful(sx: np.ndarray, sy: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the places (a, b) of common runs can grow into a passage of `least` shingles or more, and _also_in(sx, sy).
+
+    Where no shingle repeats, the common ones pair off; a passage from the pair p to the pair q has at most q - p + 1 of them,
+    and the others of both sides must be few enough. Else some stretch around the place must have enough of the other
+    text's shingles, in both texts.
+    """
+    (ux, first_x), (uy, first_y) = (np.unique(s, return_index=True) for s in (sx, sy))
+    if len(ux) < len(sx) or len(uy) < len(sy):
+        counts = _also_in(sx, sy), _also_in(sy, sx)
+        totals = [100 * n - percent * np.arange(len(n)) for n in counts]
+        return _stretches(totals[0], totals[0], a, least) & _stretches(totals[1], totals[1], b, least), counts[0]
+    _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+    i, j = first_x[i], first_y[j]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    # shared * (100 - percent) >= percent * others, for both texts together
+    value = np.arange(len(i)) * (100 + percent) - percent * (i + j)
+    found = _stretches(value, value + 100 - percent, np.searchsorted(i, a), (least * percent + 99) // 100 - 1)
+    mask = np.zeros(len(sx), np.int64)
+    mask[i] = 1
+    return found, np.concatenate([[0], np.cumsum(mask)])
 
 
 _PASSAGE = "doc_id long, start int, end int, first_doc_id long, first_start int, first_end int, similarity double"
@@ -315,11 +351,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, gra
                     left = np.concatenate([np.array(tries, np.int64).reshape(-1, 2), np.stack([more_a, more_b], axis=1)])
                     left = left[(left[:, 0] < len(su)) & (left[:, 1] < len(sv))]  # rows of one id may differ in text
                     left = left[su[left[:, 0]] == sv[left[:, 1]]]
+                    shared_u = None
                     if len(left):
-                        left = left[_hopeful(su, sv, left[:, 0], min_words - shingle + 1, percent)]
+                        some, shared_u = _hopeful(su, sv, left[:, 0], left[:, 1], min_words - shingle + 1, percent)
+                        left = left[some]
                     while len(left):
                         (a, b), left = left[0].tolist(), left[1:]
-                        passage = common_passage(u, v, su, sv, a, b, min_words, shingle, percent)
+                        passage = common_passage(u, v, su, sv, a, b, min_words, shingle, percent, shared_u)
                         a0, a1, b0, b1, s = passage or (*_span(u, v, a, b), 0)
                         seen_a[a0:a1], seen_b[b0:b1] = True, True  # shorter runs of equal words are not tried again either
                         left = left[~(seen_a[left[:, 0]] & seen_b[left[:, 1]])]
