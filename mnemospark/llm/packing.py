@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by exact complements.
 
 Documents are encoded and only those longer than the capacity are cut. All that the plan needs is how many pieces there
-are of each length, at most `capacity` numbers. The plan takes the longest length left, looks up single, pair and triple
-sums of available lengths that fill its gap exactly, and failing that adds the longest piece that fits and tries again;
+are of each length, at most `capacity` numbers. The plan takes the longest length left, looks its gap up among the single, pair
+and triple sums of available lengths, and failing that adds the longest piece that fits and tries again;
 each composition is consumed as often as the counts allow, so a plan has about as many compositions as there are lengths
 however many documents there are. Pieces then find their place from their length and their rank among pieces of that
 length; ranks come from per-task counts and prefix sums, never from one sorted group.
@@ -28,46 +28,64 @@ CAPACITY = 4096
 
 
 class ComplementIndex:
-    """Which sums of one, two or three available lengths fill a gap exactly."""
-
-    def __init__(self, available: np.ndarray):
-        self.available = available
-        self.present = (available > 0).astype(float)
-        size = 1 << int(np.ceil(np.log2(2 * len(available) + 1)))
-        spectrum = np.fft.rfft(self.present, size)
-        self.pairs = np.fft.irfft(spectrum * spectrum, size)[: len(available)] > 0.5
-
-    def pair(self, total: int, most: int | None = None) -> tuple[int, int] | None:
-        """Two lengths of that sum, the longer one as long as can be (at most `most`)."""
-        if total < 2:
-            return None
-        small = np.arange(1, total // 2 + 1)
-        large = total - small
-        fits = (self.available[small] > 0) & (self.available[large] > 0) & ((small != large) | (self.available[large] > 1))
-        if most is not None:
-            fits &= large <= most
-        at = int(np.argmax(fits)) if len(fits) else 0
-        return (int(large[at]), int(small[at])) if len(fits) and fits[at] else None
-
-    def fill(self, gap: int) -> list[int] | None:
-        if self.available[gap] > 0:
-            return [gap]
-        if self.pairs[gap] and (two := self.pair(gap)):
-            return list(two)
-        first = np.arange(gap - 2, 0, -1)
-        for c in first[(self.available[first] > 0) & self.pairs[gap - first]].tolist():
-            self.available[c] -= 1
-            two = self.pair(gap - c)
-            self.available[c] += 1
-            if two:
-                return [c, *two]
+    """Sums of one, two and three lengths, each looked up by its total under the counts that are left.
+
+    The pairs of a total, and the first lengths of its triples, are listed once, longest first. A mark moves past those whose
+    lengths have run out; counts only fall, so none is ever passed twice.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left  # the plan takes pieces out of it
+        self.pairs: dict[int, list] = {}  # total -> [longer lengths, mark]
+        self.firsts: dict[int, list] = {}  # total -> [longest lengths, mark]
+
+    def pair(self, total: int, free: np.ndarray) -> tuple[int, int] | None:
+        """Two lengths of that sum, the longer one as long as can be, of which `free` (at most what is left) has enough."""
+        if total not in self.pairs:
+            small = np.arange(1, total // 2 + 1)
+            self.pairs[total] = [(total - small)[(self.left[small] > 0) & (self.left[total - small] > 0)].tolist(), 0]
+        entry = self.pairs[total]
+        longer, at = entry
+        while at < len(longer):
+            a, b = longer[at], total - longer[at]
+            if self.left[a] > 0 and self.left[b] > (a == b):
+                if free[a] > 0 and free[b] > (a == b):
+                    return a, b
+            elif at == entry[1]:
+                entry[1] += 1
+            at += 1
         return None
 
+    def triple(self, total: int, free: np.ndarray) -> tuple[int, int, int] | None:
+        if total not in self.firsts:
+            self.firsts[total] = [(np.flatnonzero(self.left[1 : total - 1] > 0)[::-1] + 1).tolist() if total > 2 else [], 0]
+        entry = self.firsts[total]
+        longest, at = entry
+        while at < len(longest):
+            c = longest[at]
+            if self.left[c] > 0 and self.pair(total - c, self.left):
+                if free[c] > 0:
+                    free[c] -= 1
+                    two = self.pair(total - c, free)
+                    free[c] += 1
+                    if two:
+                        return c, *two
+            elif at == entry[1]:
+                entry[1] += 1
+            at += 1
+        return None
+
+    def fill(self, gap: int, free: np.ndarray) -> list[int] | None:
+        """One, two or three free lengths that fill the gap exactly."""
+        if free[gap] > 0:
+            return [gap]
+        return list(self.pair(gap, free) or self.triple(gap, free) or ()) or None
+
 
 def pack_counts(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """Compositions (times, [(length, pieces of it), ...]) that use up counts[length] pieces of every length."""
     left, out = counts.astype(np.int64).copy(), []
-    longest = capacity
+    index, longest = ComplementIndex(left), capacity
     while True:
         while longest > 0 and not left[longest]:
             longest -= 1
@@ -76,7 +94,7 @@ def pack_counts(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int,
         free, used, gap = left.copy(), [longest], capacity - longest
         free[longest] -= 1
         while gap:
-            if exact := ComplementIndex(free).fill(gap):
+            if exact := index.fill(gap, free):
                 used += exact
                 break
             fitting = np.flatnonzero(free[: gap + 1])
