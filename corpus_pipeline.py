@@ -2,7 +2,7 @@
 
 Each stage works on all rows that the stage before it kept; the first four return the columns of documents, the last one
 returns packed pieces. The quality classifier and the MinHash bands make the result one that SQL can't express, so it is
-tested against a brute-force version (tests/llm/test_pipeline.py).
+tested against a brute-force version (tests/llm/test_passages.py).
 """
 
 from __future__ import annotations
