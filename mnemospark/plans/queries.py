@@ -537,18 +537,27 @@ def _fact_replies(spark, sf_dir):
     records = facts.extraction_records(blocks, ingest.explode_messages(ingest.messages_of(V.requests(spark, sf_dir))))
     word = F.element_at(F.split("content", " "), 1)
     item = F.to_json(F.struct(F.lit("I").alias("subject"), F.lit("works  at").alias("relation"), F.concat(F.lit("place "), F.col("source_index").cast("string")).alias("object"), word.alias("quote"), (F.col("local_index") == 0).alias("supersedes")))
-    n = F.pmod(F.xxhash64("parent_memory_id", "source_index"), F.lit(4))
+    n = (F.col("local_index") + F.col("source_index")) % 4
     reply = F.when(n == 0, F.concat(F.lit("["), item, F.lit(","), item, F.lit("]"))).when(n == 1, F.concat(F.lit("```json\n["), item, F.lit("]\n```"))).when(n == 2, "null").otherwise(F.concat(F.lit("{"), item))
     return blocks, records.withColumn("reply", reply)
 
 
-@_query()
+_REPLIED = f"""WITH {_B}, fx AS (SELECT parent_memory_id, user_id, request_id, CAST(li AS INT) AS local_index, source_index, CASE WHEN role = 'user' THEN 'question' ELSE 'answer' END AS side, timestamp,
+    split_part(content, ' ', 1) AS quote, 'place ' || source_index AS object FROM r4 WHERE (CAST(li AS INT) + source_index) % 4 < 2),
+fy AS (SELECT *, 'I' AS subject, 'works at' AS relation, local_index = 0 AS supersedes, {_DAY.format('timestamp')} AS day,
+  'model:' || source_index || ':' || (row_number() OVER (PARTITION BY request_id ORDER BY local_index, source_index) - 1) || ':works at:' || object AS place FROM fx)"""
+
+
+@_query(f"{_REPLIED} SELECT parent_memory_id, source_index, 0 AS item, subject, relation, object, quote, supersedes FROM fy")
 def q45_parse_fact_replies(spark, sf_dir):
     _, records = _fact_replies(spark, sf_dir)
     return facts.parse_fact_replies(records).select("parent_memory_id", "source_index", "item", "subject", "relation", "object", "quote", "supersedes")
 
 
-@_query()
+@_query(f"""{_REPLIED} SELECT {_sha("'facts-v1'", 'user_id', 'parent_memory_id', 'side', 'place')} AS id, parent_memory_id, user_id, subject, 'i' AS subject_key, relation, 'work' AS relation_key, object, object AS object_key,
+  side AS source_side, quote AS source_quote, 'I — works at — ' || object || '.' AS statement,
+  'Memory fact' || chr(10) || 'Statement: I — works at — ' || object || '.' || chr(10) || 'Source record date: ' || day || chr(10) || 'Source quotation: ' || quote AS content,
+  timestamp AS event_time, day AS source_date, supersedes, 'facts-v1' AS version FROM fy""")
 def q46_make_facts(spark, sf_dir):
     _, records = _fact_replies(spark, sf_dir)
     return facts.make_facts(facts.parse_fact_replies(records)).drop("qualifiers")
@@ -659,7 +668,13 @@ def _replies(spark, sf_dir, cases: list[str], salt: int = 0) -> DataFrame:
 ENTITY_CASES = ['["Anna", " anna ", "Board  member {x}"]', '```json\n["x{x}"]\n```', " NULL ", "no list", '[1, "", {}]', 'I think ["a", "b"] fits']
 
 
-@_query()
+def _by_case(*values: str) -> str:
+    """SQL of the value for an item's case; the values are hand-made, in the order of the cases."""
+    return f"[{', '.join(values)}][item_id % {len(values)} + 1]"
+
+
+@_query(f"""SELECT 'q' || item_id AS query_id, {_by_case("'entities'", "'entities'", "'null'", "'invalid'", "'empty'", "'entities'")} AS status,
+  {_by_case("'Anna|Board member ' || item_id", "'x' || item_id", "''", "''", "''", "'a|b'")} AS entities FROM benchmark""")
 def q54_parse_entities(spark, sf_dir):
     return facts.parse_entities(_replies(spark, sf_dir, ENTITY_CASES)).select("query_id", "status", F.array_join("entities", "|").alias("entities"))
 
@@ -702,7 +717,11 @@ def q57_parse_routes(spark, sf_dir):
 OBJECT_CASES = ['{"a": {x}}', 'first {"a": 1} then {"b": "}{", "c": {"d": {x}}} end', "none", '[1, {"a": {x}}]', '{"broken": }']
 
 
-@_query()
+_FIRST_OBJECT, _LAST_OBJECT, _INNER_OBJECT = ("'{\"a\": ' || item_id || '}'", "'{\"b\": \"}{\", \"c\": {\"d\": ' || item_id || '}}'", "'{\"a\": ' || item_id || '}'")
+
+
+@_query(f"""SELECT 'q' || item_id AS query_id, {_by_case(_FIRST_OBJECT, _LAST_OBJECT, 'NULL', _INNER_OBJECT, 'NULL')} AS json,
+  {_by_case("'direct'", "'recovered'", 'NULL', "'recovered'", 'NULL')} AS extraction FROM benchmark""")
 def q58_extract_json_object(spark, sf_dir):
     return multihop.extract_json_object(_replies(spark, sf_dir, OBJECT_CASES)).select("query_id", "json", "extraction")
 
@@ -716,7 +735,11 @@ PLAN_CASES = [
 ]
 
 
-@_query()
+@_query("""WITH e(c, plan_status, extraction, step_no, id, query, depends_on, repaired, unused) AS (VALUES
+  (0, 'valid', 'direct', 0, 's1', 'who is {x}', '', FALSE, ''), (0, 'valid', 'direct', 1, 's2', 'where does {{s1}} live', 's1', TRUE, ''), (1, 'valid', 'recovered', 0, 's1', 'one {x}', '', FALSE, ''),
+  (2, 'invalid', NULL, NULL, NULL, NULL, NULL, NULL, NULL), (3, 'invalid', NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+  (4, 'valid', 'direct', 0, 's1', 'a', '', FALSE, ''), (4, 'valid', 'direct', 1, 's2', 'b', '', TRUE, 's1'))
+SELECT 'q' || item_id AS query_id, e.* EXCLUDE (c) REPLACE (replace(query, '{x}', CAST(item_id AS VARCHAR)) AS query) FROM benchmark JOIN e ON item_id % 5 = c""")
 def q59_parse_plans(spark, sf_dir):
     p = multihop.parse_plans(_replies(spark, sf_dir, PLAN_CASES))
     return p.withColumns({"depends_on": F.array_join("depends_on", ","), "unused": F.array_join("unused", ",")})
@@ -736,7 +759,11 @@ ANSWER_CASES = [
 ]
 
 
-@_query()
+_CHECKED = """'[{"document_index":0,"quote":" the ","verified":true},{"document_index":1,"quote":"zzzz","verified":false}]'"""
+
+
+@_query(f"""SELECT 'q' || item_id AS query_id, item_id % 4 < 3 AS valid, {_by_case("'answered'", "'unresolved'", "'conflict'", 'NULL')} AS status,
+  {_by_case("'a' || item_id", 'NULL', "'x'", 'NULL')} AS answer, {_by_case(_CHECKED, "'[]'", "'[]'", "'[]'")} AS evidence, {_by_case("'direct'", "'direct'", "'recovered'", 'NULL')} AS extraction FROM benchmark""")
 def q61_parse_step_answers(spark, sf_dir):
     r = _replies(spark, sf_dir, ANSWER_CASES).withColumn("documents", F.array(F.concat(F.lit("the "), "text"), F.col("text")))
     out = multihop.parse_step_answers(r)
@@ -754,7 +781,8 @@ def _decisions(spark, sf_dir):
     return multihop.parse_react_decisions(_replies(spark, sf_dir, DECISION_CASES).withColumn("n_documents", F.lit(3)))
 
 
-@_query()
+@_query(f"""SELECT 'q' || item_id AS query_id, item_id % 5 NOT IN (2, 3) AS valid, {_by_case('TRUE', 'FALSE', 'NULL', 'NULL', 'TRUE')} AS is_sufficient, {_by_case("'0,2'", "''", "''", "''", "''")} AS evidence_indices,
+  {_by_case("''", "'next ' || item_id", 'NULL', 'NULL', "'q'")} AS new_query, CAST({_by_case('0.9', '0', 'NULL', 'NULL', '0.4')} AS DOUBLE) AS confidence_score, CASE WHEN item_id % 5 NOT IN (2, 3) THEN 'direct' END AS extraction FROM benchmark""")
 def q62_parse_react_decisions(spark, sf_dir):
     return _decisions(spark, sf_dir).select("query_id", "valid", "is_sufficient", F.array_join("evidence_indices", ",").alias("evidence_indices"), "new_query", "confidence_score", "extraction")
 
