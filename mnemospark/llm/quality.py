@@ -30,6 +30,8 @@ MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 _BITS = 18
 _PART = 250  # rows of the sample handled at once when fitting
+#: Bytes of text whose features are held at once: about 200 bytes of memory for each.
+TEXT_BYTES = 1 << 18
 _GRAMS = (3, 4)
 
 
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     schema = pa.schema([("h", pa.int64()), ("y", pa.float64()), ("at", pa.binary()), ("value", pa.binary())])
 
     def features(batches):
-        for batch in chunked(batches, "text", 1 << 19):
+        for batch in chunked(batches, "text", TEXT_BYTES):
             blocks = hashed_features(*text_buffers(batch.column(2)))
             ats, values = [], []
             for i in range(batch.num_rows):
@@ -231,7 +233,7 @@ def score_quality(docs: DataFrame, model: Classifier | None, threshold: float =
     sent = _send(docs, model)
 
     def score(batches):
-        for batch in chunked(batches, "text", 1 << 20):
+        for batch in chunked(batches, "text", TEXT_BYTES):
             text = text_buffers(batch.column(1))
             counts = text_counts(*text)
             failed = base_failed(counts)
@@ -247,7 +249,7 @@ def filter_quality(docs: DataFrame, model: Classifier | None, threshold: float =
     sent = _send(docs, model)
 
     def keep(batches):
-        for batch in chunked(batches, text_col, 1 << 20):
+        for batch in chunked(batches, text_col, TEXT_BYTES):
             text = text_buffers(batch.column(batch.schema.get_field_index(text_col)))
             failed = base_failed(text_counts(*text))
             p = sent.value.probabilities(*text) if sent.value else np.ones(batch.num_rows)

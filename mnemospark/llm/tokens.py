@@ -21,7 +21,7 @@ from mnemospark.llm.common import NON_SPACE, Words
 
 END_ID = 1
 #: Chunks kept a worker; the table starts anew beyond it, so memory is bounded. Longer chunks are not kept.
-TABLE_ENTRIES = 1_200_000
+TABLE_ENTRIES = 950_000
 KEPT_CHUNK_BYTES = 64
 _JOINED = 512
 
