@@ -535,7 +535,7 @@ def _fact_replies(spark, sf_dir):
     """Records with valid, fenced and broken replies by id."""
     blocks = V.blocks(spark, sf_dir)
     records = facts.extraction_records(blocks, ingest.explode_messages(ingest.messages_of(V.requests(spark, sf_dir))))
-    word = F.element_at(F.split("content", " "), 1)
+    word = F.regexp_extract("content", r"^[^ \t\r\n]+", 0)
     item = F.to_json(F.struct(F.lit("I").alias("subject"), F.lit("works  at").alias("relation"), F.concat(F.lit("place "), F.col("source_index").cast("string")).alias("object"), word.alias("quote"), (F.col("local_index") == 0).alias("supersedes")))
     n = (F.col("local_index") + F.col("source_index")) % 4
     reply = F.when(n == 0, F.concat(F.lit("["), item, F.lit(","), item, F.lit("]"))).when(n == 1, F.concat(F.lit("```json\n["), item, F.lit("]\n```"))).when(n == 2, "null").otherwise(F.concat(F.lit("{"), item))
@@ -543,7 +543,7 @@ def _fact_replies(spark, sf_dir):
 
 
 _REPLIED = f"""WITH {_B}, fx AS (SELECT parent_memory_id, user_id, request_id, CAST(li AS INT) AS local_index, source_index, CASE WHEN role = 'user' THEN 'question' ELSE 'answer' END AS side, timestamp,
-    split_part(content, ' ', 1) AS quote, 'place ' || source_index AS object FROM r4 WHERE (CAST(li AS INT) + source_index) % 4 < 2),
+    regexp_extract(content, '^[^ \\t\\r\\n]+') AS quote, 'place ' || source_index AS object FROM r4 WHERE (CAST(li AS INT) + source_index) % 4 < 2),
 fy AS (SELECT *, 'I' AS subject, 'works at' AS relation, local_index = 0 AS supersedes, {_DAY.format('timestamp')} AS day,
   'model:' || source_index || ':' || (row_number() OVER (PARTITION BY request_id ORDER BY local_index, source_index) - 1) || ':works at:' || object AS place FROM fx)"""
 
