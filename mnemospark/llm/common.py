@@ -6,6 +6,7 @@ then sums over bytes times random factors give every word a 64-bit hash without
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,18 @@ def unstage(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def small_arrow_batches(spark: SparkSession) -> Iterator[None]:
+    """While jobs run in it, Python workers get 8 MB at once and not the session's limit; for rows of whole blocks."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8m")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, under fixed names; null text becomes empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from mnemospark.llm.common import NON_SPACE, Words, among, chunked, documents, pair_blocks, shingle_set, stage, text_buffers, to_batch, unstage
+from mnemospark.llm.common import NON_SPACE, Words, among, chunked, documents, pair_blocks, shingle_set, small_arrow_batches, stage, text_buffers, to_batch, unstage
 from mnemospark.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -188,11 +188,14 @@ def _across_components(members: DataFrame, joined: DataFrame, reps: DataFrame, d
     placed = stage(placed.join(mixed, "key"), "placed")
     fields = ["rep", "component", "n_shingles", "signature", "keys"]
     short = placed.join(reps.select("rep", "signature", "keys"), "rep")
-    left = stage(pair_blocks(short, ["key"], ["rep"], fields, BLOCK, SPREAD).mapInArrow(near, "key long, rep long").distinct(), "near")
+    met = pair_blocks(short, ["key"], ["rep"], fields, BLOCK, SPREAD)
+    with small_arrow_batches(docs.sparkSession):
+        left = stage(met.mapInArrow(near, "key long, rep long").distinct(), "near")
     full = stage(among(docs, left.select("rep")).mapInArrow(sets, "rep long, shingles binary"), "sets")
     rows = placed.join(left, ["key", "rep"]).join(reps.select("rep", "signature", "keys"), "rep").join(full, "rep")
     met = pair_blocks(rows, ["key"], ["rep"], [*fields, "shingles"], BLOCK, SPREAD, F.octet_length("shingles") + F.octet_length("signature") + 8 * F.size("keys"))
-    out = stage(met.mapInArrow(link, "u long, v long").distinct(), "links")
+    with small_arrow_batches(docs.sparkSession):
+        out = stage(met.mapInArrow(link, "u long, v long").distinct(), "links")
     unstage(mixed, placed, left, full)
     return out
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import NON_SPACE, Words, among, chunked, documents, mix, pair_blocks, shingle_hashes, shingle_set, stage, text_buffers, to_batch, unstage
+from mnemospark.llm.common import NON_SPACE, Words, among, chunked, documents, mix, pair_blocks, shingle_hashes, shingle_set, small_arrow_batches, stage, text_buffers, to_batch, unstage
 
 MIN_WORDS, SHINGLE, PERCENT, HASHES, GRAM = 50, 5, 80, 4, 8
 #: Words before a centre or after its gram that two windows must have in common, on one side at least.
@@ -437,7 +437,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
     alone = stage(alone.select("key"), "keys")
     rest = stage(sided.join(alone, "key"), "sided")
     pairs = _left_pairs(rest, among(texts, rest.select("doc_id")), min_words, shingle, percent)
-    pairs = stage(pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
+    with small_arrow_batches(docs.sparkSession):
+        pairs = stage(pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
     near = among(texts, pairs.select("doc_id").union(pairs.select("first")))
     found = _verify(pairs, near, min_words, shingle, gram, percent)
     firsts = found.groupBy("doc_id", "start", "end").agg(F.min(F.struct("first_doc_id", "first_start", "first_end", "similarity")).alias("x"))
