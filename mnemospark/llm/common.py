@@ -124,23 +124,33 @@ def _as_arrow(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of documents that may be among ids (one column): surely not, if their bit is not set. The bitmap has a fixed size."""
+def _bits_of(ids: DataFrame) -> np.ndarray:
+    """The bitmap of ids (one column): BITMAP booleans, which has a fixed size whatever their number."""
     bit = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITMAP)) + 1  # the functions number buckets from 1, from the value 1 on
     parts = ids.select(bit.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m"))
     size = BITMAP // 8
     whole = np.zeros(size + 4096 * 8, np.uint8)
     for r in parts.collect():  # at most BITMAP / 32768 rows of 4 KB
         whole[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(whole, bitorder="little").astype(bool))
+    return np.unpackbits(whole, bitorder="little").astype(bool)
+
+
+def bit_filter(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key may be among ids (one column): surely not, if its bit is not set."""
+    sent, columns = rows.sparkSession.sparkContext.broadcast(_bits_of(ids)), rows.columns
 
     def keep(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 batch = whole.slice(i, 1024)
-                yield batch.select([0, 1]).filter(pa.array(sent.value[batch.column(2).to_numpy()]))
+                yield batch.select(columns).filter(pa.array(sent.value[batch.column(len(columns)).to_numpy()]))
 
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("x")).mapInArrow(keep, "doc_id long, text string")
+    return rows.withColumn("_bit", F.pmod(F.xxhash64(key), F.lit(BITMAP))).mapInArrow(keep, rows.schema)
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents that may be among ids (one column)."""
+    return bit_filter(docs.select("doc_id", "text"), "doc_id", ids)
 
 
 def pair_blocks(rows: DataFrame, key: list[str], by: list[str], fields: list[str], block: int, spread: int, weight: Column | None = None, active: str | None = None) -> DataFrame:

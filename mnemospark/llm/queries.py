@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, lm_score, minhash, packing, pii, quality, substrings, token_counts, token_files, url_filter
+from mnemospark.llm import decontaminate, divergence, fill_middle, lm_score, minhash, packing, pii, quality, substrings, token_counts, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,16 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.fit(docs, labels), labels)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in fill-in-the-middle form: how it was cut, and digests of the output and of the text restored from it."""
+    return fill_middle.with_digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's words are from those of the others of its language, and the terms that set it apart."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP2_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _OP3_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x20\\x09-\\x0D]+')"
@@ -128,5 +138,46 @@ SELECT page_id, host, path, rule, CASE
 FROM c
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_near_duplicates, op4_quality_rules, op5_best_fit_packing, op6_repeated_passages, op7_personal_data, op8_url_filter, op9_token_counts, op10_lm_score)}
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op8_url_filter": OP8_SQL}
+_OP11_NUMBER = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
+OP11_SQL = f"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+b AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, {_OP11_NUMBER.format(1)} % (length(t) + 1) AS x, {_OP11_NUMBER.format(9)} % (length(t) + 1) AS y, CASE
+    WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_OP11_NUMBER.format(17)} % 100 >= 90 THEN 'plain'
+    WHEN {_OP11_NUMBER.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM a
+),
+c AS (SELECT *, least(x, y) AS i, greatest(x, y) AS j FROM b),
+d AS (SELECT *, substr(t, 1, i) AS p, substr(t, i + 1, j - i) AS m, substr(t, j + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM d
+"""
+
+_OP13_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_OP13_P = "1 + (1000000000::HUGEINT * ({} + 2)) // ({} + 2 * v)"
+_OP13_F = "CAST(({p} - {q}) * ({p} - {q}) // ({p} + {q}) AS BIGINT)"
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_OP13_WORDS} AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT r, lang, source, t, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS t FROM d) GROUP BY ALL),
+k AS (SELECT lang, t, sum(n) AS n_lang FROM o GROUP BY ALL HAVING count(*) >= 10),
+kl AS (SELECT lang, count(*) AS v, sum(n_lang) AS total_lang FROM k GROUP BY lang),
+c AS (SELECT lang, source, t, sum(n) AS n FROM o JOIN k USING (lang, t) GROUP BY ALL),
+cg AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+s AS (
+  SELECT lang, source, t, coalesce(n, 0) AS n, {_OP13_P.format("coalesce(n, 0)", "coalesce(total, 0)")} AS p, {_OP13_P.format("n_lang", "total_lang")} AS q
+  FROM g JOIN k USING (lang) JOIN kl USING (lang) LEFT JOIN c USING (lang, source, t) LEFT JOIN cg USING (lang, source)
+),
+f AS (SELECT a.lang, a.source, b.source AS item, sum({_OP13_F.format(p="a.p", q="b.p")}) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+),
+term AS (SELECT lang, source, 'term' AS part, t AS item, {_OP13_F.format(p="p", q="q")} AS value FROM s WHERE n > 0 AND p > q),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM x WHERE part = 'pair' OR rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_near_duplicates, op4_quality_rules, op5_best_fit_packing, op6_repeated_passages, op7_personal_data, op8_url_filter, op9_token_counts, op10_lm_score, op11_fill_in_middle, op13_source_divergence)}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op8_url_filter": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op13_source_divergence": OP13_SQL}
