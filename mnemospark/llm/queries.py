@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import decontaminate, divergence, fill_middle, lm_score, minhash, packing, pii, quality, substrings, token_counts, token_files, url_filter
+from mnemospark.llm import decontaminate, divergence, fill_middle, lm_score, minhash, packing, pii, quality, substrings, token_counts, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.with_digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text, by a model of the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each source's words are from those of the others of its language, and the terms that set it apart."""
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
@@ -179,5 +185,5 @@ x AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM x WHERE part = 'pair' OR rank <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_near_duplicates, op4_quality_rules, op5_best_fit_packing, op6_repeated_passages, op7_personal_data, op8_url_filter, op9_token_counts, op10_lm_score, op11_fill_in_middle, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_near_duplicates, op4_quality_rules, op5_best_fit_packing, op6_repeated_passages, op7_personal_data, op8_url_filter, op9_token_counts, op10_lm_score, op11_fill_in_middle, op12_toxicity, op13_source_divergence)}
 ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op8_url_filter": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op13_source_divergence": OP13_SQL}
