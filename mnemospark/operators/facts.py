@@ -96,10 +96,10 @@ def insert_facts(facts: DataFrame, blocks: DataFrame, existing: DataFrame) -> tu
 
 
 def unindexed_blocks(blocks: DataFrame, coverage: DataFrame, version: str = VERSION, limit: int | None = None) -> DataFrame:
-    """Blocks without a coverage row of that version and user, by id."""
+    """Blocks without a coverage row of that version and user; with a limit the first ones by id."""
     done = coverage.where(F.col("version") == version).select(F.col("parent_memory_id").alias("id"), "user_id")
-    left = blocks.join(done, ["id", "user_id"], "left_anti").orderBy("id")
-    return left if limit is None else left.limit(limit)
+    left = blocks.join(done, ["id", "user_id"], "left_anti")
+    return left if limit is None else left.orderBy("id").limit(limit)
 
 
 def mark_coverage(coverage: DataFrame, facts: DataFrame, blocks: DataFrame, version: str = VERSION) -> DataFrame:

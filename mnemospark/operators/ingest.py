@@ -33,10 +33,11 @@ def resolve_batches(incoming: DataFrame, applied: DataFrame) -> DataFrame:
     """Fingerprinted requests with `outcome`: new, replay or conflict.
 
     A request id already applied is a replay if the stored hash is equal or null, else a conflict. Of several requests with
-    one unseen id the first received is new and decides about the others.
+    one unseen id the first received is new and decides about the others; of requests received at once the one with the least hash
+    is the first, so the outcome is the same under any partitioning.
     """
     stored = applied.select("request_id", F.lit(True).alias("_seen"), F.col("payload_hash").alias("_stored"))
-    w = Window.partitionBy("request_id").orderBy("received_seq")
+    w = Window.partitionBy("request_id").orderBy("received_seq", "payload_hash")
     first = F.first("payload_hash").over(w.rowsBetween(Window.unboundedPreceding, 0))
     known = F.when(F.col("_seen"), F.col("_stored")).otherwise(first)
     outcome = (

@@ -15,6 +15,11 @@ FACT = (
     "content string, event_time bigint, source_date string, supersedes boolean, version string"
 )
 COVERAGE = "parent_memory_id string, user_id string, version string"
+EXTRACTED = COVERAGE
+REPLY = (
+    "parent_memory_id string, user_id string, request_id string, local_index int, source_index int, role string, content string, timestamp bigint, "
+    "side string, reply string, version string"
+)
 CACHE = "coordinate string, content_hash string, dim int, vec array<float>, created_at bigint"
 INDEX = "memory_id string, user_id string, session_id string, local_index int, event_time bigint, text string, dense array<float>"
 OBSERVATION_COUNTERS = ("rerank_candidates", "neighbors_added", "missing_rows", "considered_segments", "fact_snippets", "rounds", "truncated_by_top_k", "truncated_by_budget")

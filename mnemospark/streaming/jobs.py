@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mnemospark import schemas
-from mnemospark.operators import ingest, metrics
+from mnemospark.operators import ingest, membership, metrics
+from mnemospark.streaming.tables import KEPT, ConflictError, Snapshot, Tables
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -19,36 +19,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-@dataclass
-class Tables:
-    """Folders of the memory tables; a missing folder is an empty table.
-
-    Each table has one folder a batch. A batch counts from the moment its row in `commits`, written last, is there; what a
-    batch that broke off has left is never read.
-    """
-
-    root: str
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def plain(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
-        """A table without batches (facts, coverage, index, cache)."""
-        return self._all(spark, name, schema)
-
-    def _all(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
-        empty = spark.createDataFrame([], schema)
-        if not _exists(spark, self.path(name)):
-            return empty
-        return spark.read.schema(schema).parquet(self.path(name)).select(*empty.columns)
-
-    def read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
-        """The rows of committed batches."""
-        rows = self._all(spark, name, schema + ", batch string")
-        done = self._all(spark, "commits", "batch string").distinct()
-        return rows.join(done, "batch", "left_semi").drop("batch")
-
-
 def run_id(spark: SparkSession, checkpoint: str) -> str:
     """A name that lives and dies with the checkpoint: batches of another or a renewed checkpoint never take its folders."""
     path = f"{checkpoint.rstrip('/')}/ingest-run"
@@ -57,49 +27,98 @@ def run_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.schema("run string").json(path).first()["run"]
 
 
+def known_requests(spark: SparkSession, tables: Tables, requests: DataFrame, at: Snapshot | None = None) -> DataFrame:
+    """The part of the registry that can hold one of these requests: the buckets of ids that the registry's filters don't rule out.
+
+    For new ids that is, but for some in a thousand, nothing; of the filters one row of 4 KB is met for each id and folder. What is
+    read depends on the batch and not on the size of the registry.
+    """
+    at = at or tables.snapshot(spark)
+    ids = tables.bucketed("applied", requests.select("request_id").distinct())
+    touched = [r.bucket for r in ids.select("bucket").distinct().collect()]  # at most the registry's buckets
+    filters = tables.scan(spark, "applied_filter", membership.FILTER, touched, at)
+    seen = [r.bucket for r in membership.may_hold(ids, "request_id", filters).select("bucket").distinct().collect()]
+    return tables.scan(spark, "applied", schemas.APPLIED, seen, at).drop("bucket")
+
+
+def _filter_chunks(at: Snapshot) -> int:
+    return int(at.notes.get(f"{KEPT}filter chunks", 1))
+
+
 def ingest_batch(requests: DataFrame, tables: Tables, batch: str, after: Callable[[DataFrame], None] | None = None) -> None:
     """One batch of requests into the tables; applying it again changes nothing.
 
-    Source tables come first, the registry after them and the commit last, each under a folder named by the batch. A repeated batch
-    overwrites its own folders and no others; requests of other batches are known from the registry, so a request is never
-    stored twice, whichever stream brings it. `after` (facts, index) runs on the new blocks; its failure does not fail the
-    ingest.
+    Source tables, registry and its filter are one commit. Requests of other batches are known from the registry, so a request is
+    never stored twice, whichever stream brings it. `after` (facts, index) runs on the new blocks, and again when a committed batch is
+    repeated, as the job may have broken off before it; its failure does not fail the ingest.
     """
     spark = requests.sparkSession
-    valid, rejected = ingest.validate_requests(requests)
-    applied = tables.read(spark, "applied", schemas.APPLIED)
-    if not tables._all(spark, "commits", "batch string").where(F.col("batch") == batch).isEmpty():
-        return  # it was committed before the stream could note that
-    resolved = ingest.resolve_batches(ingest.payload_fingerprint(valid), applied)
-    # read by all writes below; kept in the shared folder, so a lost executor costs nothing
-    resolved.write.mode("overwrite").parquet(tables.path(f"resolved/batch={batch}"))
-    resolved = spark.read.parquet(tables.path(f"resolved/batch={batch}"))
-    messages = ingest.messages_of(resolved.where("outcome = 'new'"))
-    out = {
-        "blocks": ingest.compose_blocks(messages),
-        "messages": ingest.explode_messages(messages),
-        "rejected": rejected.drop("messages"),
-        "conflicts": resolved.where("outcome = 'conflict'").drop("messages"),
-        "applied": ingest.record_batches(resolved, 0),
-    }
-    for name, df in out.items():
-        df.write.mode("overwrite").parquet(tables.path(f"{name}/batch={batch}"))
-    spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(tables.path("commits"))
+    at = tables.snapshot(spark)
+    if not tables.committed(spark, batch, at):  # else it was committed before the stream could note that
+        valid, rejected = ingest.validate_requests(requests)
+        marked = ingest.payload_fingerprint(valid)
+        # read by all writes below; kept in the shared folder, so a lost executor costs nothing
+        work = tables.path(f"work/{uuid.uuid4().hex}")
+        ingest.resolve_batches(marked, known_requests(spark, tables, marked, at)).write.parquet(work)
+        resolved = spark.read.parquet(work)
+        messages = ingest.messages_of(resolved.where("outcome = 'new'"))
+        applied = ingest.record_batches(resolved, 0)
+        tables.commit(spark, batch, {
+            "blocks": ingest.compose_blocks(messages),
+            "messages": ingest.explode_messages(messages),
+            "rejected": rejected.drop("messages"),
+            "conflicts": resolved.where("outcome = 'conflict'").drop("messages"),
+            "applied": applied,
+            "applied_filter": membership.filter_of(tables.bucketed("applied", applied), "request_id", _filter_chunks(at)),
+        }, base=at)
+        path = spark._jvm.org.apache.hadoop.fs.Path(work)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if after is not None:
         try:
-            after(spark.read.schema(schemas.BLOCK).parquet(tables.path(f"blocks/batch={batch}")))
+            after(tables.of_commit(spark, "blocks", schemas.BLOCK, batch))
         except Exception as error:  # derived data can be rebuilt; the memory must not be lost
             spark.createDataFrame([(batch, repr(error)[:500])], "batch string, error string").write.mode("append").json(tables.path("derived_errors"))
 
 
-def ingest_stream(requests: DataFrame, tables: Tables, checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+#: Schemas of the tables that `maintain` compacts.
+MAINTAINED = {
+    "blocks": schemas.BLOCK, "messages": schemas.BLOCK_MESSAGE, "applied": schemas.APPLIED, "facts": schemas.FACT, "coverage": schemas.COVERAGE,
+    "extracted": schemas.EXTRACTED, "replies": schemas.REPLY, "cache": schemas.CACHE, "index": schemas.INDEX,
+}
+
+
+def maintain(spark: SparkSession, tables: Tables, most: int = 4) -> int:
+    """Compact every table whose buckets have more than `most` folders, and make the registry's filter larger when ids have less
+    than 16 bits each; how many folders were replaced. Streams may go on meanwhile; `Tables.vacuum` deletes what is replaced."""
+    gone = sum(tables.compact(spark, name, schema, most) for name, schema in MAINTAINED.items())
+    at = tables.snapshot(spark)
+    buckets = tables.layouts["applied"][1]
+    wanted = membership.chunks_for(tables.read(spark, "applied", schemas.APPLIED, at).count(), buckets)
+    if wanted <= _filter_chunks(at):
+        return gone + tables.compact(spark, "applied_filter", membership.FILTER, most, membership.merged)
+    ids = tables.scan(spark, "applied", schemas.APPLIED, at=at)
+    old = list(at.folders.get("applied_filter", {}))
+    try:
+        tables.commit(spark, f"filter-{uuid.uuid4().hex[:8]}", {"applied_filter": membership.filter_of(ids, "request_id", wanted)}, {"applied_filter": old}, {f"{KEPT}filter chunks": str(wanted)}, at)
+    except ConflictError:
+        return gone
+    return gone + len(old)
+
+
+def ingest_stream(requests: DataFrame, tables: Tables, checkpoint: str, after: Callable[[DataFrame], None] | None = None, maintain_every: int = 20) -> StreamingQuery:
     """A stream of requests into the tables, all that is there now. What is known of a request lives in the tables, not in
     stream state, so replays and conflicts are seen however late they come, under this checkpoint or another.
 
-    One stream at a time writes to a set of tables.
+    One stream at a time writes to a set of tables. Every `maintain_every` batches the tables are compacted (0: never).
     """
-    run = run_id(requests.sparkSession, checkpoint)
-    return requests.writeStream.foreachBatch(lambda df, n: ingest_batch(df, tables, f"{run}-{n}", after)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark, run = requests.sparkSession, run_id(requests.sparkSession, checkpoint)
+
+    def apply(df: DataFrame, n: int) -> None:
+        ingest_batch(df, tables, f"{run}-{n}", after)
+        if maintain_every and n % maintain_every == maintain_every - 1:
+            maintain(spark, tables)
+
+    return requests.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def metrics_stream(observations: DataFrame, counters: list[str], checkpoint: str, name: str, latencies: tuple[str, ...] = metrics.LATENCIES, path: str | None = None) -> StreamingQuery:
