@@ -15,8 +15,9 @@ Windows meet only if also six words before their centres or six after their gram
 run of 20 words holds one of the two wherever the centre is.
 
 Texts with the same bytes form a class of which only the least document is compared. Each window then meets the leads of its
-group: the least document, then two drawn ones. A window is settled if its centre lies in a passage found in its document, which
-then has an earlier document for that place. Last, windows that are not settled are compared with
+group: the least document, then two drawn ones. A window is settled if its centre lies in a passage found in its document, unless the
+five words beyond that passage are those of another document of the group at the same distance from the centre: then the two
+have more in common than either has with the lead, and their windows stay open. Last, windows that are not settled are compared with
 all windows of their group that agree on a side, settled or not and however many, by sketches of the shingles around their centres, in
 pairs of blocks that are spread over tasks; only pairs whose sketches allow a passage go on. A pair of documents is
 verified once, on the words of both texts and from all their common runs: matching runs are extended over small edits, and
@@ -328,12 +329,15 @@ def _hopeful(sx: np.ndarray, sy: np.ndarray, a: np.ndarray, b: np.ndarray, least
     return found, np.concatenate([[0], np.cumsum(mask)])
 
 
-_PASSAGE = "doc_id long, start int, end int, first_doc_id long, first_start int, first_end int, similarity double"
+_PASSAGE = "doc_id long, start int, end int, first_doc_id long, first_start int, first_end int, similarity double, before long, after long"
+_RESULT = ("doc_id", "start", "end", "first_doc_id", "first_start", "first_end", "similarity")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, gram: int, percent: int) -> DataFrame:
-    """Passages of candidate pairs (first, doc_id, at: array of centres in both)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first_doc_id", pa.int64()), ("first_start", pa.int32()), ("first_end", pa.int32()), ("similarity", pa.float64())])
+    """Passages of candidate pairs (first, doc_id, at: array of centres in both); before and after are the shingles that end and begin
+    at the passage's borders in doc_id (0: none)."""
+    whole = [(n, pa.int64()) for n in ("doc_id", "first_doc_id", "before", "after")] + [(n, pa.int32()) for n in ("start", "end", "first_start", "first_end")] + [("similarity", pa.float64())]
+    schema = pa.schema([(n, dict(whole)[n]) for n in (*_RESULT, "before", "after")])
 
     def check(batches):
         for part in chunked(batches, "x", PAIR_BYTES):
@@ -362,7 +366,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, gra
                         seen_a[a0:a1], seen_b[b0:b1] = True, True  # shorter runs of equal words are not tried again either
                         left = left[~(seen_a[left[:, 0]] & seen_b[left[:, 1]])]
                         if passage:
-                            out.append((doc, b0, b1, first, a0, a1, round(s, 6)))
+                            beside = (sv[b0 - shingle] if b0 >= shingle else 0, sv[b1] if b1 < len(sv) else 0)
+                            out.append((doc, b0, b1, first, a0, a1, round(s, 6), *(int(np.uint64(h).view(np.int64)) for h in beside)))
                 if out:
                     yield to_batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
 
@@ -418,13 +423,25 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
         near = texts if first_round else among(texts, pairs.select("doc_id").union(pairs.select("first")))
         found = stage(_verify(pairs, near, min_words, shingle, gram, percent).distinct(), "passages")
         done = found if done is None else done.unionByName(found)
-        # settled: its centre lies in a passage found in its document, or it was the lead when all of its group were unsettled
-        spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # one document's passages with its groups' leads
-        inside = F.coalesce(F.exists("spans", lambda s: (s["start"] <= c) & (c < s["end"])), F.lit(False))
-        judged = left.join(spans, "doc_id", "left").withColumn("open", F.col("open") & ~inside).drop("spans")
+        # settled: its centre lies in a passage found in its document, or it was the lead when all of its group were unsettled;
+        # but if documents of a group go on alike beyond the passages that they have with the lead, they have more in common, and stay open
+        spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("spans"))  # one document's passages with its groups' leads
+        around = F.filter("spans", lambda s: (s["start"] <= c) & (c < s["end"]))
+        least_of, most_of = F.array_min(F.transform("around", lambda s: F.struct(s["start"], s["before"]))), F.array_max(F.transform("around", lambda s: F.struct(s["end"], s["after"])))
+        start, end = least_of["start"], most_of["end"]
+        on_left = F.when((least_of["before"] != 0) & (c - before < start), F.xxhash64("key", F.lit(1), c - start, least_of["before"]))
+        on_right = F.when((most_of["after"] != 0) & (c + after + gram > end), F.xxhash64("key", F.lit(2), end - c, most_of["after"]))
+        judged = left.join(spans, "doc_id", "left").withColumn("around", around).withColumn("inside", F.coalesce(F.size("around") > 0, F.lit(False)))
+        judged = judged.withColumn("borders", F.when(F.col("open") & F.col("inside"), F.array_compact(F.array(on_left, on_right))))
+        judged = stage(judged.select("key", "doc_id", "place", "sides", "open", "inside", "borders"), "judged")
+        borders = judged.select("key", "doc_id", "place", F.explode("borders").alias("border"))
+        alike = borders.groupBy("border").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("border")
+        again = stage(borders.join(alike, "border").select("key", "doc_id", "place").distinct(), "reopened")
+        used += [judged, again]
+        judged = judged.join(again.withColumn("again", F.lit(True)), ["key", "doc_id", "place"], "left").withColumn("open", F.col("open") & (~F.col("inside") | F.col("again").isNotNull()))
         if first_round:
             led = heads.select("key", F.col("lead").alias("doc_id"), F.lit(True).alias("led"))
-            judged = judged.join(led, ["key", "doc_id"], "left").withColumn("open", F.col("open") & F.col("led").isNull())
+            judged = judged.join(led, ["key", "doc_id"], "left").withColumn("open", F.col("open") & (F.col("led").isNull() | F.col("again").isNotNull()))
         used += [left, heads, pairs, found]
         left = stage(judged.select("key", "doc_id", "place", "sides", "open"), "shared-windows")
 
@@ -443,6 +460,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
     found = _verify(pairs, near, min_words, shingle, gram, percent)
     firsts = found.groupBy("doc_id", "start", "end").agg(F.min(F.struct("first_doc_id", "first_start", "first_end", "similarity")).alias("x"))
     whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("first").alias("first_doc_id"), F.lit(0).alias("first_start"), F.col("n").alias("first_end"), F.lit(1.0).alias("similarity"))
-    out = stage(done.unionByName(firsts.select("doc_id", "start", "end", "x.*")).unionByName(whole), "passages")
+    out = stage(done.select(*_RESULT).distinct().unionByName(firsts.select("doc_id", "start", "end", "x.*")).unionByName(whole), "passages")
     unstage(*used, left, opened, sided, alone, rest, pairs, copied)
     return out

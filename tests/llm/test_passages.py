@@ -108,6 +108,45 @@ def test_recall_of_edited_passages(spark):
 
 
 
+def covered(got, rows, ranges):
+    """Of the words of each document that brute force finds in an earlier one, those in a reported passage."""
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    return [len(by.get(d, set()) & set(want)) / len(want) for d, want in ranges.items()]
+
+
+@pytest.mark.parametrize(("core", "part"), [(100, 92), (70, 60)])
+def test_overlapping_passages(spark, core, part):
+    """Triples: the first document holds the begin of a passage, the second its end, the third all of it."""
+    rng, rows, ranges = random.Random(core), [], {}
+    for t in range(120):
+        whole = words(rng, core, 10**6)
+        for k, passage in enumerate((whole[:part], whole[core - part :], whole)):
+            head = words(rng, rng.randrange(5, 40), 10**6)
+            rows.append((3 * t + k, " ".join(head + passage + words(rng, rng.randrange(5, 40), 10**6))))
+        ranges[3 * t + 2] = range(len(head), len(head) + core)
+    got = substrings.repeated_passages(table(spark, rows)).collect()
+    found = covered(got, rows, ranges)
+    print("triples whole", sum(f == 1 for f in found), "of", len(found))
+    assert sum(f == 1 for f in found) >= 0.98 * len(found)
+    assert {(r.first_doc_id // 3, r.doc_id // 3) for r in got} == {(t, t) for t in range(120)}
+
+
+def test_chains_of_overlapping_passages(spark):
+    """Each document shares 60 words with the one before it and goes on by 30 of its own, which the next one shares."""
+    rng, rows, ranges = random.Random(21), [], {}
+    for chain in range(30):
+        text = words(rng, 60 + 30 * 6, 10**6)
+        for k in range(6):
+            head = words(rng, 10, 10**6)
+            rows.append((10 * chain + k, " ".join(head + text[30 * k : 30 * k + 90] + words(rng, 10, 10**6))))
+            if k:
+                ranges[10 * chain + k] = range(10, 70)
+    found = covered(substrings.repeated_passages(table(spark, rows)).collect(), rows, ranges)
+    assert sum(f == 1 for f in found) >= 0.98 * len(found)
+
+
 @pytest.mark.parametrize("n", range(7, 15))
 @pytest.mark.parametrize("side", [10, 70])
 def test_passage_around_an_insertion(n, side):
