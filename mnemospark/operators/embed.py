@@ -65,7 +65,7 @@ def embed_missing(texts: DataFrame, cache: DataFrame, encode: Encode, coordinate
 
 def check_dimensions(vectors: DataFrame, expected: int) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined): vectors of the expected dimension, and those that are null, empty, of another one or not finite."""
-    good = F.coalesce((F.size("vec") == expected) & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+    good = F.coalesce((F.size("vec") == expected) & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
     return vectors.where(good), vectors.where(~good)
 
 

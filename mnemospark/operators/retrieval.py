@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
@@ -19,6 +20,8 @@ DIGITS = 6
 BLOCK_BYTES, QUERY_CHUNK = 4 << 20, 256
 #: Queries of one user whose best results a task holds before it passes them on.
 HELD_QUERIES = 4096
+#: Blocks of one user's vectors that one key of the join gets.
+BLOCKS_PER_SALT = 4
 
 
 def best_of(rows: DataFrame, keys: list[str], k: int, score: str = "score", tie: str = "memory_id") -> DataFrame:
@@ -43,22 +46,35 @@ class Bm25Index:
         self.postings, self.totals, self.scope = postings, totals, scope
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (memory_id, user_id, terms) to postings."""
+    for batch in batches:
+        lists = batch.column(2)
+        lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+        coded = lists.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        parent = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        keys, tf = np.unique(parent * size + coded.indices.to_numpy(), return_counts=True)
+        row = keys // size
+        length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+        columns = [batch.column(1).take(pa.array(row)), batch.column(0).take(pa.array(row)), pa.array(length[row]), coded.dictionary.take(pa.array(keys % size)), pa.array(tf.astype(np.int64)), pa.array(first)]
+        yield pa.RecordBatch.from_arrays(columns, ["user_id", "memory_id", "length", "term", "tf", "first"])
+
+
 def bm25_index(docs: DataFrame, idf_scope: str = "corpus", stop_words: list[str] | None = None, stem=None, save: Save | None = None) -> Bm25Index:
     """docs: (memory_id, user_id, text), one row a memory. Frequencies are taken over the corpus, or per user with idf_scope='user'.
 
-    Terms are counted inside each row, so postings need no shuffle. `save` writes a table once and reads it back; without it
-    postings are made anew for each use.
+    A text is taken apart once, by a Spark expression, and its terms are counted in Arrow batches, so postings need no shuffle. `save`
+    writes a table once and reads it back; without it postings are made anew for each use.
     """
     found = T.terms(F.col("text"))
     if stop_words:
         found = F.filter(found, lambda t: ~t.isin(stop_words))
     if stem is not None:
         found = F.transform(found, stem)
-    rows = docs.select("memory_id", "user_id", F.sort_array(found).alias("s")).where(F.size("s") > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    rows = rows.select("memory_id", "user_id", "s", F.size("s").cast("long").alias("length"), starts.alias("p"))
-    counted = F.transform("p", lambda at, i: F.struct(F.get("s", at).alias("term"), (F.coalesce(F.get("p", i + 1), F.size("s")) - at).cast("long").alias("tf"), (i == 0).alias("first")))
-    postings = rows.select("user_id", "memory_id", "length", F.inline(counted))
+    rows = docs.select(F.col("memory_id").cast("string").alias("memory_id"), F.col("user_id").cast("string").alias("user_id"), found.alias("terms"))
+    postings = rows.mapInArrow(_counted, "user_id string, memory_id string, length long, term string, tf long, first boolean")
     if save is not None:
         postings = save(postings, "postings")
     scope = ["user_id"] if idf_scope == "user" else []
@@ -66,49 +82,138 @@ def bm25_index(docs: DataFrame, idf_scope: str = "corpus", stop_words: list[str]
     return Bm25Index(postings, totals, scope)
 
 
-def bm25_topk(queries: DataFrame, index: Bm25Index, k: int = ARM_LIMIT) -> DataFrame:
+def _with_idf(asked: DataFrame, frequencies: DataFrame, index: Bm25Index | BlockIndex) -> DataFrame:
+    """asked (query_id, user_id, term) with the term's idf and the mean length of its scope."""
+    asked = asked.join(frequencies, [*index.scope, "term"])
+    asked = asked.join(index.totals, index.scope) if index.scope else asked.crossJoin(F.broadcast(index.totals))  # one row
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return asked.select("query_id", "user_id", "term", idf.alias("idf"), "mean_length")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "user_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
+
+
+def _impact() -> Column:
+    """What a posting adds to a score for each unit of its term's idf."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+
+
+def bm25_topk(queries: DataFrame, index: Bm25Index | BlockIndex, k: int = ARM_LIMIT) -> DataFrame:
     """queries: (query_id, user_id, query) -> (query_id, user_id, memory_id, score, rank): documents with a common term.
 
     Document frequencies are counted for the terms asked for only. The asked (user, term) rows, few, meet the postings; where
-    they are too many to be broadcast, both sides are shuffled and a frequent term's postings are split among tasks.
+    they are too many to be broadcast, both sides are shuffled and a frequent term's postings are split among tasks. With a BlockIndex only
+    blocks of postings that can matter are opened; the answers are the same.
     """
-    asked = queries.select("query_id", "user_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
+    if isinstance(index, BlockIndex):
+        return _block_topk(queries, index, k)
+    asked = _asked(queries)
     names = asked.select(*index.scope, "term").distinct()
     frequencies = index.postings.join(names, [*index.scope, "term"], "left_semi").groupBy(*index.scope, "term").agg(F.count("*").alias("df"))
-    asked = asked.join(frequencies, [*index.scope, "term"])
-    asked = asked.join(index.totals, index.scope) if index.scope else asked.crossJoin(F.broadcast(index.totals))  # one row
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    asked = asked.select("query_id", "user_id", "term", idf.alias("idf"), "mean_length")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = asked.join(index.postings, ["user_id", "term"]).groupBy("query_id", "user_id", "memory_id").agg(F.round(F.sum(weight), DIGITS).alias("score"))
+    scored = _with_idf(asked, frequencies, index).join(index.postings, ["user_id", "term"]).groupBy("query_id", "user_id", "memory_id").agg(F.round(F.sum(F.col("idf") * _impact()), DIGITS).alias("score"))
     return best_of(scored, ["query_id"], k)
 
 
+# ---------------------------------------------------------------- lexical, in blocks with maxima
+
+#: Postings in a block, and steps of impact (at most 2.2) that share blocks.
+BLOCK_POSTINGS, LEVELS = 128, 16
+#: What rounding may add to a score.
+SLACK = 2e-6
+
+
+class BlockIndex:
+    """Postings in blocks (user_id, term, level, part, n, top, rows), rows: structs (memory_id, impact), none above `top`; the totals and the
+    scope of a Bm25Index, and `heads`, the blocks without their rows."""
+
+    def __init__(self, blocks: DataFrame, totals: DataFrame, scope: list[str], save: Save | None = None):
+        self.blocks, self.totals, self.scope, self.save = blocks, totals, scope, save
+        self.heads = blocks.select("user_id", "term", "level", "part", "n", "top")
+
+
+def block_index(index: Bm25Index, save: Save | None = None, block: int = BLOCK_POSTINGS) -> BlockIndex:
+    """Postings of one user and term with like impacts go into blocks of about `block`. Levels of impact and a hash deal them out, so
+    the postings of a common word of a large user need no sort and no task of their own."""
+    rows = index.postings
+    rows = rows.join(index.totals.select(*index.scope, "mean_length"), index.scope) if index.scope else rows.crossJoin(F.broadcast(index.totals.select("mean_length")))  # one row
+    rows = rows.select("user_id", "term", "memory_id", _impact().alias("impact")).withColumn("level", F.floor(F.col("impact") * LEVELS).cast("int"))
+    sizes = rows.groupBy("user_id", "term", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    placed = rows.join(sizes, ["user_id", "term", "level"]).withColumn("part", F.pmod(F.xxhash64("memory_id"), F.col("parts")).cast("int"))
+    blocks = placed.groupBy("user_id", "term", "level", "part").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.collect_list(F.struct("memory_id", "impact")).alias("rows"))
+    return BlockIndex(blocks if save is None else save(blocks, "blocks"), index.totals, index.scope, save)
+
+
+def needed_blocks(queries: DataFrame, index: BlockIndex, k: int = ARM_LIMIT) -> DataFrame:
+    """(query_id, user_id, term, level, part, idf, n): the blocks that can hold a posting of one of the k best documents of a query.
+
+    The best blocks of each term, as many as hold k postings, are added up first; the k-th best of these partial scores is a
+    threshold that k documents reach. A document with a posting in some block scores no more than the block's top and the
+    tops of the query's other terms together; where that is below the threshold the block is of no use, and as this holds for each of
+    its postings, the documents that remain have all their postings in the blocks that remain.
+    """
+    asked = _asked(queries)
+    names = asked.select(*index.scope, "term").distinct()
+    frequencies = index.heads.join(names, [*index.scope, "term"], "left_semi").groupBy(*index.scope, "term").agg(F.sum("n").alias("df"))
+    heads = _with_idf(asked, frequencies, index).drop("mean_length").join(index.heads, ["user_id", "term"])
+    of_term = Window.partitionBy("query_id", "term")
+    before = F.sum("n").over(of_term.orderBy(F.desc("top"), "level", "part").rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.withColumns({"most": F.max("top").over(of_term) * F.col("idf"), "lead": F.coalesce(before, F.lit(0)) < k})
+    heads = heads if index.save is None else index.save(heads, "heads")
+    # only a query that asks for more than its leading blocks needs a threshold
+    more = heads.groupBy("query_id").agg(F.bool_and("lead").alias("all")).where("not all").select("query_id")
+    lead = heads.where("lead").join(more, "query_id", "left_semi")
+    threshold = best_of(_added(lead, index, SLACK / 4), ["query_id"], k).where(F.col("rank") == k - 1).select("query_id", F.col("score").alias("threshold"))
+    tops = heads.select("query_id", "term", "most").distinct().groupBy("query_id").agg(F.sum("most").alias("all_tops"))
+    bound = F.col("idf") * F.col("top") + F.col("all_tops") - F.col("most")
+    kept = heads.join(tops, "query_id").join(threshold, "query_id", "left").where(F.col("threshold").isNull() | (bound >= F.col("threshold") - SLACK))
+    return kept.select("query_id", "user_id", "term", "level", "part", "idf", "n")
+
+
+def _added(heads: DataFrame, index: BlockIndex, less: float = 0.0) -> DataFrame:
+    """The scores of documents from some blocks of their queries' terms."""
+    rows = heads.select("query_id", "user_id", "term", "level", "part", "idf").join(index.blocks.select("user_id", "term", "level", "part", "rows"), ["user_id", "term", "level", "part"])
+    found = rows.select("query_id", "user_id", "idf", F.inline("rows")).groupBy("query_id", "user_id", "memory_id")
+    return found.agg(F.round(F.sum(F.col("idf") * F.col("impact")) - less, DIGITS).alias("score"))
+
+
+def _block_topk(queries: DataFrame, index: BlockIndex, k: int) -> DataFrame:
+    return best_of(_added(needed_blocks(queries, index, k), index), ["query_id"], k)
+
+
 # ---------------------------------------------------------------- dense
 
 
-def _blocked(rows: DataFrame, key: str, per_block) -> DataFrame:
-    """Rows (key, user_id, dim, dense) of each user and dimension in blocks of about `per_block` rows: (user_id, dim, block, ids, vectors)."""
-    sizes = rows.groupBy("user_id", "dim").agg(F.count("*").alias("n")).select("user_id", "dim", F.ceil(F.col("n") / per_block).cast("int").alias("blocks"))
+def _sizes(rows: DataFrame, per_block) -> DataFrame:
+    """(user_id, dim, blocks): how many blocks of about `per_block` rows each user and dimension needs."""
+    return rows.groupBy("user_id", "dim").agg(F.count("*").alias("n")).select("user_id", "dim", F.ceil(F.col("n") / per_block).cast("int").alias("blocks"))
+
+
+def _blocked(rows: DataFrame, key: str, sizes: DataFrame, per_salt: int) -> DataFrame:
+    """Rows (key, user_id, dim, dense) gathered in the blocks that sizes gives them: (user_id, dim, salt, rows)."""
     placed = rows.join(sizes, ["user_id", "dim"]).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
-    return placed.groupBy("user_id", "dim", "block").agg(F.collect_list(F.struct(F.col(key).alias("id"), "dense")).alias("rows"))
+    placed = placed.withColumn("salt", F.pmod("block", F.ceil(F.col("blocks") / per_salt)).cast("int"))
+    return placed.groupBy("user_id", "dim", "block", "salt").agg(F.collect_list(F.struct(F.col(key).alias("id"), "dense")).alias("rows")).drop("block")
 
 
-def dense_topk(queries: DataFrame, index: DataFrame, k: int = ARM_LIMIT) -> DataFrame:
+def dense_topk(queries: DataFrame, index: DataFrame, k: int = ARM_LIMIT, per_salt: int = BLOCKS_PER_SALT) -> DataFrame:
     """queries: (query_id, user_id, dense); index: (memory_id, user_id, dense) -> like bm25_topk, scores are cosines.
 
     The vectors of users that are asked for are gathered in blocks of bounded size, the users' queries in chunks; a chunk and a block are
-    multiplied at once and leave the best k a query, so no table of pairs is made, nothing passes the driver, and a user of
-    any size is spread over tasks. Only vectors of equal dimension are compared; null and empty vectors and those with nulls
-    or values that are not finite are left out, a zero vector scores 0.
+    multiplied at once and leave the best k a query, so no table of pairs is made and nothing passes the driver. A user's size
+    decides how many salts the user has, one for each `per_salt` blocks; the user's few queries are copied to each of them, so a user of any
+    size is spread over tasks by the join's own key, with adaptive execution or without. Only vectors of equal dimension are compared; null and
+    empty vectors and those with nulls or values that are not finite are left out, a zero vector scores 0.
     """
     finite = ~F.exists("dense", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     clean = lambda df, key: df.where((F.size("dense") > 0) & finite).select(key, "user_id", F.size("dense").alias("dim"), F.col("dense").cast("array<double>").alias("dense"))
     asked = clean(queries, "query_id")
     mine = clean(index, "memory_id").join(asked.select("user_id", "dim").distinct(), ["user_id", "dim"], "left_semi")
-    left = _blocked(asked, "query_id", F.lit(QUERY_CHUNK)).select("user_id", "dim", F.col("rows").alias("q"))
-    right = _blocked(mine, "memory_id", F.greatest(F.lit(64), F.lit(BLOCK_BYTES) / (8 * F.col("dim")))).select("user_id", "dim", F.col("rows").alias("m"))
-    both = left.join(right, ["user_id", "dim"]).select("user_id", "q", "m")
+    sizes = _sizes(mine, F.greatest(F.lit(64), F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))
+    right = _blocked(mine, "memory_id", sizes, per_salt).select("user_id", "dim", "salt", F.col("rows").alias("m"))
+    left = _blocked(asked, "query_id", _sizes(asked, F.lit(QUERY_CHUNK)), 1).select("user_id", "dim", F.col("rows").alias("q")).join(sizes, ["user_id", "dim"])
+    left = left.select("user_id", "dim", F.explode(F.sequence(F.lit(0), F.ceil(F.col("blocks") / per_salt).cast("int") - 1)).alias("salt"), "q")
+    both = left.join(right, ["user_id", "dim", "salt"]).select("user_id", "q", "m")
     found = both.mapInArrow(_best_of_blocks(k), "query_id string, user_id string, memory_id string, score double")
     return best_of(found, ["query_id"], k)
 
@@ -186,7 +291,7 @@ def arm_rankings(lexical: DataFrame, dense: DataFrame, n: int = ARM_LIMIT) -> Da
     return both.groupBy("query_id").agg(ids(0).alias("lexical"), ids(1).alias("dense"))
 
 
-def hybrid_search(queries: DataFrame, index: Bm25Index, vectors: DataFrame, prefetch: int = ARM_LIMIT, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+def hybrid_search(queries: DataFrame, index: Bm25Index | BlockIndex, vectors: DataFrame, prefetch: int = ARM_LIMIT, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
     """queries: (query_id, user_id, query, top_k, dense). Blank queries and top_k of 0 or less have no rows."""
     asked = queries.where(~T.is_blank(F.col("query")) & (F.col("top_k") > 0))
     fused = rrf_fuse([bm25_topk(asked, index, prefetch), dense_topk(asked, vectors, prefetch)], weights=weights, prefetch=prefetch)

@@ -136,6 +136,38 @@ def q03_upsert_replace(spark, sf_dir):
     return _upserted(spark, sf_dir, "replace")
 
 
+def _stored_orders(spark, sf_dir):
+    """Orders as a table of three commits, and changes of some of them."""
+    from mnemospark.streaming.tables import Tables
+
+    t = Tables(_folder(spark, "orders"), {"orders": ("k", 16)})
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    for i in range(3):
+        t.commit(spark, f"load-{i}", {"orders": o.where(F.col("k") % 3 == i)})
+    return t, o.where("k % 16 = 5").withColumn("v", F.col("v") + 1).unionByName(o.where("k % 16 = 5").withColumns({"k": -F.col("k"), "v": F.lit(None).cast("double")}))
+
+
+_ORDERS = "SELECT o_orderkey AS k, o_totalprice AS v FROM orders"
+
+
+@_query(f"""{_ORDERS} WHERE o_orderkey % 16 <> 5 UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 16 = 5
+UNION ALL SELECT -o_orderkey, NULL FROM orders WHERE o_orderkey % 16 = 5""")
+def q03_merge_table(spark, sf_dir):
+    """Changed and new rows merged into a stored table; only folders with a changed key are written anew."""
+    t, changes = _stored_orders(spark, sf_dir)
+    t.merge(spark, "orders", "change-0", changes, ["k"], "k bigint, v double")
+    return t.read(spark, "orders", "k bigint, v double")
+
+
+@_query(f"{_ORDERS} UNION ALL SELECT -o_orderkey, NULL FROM orders WHERE o_orderkey % 16 = 5")
+def q08_compacted_table(spark, sf_dir):
+    """A table of several commits after an insert and a compaction."""
+    t, changes = _stored_orders(spark, sf_dir)
+    t.merge(spark, "orders", "change-0", changes, ["k"], "k bigint, v double", "ignore")
+    t.compact(spark, "orders", "k bigint, v double", most=1)
+    return t.read(spark, "orders", "k bigint, v double")
+
+
 @_query(f"WITH {_B} SELECT id, 'x' || id AS old_id, local_index, prev_memory_id, next_memory_id FROM b")
 def q04_rekey_blocks(spark, sf_dir):
     legacy = V.blocks(spark, sf_dir).withColumns({"id": F.concat(F.lit("x"), "id"), "prev_memory_id": F.lit("old"), "next_memory_id": F.lit(None).cast("string")})
@@ -155,6 +187,16 @@ def q06_fetch_by_ids(spark, sf_dir):
     return tables.fetch_by_ids(blocks, lists).select("list_of", F.col("position").cast("long").alias("position"), "id", "question")
 
 
+@_query(f"""WITH {_B}, l AS (SELECT user_id, list_append(list(id ORDER BY id DESC), 'unknown') AS ids FROM b WHERE local_index = 0 GROUP BY user_id)
+SELECT x.user_id AS list_of, x.position, b.id, b.question FROM (SELECT user_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS position FROM l) x JOIN b USING (id)""")
+def q06_fetch_from_folders(spark, sf_dir):
+    """The same lists looked up in stored blocks, in the folders of their users only."""
+    path, blocks = _folder(spark, "blocks"), V.blocks(spark, sf_dir)
+    tables.write_table(blocks, path, buckets=16)
+    lists = blocks.where("local_index = 0").groupBy(F.col("user_id").alias("list_of")).agg(F.concat(F.sort_array(F.collect_list("id"), False), F.array(F.lit("unknown"))).alias("ids"))
+    return tables.fetch_by_ids(spark.read.parquet(path), lists, user_col="list_of", buckets=16).select("list_of", F.col("position").cast("long").alias("position"), "id", "question")
+
+
 @_query(f"WITH {_B} SELECT user_id, count(*) AS n FROM b GROUP BY user_id")
 def q07_index_count(spark, sf_dir):
     return tables.index_count(V.blocks(spark, sf_dir), per_user=True)
@@ -201,6 +243,22 @@ def q10_resolve_batches(spark, sf_dir):
     return _resolved(spark, sf_dir).select("request_id", "received_seq", "outcome")
 
 
+@_query(f"{_RESOLVED} SELECT * FROM o")
+def q10_stored_registry(spark, sf_dir):
+    """The same outcomes from a stored registry, of which the filters leave only what can hold one of the requests."""
+    from mnemospark.operators import membership
+    from mnemospark.streaming.jobs import known_requests
+    from mnemospark.streaming.tables import Tables
+
+    r, incoming = _incoming(spark, sf_dir)
+    n, t = F.expr("CAST(substr(session_id, 2) AS BIGINT)"), Tables(_folder(spark, "registry"))
+    known = ingest.payload_fingerprint(r.where(n % 3 == 0)).withColumn("payload_hash", F.when(n % 6 != 0, F.col("payload_hash")))
+    known = known.select("request_id", "user_id", "session_id", "payload_hash", F.lit(0).cast("long").alias("applied_at"))
+    t.commit(spark, "load-0", {"applied": known, "applied_filter": membership.filter_of(t.bucketed("applied", known), "request_id", 1)})
+    incoming = _stored(incoming, "incoming")
+    return ingest.resolve_batches(incoming, known_requests(spark, t, incoming)).select("request_id", "received_seq", "outcome")
+
+
 @_query(f"{_RESOLVED} SELECT h.request_id, h.user_id, h.session_id, h.payload_hash, 5 AS applied_at FROM o JOIN h USING (request_id) WHERE outcome = 'new'")
 def q11_record_batches(spark, sf_dir):
     return ingest.record_batches(_resolved(spark, sf_dir), 5)
@@ -381,6 +439,13 @@ def q30_bm25_topk(spark, sf_dir):
     return _lexical(spark, sf_dir)
 
 
+@_query(f"WITH {_BM25} SELECT * FROM lex")
+def q30_block_topk(spark, sf_dir):
+    """The same answers from postings in blocks with maxima, of which only those are opened that can matter."""
+    index = retrieval.block_index(retrieval.bm25_index(V.view(spark, sf_dir, V.MEMORIES), save=_stored), _stored)
+    return retrieval.bm25_topk(V.view(spark, sf_dir, V.QUERIES), index)
+
+
 @_query(f"WITH {_DENSE} SELECT * FROM dn")
 def q31_dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir)
