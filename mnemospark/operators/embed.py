@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
+from mnemospark.operators.rank import isolated
 from mnemospark.operators.tables import upsert
 
 Encode = Callable[[list[str]], list]
@@ -46,6 +47,21 @@ def encode_distinct(texts: DataFrame, encode: Encode, batch_size: int) -> DataFr
     return texts.select("content_hash", "text").mapInPandas(run, "content_hash string, dim int, vec array<float>")
 
 
+def embed_queries(queries: DataFrame, encode: Encode, batch_size: int = 64) -> DataFrame:
+    """queries (query_id, query, ...) with `dense` and `error`: a query whose encoding fails, in its batch and alone, has no vector and
+    says why; it does not fail the others."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), batch_size):
+                part = frame.iloc[i : i + batch_size]
+                vectors, errors = isolated(lambda rows: [np.asarray(v, np.float32) for v in encode(rows["query"].tolist())], part, "query_id", None)
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "dense": vectors, "error": errors})
+
+    made = queries.select("query_id", "query").mapInPandas(run, "query_id string, dense array<float>, error string")
+    return queries.join(made, "query_id")
+
+
 def embed_missing(texts: DataFrame, cache: DataFrame, encode: Encode, coordinate: str, batch_size: int = 64, query: bool = False, created_at: int = 0, concurrency: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts with `vec`, new cache rows). Each distinct text that the cache lacks is encoded once; all its rows get the vector.
 

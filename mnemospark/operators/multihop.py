@@ -84,8 +84,8 @@ def normal_query(query: Column) -> Column:
 
 
 def fault_of(error: Column) -> Column:
-    """The stop reason of a failed model call: the model was not there, or it failed. Null without an error."""
-    return F.when(error == "unavailable", "llm_unavailable").when(error.isNotNull(), "llm_error")
+    """The stop reason of a failed call: the search failed (error `retrieval`), the model was not there, or it failed. Null without an error."""
+    return F.when(error == "retrieval", "retrieval_error").when(error == "unavailable", "llm_unavailable").when(error.isNotNull(), "llm_error")
 
 
 def react_stop(decisions: DataFrame, max_rounds: int = MAX_ROUNDS, sufficient: float = SUFFICIENT) -> DataFrame:
@@ -175,14 +175,21 @@ def _with_error(replies: DataFrame) -> DataFrame:
     return replies.withColumn("error", F.when(error.isNotNull(), error).when(F.col("reply").isNull(), "unavailable"))
 
 
-def _round_hits(ready: DataFrame, search: Search, rerank, per_round: int, save: Save, n: int) -> DataFrame:
-    """(query_id, round, memory_id, position): the best of a round's results, reranked by the round's query where there is a scorer."""
+def _round_hits(ready: DataFrame, search: Search, rerank, per_round: int, save: Save, n: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, round, memory_id, position), the best of a round's results, reranked by the round's query where there is a scorer; and
+    the (query_id) whose search failed: those with a row that has an `error`, where search gives that column."""
     asked = ready.select("query_id", "user_id", F.col("executed_query").alias("query"))
-    hits = search(asked).select("query_id", "memory_id", "rank")
+    hits = search(asked)
+    failed = ready.select("query_id").limit(0)
+    if "error" in hits.columns:
+        hits = save(hits.select("query_id", "memory_id", "rank", "error"), f"searched-{n}")
+        failed = hits.where("error is not null").select("query_id").distinct()
+        hits = hits.join(failed, "query_id", "left_anti")
+    hits = hits.select("query_id", "memory_id", "rank")
     if rerank is not None:
         hits = save(hits, f"found-{n}")
         hits = apply_rerank(hits, rerank(hits, asked))
-    return save(hits.where(F.col("rank") < per_round).select("query_id", F.lit(n).alias("round"), "memory_id", F.col("rank").cast("int").alias("position")), f"hits-{n}")
+    return save(hits.where(F.col("rank") < per_round).select("query_id", F.lit(n).alias("round"), "memory_id", F.col("rank").cast("int").alias("position")), f"hits-{n}"), failed
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -211,7 +218,8 @@ def multi_hop_search(
     with `reply` and perhaps `error`; bodies: (memory_id, day, body); save: writes a table once and reads it back, which cuts
     the lineage of each round; rerank: (candidates, queries) to scores as apply_rerank() takes them, used in each round by its query.
     stops: (query_id, stop_reason, recovery, rerank_query): the queries that ran, joined, for a last rerank of the pool (the
-    original where it was filled by recovery).
+    original where it was filled by recovery). A search may give rows with an `error` in place of results: then only their queries stop, with
+    retrieval_error and what they had found before; with nothing found they are left to the plain search of search().
     """
     asked_plans = queries.select("query_id").join(plan_replies, "query_id", "left")
     failures = _with_error(asked_plans).select("query_id", "error")
@@ -222,14 +230,15 @@ def multi_hop_search(
     for n in range(max_rounds):
         now = bind_placeholders(steps.where(F.col("step_no") == n).drop("error").join(active, "query_id", "left_semi").join(answers, "query_id"))
         ready = save(now.where(F.size("unbound") == 0).join(queries.select("query_id", "user_id"), "query_id"), f"ready-{n}")
-        got = _round_hits(ready, search, rerank, per_round, save, n)
+        got, failed = _round_hits(ready, search, rerank, per_round, save, n)
         pool.append(got)
         executed.append(ready.select("query_id", F.lit(n).alias("round"), F.col("executed_query").alias("query")))
         shown = render_documents(got.join(bodies, "memory_id"))
-        asked = ready.select("query_id", "id", "executed_query").join(shown, "query_id", "left").withColumn("round", F.lit(n))
+        asked = ready.select("query_id", "id", "executed_query").join(failed, "query_id", "left_anti").join(shown, "query_id", "left").withColumn("round", F.lit(n))
         replied = _with_error(answer(asked.withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))))
         judged = parse_step_answers(replied)
         record = now.select("query_id", "plan_status", "step_no", "unbound").join(judged.select("query_id", "valid", "status", "answer", "id", "error"), "query_id", "left")
+        record = record.join(failed.withColumn("lost", F.lit("retrieval")), "query_id", "left").withColumn("error", F.coalesce("lost", "error")).drop("lost")
         record = save(record, f"round-{n}")
         records.append(record)
         done = record.where("valid and status = 'answered' and error is null")
@@ -244,7 +253,9 @@ def multi_hop_search(
     ran = _union(records).select(*columns)
     stops = save(plan_stop(ran.unionByName(broken.select(*columns)), max_rounds), "stops")
     merged = save(round_pool(_union(pool), per_round), "pool")
-    filled, statuses = recovery_fill(merged, stops, search(queries.select("query_id", "user_id", "query")), top_k)
+    plain = search(queries.select("query_id", "user_id", "query"))
+    plain = plain.where("error is null").drop("error") if "error" in plain.columns else plain
+    filled, statuses = recovery_fill(merged, stops, plain, top_k)
     joint = joint_queries(_union(executed)).withColumnRenamed("query", "joint")
     statuses = statuses.join(joint, "query_id", "left").join(queries.select("query_id", "query"), "query_id")
     own = F.col("recovery") == "success"
@@ -274,7 +285,7 @@ def react_search(
     for n in range(max_rounds):
         now = state.withColumns({"used": F.array_append("used", normal_query(F.col("executed_query"))), "asked_before": F.array_append("asked_before", F.col("executed_query"))})
         now = save(now, f"asked-{n}")
-        got = _round_hits(now, search, rerank, per_round, save, n)
+        got, failed = _round_hits(now, search, rerank, per_round, save, n)
         pool.append(got)
         executed.append(now.select("query_id", F.lit(n).alias("round"), F.col("executed_query").alias("query")))
         rows = got.select("query_id", "round", "memory_id", "position", F.lit(0).alias("selected_before"))
@@ -286,12 +297,15 @@ def react_search(
             rows = rows.unionByName(kept)
         shown = render_documents(rows.join(bodies, "memory_id"), ("selected_before", "position")).drop("round")
         none = F.array().cast("array<string>")
-        asked = now.select("query_id", F.lit(n).alias("round"), "query", "executed_query", F.col("asked_before").alias("used_queries"), "used").join(shown, "query_id", "left")
+        asked = now.join(failed, "query_id", "left_anti")
+        asked = asked.select("query_id", F.lit(n).alias("round"), "query", "executed_query", F.col("asked_before").alias("used_queries"), "used").join(shown, "query_id", "left")
         asked = asked.withColumns({"documents": F.coalesce("documents", none), "ids": F.coalesce("ids", none)})
         replied = _with_error(decide(asked)).withColumn("n_documents", F.size("ids"))
         judged = react_stop(parse_react_decisions(replied).withColumn("round", F.col("round") + 1), max_rounds, sufficient)
         reason = F.coalesce(fault_of(F.col("error")), F.when(~F.coalesce("valid", F.lit(False)), "invalid_output"), F.col("stop_reason"))
-        record = save(judged.select("query_id", (F.col("round") - 1).alias("round"), "ids", "evidence_indices", T.strip(F.col("new_query")).alias("new_query"), reason.alias("stop_reason")), f"round-{n}")
+        record = judged.select("query_id", (F.col("round") - 1).alias("round"), "ids", "evidence_indices", T.strip(F.col("new_query")).alias("new_query"), reason.alias("stop_reason"))
+        lost = failed.select("query_id", F.lit(n).alias("round"), none.alias("ids"), F.lit(None).cast("array<int>").alias("evidence_indices"), F.lit(None).cast("string").alias("new_query"), F.lit("retrieval_error").alias("stop_reason"))
+        record = save(record.unionByName(lost), f"round-{n}")
         records.append(record)
         places = record.where("evidence_indices is not null").select("query_id", "round", "ids", F.posexplode("evidence_indices").alias("position", "i"))
         picks.append(places.select("query_id", "round", "position", F.get("ids", F.col("i")).alias("memory_id")))

@@ -34,19 +34,40 @@ def apply_rerank(candidates: DataFrame, scores: DataFrame | None) -> DataFrame:
     return joined.select("query_id", "memory_id", (F.row_number().over(order) - 1).alias("rank"), F.when(F.col("ok"), "called").otherwise("degraded").alias("status"))
 
 
+def isolated(call: Callable[[pd.DataFrame], list], rows: pd.DataFrame, key: str, missing) -> tuple[list, list]:
+    """(values, errors) of a model call on rows; if it raises, of a call for each key alone: rows of a key that fails again get `missing` and the error."""
+    try:
+        return list(call(rows)), [None] * len(rows)
+    except Exception:
+        values, errors = [missing] * len(rows), [None] * len(rows)
+        for places in rows.reset_index(drop=True).groupby(key, sort=False).indices.values():
+            try:
+                got = list(call(rows.iloc[places]))
+            except Exception as error:
+                got = None
+                said = f"{type(error).__name__}: {error}"[:500]
+            for at, i in enumerate(places):
+                if got is None:
+                    errors[i] = said
+                else:
+                    values[i] = got[at]
+        return values, errors
+
+
 def score_pairs(candidates: DataFrame, queries: DataFrame, texts: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], batch_size: int = 64) -> DataFrame:
     """(query_id, idx, score) of candidates (query_id, memory_id, rank) by a model on Arrow batches.
 
     queries: (query_id, query); texts: (memory_id, text). scorer gets lists of queries and texts; a candidate without a text
-    gets no score, so that apply_rerank() leaves its query as it was.
+    gets no score, so that apply_rerank() leaves its query as it was. Where the scorer raises, each query of the batch is tried alone, and
+    the scores of those that fail again are null: they stay as they were too, and the others are reranked.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i in range(0, len(frame), batch_size):
                 part = frame.iloc[i : i + batch_size]
-                scores = scorer(part["query"].tolist(), part["text"].tolist())
-                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "idx": part["idx"].to_numpy(), "score": np.asarray(scores, np.float64)})
+                scores = isolated(lambda rows: np.asarray(scorer(rows["query"].tolist(), rows["text"].tolist()), np.float64), part, "query_id", None)
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy(), "idx": part["idx"].to_numpy(), "score": np.array(scores[0], np.float64)})
 
     pairs = candidates.join(queries.select("query_id", "query"), "query_id").join(texts.select("memory_id", "text"), "memory_id")
     return pairs.select("query_id", F.col("rank").cast("int").alias("idx"), "query", "text").mapInPandas(run, "query_id string, idx int, score double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
 from mnemospark.operators import facts as facts_of
-from mnemospark.operators import rank, retrieval
+from mnemospark.operators import embed, rank, retrieval
 
 Save = Callable[[DataFrame, str], DataFrame]
 
@@ -52,6 +52,15 @@ def retrieve(queries: DataFrame, memory: Memory, options: Options) -> DataFrame:
     return found.join(asked.select("query_id", "top_k"), "query_id").where(F.col("rank") < F.col("top_k")).select("query_id", "memory_id", "rank")
 
 
+def retrieve_isolated(queries: DataFrame, memory: Memory, options: Options, encode, save: Save) -> DataFrame:
+    """retrieve() of queries (query_id, user_id, query, top_k) that are embedded first: (query_id, memory_id, rank, error). A query that can't be embedded
+    has one row with its error, and the others their results."""
+    made = save(embed.embed_queries(queries, encode), "query-vectors")
+    found = retrieve(made.where("error is null").drop("error"), memory, options).withColumn("error", F.lit(None).cast("string"))
+    none = made.where("error is not null").select("query_id", F.lit(None).cast("string").alias("memory_id"), F.lit(None).cast("int").alias("rank"), "error")
+    return found.unionByName(none)
+
+
 def search(
     queries: DataFrame,
     memory: Memory,
@@ -64,7 +73,8 @@ def search(
 ) -> tuple[DataFrame, DataFrame]:
     """(items, observations) of every query.
 
-    queries: (query_id, user_id, query, top_k, perhaps dense); blank queries and those with top_k of 0 or less have no rows.
+    queries: (query_id, user_id, query, top_k, perhaps dense, perhaps error); blank queries and those with top_k of 0 or less have no rows, those
+    with an error (embed.embed_queries) no items but an observation with it.
     rerank: (candidates, queries) to scores as rank.apply_rerank() takes them, e.g. rank.score_pairs with a model.
     routes: (query_id, route); queries with MULTI_HOP go to multi_hop, which gives (candidates, stops) as those of operators.multihop, and are
     reranked by the query that stops name; where it finds nothing, and without it, they are searched like the others.
@@ -75,6 +85,10 @@ def search(
     the counts of expansion and packaging, and the facts appended.
     """
     asked = save(queries.where(~T.is_blank(F.col("query")) & (F.col("top_k") > 0)), "asked")
+    lost = None
+    if "error" in asked.columns:
+        lost = asked.where("error is not null").select("query_id", "error")
+        asked = asked.where("error is null").drop("error")
     names = asked.select("query_id", "user_id", "query", "top_k")
     route = F.lit("DEFAULT")
     hopped = stops = None
@@ -113,4 +127,5 @@ def search(
         seen = seen if counts is None else seen.join(counts, "query_id", "left")
     if stops is not None:
         seen = seen.join(stops.select("query_id", "stop_reason"), "query_id", "left")
-    return items, seen.withColumn("rerank_status", F.coalesce("rerank_status", F.lit("disabled")))
+    seen = seen.withColumn("rerank_status", F.coalesce("rerank_status", F.lit("disabled")))
+    return items, seen if lost is None else seen.withColumn("error", F.lit(None).cast("string")).unionByName(lost, allowMissingColumns=True)

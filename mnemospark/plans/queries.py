@@ -930,6 +930,38 @@ def q66_multi_hop_search(spark, sf_dir):
     return found
 
 
+_TWO = "array_to_string(list_slice({terms}, 1, 2), ' ')"
+_REACT = f"""WITH {_BM25},
+q2 AS (SELECT lex.query_id, lex.user_id, {_TWO.format(terms=_terms('text'))} AS query FROM lex JOIN d USING (memory_id) JOIN q USING (query_id)
+  WHERE rank = 0 AND {_TWO.format(terms=_terms('text'))} <> lower(trim(q.query))),
+qt2 AS (SELECT DISTINCT query_id, user_id, unnest({_terms('query')}) AS term FROM q2),
+ls2 AS (SELECT query_id, qt.user_id, tf.memory_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM qt2 qt JOIN df ON df.term = qt.term JOIN tf ON tf.term = qt.term AND tf.user_id = qt.user_id JOIN dl ON dl.memory_id = tf.memory_id AND dl.user_id = tf.user_id, g GROUP BY query_id, qt.user_id, tf.memory_id),
+lex2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) - 1 AS rank FROM ls2),
+p AS (SELECT query_id, memory_id, min(place) AS place FROM (SELECT query_id, memory_id, rank AS place FROM lex WHERE rank < 20 UNION ALL SELECT query_id, memory_id, 100 + rank FROM lex2 WHERE rank < 20) GROUP BY ALL)
+SELECT query_id, memory_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, memory_id) - 1 AS BIGINT) AS rank FROM p"""
+
+
+@_query(_REACT)
+def q66_react_search(spark, sf_dir):
+    """Two rounds of search and decision; the stand-in for the model asks for the first two words of the best document, then has enough."""
+    memories = V.view(spark, sf_dir, V.MEMORIES)
+    index = retrieval.bm25_index(memories, save=_stored)
+    queries = V.view(spark, sf_dir, V.QUERIES).select("query_id", "user_id", "query")
+    two = memories.select(F.col("memory_id").alias("best"), F.array_join(F.slice(T.terms(F.col("text")), 1, 2), " ").alias("words"))
+
+    def decide(asked):
+        best = asked.withColumn("best", F.get("ids", F.lit(0))).join(two, "best", "left")
+        picked = F.when(F.col("best").isNull(), F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))
+        first = F.to_json(F.struct(F.lit(False).alias("is_sufficient"), picked.alias("evidence_indices"), F.coalesce("words", F.lit("")).alias("new_query"), F.lit(0.2).alias("confidence_score")))
+        enough = F.lit('{"is_sufficient": true, "evidence_indices": [], "new_query": "", "confidence_score": 0.9}')
+        return best.withColumn("reply", F.when(F.col("round") == 0, first).otherwise(enough)).drop("best", "words")
+
+    bodies = memories.select("memory_id", F.lit("").alias("day"), F.col("text").alias("body"))
+    found, _ = multihop.react_search(queries, lambda q: retrieval.bm25_topk(q, index), decide, bodies, _stored)
+    return found.select("query_id", "memory_id", F.col("rank").cast("long").alias("rank"))
+
+
 @_query(f"""WITH r AS ({_ROUNDS.format(**_NAMES)}), x AS (SELECT *, row_number() OVER (PARTITION BY query_id, round ORDER BY position) - 1 AS i FROM r WHERE position < 3 AND value >= 20)
 SELECT query_id, round, string_agg('[' || i || ']' || CASE WHEN position = 1 THEN ' Time: 2024-01-02' ELSE '' END || chr(10) || memory_id, chr(10) || chr(10) ORDER BY i) AS documents FROM x GROUP BY ALL""")
 def q67_render_documents(spark, sf_dir):
@@ -993,6 +1025,20 @@ def q71_metrics_stream(spark, sf_dir):
     return spark.table(name)
 
 
+@_query(f"{_OBS} {_METRICS}")
+def q71_metrics_sink(spark, sf_dir):
+    """The same row from stored sums of micro-batches."""
+    from mnemospark.streaming.jobs import metrics_sink, metrics_snapshot
+    from mnemospark.streaming.tables import Tables
+
+    path, t = _folder(spark, "observations"), Tables(_folder(spark, "metrics"))
+    observations = V.view(spark, sf_dir, V.OBSERVATIONS)
+    observations.repartition(3, "event_id").write.parquet(path)
+    stream = spark.readStream.schema(observations.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    metrics_sink(stream, _COUNTERS, t, _folder(spark, "metrics-checkpoint"), compact_every=2).awaitTermination()
+    return metrics_snapshot(spark, t, _COUNTERS)
+
+
 def _toy_scores(queries: list[str], texts: list[str]) -> list[float]:
     """A deterministic stand-in for a reranker."""
     return [len(t) * 37 % 101 / 101 for t in texts]

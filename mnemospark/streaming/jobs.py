@@ -121,11 +121,29 @@ def ingest_stream(requests: DataFrame, tables: Tables, checkpoint: str, after: C
     return requests.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def metrics_stream(observations: DataFrame, counters: list[str], checkpoint: str, name: str, latencies: tuple[str, ...] = metrics.LATENCIES, path: str | None = None) -> StreamingQuery:
-    """The running snapshot of search_metrics, as the in-memory table `name` (one row), or as JSON at `path`, where each
-    micro-batch replaces the snapshot."""
+def metrics_stream(observations: DataFrame, counters: list[str], checkpoint: str, name: str, latencies: tuple[str, ...] = metrics.LATENCIES) -> StreamingQuery:
+    """The running snapshot of search_metrics as the in-memory table `name` (one row), which ends with the session; metrics_sink keeps it."""
     snapshot = metrics.search_metrics(observations, counters, latencies)
     out = snapshot.writeStream.outputMode("complete").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if path is None:
-        return out.format("memory").start()
-    return out.foreachBatch(lambda df, n: df.write.mode("overwrite").json(path)).start()
+    return out.format("memory").start()
+
+
+def metrics_sink(observations: DataFrame, counters: list[str], tables: Tables, checkpoint: str, latencies: tuple[str, ...] = metrics.LATENCIES, compact_every: int = 20) -> StreamingQuery:
+    """Sums of each micro-batch into the table `metrics`, a commit each; metrics_snapshot merges them.
+
+    A replayed batch changes nothing, as its commit is there; a reader sees whole batches only, also while one is written. The sums
+    of all batches become one folder every `compact_every` batches (0: never).
+    """
+    spark, run = observations.sparkSession, run_id(observations.sparkSession, checkpoint)
+
+    def add(df: DataFrame, n: int) -> None:
+        tables.commit(spark, f"metrics-{run}-{n}", {"metrics": metrics.partial_metrics(df, counters, latencies)})
+        if compact_every and n % compact_every == compact_every - 1:
+            tables.compact(spark, "metrics", metrics.PARTIAL, 1, lambda rows: metrics.added_partials(rows).withColumn("bucket", F.lit(0)))
+
+    return observations.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def metrics_snapshot(spark: SparkSession, tables: Tables, counters: list[str], latencies: tuple[str, ...] = metrics.LATENCIES) -> DataFrame:
+    """search_metrics over all batches that are committed now."""
+    return metrics.merged_metrics(tables.read(spark, "metrics", metrics.PARTIAL), counters, latencies)
