@@ -39,6 +39,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's tokens lie in sequences of at most 4096 tokens, and their checksums."""
     return token_files.with_crc32(packing.pack(_table(spark, sf_dir, "documents")))
 
 
@@ -65,6 +66,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths with the sums that answer totals and quantiles of every context limit."""
     return token_counts.with_suffix_sums(token_counts.length_histogram(_table(spark, sf_dir, "documents")))
 
 
