@@ -6,6 +6,8 @@ put after it. Durations (`for two years`) are a second pass over the result, as
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ MOMENT = (
     rf"|{_COUNT}\s+(?:weekend|day|week|month|year)s?\s+ago)\b"
 )
 DURATION = rf"(?iU)\b(?:for|since)\s+{_COUNT}\s+(?:day|week|month|year)s?\b"
+#: Every match holds a word of each of these groups; texts without one are not searched by the large patterns.
+MOMENT_WORDS = (("yesterday", "last", "past", "morning", "today", "tonight", "other", "tomorrow", "earlier", "ago"),)
+DURATION_WORDS = (("for", "since"), ("day", "week", "month", "year"))
+#: Letters that are equal to an ASCII letter when case is ignored, and that lower() leaves or makes two of.
+_LIKE_ASCII = ("\u017f", "\u212a", "\u0130", "\u0131")
 MARKS = {"paren": (" (", ")"), "tag": (" [= ", "]")}
 #: The first day of the calendar, counted from 1970, and a count beyond any in it.
 _FIRST_DAY, _MANY = -719_162, 10_000_000
@@ -98,12 +105,19 @@ def _duration(found: Column, d: Column) -> Column:
     return F.concat(F.lit("since "), F.when(unit == "month", _month(d, n)).when(unit == "year", _year(d, n)))
 
 
-def _noted(text: Column, pattern: str, meaning, day: Column, mark: str) -> Column:
+def _may_match(text: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a text holds a word of every group, or a letter for which that can't be told so simply."""
+    low = F.lower(text)
+    either = lambda words, t: functools.reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in words])
+    return functools.reduce(Column.__and__, [either(words, low) for words in groups]) | either(_LIKE_ASCII, text)
+
+
+def _noted(text: Column, pattern: str, groups: tuple[tuple[str, ...], ...], meaning, day: Column, mark: str) -> Column:
     """The text with the meaning of each match of the pattern after it, where it has one."""
     left, right = MARKS[mark]
     note = lambda m: F.coalesce(F.concat(F.lit(left), meaning(m, day), F.lit(right)), F.lit(""))
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda part, m: F.concat(part, F.when(m.isNull(), "").otherwise(F.concat(m, note(m)))))
-    return F.array_join(pieces, "")
+    return F.when(_may_match(text, groups), F.array_join(pieces, "")).otherwise(text)
 
 
 def annotate_relative_dates(text: Column, day: Column, mark: str = "paren") -> Column:
@@ -116,5 +130,5 @@ def annotate_relative_dates(text: Column, day: Column, mark: str = "paren") -> C
     at = day.try_cast("date")
     # arrays of one element bind a value to a name, so that no text is made twice
     bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    noted = bind(_noted(text, MOMENT, _moment, at, mark), lambda t: _noted(t, DURATION, _duration, at, mark))
+    noted = bind(_noted(text, MOMENT, MOMENT_WORDS, _moment, at, mark), lambda t: _noted(t, DURATION, DURATION_WORDS, _duration, at, mark))
     return F.when(at.isNotNull(), noted).otherwise(text)

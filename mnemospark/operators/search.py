@@ -117,8 +117,7 @@ def search(
         wanted = save(room.join(entities.select("query_id", "entities"), "query_id"), "wanted")
         known = facts_of.facts_for_entities(wanted, memory.facts, memory.blocks, save=save)
         shown = facts_of.rebind_owner(known, facts_of.owner_names(memory.facts))
-        snippets = save(facts_of.fact_snippets(shown, 1 << 30), "snippets")
-        items = save(facts_of.append_facts(items, snippets, names), "with-facts")
+        items = facts_of.append_facts(items, facts_of.fact_snippets(shown, 1 << 30), names)
         added = items.where(F.col("id").startswith("fact:")).groupBy("query_id").agg(F.count("*").alias("fact_snippets"))
 
     status = ranked.groupBy("query_id").agg(F.max("status").alias("rerank_status"))
