@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mnemospark import schemas
 from mnemospark.operators import ingest, membership, metrics
+from mnemospark.operators.tables import one_of_each
 from mnemospark.streaming.tables import KEPT, ConflictError, Snapshot, Tables
 
 
@@ -80,6 +81,33 @@ def ingest_batch(requests: DataFrame, tables: Tables, batch: str, after: Callabl
             spark.createDataFrame([(batch, repr(error)[:500])], "batch string, error string").write.mode("append").json(tables.path("derived_errors"))
 
 
+def _shaped(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of a schema; those that an older table lacks are null."""
+    kinds = df.sparkSession.createDataFrame([], schema).schema
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds))
+
+
+def adopt_legacy(spark: SparkSession, tables: Tables, blocks: DataFrame, applied: DataFrame, messages: DataFrame | None = None) -> bool:
+    """Take over tables of an older layout, in one commit: ids and links are computed anew, messages follow their block's new id, and a
+    registry without `payload_hash` gets it as null, so its requests are replays whatever they hold. Of repeated request ids one row counts.
+
+    Facts, coverage and index hang on the old ids and are derived again. False if this was done before.
+    """
+    now = tables.snapshot(spark)
+    if tables.committed(spark, "legacy-0", now):
+        return False
+    renamed = ingest.rekey_blocks(_shaped(blocks, schemas.BLOCK))
+    known = one_of_each(_shaped(applied, schemas.APPLIED), ["request_id"], "ignore", ["applied_at", "payload_hash", "user_id", "session_id"])
+    frames = {
+        "blocks": renamed.drop("old_id"), "applied": known,
+        "applied_filter": membership.filter_of(tables.bucketed("applied", known), "request_id", _filter_chunks(now)),
+    }
+    if messages is not None:
+        ids = renamed.select(F.col("old_id").alias("parent_memory_id"), F.col("id").alias("new_id"))
+        frames["messages"] = _shaped(messages, schemas.BLOCK_MESSAGE).join(ids, "parent_memory_id").withColumn("parent_memory_id", F.col("new_id")).drop("new_id")
+    return tables.commit(spark, "legacy-0", frames, base=now)
+
+
 #: Schemas of the tables that `maintain` compacts.
 MAINTAINED = {
     "blocks": schemas.BLOCK, "messages": schemas.BLOCK_MESSAGE, "applied": schemas.APPLIED, "facts": schemas.FACT, "coverage": schemas.COVERAGE,

@@ -368,3 +368,20 @@ def test_a_committed_batch_that_broke_before_its_derived_data(spark, tmp_path):
     ingest_batch(df, t, "in-0", lambda blocks: ran.append(blocks.count()))
     assert ran == [1] and t.read(spark, "blocks", schemas.BLOCK).count() == 1
     assert facts.unindexed_blocks(t.read(spark, "blocks", schemas.BLOCK), spark.createDataFrame([], schemas.COVERAGE)).count() == 1
+
+
+def test_legacy_tables_are_taken_over(spark, tmp_path):
+    """An old registry without hashes, blocks with other ids, their messages."""
+    new = ingest.messages_of(requests(spark, ("r1", "uaua", 0), ("r2", "u", 0)))
+    blocks, messages = ingest.compose_blocks(new), ingest.explode_messages(new)
+    old = blocks.withColumns({"id": F.concat(F.lit("x"), "id"), "prev_memory_id": F.lit("gone")}).drop("status")
+    applied = spark.createDataFrame([("r1", "user1", "s"), ("r2", "user1", "s"), ("r2", "user1", "s")], "request_id string, user_id string, session_id string")
+    t = Tables(f"{tmp_path}/t", FEW)
+    assert jobs.adopt_legacy(spark, t, old, applied, messages.withColumn("parent_memory_id", F.concat(F.lit("x"), "parent_memory_id")))
+    assert not jobs.adopt_legacy(spark, t, old, applied)
+    links = lambda df: sorted((r.id, r.prev_memory_id, r.next_memory_id) for r in df.collect())
+    assert links(t.read(spark, "blocks", schemas.BLOCK)) == links(blocks)
+    assert sorted(r.parent_memory_id for r in t.read(spark, "messages", schemas.BLOCK_MESSAGE).collect()) == sorted(r.parent_memory_id for r in messages.collect())
+    assert sorted((r.request_id, r.payload_hash) for r in t.read(spark, "applied", schemas.APPLIED).collect()) == [("r1", None), ("r2", None)]
+    ingest_batch(requests(spark, ("r1", "a", 0), ("r3", "u", 1)), t, "in-0")
+    assert t.read(spark, "blocks", schemas.BLOCK).count() == blocks.count() + 1 and t.read(spark, "conflicts", "request_id string").count() == 0
