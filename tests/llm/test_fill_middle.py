@@ -36,8 +36,7 @@ def odd(odd_rows):
     return [*odd_rows, *made, (900, "x <S> y"), (901, "<P>"), (902, "\n"), (903, "<"), (904, "é" * 5), (905, "é" * 5000)]
 
 
-@pytest.mark.parametrize("unit", ["char", "word", "line"])
-@pytest.mark.parametrize("part_bytes", [fill_middle.PART_BYTES, 700])
+@pytest.mark.parametrize(("unit", "part_bytes"), [("char", fill_middle.PART_BYTES), ("char", 700), ("word", 700), ("line", 700)])
 def test_matches_brute_force(spark, odd_rows, unit, part_bytes):
     rows = odd(odd_rows)
     made = fill_middle.fill_in_middle(table(spark, rows).repartition(3), unit, part_bytes=part_bytes)

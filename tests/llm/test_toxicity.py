@@ -104,14 +104,15 @@ def test_held_out_labels_are_found_and_scores_are_calibrated(spark):
     assert abs(np.mean([r.score for r, _ in test]) - np.mean([y for _, y in test])) < 0.05
 
 
-@pytest.mark.parametrize("disguise", [lambda w: w.replace("o", "0"), lambda w: ".".join(w), lambda w: w[:3] + "*" + w[3:]])
-def test_disguised_words_are_found(spark, disguise):
-    rows, labels = corpus(disguise=disguise)
+def test_disguised_words_are_found(spark):
+    """Three kinds of disguise, in held-out rows only, so no tree has seen them."""
+    kinds = [lambda w: w.replace("o", "0").replace("e", "3"), lambda w: ".".join(w), lambda w: w[:3] + "*" + w[3:]]
+    rng = random.Random(6)
+    rows, labels = corpus(disguise=lambda w: rng.choice(kinds)(w))
     got = {r.doc_id: r for r in toxicity.score(table(spark, rows), toxicity.fit(table(spark, rows), spark.createDataFrame(labels, LABELS))).collect()}
-    plain = {w for w in INSULTS if disguise(w) == w}
-    bad = [got[d].predicted for (d, t), (_, y, _) in zip(rows, labels, strict=True) if held(d) and y and not any(w in t for w in plain)]
+    bad = [got[d].predicted for (d, t), (_, y, _) in zip(rows, labels, strict=True) if held(d) and y and not any(w in t for w in INSULTS)]
     good = [got[d].predicted for d, y, _ in labels if held(d) and not y]
-    assert np.mean(bad) > 0.85 and np.mean(good) < 0.03
+    assert len(bad) > 20 and np.mean(bad) > 0.85 and np.mean(good) < 0.03
 
 
 def test_labels_of_held_out_rows_are_never_used(spark):
