@@ -124,10 +124,9 @@ def _as_arrow(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def _bits_of(ids: DataFrame) -> np.ndarray:
-    """The bitmap of ids (one column): BITMAP booleans, which has a fixed size whatever their number."""
-    bit = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITMAP)) + 1  # the functions number buckets from 1, from the value 1 on
-    parts = ids.select(bit.alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m"))
+def bitmap(bits: DataFrame) -> np.ndarray:
+    """BITMAP booleans, true where x (its one column, from 0 on) is: of a fixed size whatever the number of rows."""
+    parts = bits.select((F.col("x") + 1).alias("x")).groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("m"))
     size = BITMAP // 8
     whole = np.zeros(size + 4096 * 8, np.uint8)
     for r in parts.collect():  # at most BITMAP / 32768 rows of 4 KB
@@ -135,6 +134,11 @@ def _bits_of(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(whole, bitorder="little").astype(bool)
 
 
+def _bits_of(ids: DataFrame) -> np.ndarray:
+    """The bitmap of ids (one column)."""
+    return bitmap(ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITMAP)).alias("x")))
+
+
 def bit_filter(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows whose key may be among ids (one column): surely not, if its bit is not set."""
     sent, columns = rows.sparkSession.sparkContext.broadcast(_bits_of(ids)), rows.columns

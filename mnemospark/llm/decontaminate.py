@@ -2,12 +2,14 @@
 
 An item's windows are its runs of `window` words (a shorter item is one window). A window's elements are its word
 shingles; a text can only contain the window if it contains every shingle, so one of them, the rarest in the corpus, is
-a sufficient prefix. Documents look their shingles up among the prefixes; the shingle's place in the window gives the only
-possible start, which must leave the whole window inside the document (length and positional bounds); the words there are
-then compared exactly.
+a sufficient prefix. Documents look their shingles up among the prefixes by an equi-join; the shingle's place in the window
+gives the only possible start, which must leave the whole window inside the document (length and positional bounds); the words
+there are then compared exactly.
 
-The windows are handled in blocks of bounded size, each broadcast in turn, so a benchmark of any size works; each block is
-looked up by all documents. Shingle frequencies are counted over all documents.
+The texts are read twice, whatever the number of windows: to count the windows' shingles, and to look them up. Both times a
+bitmap of fixed size drops shingles that no window has; what it lets through goes on to the join with a few words around it, so
+no text is shuffled and no window or prefix comes to the driver. A bitmap that a very large benchmark fills drops less and
+loses nothing.
 
 Null or wordless texts have no words and no hits; wordless or null items have no windows; items with a null id mark words
 but are not listed; items repeated under one id count once. Repeated documents are judged each for itself.
@@ -22,13 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import ALNUM, Words, chunked, documents, shingle_hashes, stage, text_buffers, to_batch, unstage
+from mnemospark.llm.common import ALNUM, BITMAP, Words, bitmap, chunked, documents, shingle_hashes, stage, text_buffers, to_batch, unstage
 
 WINDOW = 13
 SHINGLE = 5
-#: Windows in one broadcast block: about 100 bytes each.
-BLOCK_WINDOWS = 200_000
-_BITS = 22
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -50,141 +49,112 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
     return source.mapInArrow(cut, "item_id string, words string").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-class WindowIndex:
-    """One block of windows: their shingles, and (once frequencies are known) their prefixes."""
-
-    def __init__(self, rows: list, shingle: int):
-        self.text = [r.words.encode() for r in rows]
-        self.items = [list(r.items) for r in rows]
-        data = np.frombuffer(b"".join(self.text), np.uint8)
-        w = Words(data, np.concatenate([[0], np.cumsum([len(t) for t in self.text])]).astype(np.int64), ALNUM)
-        self.size = w.count
-        keys = []
-        self.whole = np.zeros(len(rows), np.uint64)
-        for i, (a, b) in enumerate(zip(w.first.tolist(), w.first[1:].tolist(), strict=False)):
-            k = min(shingle, b - a)
-            keys.append((k, shingle_hashes(w.hash[a:b], k)))
-            self.whole[i] = shingle_hashes(w.hash[a:b], b - a)[0]
-        self.shingles = keys
-        #: shingle size -> sorted distinct shingles of that size
-        self.known = {k: np.unique(np.concatenate([h for n, h in keys if n == k])) for k in {n for n, _ in keys}}
-
-    def choose_prefixes(self, seen: dict[int, np.ndarray]) -> None:
-        """For each window its rarest shingle; windows are then sorted by it."""
-        chosen: dict[int, list] = {k: [] for k in self.known}
-        for i, (k, h) in enumerate(self.shingles):
-            j = int(np.argmin(seen[k][np.searchsorted(self.known[k], h)]))
-            chosen[k].append((int(h[j]), j, i))
-        self.prefix = {}
-        for k, rows in chosen.items():
-            rows.sort()
-            self.prefix[k] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-        del self.shingles
-
-    def filters(self, keys: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-        out = {}
-        for k, h in keys.items():
-            out[k] = np.zeros(1 << _BITS, bool)
-            out[k][h >> np.uint64(64 - _BITS)] = True
-        return out
-
-
-def _document_shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of runs of k words and the word they start at, runs across documents left out."""
+def _shingled(windows: DataFrame, shingle: int) -> DataFrame:
+    """(words, items, size, k, shingles): the windows with the hashes of their runs of k words, k the lesser of `shingle` and size."""
+    schema = pa.schema([("words", pa.string()), ("items", pa.list_(pa.string())), ("size", pa.int32()), ("k", pa.int32()), ("shingles", pa.list_(pa.int64()))])
+
+    def cut(batches):
+        for batch in chunked(batches, "words"):
+            w = Words(*text_buffers(batch.column(0)), ALNUM)
+            k = np.minimum(w.count, shingle)
+            runs = [shingle_hashes(w.hash[a:b], n).view(np.int64) for a, b, n in zip(w.first.tolist(), w.first[1:].tolist(), k.tolist(), strict=False)]
+            yield to_batch(schema, words=batch.column(0), items=batch.column(1), size=w.count, k=k, shingles=runs)
+
+    return windows.select("words", "items").mapInArrow(cut, "words string, items array<string>, size int, k int, shingles array<long>")
+
+
+def _document_shingles(w: Words, k: int, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of k words whose bit is set and the word they start at, runs across documents left out."""
     h = shingle_hashes(w.hash, k)
-    at = np.arange(len(h))
-    inside = at + k <= np.repeat(w.first[1:], w.count)[: len(h)]
-    return h[inside], at[inside]
-
-
-def _count(batches: Iterator[pa.RecordBatch], index: WindowIndex, schema: pa.Schema):
-    maybe = index.filters(index.known)
-    total = {k: np.zeros(len(h), np.int64) for k, h in index.known.items()}
-    for batch in chunked(batches):
-        w = Words(*text_buffers(batch.column(0)), ALNUM)
-        for k, known in index.known.items():
-            h, _ = _document_shingles(w, k)
-            h = h[maybe[k][h >> np.uint64(64 - _BITS)]]
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            total[k] += np.bincount(at[known[at] == h], minlength=len(known))
-    for k, n in total.items():
-        at = np.flatnonzero(n)
-        yield to_batch(schema, k=np.full(len(at), k), at=at, n=n[at])
-
-
-def _hits(w: Words, index: WindowIndex, maybe: dict[int, np.ndarray]) -> list[tuple[int, int]]:
-    """(first word, window) of every window occurrence."""
-    out = []
-    last = np.repeat(w.first[1:], w.count)
-    first = np.repeat(w.first[:-1], w.count)
-    for k, (keys, place, window) in index.prefix.items():
-        h, at = _document_shingles(w, k)
-        some = maybe[k][h >> np.uint64(64 - _BITS)]
-        h, at = h[some], at[some]
-        low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
-        n = high - low
-        row = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())  # every prefix entry of every shingle found
-        at = np.repeat(at, n)
-        start, which = at - place[row], window[row]
-        fits = (start >= first[at]) & (start + index.size[which] <= last[at])
-        start, which = start[fits], which[fits]
-        for size in np.unique(index.size[which]).tolist():
-            same = np.flatnonzero(index.size[which] == size)
-            whole = shingle_hashes(w.hash, size)[start[same]] == index.whole[which[same]]
-            for i in same[whole].tolist():
-                s, x = int(start[i]), int(which[i])
-                if b" ".join(w.word(j) for j in range(s, s + size)) == index.text[x]:
-                    out.append((s, x))
-    return out
-
-
-def _scan(batches: Iterator[pa.RecordBatch], index: WindowIndex, schema: pa.Schema):
-    maybe = index.filters({k: p[0] for k, p in index.prefix.items()})
-    for batch in chunked(batches):
-        w = Words(*text_buffers(batch.column(2)), ALNUM)
-        found = _hits(w, index, maybe)
-        edges = np.zeros(len(w.start) + 1, np.int64)
-        items: list[set] = [set() for _ in range(batch.num_rows)]
-        if found:
-            start, which = np.array(found).T
-            np.add.at(edges, start, 1)
-            np.add.at(edges, start + index.size[which], -1)
-            for d, x in zip((np.searchsorted(w.first, start, side="right") - 1).tolist(), which.tolist(), strict=True):
-                items[d].update(index.items[x])
-        hit = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-        inside = np.searchsorted(hit, w.first)
-        spans = [(hit[a:b] - f).tolist() for a, b, f in zip(inside.tolist(), inside[1:].tolist(), w.first.tolist(), strict=False)]
-        yield to_batch(schema, row=batch.column(0), doc_id=batch.column(1), n_words=w.count, hits=spans, items=[sorted(s) for s in items])
-
-
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK_WINDOWS) -> DataFrame:
+    at = np.flatnonzero(maybe[h & np.uint64(BITMAP - 1)])
+    at = at[at + k <= np.repeat(w.first[1:], w.count)[at]]
+    return h[at].view(np.int64), at
+
+
+def _bitmap_of(hashes: DataFrame) -> np.ndarray:
+    return bitmap(hashes.select(F.pmod("h", F.lit(BITMAP)).alias("x")))
+
+
+def _counted(source: DataFrame, sizes: list[int], maybe: np.ndarray) -> DataFrame:
+    """(h, n): how often the corpus has each shingle whose bit is set."""
+    schema, sent = pa.schema([("h", pa.int64()), ("n", pa.int64())]), source.sparkSession.sparkContext.broadcast(maybe)
+
+    def count(batches):
+        for batch in chunked(batches):
+            w = Words(*text_buffers(batch.column(0)), ALNUM)
+            h, n = np.unique(np.concatenate([_document_shingles(w, k, sent.value)[0] for k in sizes]), return_counts=True)
+            if len(h):
+                yield to_batch(schema, h=h, n=n)
+
+    return source.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _prefixes(source: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(words, items, size, h, place): the windows all of whose shingles occur in the corpus, each with the rarest and its place."""
+    each = windows.select("words", "items", "size", F.posexplode("shingles").alias("place", "h"))
+    seen = _counted(source, sizes, _bitmap_of(each))
+    rarest = each.join(seen, "h", "left").groupBy("words").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "h")).alias("x"), F.first("items").alias("items"), F.first("size").alias("size")
+    )
+    return rarest.where("x.n > 0").select("words", "items", "size", "x.h", "x.place")
+
+
+_PLACES = "array<struct<h:bigint,at:int,before:int,around:string>>"
+
+
+def _looked_up(source: DataFrame, sizes: list[int], maybe: np.ndarray, window: int) -> DataFrame:
+    """(row, doc_id, n_words, places): places are a document's shingles whose bit is set, with the words that a window around
+    them can reach and how many of these come before the shingle."""
+    place = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("around", pa.string())])
+    schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(place))])
+    sent = source.sparkSession.sparkContext.broadcast(maybe)
+
+    def look_up(batches):
+        for batch in chunked(batches):
+            w = Words(*text_buffers(batch.column(2)), ALNUM)
+            first, last = np.repeat(w.first[:-1], w.count), np.repeat(w.first[1:], w.count)
+            places: list[list] = [[] for _ in range(batch.num_rows)]
+            for k in sizes:
+                h, at = _document_shingles(w, k, sent.value)
+                begin, end = np.maximum(first[at], at - max(0, window - k)), np.minimum(last[at], at + window)
+                owner = np.searchsorted(w.first, at, side="right") - 1
+                for d, x, i, a, b in zip(owner.tolist(), h.tolist(), at.tolist(), begin.tolist(), end.tolist(), strict=True):
+                    around = b" ".join([w.word(j) for j in range(a, b)]).decode()
+                    places[d].append({"h": x, "at": i - int(w.first[d]), "before": i - a, "around": around})
+            yield to_batch(schema, row=batch.column(0), doc_id=batch.column(1), n_words=w.count, places=places)
+
+    return source.select("row", "doc_id", "text").mapInArrow(look_up, f"row string, doc_id long, n_words long, places {_PLACES}")
+
+
+def _found(looked_up: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(row, hits, items) of rows that have a window: the places of all words inside one, and the ids of the items, both sorted."""
+    each = looked_up.where(F.size("places") > 0).select("row", F.explode("places").alias("p")).select("row", "p.*")
+    each = each.join(prefixes, "h").withColumn("start", F.col("before") - F.col("place")).withColumn("around", F.split("around", " "))
+    whole = each.where("start >= 0 and start + size <= size(around)").where("array_join(slice(around, start + 1, size), ' ') = words")
+    spans = whole.select("row", (F.col("at") - F.col("place")).alias("a"), "size", "items")
+    spans = spans.groupBy("row").agg(F.collect_set(F.struct("a", "size")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+    hits = F.expr("array_sort(array_distinct(flatten(transform(spans, x -> sequence(x.a, x.a + x.size - 1)))))")
+    return spans.select("row", hits.alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
+
+
+def _contamination(source: DataFrame, items: DataFrame, window: int, shingle: int, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """For source (row, doc_id, text): (row, doc_id, n_words, places) of every row, and (row, hits, items) of each `row` that is hit."""
+    windows = stage(_shingled(item_windows(items, item_id, item_text, window), shingle), "windows")
+    sizes = sorted(r.k for r in windows.select("k").distinct().collect()) or [shingle]  # at most `shingle` numbers
+    prefixes = stage(_prefixes(source, windows, sizes), "prefixes")
+    unstage(windows)
+    looked_up = stage(_looked_up(source, sizes, _bitmap_of(prefixes), window), "lookups")
+    found = stage(_found(looked_up.dropDuplicates(["row"]), prefixes), "contamination")
+    unstage(prefixes)
+    return looked_up, found
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (doc_id, n_words, hits, items): the places of words inside any occurring window and the sorted item ids."""
     source = documents(docs, id_col, text_col).select(F.monotonically_increasing_id().cast("string").alias("row"), "doc_id", "text")
-    return _contamination(source, items, window, shingle, item_id, item_text, block).select("doc_id", "n_words", "hits", "items")
-
-
-def _contamination(source: DataFrame, items: DataFrame, window: int, shingle: int, item_id: str, item_text: str, block: int) -> DataFrame:
-    """Rows (row, doc_id, n_words, hits, items) of source (row, doc_id, text)."""
-    windows = stage(item_windows(items, item_id, item_text, window), "windows")
-    n_blocks = max(1, -(-windows.count() // block))
-    schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    counted = pa.schema([("k", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
-    out = None
-    for b in range(n_blocks):
-        rows = (windows if n_blocks == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == b)).collect()  # at most about `block` rows
-        index = WindowIndex(sorted(rows), shingle)
-        seen = {k: np.zeros(len(h), np.int64) for k, h in index.known.items()}
-        if rows:
-            for r in source.select("text").mapInArrow(lambda it, x=index: _count(it, x, counted), "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
-                seen[r.k][r["at"]] = r.n
-        index.choose_prefixes(seen)
-        sent = source.sparkSession.sparkContext.broadcast(index)
-        found = source.mapInArrow(lambda it, x=sent: _scan(it, x.value, schema), "row string, doc_id long, n_words long, hits array<int>, items array<string>")
-        out = found if out is None else out.unionByName(found)
-    unstage(windows)
-    if n_blocks > 1:
-        out = out.groupBy("row", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out
+    looked_up, found = _contamination(source, items, window, shingle, item_id, item_text)
+    none = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("hits", "items")]
+    return looked_up.join(found, "row", "left").select("doc_id", "n_words", *none)
 
 
 def judged(found: DataFrame, percent: int = 5) -> DataFrame:
@@ -196,10 +166,12 @@ def judged(found: DataFrame, percent: int = 5) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents, with all their columns, that are not contaminated. The verdict is one on the text: rows go by the digest
     of theirs, whatever their doc_id, so that null and repeated ids neither save a row nor take another one with it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.sha2(text, 256).alias("row"), F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
-    bad = judged(_contamination(source, items, window, shingle, item_id, item_text, block)).where("contaminated").select(F.col("row").alias("_bad")).distinct()
+    looked_up, found = _contamination(source, items, window, shingle, item_id, item_text)
+    whole = looked_up.select("row", "doc_id", "n_words").dropDuplicates(["row"]).join(found, "row")
+    bad = judged(whole).where("contaminated").select(F.col("row").alias("_bad"))
     return docs.join(bad, F.sha2(text, 256) == bad["_bad"], "left_anti")

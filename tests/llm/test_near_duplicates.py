@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from mnemospark.llm import decontaminate, minhash
+from mnemospark.llm.common import BITMAP
 from mnemospark.llm.components import components
 from mnemospark.llm.queries import op2_decontamination
 from tests.llm.conftest import table, words
@@ -156,10 +158,13 @@ def contamination_case(odd_rows):
     return rows, items
 
 
-@pytest.mark.parametrize("block", [200_000, 60])
-def test_contamination_matches_brute_force(spark, odd_rows, block):
+@pytest.mark.parametrize("full", [False, True])
+def test_contamination_matches_brute_force(spark, odd_rows, full, monkeypatch):
+    """full: a bitmap that drops nothing, as a very large benchmark leaves it."""
+    if full:
+        monkeypatch.setattr(decontaminate, "bitmap", lambda bits: np.ones(BITMAP, bool))
     rows, items = contamination_case(odd_rows)
-    got = decontaminate.find_contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block=block)
+    got = decontaminate.find_contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     got = sorted((r.doc_id or -1, r.n_words, sorted(r.hits), list(r["items"])) for r in got.collect())
     assert got == sorted((d or -1, *brute_hits(t, items)) for d, t in rows)
     assert any(h for _, _, h, _ in got)
@@ -174,8 +179,22 @@ def test_contaminated_documents_go(spark, odd_rows):
     assert sorted(r.doc_id or -1 for r in out.collect()) == sorted(d or -1 for d, t in rows if not is_bad(t))
     bad = next(t for _, t in rows if is_bad(t))
     some = table(spark, [(900, bad), (900, "clean"), (None, bad), (None, "clean too"), (None, None)])
-    for block in (200_000, 60):
-        assert {r.text for r in decontaminate.decontaminate(some, bench, block=block).collect()} == {"clean", "clean too", None}
+    assert {r.text for r in decontaminate.decontaminate(some, bench).collect()} == {"clean", "clean too", None}
+
+
+def test_contamination_with_many_windows_of_one_prefix(spark):
+    """One shingle begins every item, and a third of the documents holds it: rarer shingles are the prefixes, without broadcasts too."""
+    rng = random.Random(4)
+    stem = "which of the following is"
+    items = [(i, " ".join([stem, *words(rng, 12, 5000)])) for i in range(80)]
+    rows = [(d, " ".join([*words(rng, 20), stem, *words(rng, 20)]) if d % 3 else " ".join([*words(rng, 30), items[d % 80][1], items[d % 7][1]])) for d in range(120)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = decontaminate.find_contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.doc_id, r.n_words, list(r.hits), list(r["items"])) for r in got) == sorted((d, *brute_hits(t, items)) for d, t in rows)
 
 
 def test_query_digest(spark, odd_rows, tmp_path):
