@@ -128,7 +128,7 @@ def _looked_up(source: DataFrame, sizes: list[int], maybe: np.ndarray, window: i
 
 def _found(looked_up: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(row, hits, items) of rows that have a window: the places of all words inside one, and the ids of the items, both sorted."""
-    each = looked_up.where(F.size("places") > 0).select("row", F.explode("places").alias("p")).select("row", "p.*")
+    each = looked_up.select("row", F.explode("places").alias("p")).select("row", "p.*")
     each = each.join(prefixes, "h").withColumn("start", F.col("before") - F.col("place")).withColumn("around", F.split("around", " "))
     whole = each.where("start >= 0 and start + size <= size(around)").where("array_join(slice(around, start + 1, size), ' ') = words")
     spans = whole.select("row", (F.col("at") - F.col("place")).alias("a"), "size", "items")
@@ -137,14 +137,16 @@ def _found(looked_up: DataFrame, prefixes: DataFrame) -> DataFrame:
     return spans.select("row", hits.alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
-def _contamination(source: DataFrame, items: DataFrame, window: int, shingle: int, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
-    """For source (row, doc_id, text): (row, doc_id, n_words, places) of every row, and (row, hits, items) of each `row` that is hit."""
+def _contamination(source: DataFrame, items: DataFrame, window: int, shingle: int, item_id: str, item_text: str, repeated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """For source (row, doc_id, text): (row, doc_id, n_words, places) of every row, and (row, hits, items) of each `row` that is hit.
+    repeated: rows may have a `row`, and then the text, in common; one of them is joined."""
     windows = stage(_shingled(item_windows(items, item_id, item_text, window), shingle), "windows")
     sizes = sorted(r.k for r in windows.select("k").distinct().collect()) or [shingle]  # at most `shingle` numbers
     prefixes = stage(_prefixes(source, windows, sizes), "prefixes")
     unstage(windows)
     looked_up = stage(_looked_up(source, sizes, _bitmap_of(prefixes), window), "lookups")
-    found = stage(_found(looked_up.dropDuplicates(["row"]), prefixes), "contamination")
+    some = looked_up.where(F.size("places") > 0)
+    found = stage(_found(some.dropDuplicates(["row"]) if repeated else some, prefixes), "contamination")
     unstage(prefixes)
     return looked_up, found
 
@@ -171,7 +173,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     of theirs, whatever their doc_id, so that null and repeated ids neither save a row nor take another one with it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.sha2(text, 256).alias("row"), F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
-    looked_up, found = _contamination(source, items, window, shingle, item_id, item_text)
-    whole = looked_up.select("row", "doc_id", "n_words").dropDuplicates(["row"]).join(found, "row")
+    looked_up, found = _contamination(source, items, window, shingle, item_id, item_text, repeated=True)
+    whole = looked_up.where(F.size("places") > 0).select("row", "doc_id", "n_words").dropDuplicates(["row"]).join(found, "row")
     bad = judged(whole).where("contaminated").select(F.col("row").alias("_bad"))
     return docs.join(bad, F.sha2(text, 256) == bad["_bad"], "left_anti")
