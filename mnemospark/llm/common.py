@@ -66,7 +66,7 @@ def unstage(*frames: DataFrame) -> None:
 
 @contextlib.contextmanager
 def small_arrow_batches(spark: SparkSession) -> Iterator[None]:
-    """While jobs run in it, Python workers get 8 MB at once and not the session's limit; for rows of whole blocks."""
+    """While jobs run in it, Python workers get 8 MB at once and not the session's limit; for rows of whole blocks and of texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, "8m")
