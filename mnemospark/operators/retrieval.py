@@ -16,6 +16,8 @@ K1, B = 1.2, 0.75
 ARM_LIMIT = 200
 RRF_K = 61
 DIGITS = 6
+#: Terms of texts that a task counts at once.
+SLICE_TERMS = 1 << 18
 #: Bytes of index vectors in one block, and query vectors that meet it at once.
 BLOCK_BYTES, QUERY_CHUNK = 4 << 20, 256
 #: Queries of one user whose best results a task holds before it passes them on.
@@ -46,20 +48,33 @@ class Bm25Index:
         self.postings, self.totals, self.scope = postings, totals, scope
 
 
+def _slices(lists: pa.ListArray, most: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of lists with at most `most` values together; a longer list stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield begin, end
+        begin = end
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (memory_id, user_id, terms) to postings."""
-    for batch in batches:
-        lists = batch.column(2)
-        lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
-        coded = lists.flatten().dictionary_encode()
-        size = max(1, len(coded.dictionary))
-        parent = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
-        keys, tf = np.unique(parent * size + coded.indices.to_numpy(), return_counts=True)
-        row = keys // size
-        length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        first = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
-        columns = [batch.column(1).take(pa.array(row)), batch.column(0).take(pa.array(row)), pa.array(length[row]), coded.dictionary.take(pa.array(keys % size)), pa.array(tf.astype(np.int64)), pa.array(first)]
-        yield pa.RecordBatch.from_arrays(columns, ["user_id", "memory_id", "length", "term", "tf", "first"])
+    """Rows (memory_id, user_id, terms) to postings, SLICE_TERMS terms at once."""
+    for whole in batches:
+        for begin, end in _slices(whole.column(2), SLICE_TERMS):
+            batch = whole.slice(begin, end - begin)
+            lists = batch.column(2)
+            lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+            coded = lists.flatten().dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            parent = np.repeat(np.arange(len(length)), length)
+            keys, tf = np.unique(parent * size + coded.indices.to_numpy(), return_counts=True)
+            row = keys // size
+            first = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+            columns = [batch.column(1).take(pa.array(row)), batch.column(0).take(pa.array(row)), pa.array(length[row]), coded.dictionary.take(pa.array(keys % size)), pa.array(tf.astype(np.int64)), pa.array(first)]
+            yield pa.RecordBatch.from_arrays(columns, ["user_id", "memory_id", "length", "term", "tf", "first"])
 
 
 def bm25_index(docs: DataFrame, idf_scope: str = "corpus", stop_words: list[str] | None = None, stem=None, save: Save | None = None) -> Bm25Index:

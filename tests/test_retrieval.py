@@ -81,6 +81,27 @@ def test_blocks_leave_most_postings_of_common_words_unread(spark, tmp_path):
     assert retrieval.bm25_topk(queries.limit(0), blocks).count() == 0
 
 
+def test_terms_of_a_large_batch_are_counted_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "SLICE_TERMS", 1 << 12, raising=False)
+    rng = random.Random(3)
+    texts = [rng.choices([f"w{i}" for i in range(3000)], k=rng.choice([0, 1, 400, 700])) for _ in range(600)] + [None, ["x"] * 5000, ["y", "y"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"m{i}" for i in range(len(texts))]), pa.array(["u"] * len(texts)), pa.array(texts, pa.list_(pa.string()))], ["memory_id", "user_id", "terms"])
+    most, rows = 0, 0
+    tracemalloc.start()
+    for out in retrieval._counted(iter([batch])):  # numpy's arrays are traced, Arrow's are of like size
+        most, rows = max(most, tracemalloc.get_traced_memory()[1], out.nbytes), rows + out.num_rows
+    tracemalloc.stop()
+    assert rows == sum(len(set(t or [])) for t in texts) and most < 1 << 20
+    got = [r for out in retrieval._counted(iter([batch.slice(100)])) for r in out.to_pylist()]
+    want = {(f"m{i}", w): n for i, t in enumerate(texts) if i >= 100 for w, n in Counter(t or []).items()}
+    assert {(r["memory_id"], r["term"]): r["tf"] for r in got} == want and len(got) == len(want)
+    assert sum(r["first"] for r in got) == sum(bool(t) for t in texts[100:]) and all(r["length"] == len(texts[int(r["memory_id"][1:])]) for r in got)
+
+
 def test_a_user_with_most_vectors_is_spread_without_adaptive_execution(spark):
     rng = random.Random(2)
     rows = [(f"m{i}", "big" if i % 10 else f"u{i % 3}", [rng.random() for _ in range(4)]) for i in range(9000)]
