@@ -195,30 +195,50 @@ MOST = 1_000_000
 _AMOUNT, _PRODUCT = "decimal(18,11)", "decimal(38,22)"
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def annotate_unit_totals(content: Column) -> Column:
     """JSON records of reported sales whose quotation says `sold Q …` and `for $P each`, with the exact total noted in it.
 
     A record is left as it is, byte for byte, unless its kind and currency fit, quantity and unit price are strings of a number
     up to a million with at most eleven decimals, no total is reported and none is noted yet. A changed record is
-    written anew without blanks between its parts.
+    written anew without blanks between its parts. A record is parsed once, and patterns are the same for all records but those whose
+    first price in such words is not the unit price.
     """
-    record = F.try_parse_json(content)
-    text = lambda key: F.when(F.schema_of_variant(F.try_variant_get(record, f"$.{key}", "variant")) == "STRING", F.try_variant_get(record, f"$.{key}", "string"))
-    amount = lambda x: F.when(x.rlike("^[0-9]{1,7}(?:[.][0-9]{1,11})?$"), x.try_cast(_AMOUNT))
-    quote, q, p = text("user_quotation"), text("quantity"), text("unit_price")
-    n, price = amount(q), amount(p)
-    literal = lambda x: F.replace(x, F.lit("."), F.lit("[.]"))
-    sold = F.concat(F.lit(r"(?iU)\bsold\s+"), literal(q), F.lit(r"\s"))
-    to_price = F.regexp_substr(quote, F.concat(F.lit(r"(?isU)^.*?\bfor\s+[$]"), literal(p), F.lit(r"\s+each\b")))  # up to the first such words
-    fits = (
-        (text("record_kind") == SALE_KIND) & (text("currency_symbol") == SALE_SIGN) & ~F.array_contains(F.json_object_keys(content), "reported_total")
-        & (n <= MOST) & (price <= MOST) & ~quote.contains(" " + NOTE) & F.regexp_like(quote, sold) & to_price.isNotNull()
-    )
-    total = F.regexp_replace((n * price).cast(_PRODUCT).cast("string"), r"[.]?0+$", "")
-    noted = F.concat(to_price, F.lit(" " + NOTE), q, F.lit(" × " + SALE_SIGN), p, F.lit(" = " + SALE_SIGN), total, F.lit(")"), F.substr(quote, F.char_length(to_price) + 1))
-    value = F.try_variant_get(F.parse_json(F.to_json(F.struct(noted.alias("x")))), "$.x", "variant")
-    changed = F.to_json(F.transform_values(F.from_json(content, "map<string,variant>"), lambda k, v: F.when(k == "user_quotation", value).otherwise(v)))
-    return F.when(content.contains(SALE_KIND) & fits, changed).otherwise(content)
+    amount = lambda x: F.when(x.rlike(r"^[0-9]{1,7}(?:[.][0-9]{1,11})?\z"), x.try_cast(_AMOUNT))
+    priced = r"(?isU)^.*?\bfor\s+[$]{}\s+each\b"
+
+    def fields(record: Column) -> Column:
+        get = lambda key: F.try_variant_get(record, f"$.{key}", "variant")
+        text = lambda key: _with(get(key), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+        fits = (text("record_kind") == SALE_KIND) & (text("currency_symbol") == SALE_SIGN) & get("reported_total").isNull()
+        return F.when(fits, F.struct(text("user_quotation").alias("quote"), text("quantity").alias("q"), text("unit_price").alias("p")))
+
+    def amounts(r: Column) -> Column:
+        return F.struct(r["quote"].alias("quote"), r["q"].alias("q"), r["p"].alias("p"), amount(r["q"]).alias("n"), amount(r["p"]).alias("price"))
+
+    def to_price(r: Column) -> Column:
+        """The quotation up to the first such words with the unit price."""
+        of_price = F.concat(F.lit(priced.format("").removesuffix(r"\s+each\b")), F.replace(r["p"], F.lit("."), F.lit("[.]")), F.lit(r"\s+each\b"))
+        first = lambda head: F.when(F.regexp_extract(head, r"(?U)(\S+)\s+\S+$", 1) == F.concat(F.lit(SALE_SIGN), r["p"]), head).when(head != "", F.regexp_substr(r["quote"], of_price))
+        return _with(F.regexp_extract(r["quote"], priced.format(r"\S+"), 0), first)
+
+    def noted(r: Column) -> Column:
+        total = F.regexp_replace((r["n"] * r["price"]).cast(_PRODUCT).cast("string"), r"[.]?0+$", "")
+        note = F.concat(F.lit(" " + NOTE), r["q"], F.lit(" × " + SALE_SIGN), r["p"], F.lit(" = " + SALE_SIGN), total, F.lit(")"))
+        sold = F.regexp_extract_all(r["quote"], F.lit(r"(?iU)\bsold(?=\s+(\S+)\s)"), F.lit(1))
+        fits = (r["n"] <= MOST) & (r["price"] <= MOST) & ~r["quote"].contains(" " + NOTE) & F.array_contains(sold, r["q"])
+        return F.when(fits, _with(to_price(r), lambda head: F.concat(head, note, F.substr(r["quote"], F.char_length(head) + 1))))
+
+    def written(quote: Column) -> Column:
+        parts = F.from_json(content, "map<string,variant>")
+        return F.when(quote.isNotNull(), F.to_json(F.transform_values(parts, lambda k, v: F.when(k == "user_quotation", quote.cast("variant")).otherwise(v))))
+
+    changed = _with(F.try_parse_json(content), lambda record: _with(fields(record), lambda t: _with(amounts(t), lambda r: _with(noted(r), written))))
+    return F.when(content.contains(SALE_KIND), F.coalesce(changed, content)).otherwise(content)
 
 
 # ---------------------------------------------------------------- lexicon

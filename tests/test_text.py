@@ -135,6 +135,16 @@ def test_sale_totals(spark):
         assert note(same) == same
 
 
+def test_sale_totals_are_made_from_one_parse(spark):
+    note = lambda c: one(spark, H.annotate_unit_totals(F.col("c")), c=c)
+    plan = spark.createDataFrame([("x",)], "c string").select(H.annotate_unit_totals(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.count("parseJson") <= 2
+    later = "sold sold 3 jars for $9 each, for $2x50 each, for $2.50 Each é"
+    assert json.loads(note(sale(user_quotation=later)))["user_quotation"] == later[:-2] + " (calculated sale total: 3 × $2.50 = $7.5) é"
+    for same in (sale(quantity="3\n", user_quotation="sold 3\n for $2.50 each"), sale(user_quotation="sold 3 jars for $2.50 eachy"), sale(user_quotation="unsold 3 jars for $2.50 each"), sale(user_quotation="sold 3.0 jars for $2.50 each")):
+        assert note(same) == same
+
+
 def test_truncation(spark):
     text = " ".join(map(str, range(100)))
     cut = one(spark, H.truncate_middle(F.col("t"), 60), t=text)
