@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import chunked, documents, stage, text_buffers, to_batch
+from mnemospark.llm.common import chunked, documents, small_arrow_batches, stage, text_buffers, to_batch
 from mnemospark.llm.tokens import END_ID, default_path, encoder
 
 CAPACITY = 4096
@@ -163,9 +163,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END
     """Rows (doc_id, piece, start, length, ids, sequence_id, offset): every piece, its ids and its place.
 
     ids are little-endian uint32 bytes. The driver sees one count a length, at most `capacity` of them; the table of slots
-    that tasks look up has a few rows for each of these lengths, whatever the input.
+    that tasks look up has a few rows for each of these lengths, whatever the input. Texts go to Python in small batches; to find its place,
+    a piece sends its length and rank and not its ids.
     """
-    pieces = stage(_pieces(docs, tokenizer or default_path(), end_id, capacity), "pieces")
+    with small_arrow_batches(docs.sparkSession):
+        pieces = stage(_pieces(docs, tokenizer or default_path(), end_id, capacity), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     by_part = stage(by_part.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-ranks")
@@ -173,22 +175,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END
     for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[r.length] = r.n
     slots = slot_table(pack_counts(counts, capacity))
-    kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
-    schema = pa.schema(kinds)
     key = slots[:, 0] * (1 << 40) + slots[:, 1]
 
-    def place(batches):
-        for batch in batches:
-            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            length, rank = column["length"].to_numpy(), column["rank"].to_numpy()
-            slot = slots[np.searchsorted(key, length * (1 << 40) + rank, side="right") - 1]
-            nth = rank - slot[:, 1]
-            yield to_batch(
-                schema, **{n: column[n] for n in ("doc_id", "piece", "start", "length", "ids")},
-                sequence_id=slot[:, 3] + nth // slot[:, 2], offset=slot[:, 4] + nth % slot[:, 2] * length,
-            )
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        length, rank = length.to_numpy(), rank.to_numpy()
+        slot = slots[np.searchsorted(key, length * (1 << 40) + rank, side="right") - 1]
+        nth = rank - slot[:, 1]
+        return pa.StructArray.from_arrays([pa.array(slot[:, 3] + nth // slot[:, 2]), pa.array(slot[:, 4] + nth % slot[:, 2] * length)], ["sequence_id", "offset"])
 
-    ranked = pieces.join(by_part.select("part", "length", "base"), ["part", "length"]).select(
-        "doc_id", "piece", "start", "length", "ids", (F.col("base") + F.col("local_rank")).alias("rank")
-    )
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    ranked = pieces.join(by_part.select("part", "length", "base"), ["part", "length"])
+    placed = ranked.withColumn("at", place("length", F.col("base") + F.col("local_rank")))
+    return placed.select("doc_id", "piece", "start", "length", "ids", "at.sequence_id", "at.offset")

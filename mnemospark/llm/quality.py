@@ -13,6 +13,7 @@ and the counted rules alone decide. Repeated rows are judged each for itself; an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -245,14 +246,18 @@ def score_quality(docs: DataFrame, model: Classifier | None, threshold: float =
 
 
 def filter_quality(docs: DataFrame, model: Classifier | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that pass; nothing is shuffled."""
+    """The documents, with all their columns, that pass; nothing is shuffled, and only texts go to Python."""
     sent = _send(docs, model)
 
-    def keep(batches):
-        for batch in chunked(batches, text_col, TEXT_BYTES):
-            text = text_buffers(batch.column(batch.schema.get_field_index(text_col)))
-            failed = base_failed(text_counts(*text))
-            p = sent.value.probabilities(*text) if sent.value else np.ones(batch.num_rows)
-            yield batch.filter(pa.array(~failed & (p >= threshold)))
-
-    return docs.mapInArrow(keep, docs.schema)
+    @F.arrow_udf("boolean")
+    def keep(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in texts:
+            kept = []
+            for part in chunked([pa.RecordBatch.from_arrays([whole], ["text"])], "text", TEXT_BYTES):
+                text = text_buffers(part.column(0))
+                failed = base_failed(text_counts(*text))
+                p = sent.value.probabilities(*text) if sent.value else np.ones(part.num_rows)
+                kept.append(~failed & (p >= threshold))
+            yield pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))
+
+    return docs.where(keep(text_col))

@@ -67,6 +67,7 @@ def test_filter_keeps_columns_and_works_without_labels(spark, odd_rows):
     kept = [d for d, t in odd_rows if (c := brute_counts(t))[0] >= 50 and 100 * c[4] <= 50 * c[0]]
     assert out.columns == df.columns and sorted((r.doc_id or -1) for r in out.collect()) == sorted(d or -1 for d in kept)
     assert quality.filter_quality(table(spark, []), None).count() == 0
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # other columns stay in the JVM
 
 
 def mask(x):

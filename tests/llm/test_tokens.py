@@ -78,6 +78,19 @@ def test_packing_places_every_piece_once(spark, docs, library):
     assert len(sequences) == -(-sum(r.length for r in rows) // 4096)
 
 
+def test_packing_sends_texts_in_small_batches_and_no_ids(spark, docs, monkeypatch):
+    limits, write = {}, packing.stage
+
+    def stage(df, name):
+        limits[name] = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+        return write(df, name)
+
+    monkeypatch.setattr(packing, "stage", stage)
+    placed = packing.pack(docs)
+    assert limits["pieces"] == "8m" and limits["piece-ranks"] != "8m"
+    assert "MapInArrow" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
