@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,35 +133,76 @@ def bm25_topk(queries: DataFrame, index: Bm25Index | BlockIndex, k: int = ARM_LI
 
 # ---------------------------------------------------------------- lexical, in blocks with maxima
 
-#: Postings in a block, and steps of impact (at most 2.2) that share blocks.
-BLOCK_POSTINGS, LEVELS = 128, 16
+#: Postings in a block, and postings that a task sorts at once.
+BLOCK_POSTINGS, SLICE_POSTINGS = 128, 1 << 19
 #: What rounding may add to a score.
 SLACK = 2e-6
 
 
 class BlockIndex:
-    """Postings in blocks (user_id, term, level, part, n, top, rows), rows: structs (memory_id, impact), none above `top`; the totals and the
+    """Postings in blocks (user_id, term, part, n, top, rows), rows: structs (memory_id, impact), none above `top`; the totals and the
     scope of a Bm25Index, and `heads`, the blocks without their rows."""
 
-    def __init__(self, blocks: DataFrame, totals: DataFrame, scope: list[str], save: Save | None = None):
+    def __init__(self, blocks: DataFrame, totals: DataFrame, scope: list[str], save: Save):
         self.blocks, self.totals, self.scope, self.save = blocks, totals, scope, save
-        self.heads = blocks.select("user_id", "term", "level", "part", "n", "top")
+        self.heads = blocks.select("user_id", "term", "part", "n", "top")
 
 
-def block_index(index: Bm25Index, save: Save | None = None, block: int = BLOCK_POSTINGS) -> BlockIndex:
-    """Postings of one user and term with like impacts go into blocks of about `block`. Levels of impact and a hash deal them out, so
-    the postings of a common word of a large user need no sort and no task of their own."""
-    rows = index.postings
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Array]]:
+    """The columns of batches, `most` rows or a batch more at once."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield [pa.concat_arrays(c) for c in zip(*(b.columns for b in held), strict=True)]
+            held, n = [], 0
+    if n:
+        yield [pa.concat_arrays(c) for c in zip(*(b.columns for b in held), strict=True)]
+
+
+def _in_blocks(block: int, most: int):
+    row = pa.struct([("memory_id", pa.string()), ("impact", pa.float64())])
+    schema = pa.schema([("user_id", pa.string()), ("term", pa.string()), ("part", pa.int64()), ("n", pa.int64()), ("top", pa.float64()), ("rows", pa.list_(row))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        for users, terms, memories, impacts in _gathered(batches, most):
+            users, terms, impact = users.dictionary_encode(), terms.dictionary_encode(), impacts.to_numpy()
+            word = users.indices.to_numpy().astype(np.int64) * len(terms.dictionary) + terms.indices.to_numpy()
+            order = np.lexsort((-impact, word))
+            word, impact = word[order], impact[order]
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            place = np.arange(len(word)) - np.repeat(first, np.diff(first, append=len(word)))
+            begin = np.flatnonzero(place % block == 0)
+            n = np.diff(begin, append=len(word))
+            rows = pa.StructArray.from_arrays([memories.take(pa.array(order)), pa.array(impact)], fields=list(row))
+            rows = pa.ListArray.from_arrays(pa.array(np.append(begin, len(word)), pa.int32()), rows)
+            user, term = (x.take(pa.array(i)) for x, i in ((users.dictionary, word[begin] // len(terms.dictionary)), (terms.dictionary, word[begin] % len(terms.dictionary))))
+            whole = pa.RecordBatch.from_arrays([user, term, pa.array(part + np.arange(len(begin))), pa.array(n), pa.array(impact[begin]), rows], schema=schema)
+            part += len(begin)
+            for i in range(0, len(begin), 1 << 15):
+                yield whole.slice(i, 1 << 15)
+
+    return run
+
+
+def block_index(index: Bm25Index, save: Save, block: int = BLOCK_POSTINGS) -> BlockIndex:
+    """Postings of one user and term with like impacts go into blocks of at most `block`.
+
+    Postings are shuffled once, by user and term; a task sorts SLICE_POSTINGS of them at a time by impact and cuts them into blocks. Which
+    postings share a block does not matter to the answers, so Spark may split the partition of a common word of a large user among
+    tasks. Blocks are numbered as tasks come to them, hence they must be saved.
+    """
+    rows = index.postings.where("user_id is not null")
     rows = rows.join(index.totals.select(*index.scope, "mean_length"), index.scope) if index.scope else rows.crossJoin(F.broadcast(index.totals.select("mean_length")))  # one row
-    rows = rows.select("user_id", "term", "memory_id", _impact().alias("impact")).withColumn("level", F.floor(F.col("impact") * LEVELS).cast("int"))
-    sizes = rows.groupBy("user_id", "term", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    placed = rows.join(sizes, ["user_id", "term", "level"]).withColumn("part", F.pmod(F.xxhash64("memory_id"), F.col("parts")).cast("int"))
-    blocks = placed.groupBy("user_id", "term", "level", "part").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.collect_list(F.struct("memory_id", "impact")).alias("rows"))
-    return BlockIndex(blocks if save is None else save(blocks, "blocks"), index.totals, index.scope, save)
+    rows = rows.select("user_id", "term", "memory_id", _impact().alias("impact")).hint("rebalance", "user_id", "term")
+    blocks = rows.mapInArrow(_in_blocks(block, SLICE_POSTINGS), "user_id string, term string, part long, n long, top double, rows array<struct<memory_id:string,impact:double>>")
+    return BlockIndex(save(blocks, "blocks"), index.totals, index.scope, save)
 
 
 def needed_blocks(queries: DataFrame, index: BlockIndex, k: int = ARM_LIMIT) -> DataFrame:
-    """(query_id, user_id, term, level, part, idf, n): the blocks that can hold a posting of one of the k best documents of a query.
+    """(query_id, user_id, term, part, idf, n): the blocks that can hold a posting of one of the k best documents of a query.
 
     The best blocks of each term, as many as hold k postings, are added up first; the k-th best of these partial scores is a
     threshold that k documents reach. A document with a posting in some block scores no more than the block's top and the
@@ -172,9 +214,9 @@ def needed_blocks(queries: DataFrame, index: BlockIndex, k: int = ARM_LIMIT) ->
     frequencies = index.heads.join(names, [*index.scope, "term"], "left_semi").groupBy(*index.scope, "term").agg(F.sum("n").alias("df"))
     heads = _with_idf(asked, frequencies, index).drop("mean_length").join(index.heads, ["user_id", "term"])
     of_term = Window.partitionBy("query_id", "term")
-    before = F.sum("n").over(of_term.orderBy(F.desc("top"), "level", "part").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n").over(of_term.orderBy(F.desc("top"), "part").rowsBetween(Window.unboundedPreceding, -1))
     heads = heads.withColumns({"most": F.max("top").over(of_term) * F.col("idf"), "lead": F.coalesce(before, F.lit(0)) < k})
-    heads = heads if index.save is None else index.save(heads, "heads")
+    heads = index.save(heads, "heads")
     # only a query that asks for more than its leading blocks needs a threshold
     more = heads.groupBy("query_id").agg(F.bool_and("lead").alias("all")).where("not all").select("query_id")
     lead = heads.where("lead").join(more, "query_id", "left_semi")
@@ -182,17 +224,21 @@ def needed_blocks(queries: DataFrame, index: BlockIndex, k: int = ARM_LIMIT) ->
     tops = heads.select("query_id", "term", "most").distinct().groupBy("query_id").agg(F.sum("most").alias("all_tops"))
     bound = F.col("idf") * F.col("top") + F.col("all_tops") - F.col("most")
     kept = heads.join(tops, "query_id").join(threshold, "query_id", "left").where(F.col("threshold").isNull() | (bound >= F.col("threshold") - SLACK))
-    return kept.select("query_id", "user_id", "term", "level", "part", "idf", "n")
+    return kept.select("query_id", "user_id", "term", "part", "idf", "n")
 
 
 def _added(heads: DataFrame, index: BlockIndex, less: float = 0.0) -> DataFrame:
     """The scores of documents from some blocks of their queries' terms."""
-    rows = heads.select("query_id", "user_id", "term", "level", "part", "idf").join(index.blocks.select("user_id", "term", "level", "part", "rows"), ["user_id", "term", "level", "part"])
+    rows = heads.select("query_id", "user_id", "term", "part", "idf").join(index.blocks.select("user_id", "term", "part", "rows"), ["user_id", "term", "part"])
     found = rows.select("query_id", "user_id", "idf", F.inline("rows")).groupBy("query_id", "user_id", "memory_id")
     return found.agg(F.round(F.sum(F.col("idf") * F.col("impact")) - less, DIGITS).alias("score"))
 
 
 def _block_topk(queries: DataFrame, index: BlockIndex, k: int) -> DataFrame:
+    """Blocks of the words that are asked for are taken out of all blocks once, so that blocks with their rows are never shuffled whole."""
+    mine = index.blocks.join(_asked(queries).select("user_id", "term").distinct(), ["user_id", "term"], "left_semi")
+    heads, index = index.heads, BlockIndex(index.save(mine, "asked-blocks"), index.totals, index.scope, index.save)
+    index.heads = heads  # document frequencies are those of all users
     return best_of(_added(needed_blocks(queries, index, k), index), ["query_id"], k)
 
 

@@ -65,6 +65,26 @@ def test_blocks_give_the_same_answers(spark, tmp_path, scope):
     assert sum(r.n for r in blocks.heads.collect()) == plain.postings.count() and blocks.blocks.selectExpr("max(size(rows))").first()[0] < 64
 
 
+def test_blocks_are_full_after_one_shuffle(spark, monkeypatch):
+    docs, _ = corpus(spark)
+    plain, plans = retrieval.bm25_index(docs), []
+
+    def save(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    whole = retrieval.block_index(plain, save, block=16).blocks
+    assert plans[0].count("Exchange hashpartitioning") + plans[0].count("Exchange rebalance") <= 1
+    words = {(r.user_id, r.term): r for r in whole.groupBy("user_id", "term").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), F.countDistinct("part").alias("parts")).collect()}
+    assert all(r.blocks == r.parts == -(-r.n // 16) for r in words.values())
+    assert not whole.where("n <> size(rows) or top <> array_max(transform(rows, r -> r.impact))").count()
+    monkeypatch.setattr(retrieval, "SLICE_POSTINGS", 100)  # the default's blocks, cut anew in small slices, hold the same postings
+    by_slices = retrieval.block_index(plain, save, block=16).blocks
+    assert by_slices.count() > whole.count()
+    rows = lambda b: sorted(b.select("user_id", "term", F.inline("rows")).collect())
+    assert rows(by_slices) == rows(whole)
+
+
 def test_blocks_leave_most_postings_of_common_words_unread(spark, tmp_path):
     def save(df, name):
         path = f"{tmp_path}/{random.random()}-{name}"
