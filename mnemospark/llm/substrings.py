@@ -389,7 +389,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
 
     Places are word numbers, end exclusive. A passage that many documents share is reported once for each of them but the
     first, never for all their pairs; a copy of a whole text is reported with the first such text, whose passages it has too.
+    Python gets texts, and pairs of them, in small batches.
     """
+    with small_arrow_batches(docs.sparkSession):
+        return _repeated_passages(docs, min_words, shingle, percent, hashes, gram, id_col, text_col)
+
+
+def _repeated_passages(docs: DataFrame, min_words: int, shingle: int, percent: int, hashes: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     source = documents(docs, id_col, text_col).where("doc_id is not null")
     gram = min(gram, min_words)
     copies, dropped = _copies(source)
@@ -454,8 +460,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
     alone = stage(alone.select("key"), "keys")
     rest = stage(sided.join(alone, "key"), "sided")
     pairs = _left_pairs(rest, among(texts, rest.select("doc_id")), min_words, shingle, percent)
-    with small_arrow_batches(docs.sparkSession):
-        pairs = stage(pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
+    pairs = stage(pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
     near = among(texts, pairs.select("doc_id").union(pairs.select("first")))
     found = _verify(pairs, near, min_words, shingle, gram, percent)
     firsts = found.groupBy("doc_id", "start", "end").agg(F.min(F.struct("first_doc_id", "first_start", "first_end", "similarity")).alias("x"))

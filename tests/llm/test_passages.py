@@ -210,3 +210,19 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path, odd_rows):
     placed = df.groupBy("sequence_id").sum("length").collect()
     assert {r.doc_id for r in df.collect()} == {d for d, _ in kept} and max(r[1] for r in placed) <= 4096
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == df.count()
+
+
+def test_repeated_passages_send_texts_in_small_batches(spark, monkeypatch):
+    limits, write = [], substrings.stage
+
+    def stage(df, name):
+        limits.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+        return write(df, name)
+
+    monkeypatch.setattr(substrings, "stage", stage)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rng = random.Random(3)
+    same = " ".join(words(rng, 60))
+    found = substrings.repeated_passages(table(spark, [(1, same + " a"), (2, "b " + same)]))
+    assert [(r.doc_id, r.start, r.end, r.first_doc_id) for r in found.collect()] == [(2, 1, 61, 1)]
+    assert set(limits) == {"8m"} and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before != "8m"
