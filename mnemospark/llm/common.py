@@ -157,19 +157,19 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return bit_filter(docs.select("doc_id", "text"), "doc_id", ids)
 
 
-def pair_blocks(rows: DataFrame, key: list[str], by: list[str], fields: list[str], block: int, spread: int, weight: Column | None = None, active: str | None = None) -> DataFrame:
+def pair_blocks(rows: DataFrame, key: list[str], by: list[str], fields: list[str], block: int, spread: int, weight: Column | None = None, active: str | None = None, counted: DataFrame | None = None) -> DataFrame:
     """(*key, x, y): arrays of structs of `fields`, so that any two rows of one key meet, in an x and a y or in an x whose y is null.
 
     The rows of a key are cut into blocks of about `block` rows (and of about BLOCK_BYTES of `weight`), by a hash of the
     columns `by`; a block meets the others in tasks of `spread` blocks, so a key of any size is spread over tasks. A key of one
     block is not shuffled again. With `active`, a boolean column, rows that are not active meet active ones only. key must
-    hold no nulls.
+    hold no nulls. counted: the same rows, or a few more, where they are cheaper to count (without weight).
     """
     flag = F.lit(True) if active is None else F.col(active)
     weight = F.lit(0) if weight is None else weight
     many = lambda kind: F.expr(f"int(ceil(greatest(_n{kind} / {block}, _w{kind} / {BLOCK_BYTES})))")
     sums = [x.alias(f"_{n}{k}") for k, cond in ((1, flag), (0, ~flag)) for n, x in (("n", F.count_if(cond)), ("w", F.coalesce(F.sum(F.when(cond, weight)), F.lit(0))))]
-    sizes = rows.groupBy(*key).agg(*sums).where("_n1 > 0 and _n1 + _n0 > 1").select(*key, many(1).alias("_blocks"), many(0).alias("_rest"))
+    sizes = (rows if counted is None else counted).groupBy(*key).agg(*sums).where("_n1 > 0 and _n1 + _n0 > 1").select(*key, many(1).alias("_blocks"), many(0).alias("_rest"))
     sized = rows.join(stage(sizes, "sizes"), key)
     spot = F.xxhash64(*key, *by)
     place = F.when(flag, F.pmod(spot, F.col("_blocks"))).otherwise(F.col("_blocks") + F.pmod(spot, F.greatest("_rest", F.lit(1)))).cast("int")

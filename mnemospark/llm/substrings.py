@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import NON_SPACE, Words, among, chunked, documents, mix, pair_blocks, shingle_hashes, shingle_set, small_arrow_batches, stage, text_buffers, to_batch, unstage
+from mnemospark.llm.common import NON_SPACE, Words, among, chunked, documents, mix, pair_blocks, shingle_hashes, small_arrow_batches, stage, text_buffers, to_batch, unstage
 
 MIN_WORDS, SHINGLE, PERCENT, HASHES, GRAM = 50, 5, 80, 4, 8
 #: Words before a centre or after its gram that two windows must have in common, on one side at least.
@@ -123,9 +123,22 @@ def _copies(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     return copies, dropped
 
 
+def _bits_shared(s: np.ndarray, t: np.ndarray, most: int) -> np.ndarray:
+    """How many bits are set in both of two sketches (the last axis), each of which has at most `most` set."""
+    counts = np.bitwise_count(s & t)
+    if most > 255 or counts.shape[-1] % 8:
+        return counts.sum(axis=-1, dtype=np.int64)
+    lanes = counts.view(np.uint64)  # eight sums in one number, none of which leaves its byte
+    total = lanes[..., 0].copy()
+    for i in range(1, lanes.shape[-1]):
+        total += lanes[..., i]
+    with np.errstate(over="ignore"):
+        return total * np.uint64(0x0101010101010101) >> np.uint64(56)
+
+
 def _left_pairs(rest: DataFrame, texts: DataFrame, min_words: int, shingle: int, percent: int) -> DataFrame:
-    """(first, doc_id, at): pairs of documents in windows (key, doc_id, place, open) of one key, at least one of them open, whose
-    sketches allow a passage.
+    """(first, doc_id, at): pairs of documents in windows (key, doc_id, place, beside, open) of one key, at least one of them open, whose
+    sketches allow a passage. Windows that are equal in beside (but 0) meet under another key.
 
     A sketch has a bit set for every shingle that a passage of the least length around the centre could reach. Two
     passages share `percent` of their shingles, so their sketches share nearly as many bits.
@@ -133,76 +146,99 @@ def _left_pairs(rest: DataFrame, texts: DataFrame, min_words: int, shingle: int,
     reach = min_words * 100 // percent
     least = (min_words - shingle + 1) * percent // 100
     least -= least // 6  # shingles may share a bit; that so many of them do is next to impossible
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int32()), ("open", pa.bool_()), ("sketch", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int32()), ("beside", pa.int64()), ("open", pa.bool_()), ("sketch", pa.binary())])
 
     def draw(batches):
         for whole in batches:
             for batch in chunked([whole], "text"):
                 w = Words(*text_buffers(batch.column(2)), NON_SPACE)
-                out = []
-                for d, found, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), w.first.tolist(), w.first[1:].tolist(), strict=False):
-                    bits = (shingle_hashes(w.hash[i:j], shingle) % np.uint64(SKETCH)).astype(np.int64)
-                    for f in found:
-                        if f["c"] < len(bits):  # rows of one id may differ in text
-                            sketch = np.zeros(SKETCH, bool)
-                            sketch[bits[max(0, f["c"] - reach) : f["c"] + reach]] = True
-                            out.append((f["key"], d, f["c"], f["open"], np.packbits(sketch).tobytes()))
-                for k in range(0, len(out), 4096):
-                    yield to_batch(schema, **dict(zip(schema.names, zip(*out[k : k + 4096], strict=True), strict=True)))
-
-    by_document = rest.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.expr("int(shiftright(place, 32))").alias("c"), "open")).alias("found"))
-    drawn = by_document.join(texts, "doc_id").select("doc_id", "found", "text").mapInArrow(draw, "key long, doc_id long, c int, open boolean, sketch binary")
+                bits = (shingle_hashes(w.hash, shingle) % np.uint64(SKETCH)).astype(np.int64)
+                text = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+                key, c, beside, opened = (x.to_numpy(zero_copy_only=False) for x in batch.column(1).flatten().flatten())
+                size = w.count[text] - shingle + 1
+                kept = np.flatnonzero(c < size)  # rows of one id may differ in text
+                for i in range(0, len(kept), 1024):
+                    rows = kept[i : i + 1024]
+                    t, n = text[rows], len(rows)
+                    near = np.clip(c[rows, None] + np.arange(-reach, reach), 0, size[rows, None] - 1) + w.first[t, None]
+                    sketch = np.zeros((n, SKETCH), bool)
+                    sketch[np.arange(n)[:, None], bits[near]] = True
+                    cuts = np.arange(n + 1, dtype=np.int32) * (SKETCH // 8)
+                    sketches = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(np.packbits(sketch, axis=1))])
+                    yield to_batch(schema, key=key[rows], doc_id=batch.column(0).to_numpy()[t], c=c[rows], beside=beside[rows], open=opened[rows], sketch=sketches)
+
+    by_document = rest.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.expr("int(shiftright(place, 32))").alias("c"), "beside", "open")).alias("found"))
+    drawn = by_document.join(texts, "doc_id").select("doc_id", "found", "text").mapInArrow(draw, "key long, doc_id long, c int, beside long, open boolean, sketch binary")
     schema_pairs = pa.schema([("first", pa.int64()), ("doc_id", pa.int64()), ("first_c", pa.int32()), ("c", pa.int32())])
 
+    def columns(block):
+        kind = np.int64 if pa.types.is_large_binary(block.field(3).type) else np.int32
+        _, cuts, data = block.field(3).buffers()
+        begin = np.frombuffer(cuts, kind)[block.field(3).offset]
+        sketches = np.frombuffer(data, np.uint8)[begin : begin + len(block) * (SKETCH // 8)]
+        return *(block.field(i).to_numpy() for i in range(3)), sketches.view(np.uint64).reshape(len(block), -1)
+
     def compare(batches):
-        columns = lambda r: (r.field(0).to_numpy(), r.field(1).to_numpy(), np.frombuffer(b"".join(r.field(2).to_pylist()), np.uint64).reshape(len(r), -1))
         for batch in batches:
+            out, n = [], 0
             for x, y in zip(batch.column(1), batch.column(2), strict=True):
-                p, a, s = columns(x.values)
-                q, b, t = (p, a, s) if y.values is None else columns(y.values)
-                for i in range(len(p)):
-                    j = np.flatnonzero((q != p[i]) & (np.bitwise_count(s[i] & t).sum(axis=1) >= least))
-                    if len(j):
+                p, a, e, s = columns(x.values)
+                q, b, f, t = (p, a, e, s) if y.values is None else columns(y.values)
+                if e[0] and (e == e[0]).all() and (f == e[0]).all():
+                    continue
+                rows = max(1, 4096 // len(q))
+                for k in range(0, len(p), rows):
+                    u, g = s[k : k + rows], e[k : k + rows, None]
+                    meet = (p[k : k + rows, None] != q) & ((g != f) | (g == 0))
+                    if 4 * np.count_nonzero(meet) > meet.size:
+                        i, j = np.nonzero((_bits_shared(u[:, None], t, 2 * reach) >= least) & meet)
+                    else:
+                        i, j = np.nonzero(meet)
+                        near = _bits_shared(u[i], t[j], 2 * reach) >= least
+                        i, j = i[near], j[near]
+                    if len(i):
+                        i += k
                         early = p[i] < q[j]
-                        yield to_batch(schema_pairs, first=np.minimum(p[i], q[j]), doc_id=np.maximum(p[i], q[j]), first_c=np.where(early, a[i], b[j]), c=np.where(early, b[j], a[i]))
+                        out.append((np.minimum(p[i], q[j]), np.maximum(p[i], q[j]), np.where(early, a[i], b[j]), np.where(early, b[j], a[i])))
+                        n += len(i)
+                    if n > 1 << 15:
+                        yield to_batch(schema_pairs, **dict(zip(schema_pairs.names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                        out, n = [], 0
+            if n:
+                yield to_batch(schema_pairs, **dict(zip(schema_pairs.names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    pairs = pair_blocks(drawn, ["key"], ["doc_id", "c"], ["doc_id", "c", "sketch"], BLOCK, SPREAD, active="open").mapInArrow(compare, "first long, doc_id long, first_c int, c int")
-    return pairs.groupBy("first", "doc_id").agg(F.collect_set(F.struct("first_c", "c")).alias("at"))
+    pairs = pair_blocks(drawn, ["key"], ["doc_id", "c"], ["doc_id", "c", "beside", "sketch"], BLOCK, SPREAD, active="open", counted=rest).mapInArrow(compare, "first long, doc_id long, first_c int, c int")
+    return pairs.groupBy("first", "doc_id").agg(F.sort_array(F.collect_set(F.struct("first_c", "c"))).alias("at"))
 
 
 # ---------------------------------------------------------------- verification
 
 
-def _run(x: np.ndarray, y: np.ndarray, a: int, b: int) -> tuple[int, int]:
-    """How far x and y agree backwards from before (a, b) and forwards from (a, b)."""
-    back = 0
-    while back < min(a, b):
-        n = min(256, a - back, b - back)
-        same = x[a - back - n : a - back][::-1] == y[b - back - n : b - back][::-1]
-        k = n if same.all() else int(np.argmin(same))
-        back += k
-        if k < n:
-            break
-    ahead, most = 0, min(len(x) - a, len(y) - b)
-    while ahead < most:
-        n = min(256, most - ahead)
-        same = x[a + ahead : a + ahead + n] == y[b + ahead : b + ahead + n]
-        k = n if same.all() else int(np.argmin(same))
-        ahead += k
-        if k < n:
-            break
-    return back, ahead
+def _agree(x: np.ndarray, y: np.ndarray, a: int, b: int, step: int) -> int:
+    """How far x and y agree forwards from (a, b) (step 1) or backwards from before it (step -1)."""
+    far, size, most = 0, 32, min(len(x) - a, len(y) - b) if step > 0 else min(a, b)
+    while far < most:
+        n = min(size, most - far)
+        if step > 0:
+            same = x[a + far : a + far + n] == y[b + far : b + far + n]
+        else:
+            same = x[a - far - n : a - far][::-1] == y[b - far - n : b - far][::-1]
+        k = int(same.argmin())
+        if not same[k]:
+            return far + k
+        far, size = far + n, 256
+    return far
 
 
 def _span(x: np.ndarray, y: np.ndarray, a: int, b: int) -> tuple[int, int, int, int]:
     """The run of equal words around (a, b)."""
-    back, ahead = _run(x, y, a, b)
+    back, ahead = _agree(x, y, a, b, -1), _agree(x, y, a, b, 1)
     return a - back, a + ahead, b - back, b + ahead
 
 
-def _agreements(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
-    """Places (i, j) of equal values in two short arrays, nearest first, one for each shift i - j."""
-    if len(u) + len(v) > 256:
+def _agreements(u: np.ndarray, v: np.ndarray, many: bool) -> list[tuple[int, int]]:
+    """Places (i, j) of equal values in two arrays, nearest first, one for each shift i - j; with many, a value's first place counts in both."""
+    if many:
         _, i, j = np.intersect1d(u, v, return_indices=True)
         found = zip(i.tolist(), j.tolist(), strict=True)
     else:
@@ -214,33 +250,59 @@ def _agreements(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     return list(nearest.values())
 
 
-def _past_edit(sx: np.ndarray, sy: np.ndarray, a: int, b: int, k: int, step: int, gap: int) -> Iterator[tuple[int, int]]:
+def _past_edit(sx: np.ndarray, sy: np.ndarray, runs: tuple[np.ndarray, ...], a: int, b: int, k: int, step: int, gap: int, need: int, percent: int) -> Iterator[tuple[int, int]]:
     """Places after (step 1) or before (step -1) an edit at (a, b) of at most gap words a side where k words agree again: the
-    begin of the common shingle, or its end. Replaced words and one or two more or fewer come first, then the nearest."""
+    begin of the common shingle, or its end. Replaced words and one or two more or fewer come first, then the nearest.
+
+    Places are left out whose run of equal words is surely too short: of n words, i and j behind the edit, (100 - percent) * n - percent *
+    (i + j) must be `need`, and n is bounded by the runs of shingles that are anywhere in the other text.
+    """
     if step > 0:
         u, v = sx[a : a + gap + 1], sy[b : b + gap + 1]
+        of_u, of_v = runs[0][a : a + gap + 1], runs[1][b : b + gap + 1]
     else:
-        u, v = sx[max(0, a - k - gap) : max(0, a - k + 1)][::-1], sy[max(0, b - k - gap) : max(0, b - k + 1)][::-1]
+        low, high = (max(0, a - k - gap), max(0, b - k - gap)), (max(0, a - k + 1), max(0, b - k + 1))
+        u, v = sx[low[0] : high[0]][::-1], sy[low[1] : high[1]][::-1]
+        of_u, of_v = runs[2][low[0] : high[0]][::-1], runs[3][low[1] : high[1]][::-1]
+    most = lambda of: np.flatnonzero((of > 0) & ((100 - percent) * (of + (k - 1)) - percent * np.arange(len(of)) >= need))
+    some_u = most(of_u)
+    some_v = most(of_v) if len(some_u) else some_u
+    if not len(some_v):
+        return
+    whole, last = (len(u), len(v)), max(int(some_u[-1]), int(some_v[-1]))
+    u, v = u[: int(some_u[-1]) + 1], v[: int(some_v[-1]) + 1]  # no place behind these can do
+    enough = lambda i, j: (100 - percent) * (int(min(of_u[i], of_v[j])) + k - 1) - percent * (i + j) >= need
+    tried = set()
     for i, j in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2)):
         n = min(32, len(u) - i, len(v) - j)
         if n > 0:
             same = u[i : i + n] == v[j : j + n]
             first = int(same.argmax())
-            if same[first]:
-                yield a + step * (i + first), b + step * (j + first)
+            if same[first] and enough(at := (i + first), to := (j + first)):
+                tried.add((at, to))
+                yield a + step * at, b + step * to
     near = 16
     while True:
         near = min(near, gap)
-        for i, j in _agreements(u[: near + 1], v[: near + 1]):
-            yield a + step * i, b + step * j
-        if near == gap:
+        many = min(near + 1, whole[0]) + min(near + 1, whole[1]) > 256
+        for i, j in _agreements(u[: near + 1], v[: near + 1], many):
+            if (i, j) not in tried and enough(i, j):
+                tried.add((i, j))
+                yield a + step * i, b + step * j
+        if near >= min(gap, last):
             return
         near *= 8
 
 
-def _similarity(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    s, t = shingle_set(x, k), shingle_set(y, k)
-    common = len(np.intersect1d(s, t, assume_unique=True))
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _similarity(s: np.ndarray, t: np.ndarray) -> float:
+    s, t = _distinct(s), _distinct(t)
+    both = np.sort(np.concatenate([s, t]))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return common / max(1, len(s) + len(t) - common)
 
 
@@ -249,15 +311,29 @@ def _also_in(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.isin(s, t))])
 
 
-def common_passage(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, a: int, b: int, min_words: int, k: int, percent: int, shared_x: np.ndarray | None = None) -> tuple[int, int, int, int, float] | None:
+def _shared_runs(shared_x: np.ndarray, shared_y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How many shingles in a row from each one on are in the other text, in x and in y, and how many up to each one; from _also_in of both."""
+    ahead, back = [], []
+    for shared in (shared_x, shared_y):
+        n = len(shared) - 1
+        place, found = np.arange(n), np.diff(shared) > 0
+        ahead.append(np.minimum.accumulate(np.where(found, n, place)[::-1])[::-1] - place)
+        back.append(place - np.maximum.accumulate(np.where(found, -1, place)))
+    return *ahead, *back
+
+
+def common_passage(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, a: int, b: int, min_words: int, k: int, percent: int, shared: tuple[np.ndarray, tuple[np.ndarray, ...]] | None = None) -> tuple[int, int, int, int, float] | None:
     """The passage around the shared shingle at (a, b): places in x and y, end exclusive, and its similarity; None if too short.
 
-    x and y are word hashes, sx and sy their shingles, shared_x is _also_in(sx, sy). The run of equal words grows over one edit after another at either
+    x and y are word hashes, sx and sy their shingles, shared is _also_in(sx, sy) and the _shared_runs of both. The run of equal words grows over one edit after another at either
     end, as long as the shingles of the runs are the wanted part of all; the result is measured on its sets.
     """
     if max(a - len(sx), b - len(sy)) >= 0 or sx[a] != sy[b]:
         return None
-    shared_x = _also_in(sx, sy) if shared_x is None else shared_x
+    if shared is None:
+        shared_x = _also_in(sx, sy)
+        shared = shared_x, _shared_runs(shared_x, _also_in(sy, sx))
+    shared_x, runs = shared
     exact = a0, a1, b0, b1 = _span(x, y, a, b)
     common, open_ends = a1 - a0 - k + 1, [1, -1]
     while open_ends:
@@ -265,29 +341,46 @@ def common_passage(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray,
             # the shingles that are not common may be so many if all that follow and are in both become common
             rest = int(shared_x[-1] - shared_x[min(a1 - k + 1, len(sx))] if step > 0 else shared_x[a0])
             gap = (common + rest) * (100 - percent) // percent
-            for at in _past_edit(sx, sy, *((a1, b1) if step > 0 else (a0, b0)), k, step, gap):
-                back, ahead = _run(x, y, *at)
-                n = ahead if step > 0 else back
+            need = percent * (a1 - a0 + b1 - b0 - 2 * (k - 1)) - (100 + percent) * (common - k + 1)
+            for at in _past_edit(sx, sy, runs, *((a1, b1) if step > 0 else (a0, b0)), k, step, gap, need, percent):
+                n = _agree(x, y, *at, step)
                 new = (a0, at[0] + n, b0, at[1] + n) if step > 0 else (at[0] - n, a1, at[1] - n, b1)
-                shared = common + n - k + 1
-                if 100 * shared >= percent * (new[1] - new[0] + new[3] - new[2] - 2 * (k - 1) - shared):
-                    (a0, a1, b0, b1), common = new, shared
+                both = common + n - k + 1
+                if 100 * both >= percent * (new[1] - new[0] + new[3] - new[2] - 2 * (k - 1) - both):
+                    (a0, a1, b0, b1), common = new, both
                     break
             else:
                 open_ends.remove(step)
     if min(a1 - a0, b1 - b0) < min_words:
         return None
-    similarity = _similarity(x[a0:a1], y[b0:b1], k)
+    if (a0, a1, b0, b1) == exact:
+        return *exact, 1.0
+    similarity = _similarity(sx[a0 : a1 - k + 1], sy[b0 : b1 - k + 1])
     if 100 * similarity >= percent:
         return a0, a1, b0, b1, similarity
     return (*exact, 1.0) if exact[1] - exact[0] >= min_words else None
 
 
+def _first_places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of x in order, and the first place of each."""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+    return x[first], order[first]
+
+
+def _pairs_of_equal(ux: np.ndarray, at_x: np.ndarray, uy: np.ndarray, at_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values that two _first_places have in common, in the order of the first."""
+    at = np.searchsorted(uy, ux)
+    common = np.flatnonzero(uy[np.minimum(at, len(uy) - 1)] == ux) if len(uy) else np.zeros(0, np.int64)
+    i, j = at_x[common], at_y[at[common]]
+    order = np.argsort(i)
+    return i[order], j[order]
+
+
 def _common_runs(gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where runs of common grams begin in two texts' grams; of a gram that repeats in a text its first place counts."""
-    _, a, b = np.intersect1d(gx, gy, return_indices=True)
-    order = np.argsort(a)
-    a, b = a[order], b[order]
+    a, b = _pairs_of_equal(*_first_places(gx), *_first_places(gy))
     begins = np.ones(len(a), bool)
     begins[1:] = (np.diff(a) != 1) | (np.diff(b) != 1)
     return a[begins], b[begins]
@@ -305,28 +398,25 @@ def _stretches(begin: np.ndarray, end: np.ndarray, at: np.ndarray, least: int) -
     return near | ((at >= least) & (best[at] >= low[np.maximum(0, at - least)]))
 
 
-def _hopeful(sx: np.ndarray, sy: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the places (a, b) of common runs can grow into a passage of `least` shingles or more, and _also_in(sx, sy).
+def _hopeful(sx: np.ndarray, sy: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the places (a, b) of common runs can grow into a passage of `least` shingles or more, and _also_in of both.
 
     Where no shingle repeats, the common ones pair off; a passage from the pair p to the pair q has at most q - p + 1 of them,
     and the others of both sides must be few enough. Else some stretch around the place must have enough of the other
     text's shingles, in both texts.
     """
-    (ux, first_x), (uy, first_y) = (np.unique(s, return_index=True) for s in (sx, sy))
+    (ux, first_x), (uy, first_y) = _first_places(sx), _first_places(sy)
     if len(ux) < len(sx) or len(uy) < len(sy):
         counts = _also_in(sx, sy), _also_in(sy, sx)
         totals = [100 * n - percent * np.arange(len(n)) for n in counts]
-        return _stretches(totals[0], totals[0], a, least) & _stretches(totals[1], totals[1], b, least), counts[0]
-    _, i, j = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-    i, j = first_x[i], first_y[j]
-    order = np.argsort(i)
-    i, j = i[order], j[order]
+        return _stretches(totals[0], totals[0], a, least) & _stretches(totals[1], totals[1], b, least), *counts
+    i, j = _pairs_of_equal(ux, first_x, uy, first_y)
     # shared * (100 - percent) >= percent * others, for both texts together
     value = np.arange(len(i)) * (100 + percent) - percent * (i + j)
     found = _stretches(value, value + 100 - percent, np.searchsorted(i, a), (least * percent + 99) // 100 - 1)
-    mask = np.zeros(len(sx), np.int64)
-    mask[i] = 1
-    return found, np.concatenate([[0], np.cumsum(mask)])
+    masks = np.zeros(len(sx) + 1, np.int64), np.zeros(len(sy) + 1, np.int64)
+    masks[0][i + 1] = masks[1][j + 1] = 1
+    return found, *(np.cumsum(mask) for mask in masks)
 
 
 _PASSAGE = "doc_id long, start int, end int, first_doc_id long, first_start int, first_end int, similarity double, before long, after long"
@@ -345,23 +435,26 @@ def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, gra
                 x, y = (Words(*text_buffers(batch.column(i)), NON_SPACE) for i in (3, 4))
                 (shx, gx), (shy, gy) = ((shingle_hashes(w.hash, shingle), shingle_hashes(w.hash, gram)) for w in (x, y))
                 out = []
-                for i, (first, doc, places) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True)):
+                found = batch.column(2)
+                cuts, ats = found.offsets.to_numpy() - found.offsets[0].as_py(), found.flatten()
+                ats = np.stack([ats.field(n).to_numpy().astype(np.int64) for n in (0, 1)], axis=1)
+                for i, (first, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                     (a, b), (c, d) = ((w.first[i], w.first[i + 1]) for w in (x, y))
                     u, v, su, sv = x.hash[a:b], y.hash[c:d], shx[a : max(a, b - shingle + 1)], shy[c : max(c, d - shingle + 1)]
                     # a pair is compared once, so all its common runs of words are tried, the centres of the windows first
                     more_a, more_b = _common_runs(gx[a : max(a, b - gram + 1)], gy[c : max(c, d - gram + 1)])
-                    tries = [(p["first_c"], p["c"]) for p in places]
                     seen_a, seen_b = np.zeros(len(u), bool), np.zeros(len(v), bool)
-                    left = np.concatenate([np.array(tries, np.int64).reshape(-1, 2), np.stack([more_a, more_b], axis=1)])
+                    left = np.concatenate([ats[cuts[i] : cuts[i + 1]], np.stack([more_a, more_b], axis=1)])
                     left = left[(left[:, 0] < len(su)) & (left[:, 1] < len(sv))]  # rows of one id may differ in text
                     left = left[su[left[:, 0]] == sv[left[:, 1]]]
-                    shared_u = None
+                    shared = None
                     if len(left):
-                        some, shared_u = _hopeful(su, sv, left[:, 0], left[:, 1], min_words - shingle + 1, percent)
+                        some, *counts = _hopeful(su, sv, left[:, 0], left[:, 1], min_words - shingle + 1, percent)
                         left = left[some]
+                        shared = counts[0], _shared_runs(*counts)
                     while len(left):
                         (a, b), left = left[0].tolist(), left[1:]
-                        passage = common_passage(u, v, su, sv, a, b, min_words, shingle, percent, shared_u)
+                        passage = common_passage(u, v, su, sv, a, b, min_words, shingle, percent, shared)
                         a0, a1, b0, b1, s = passage or (*_span(u, v, a, b), 0)
                         seen_a[a0:a1], seen_b[b0:b1] = True, True  # shorter runs of equal words are not tried again either
                         left = left[~(seen_a[left[:, 0]] & seen_b[left[:, 1]])]
@@ -377,6 +470,41 @@ def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, gra
     return both.mapInArrow(check, _PASSAGE)
 
 
+def _inside(unsettled: DataFrame, found: DataFrame, gram: int) -> DataFrame:
+    """Windows (key, doc_id, place) whose centre lies in a passage of their document, and the shingles before and after these passages that
+    they reach (null: none), with their distances (before_far, after_far) from the centre."""
+    names = ("key", "doc_id", "place", "before", "before_far", "after", "after_far")
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def judge(batches):
+        for batch in batches:
+            windows_of, spans_of = (batch.column(i).offsets.to_numpy() - batch.column(i).offsets[0].as_py() for i in (1, 2))
+            keys, places = (x.to_numpy() for x in batch.column(1).flatten().flatten())
+            all_spans = [x.to_numpy().astype(np.int64) for x in batch.column(2).flatten().flatten()]
+            for d, doc in enumerate(batch.column(0).to_pylist()):
+                start, end, before, after = (x[spans_of[d] : spans_of[d + 1]] for x in all_spans)
+                first, last = np.lexsort((before, start)), np.lexsort((after, end))[::-1]
+                step = max(1, (1 << 18) // len(start))
+                for i in range(windows_of[d], windows_of[d + 1], step):
+                    to = min(i + step, windows_of[d + 1])
+                    key, place = keys[i:to], places[i:to]
+                    c = place >> 32
+                    around = (start[first] <= c[:, None]) & (c[:, None] < end[first])  # the least start comes first
+                    some = np.flatnonzero(around.any(axis=1))
+                    if not len(some):
+                        continue
+                    x, key, place, c = first[around[some].argmax(axis=1)], key[some], place[some], c[some]
+                    y = last[((start[last] <= c[:, None]) & (c[:, None] < end[last])).argmax(axis=1)]
+                    no_before = (before[x] == 0) | (c - (place >> 16 & 65535) >= start[x])
+                    no_after = (after[y] == 0) | (c + (place & 65535) + gram <= end[y])
+                    arrays = (key, np.full(len(key), doc), place, pa.array(before[x], mask=no_before), c - start[x], pa.array(after[y], mask=no_after), end[y] - c)
+                    yield to_batch(schema, **dict(zip(names, arrays, strict=True)))
+
+    windows_of = unsettled.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("windows"))
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "before", "after")).alias("spans"))  # one document's passages with its groups' leads
+    return windows_of.join(spans, "doc_id").select("doc_id", "windows", "spans").mapInArrow(judge, ", ".join(f"{n} long" for n in names))
+
+
 _LEFT, _RIGHT = "shiftrightunsigned({0}, 32)", "({0} & 4294967295)"
 
 
@@ -401,7 +529,7 @@ def _repeated_passages(docs: DataFrame, min_words: int, shingle: int, percent: i
     copies, dropped = _copies(source)
     made = stage(windows(source, min_words, gram, shingle, hashes), "windows")
     shared = stage(made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), "keys")
-    left = stage(made.join(shared, "key").join(dropped, "doc_id", "left_anti").select("key", "doc_id", "place", "sides", F.lit(True).alias("open")), "shared-windows")
+    left = stage(made.join(shared, "key").join(dropped, "doc_id", "left_anti").select("key", "doc_id", "place", "sides"), "shared-windows")
     sizes = made.where("key is null").select("doc_id", F.col("place").cast("int").alias("n"))
     copied = stage(copies.join(sizes, "doc_id").distinct(), "copied")  # a copy of several texts may have several sizes
     unstage(made, shared, copies)
@@ -409,11 +537,12 @@ def _repeated_passages(docs: DataFrame, min_words: int, shingle: int, percent: i
     least = (min_words - gram + 1) * percent // 100
     reach = lambda p: (F.expr(f"shiftright({p}, 32)"), F.expr(f"shiftright({p}, 16) & 65535"), F.expr(f"{p} & 65535"))
     done = tried = None
-    used = [dropped]
+    unsettled, window = left, ["key", "doc_id", "place"]
+    used = [dropped, left]
     for first_round in (True, False):
         row = F.struct("doc_id", "place", "sides")
-        leads = [F.min(row)] if first_round else [F.min_by(row, F.xxhash64("doc_id")), F.max_by(row, F.xxhash64("doc_id"))]
-        unsettled = left.where("open")
+        drawn = F.struct(F.xxhash64("doc_id"), row)
+        leads = [F.min(row)] if first_round else [F.min_by(row, drawn), F.max_by(row, drawn)]
         heads = unsettled.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("h"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
         heads = stage(heads.select("key", F.inline("h").alias("lead", "lead_place", "lead_sides")), "leads")
         (c, before, after), (lead_c, lead_before, lead_after) = reach("place"), reach("lead_place")
@@ -423,7 +552,7 @@ def _repeated_passages(docs: DataFrame, min_words: int, shingle: int, percent: i
         })
         at = F.when(F.col("later"), F.struct(F.col("lead_c").alias("first_c"), F.col("c"))).otherwise(F.struct(F.col("c").alias("first_c"), F.col("lead_c").alias("c")))
         pairs = meets.where((F.col("first") < F.col("last")) & overlap).groupBy("first", F.col("last").alias("doc_id"))
-        pairs = pairs.agg(F.collect_set(at).alias("at"))  # at most the windows of one document each
+        pairs = pairs.agg(F.sort_array(F.collect_set(at)).alias("at"))  # at most the windows of one document each
         pairs = stage(pairs if tried is None else pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
         tried = pairs.select("first", "doc_id") if tried is None else tried.union(pairs.select("first", "doc_id"))
         near = texts if first_round else among(texts, pairs.select("doc_id").union(pairs.select("first")))
@@ -431,31 +560,26 @@ def _repeated_passages(docs: DataFrame, min_words: int, shingle: int, percent: i
         done = found if done is None else done.unionByName(found)
         # settled: its centre lies in a passage found in its document, or it was the lead when all of its group were unsettled;
         # but if documents of a group go on alike beyond the passages that they have with the lead, they have more in common, and stay open
-        spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("spans"))  # one document's passages with its groups' leads
-        around = F.filter("spans", lambda s: (s["start"] <= c) & (c < s["end"]))
-        least_of, most_of = F.array_min(F.transform("around", lambda s: F.struct(s["start"], s["before"]))), F.array_max(F.transform("around", lambda s: F.struct(s["end"], s["after"])))
-        start, end = least_of["start"], most_of["end"]
-        on_left = F.when((least_of["before"] != 0) & (c - before < start), F.xxhash64("key", F.lit(1), c - start, least_of["before"]))
-        on_right = F.when((most_of["after"] != 0) & (c + after + gram > end), F.xxhash64("key", F.lit(2), end - c, most_of["after"]))
-        judged = left.join(spans, "doc_id", "left").withColumn("around", around).withColumn("inside", F.coalesce(F.size("around") > 0, F.lit(False)))
-        judged = judged.withColumn("borders", F.when(F.col("open") & F.col("inside"), F.array_compact(F.array(on_left, on_right))))
-        judged = stage(judged.select("key", "doc_id", "place", "sides", "open", "inside", "borders"), "judged")
-        borders = judged.select("key", "doc_id", "place", F.explode("borders").alias("border"))
+        inside = stage(_inside(unsettled, found, gram), "judged")
+        borders = inside.select(*window, F.explode(F.array_compact(F.array(*(F.when(F.col(x).isNotNull(), F.xxhash64("key", F.lit(i), f"{x}_far", x)) for i, x in ((1, "before"), (2, "after")))))).alias("border"))
         alike = borders.groupBy("border").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("border")
-        again = stage(borders.join(alike, "border").select("key", "doc_id", "place").distinct(), "reopened")
-        used += [judged, again]
-        judged = judged.join(again.withColumn("again", F.lit(True)), ["key", "doc_id", "place"], "left").withColumn("open", F.col("open") & (~F.col("inside") | F.col("again").isNotNull()))
+        again = stage(borders.join(alike, "border").select(*window).distinct(), "reopened")
+        settled = inside.select(*window)
         if first_round:
-            led = heads.select("key", F.col("lead").alias("doc_id"), F.lit(True).alias("led"))
-            judged = judged.join(led, ["key", "doc_id"], "left").withColumn("open", F.col("open") & (F.col("led").isNull() | F.col("again").isNotNull()))
-        used += [left, heads, pairs, found]
-        left = stage(judged.select("key", "doc_id", "place", "sides", "open"), "shared-windows")
+            led = heads.select("key", F.col("lead").alias("doc_id"))
+            settled = settled.unionByName(unsettled.join(led, ["key", "doc_id"], "left_semi").select(*window))
+        used += [heads, pairs, found, inside, again]
+        unsettled = stage(unsettled.join(settled.join(again, window, "left_anti"), window, "left_anti"), "unsettled")
+        used.append(unsettled)
 
     # what is left meets all windows with its key and one side
-    opened = stage(left.where("open").select("key").distinct(), "opened")
+    opened = stage(unsettled.select("key").distinct(), "opened")
     side = lambda n, bits: F.when(F.expr(f"{bits} <> 0"), F.xxhash64("key", F.lit(n), F.expr(bits)))
-    both_sides = F.explode(F.array_compact(F.array(side(1, _LEFT.format("sides")), side(2, _RIGHT.format("sides"))))).alias("key")
-    sided = stage(left.join(opened, "key", "left_semi").select(both_sides, "doc_id", "place", "open"), "sided")
+    left_of = F.expr(_LEFT.format("sides"))
+    # windows with both sides in common meet under the left one only
+    both_sides = F.inline(F.array_compact(F.array(*(F.when(bits.isNotNull(), F.struct(bits.alias("key"), beside.cast("long").alias("beside"))) for bits, beside in ((side(1, _LEFT.format("sides")), F.lit(0)), (side(2, _RIGHT.format("sides")), left_of))))))
+    flagged = left.join(opened, "key", "left_semi").join(unsettled.select(*window).distinct().withColumn("open", F.lit(True)), window, "left")
+    sided = stage(flagged.select(both_sides.alias("key", "beside"), "doc_id", "place", F.coalesce("open", F.lit(False)).alias("open")), "sided")
     alone = sided.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_or("open").alias("o")).where("a < b and o")
     alone = stage(alone.select("key"), "keys")
     rest = stage(sided.join(alone, "key"), "sided")
@@ -466,5 +590,5 @@ def _repeated_passages(docs: DataFrame, min_words: int, shingle: int, percent: i
     firsts = found.groupBy("doc_id", "start", "end").agg(F.min(F.struct("first_doc_id", "first_start", "first_end", "similarity")).alias("x"))
     whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("first").alias("first_doc_id"), F.lit(0).alias("first_start"), F.col("n").alias("first_end"), F.lit(1.0).alias("similarity"))
     out = stage(done.select(*_RESULT).distinct().unionByName(firsts.select("doc_id", "start", "end", "x.*")).unionByName(whole), "passages")
-    unstage(*used, left, opened, sided, alone, rest, pairs, copied)
+    unstage(*used, opened, sided, alone, rest, pairs, copied)
     return out

@@ -226,3 +226,47 @@ def test_repeated_passages_send_texts_in_small_batches(spark, monkeypatch):
     found = substrings.repeated_passages(table(spark, [(1, same + " a"), (2, "b " + same)]))
     assert [(r.doc_id, r.start, r.end, r.first_doc_id) for r in found.collect()] == [(2, 1, 61, 1)]
     assert set(limits) == {"8m"} and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before != "8m"
+
+
+def test_places_that_cannot_extend_a_passage_are_not_tried(monkeypatch):
+    """Behind a passage of 60 words both texts hold the same short phrases in other orders, none near enough to belong to it."""
+    tried, past = [], substrings._past_edit
+    monkeypatch.setattr(substrings, "_past_edit", lambda *a: (tried.append(at) or at for at in past(*a)))
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    passage, phrases = draw(60), [draw(9) for _ in range(20)]
+    x, y = (np.concatenate([passage, draw(10), *(np.concatenate([phrases[p], draw(2)]) for p in rng.integers(0, 20, 100))]) for _ in range(2))
+    assert substrings.common_passage(x, y, shingle_hashes(x, 5), shingle_hashes(y, 5), 0, 0, 50, 5, 80) == (0, 60, 0, 60, 1.0)
+    assert len(tried) <= 5
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bounds_on_runs_change_no_passage(seed):
+    """Edited copies with repeats: the same passages as when every place is tried."""
+    rng = random.Random(seed)
+    found = 0
+    for _ in range(40):
+        x = [rng.randrange(30 if seed % 2 else 10**9) for _ in range(rng.randrange(60, 400))]
+        y, i = [rng.randrange(10**9) for _ in range(rng.randrange(20))], 0
+        while i < len(x):
+            n = rng.randrange(1, 60)
+            y += x[i : i + n] + [rng.randrange(10**9) for _ in range(rng.choice((0, 1, 1, 2, 5, 12)))]
+            i += n + rng.choice((0, 0, 1, 3, 9))
+        x, y = np.array(x, np.uint64), np.array(y, np.uint64)
+        sx, sy = shingle_hashes(x, 5), shingle_hashes(y, 5)
+        free = tuple(np.full(len(s), 10**6) for s in (sx, sy, sx, sy))
+        for a, b in zip(*substrings._common_runs(sx, sy), strict=True):
+            got = substrings.common_passage(x, y, sx, sy, a, b, 50, 5, 80)
+            assert got == substrings.common_passage(x, y, sx, sy, a, b, 50, 5, 80, (substrings._also_in(sx, sy), free))
+            found += got is not None
+    assert found > 20
+
+
+@pytest.mark.parametrize("most", [124, 400])
+def test_bits_shared(most):
+    rng = np.random.default_rng(most)
+    bits = np.zeros((2, 50, 2048), bool)
+    for row in bits.reshape(-1, 2048):
+        row[rng.choice(2048, most, replace=False) if most > 124 else rng.integers(0, 200, most)] = True
+    s, t = np.packbits(bits, axis=2).view(np.uint64)
+    assert (substrings._bits_shared(s[:, None], t, most) == (bits[0][:, None] & bits[1]).sum(axis=2)).all()
