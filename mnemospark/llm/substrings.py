@@ -35,21 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import NON_SPACE, Words, among, chunked, documents, mix, pair_blocks, shingle_hashes, small_arrow_batches, stage, text_buffers, to_batch, unstage
+from mnemospark.llm.common import NON_SPACE, Words, among, chunked, documents, mix, shingle_hashes, small_arrow_batches, stage, text_buffers, to_batch, unstage
 
-MIN_WORDS, SHINGLE, PERCENT, HASHES, GRAM = 50, 5, 80, 4, 8
-#: Words before a centre or after its gram that two windows must have in common, on one side at least.
-CONTEXT = 6
-#: Bits of the sketch of a window's shingles.
-SKETCH = 2048
-#: Windows of a group in one block of the last step, and blocks that meet all others in one task.
-BLOCK, SPREAD = 256, 8
+MIN_WORDS, SHINGLE, PERCENT, GRAM = 50, 5, 80, 8
+#: Parts of the words of a common run beside its gram; three of them, before and after it in some division, name a group of windows.
+PARTS = 4
+#: So many documents before it, and the first, a document meets of those that share a sign with it.
+SEVERAL = 3
 #: Bytes of text of candidate pairs that are verified at once.
 PAIR_BYTES = 1 << 18
-_SEEDS = np.random.default_rng(577_215).integers(1, 1 << 63, 64, dtype=np.uint64)
+_SEED = np.random.default_rng(577_215).integers(1, 1 << 63, dtype=np.uint64)
 
 
 def compact_windows(values: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,15 +76,23 @@ def compact_windows(values: np.ndarray, ends: np.ndarray, least: int) -> tuple[n
     return start[begin], centre[begin], start[last] + least - 1
 
 
-def windows(docs: DataFrame, min_words: int, gram: int, shingle: int, hashes: int) -> DataFrame:
-    """(key, doc_id, place, sides) of all compact windows of all documents, and (null, doc_id, number of words) of each of them.
+def least_run(min_words: int, shingle: int, percent: int) -> int:
+    """Words in a row, at least, that a passage of min_words or more has in common with its like: one edit leaves the longer half of the
+    shortest passage that may hold one, and with more edits passages are so much longer that their runs are, too."""
+    edited = -(-shingle * (100 + percent) // max(1, 100 - percent)) + shingle - 1
+    return max(1, (max(min_words, edited) - 1) // 2)
 
-    place packs the centre (a word number) and how far the window reaches to the left and to the right, as far as matters;
-    sides packs 32 bits each of the shingles that begin CONTEXT words before the centre and end as many after its gram (0:
-    none, the text ends before).
+
+def windows(docs: DataFrame, min_words: int, gram: int, run: int) -> DataFrame:
+    """(key, doc_id, near, far) of all compact windows of all documents, alike ones of a document once, and (null, doc_id, number of words, 0)
+    of each of them.
+
+    key is the least gram. near and far pack 32 bits each of the PARTS runs of words that hold it with three of PARTS parts of the other words of
+    a run, divided between both sides (0: the text ends before). Two texts that share `run` words in a row have one of these in common.
     """
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("sides", pa.int64())])
-    least = max(1, min_words - gram + 1)
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("near", pa.int64()), ("far", pa.int64())])
+    least, part = run - gram + 1, (run - gram) // PARTS
+    wide = gram + (PARTS - 1) * part
 
     def cut(batches):
         for batch in chunked(batches):
@@ -94,22 +100,69 @@ def windows(docs: DataFrame, min_words: int, gram: int, shingle: int, hashes: in
             ids, long = batch.column(0).to_numpy(), np.flatnonzero(w.count >= min_words)
             if not len(long):
                 continue
-            yield to_batch(schema, key=pa.nulls(len(long), pa.int64()), doc_id=ids[long], place=w.count[long], sides=np.zeros(len(long), np.int64))
-            around = shingle_hashes(w.hash, shingle) >> np.uint64(32) | np.uint64(1)
-            grams = shingle_hashes(w.hash, gram)
+            yield to_batch(schema, key=pa.nulls(len(long), pa.int64()), doc_id=ids[long], near=w.count[long], far=np.zeros(len(long), np.int64))
+            grams, around = (shingle_hashes(w.hash, k) for k in (gram, wide))
             ends = np.repeat(w.first[1:] - gram + 1, w.count)[: len(grams)]
-            for seed in _SEEDS[:hashes]:
-                x = mix(grams ^ seed)
-                left, centre, right = compact_windows(x, ends, least)
-                text = np.searchsorted(w.first, centre, side="right") - 1
-                place = (centre - w.first[text]) << 32 | (centre - left) << 16 | (right - centre)
-                before, after = centre - CONTEXT, centre + gram + CONTEXT - shingle
-                left = np.where(before >= w.first[text], around[np.maximum(before, 0)], 0)
-                right = np.where(after + shingle <= w.first[text + 1], around[np.minimum(after, len(around) - 1)], 0)
-                sides = (left << np.uint64(32) | right).view(np.int64)
-                yield to_batch(schema, key=x[centre].view(np.int64), doc_id=ids[text], place=place, sides=sides)
-
-    return docs.mapInArrow(cut, "key long, doc_id long, place long, sides long")
+            x = mix(grams ^ _SEED)
+            _, centre, _ = compact_windows(x, ends, least)
+            text = np.searchsorted(w.first, centre, side="right") - 1
+            some = w.count[text] >= min_words
+            centre, text = centre[some], text[some]
+            sides = []
+            for i in range(PARTS):
+                begin = centre - i * part
+                inside = (begin >= w.first[text]) & (begin + wide <= w.first[text + 1])
+                sides.append(np.where(inside, around[np.clip(begin, 0, len(around) - 1)] >> np.uint64(32) | np.uint64(1), 0).astype(np.uint64))
+            key, near, far = x[centre], sides[0] << np.uint64(32) | sides[1], sides[2] << np.uint64(32) | sides[3]
+            with np.errstate(over="ignore"):
+                _, once = np.unique(mix(mix(mix(key + text.astype(np.uint64)) ^ near) ^ far), return_index=True)
+            yield to_batch(schema, key=key[once].view(np.int64), doc_id=ids[text[once]], near=near[once].view(np.int64), far=far[once].view(np.int64))
+
+    return docs.mapInArrow(cut, "key long, doc_id long, near long, far long")
+
+
+def _met(made: DataFrame) -> DataFrame:
+    """From windows: (first, doc_id, null), documents with the least document of each of their windows' groups, and (null, doc_id, n) with their sizes."""
+    schema = pa.schema([("first", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
+    half = np.uint64(32)
+
+    def meet(batches):
+        last, known, leads = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)  # groups of the last key, and their leads
+        for batch in batches:
+            sizes = batch.slice(0, batch.column(0).null_count)  # nulls come first
+            if sizes.num_rows:
+                yield to_batch(schema, first=sizes.column(0), doc_id=sizes.column(1), n=sizes.column(2))
+            batch = batch.slice(sizes.num_rows)
+            if not batch.num_rows:
+                continue
+            key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            near, far = (batch.column(i).to_numpy().view(np.uint64) for i in (2, 3))
+            if key[0] != last:
+                known, leads = known[:0], leads[:0]
+            sides = np.stack([near >> half, near << half >> half, far >> half, far << half >> half], axis=1)
+            names = mix(key.view(np.uint64)[:, None] ^ mix(sides | np.arange(PARTS, dtype=np.uint64) << half))
+            there = sides.ravel() > 0
+            name = np.concatenate([known, names.ravel()[there]])  # in the order of documents in each group
+            docs = np.concatenate([leads, np.repeat(doc, PARTS)[there]])
+            last = key[-1]
+            same = np.concatenate([np.full(len(known), key[0] == last), np.repeat(key == last, PARTS)[there]])
+            order = np.argsort(name, kind="stable")
+            name, docs, same = name[order], docs[order], same[order]
+            begins = np.ones(len(name), bool)
+            begins[1:] = name[1:] != name[:-1]
+            lead = docs[begins][np.cumsum(begins) - 1]
+            pair = lead != docs
+            known, leads = name[begins & same], docs[begins & same]
+            if pair.any():
+                first, late = lead[pair], docs[pair]
+                order = np.lexsort((late, first))
+                first, late = first[order], late[order]
+                once = np.ones(len(first), bool)
+                once[1:] = (first[1:] != first[:-1]) | (late[1:] != late[:-1])
+                first, late = first[once], late[once]
+                yield to_batch(schema, first=first, doc_id=late, n=pa.nulls(len(first), pa.int32()))
+
+    return made.repartition(F.coalesce("key", "doc_id")).sortWithinPartitions("key", "doc_id").mapInArrow(meet, "first long, doc_id long, n int")
 
 
 def _copies(source: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,81 +189,6 @@ def _bits_shared(s: np.ndarray, t: np.ndarray, most: int) -> np.ndarray:
         return total * np.uint64(0x0101010101010101) >> np.uint64(56)
 
 
-def _left_pairs(rest: DataFrame, texts: DataFrame, min_words: int, shingle: int, percent: int) -> DataFrame:
-    """(first, doc_id, at): pairs of documents in windows (key, doc_id, place, beside, open) of one key, at least one of them open, whose
-    sketches allow a passage. Windows that are equal in beside (but 0) meet under another key.
-
-    A sketch has a bit set for every shingle that a passage of the least length around the centre could reach. Two
-    passages share `percent` of their shingles, so their sketches share nearly as many bits.
-    """
-    reach = min_words * 100 // percent
-    least = (min_words - shingle + 1) * percent // 100
-    least -= least // 6  # shingles may share a bit; that so many of them do is next to impossible
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int32()), ("beside", pa.int64()), ("open", pa.bool_()), ("sketch", pa.binary())])
-
-    def draw(batches):
-        for whole in batches:
-            for batch in chunked([whole], "text"):
-                w = Words(*text_buffers(batch.column(2)), NON_SPACE)
-                bits = (shingle_hashes(w.hash, shingle) % np.uint64(SKETCH)).astype(np.int64)
-                text = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
-                key, c, beside, opened = (x.to_numpy(zero_copy_only=False) for x in batch.column(1).flatten().flatten())
-                size = w.count[text] - shingle + 1
-                kept = np.flatnonzero(c < size)  # rows of one id may differ in text
-                for i in range(0, len(kept), 1024):
-                    rows = kept[i : i + 1024]
-                    t, n = text[rows], len(rows)
-                    near = np.clip(c[rows, None] + np.arange(-reach, reach), 0, size[rows, None] - 1) + w.first[t, None]
-                    sketch = np.zeros((n, SKETCH), bool)
-                    sketch[np.arange(n)[:, None], bits[near]] = True
-                    cuts = np.arange(n + 1, dtype=np.int32) * (SKETCH // 8)
-                    sketches = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(np.packbits(sketch, axis=1))])
-                    yield to_batch(schema, key=key[rows], doc_id=batch.column(0).to_numpy()[t], c=c[rows], beside=beside[rows], open=opened[rows], sketch=sketches)
-
-    by_document = rest.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.expr("int(shiftright(place, 32))").alias("c"), "beside", "open")).alias("found"))
-    drawn = by_document.join(texts, "doc_id").select("doc_id", "found", "text").mapInArrow(draw, "key long, doc_id long, c int, beside long, open boolean, sketch binary")
-    schema_pairs = pa.schema([("first", pa.int64()), ("doc_id", pa.int64()), ("first_c", pa.int32()), ("c", pa.int32())])
-
-    def columns(block):
-        kind = np.int64 if pa.types.is_large_binary(block.field(3).type) else np.int32
-        _, cuts, data = block.field(3).buffers()
-        begin = np.frombuffer(cuts, kind)[block.field(3).offset]
-        sketches = np.frombuffer(data, np.uint8)[begin : begin + len(block) * (SKETCH // 8)]
-        return *(block.field(i).to_numpy() for i in range(3)), sketches.view(np.uint64).reshape(len(block), -1)
-
-    def compare(batches):
-        for batch in batches:
-            out, n = [], 0
-            for x, y in zip(batch.column(1), batch.column(2), strict=True):
-                p, a, e, s = columns(x.values)
-                q, b, f, t = (p, a, e, s) if y.values is None else columns(y.values)
-                if e[0] and (e == e[0]).all() and (f == e[0]).all():
-                    continue
-                rows = max(1, 4096 // len(q))
-                for k in range(0, len(p), rows):
-                    u, g = s[k : k + rows], e[k : k + rows, None]
-                    meet = (p[k : k + rows, None] != q) & ((g != f) | (g == 0))
-                    if 4 * np.count_nonzero(meet) > meet.size:
-                        i, j = np.nonzero((_bits_shared(u[:, None], t, 2 * reach) >= least) & meet)
-                    else:
-                        i, j = np.nonzero(meet)
-                        near = _bits_shared(u[i], t[j], 2 * reach) >= least
-                        i, j = i[near], j[near]
-                    if len(i):
-                        i += k
-                        early = p[i] < q[j]
-                        out.append((np.minimum(p[i], q[j]), np.maximum(p[i], q[j]), np.where(early, a[i], b[j]), np.where(early, b[j], a[i])))
-                        n += len(i)
-                    if n > 1 << 15:
-                        yield to_batch(schema_pairs, **dict(zip(schema_pairs.names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
-                        out, n = [], 0
-            if n:
-                yield to_batch(schema_pairs, **dict(zip(schema_pairs.names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    pairs = pair_blocks(drawn, ["key"], ["doc_id", "c"], ["doc_id", "c", "beside", "sketch"], BLOCK, SPREAD, active="open", counted=rest).mapInArrow(compare, "first long, doc_id long, first_c int, c int")
-    return pairs.groupBy("first", "doc_id").agg(F.collect_set(F.struct("first_c", "c")).alias("at"))
-
-
 # ---------------------------------------------------------------- verification
 
 
@@ -379,11 +357,20 @@ def _pairs_of_equal(ux: np.ndarray, at_x: np.ndarray, uy: np.ndarray, at_y: np.n
 
 
 def _common_runs(gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of common grams begin in two texts' grams; of a gram that repeats in a text its first place counts."""
-    a, b = _pairs_of_equal(*_first_places(gx), *_first_places(gy))
+    """Where runs of common grams begin in two texts' grams: all places in y, and of a gram that repeats in x its first place."""
+    a, b, begins = _common_places(gx, gy)
+    return a[begins], b[begins]
+
+
+def _common_places(gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every place of y (the second) whose gram x has, the first place where it has it, and whether a run of common grams begins there."""
+    values, places = _first_places(gx)
+    at = np.searchsorted(values, gy)
+    b = np.flatnonzero(values[np.minimum(at, len(values) - 1)] == gy) if len(values) else np.zeros(0, np.int64)
+    a = places[at[b]]
     begins = np.ones(len(a), bool)
     begins[1:] = (np.diff(a) != 1) | (np.diff(b) != 1)
-    return a[begins], b[begins]
+    return a, b, begins
 
 
 def _stretches(begin: np.ndarray, end: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
@@ -419,100 +406,158 @@ def _hopeful(sx: np.ndarray, sy: np.ndarray, a: np.ndarray, b: np.ndarray, least
     return found, *(np.cumsum(mask) for mask in masks)
 
 
-_PASSAGE = "doc_id long, start int, end int, first_doc_id long, first_start int, first_end int, similarity double, before long, after long"
+_KNOWN = "array<struct<start: int, end: int>>"
 _RESULT = ("doc_id", "start", "end", "first_doc_id", "first_start", "first_end", "similarity")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, gram: int, percent: int) -> DataFrame:
-    """Passages of candidate pairs (first, doc_id, at: array of centres in both); before and after are the shingles that end and begin
-    at the passage's borders in doc_id (0: none)."""
-    whole = [(n, pa.int64()) for n in ("doc_id", "first_doc_id", "before", "after")] + [(n, pa.int32()) for n in ("start", "end", "first_start", "first_end")] + [("similarity", pa.float64())]
-    schema = pa.schema([(n, dict(whole)[n]) for n in (*_RESULT, "before", "after")])
+def _stretches_of(b: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends, in words, of places in a row."""
+    begins = np.ones(len(b), bool)
+    begins[1:] = np.diff(b) != 1
+    starts = np.flatnonzero(begins)
+    return b[starts], b[np.concatenate([starts[1:], [len(b)]]) - 1] + gram
+
+
+def _signs(su: np.ndarray, sv: np.ndarray, shared_y: np.ndarray, runs: tuple[np.ndarray, ...], covered: np.ndarray, gram: int, run: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """What y has that x has not, near their common runs: shingles, and junctions of runs that are farther apart in x or nearer; and which of them
+    lie in no passage. runs: places of common grams in x and y and where runs begin; shared_y: _also_in(sv, su)."""
+    a, b, begins = runs
+    low, high = _stretches_of(b, gram)
+    wide = high - low >= run
+    near = np.zeros(len(sv) + 1, np.int64)
+    np.add.at(near, np.maximum(low[wide] - reach, 0), 1)
+    np.add.at(near, np.minimum(high[wide] + reach, len(sv)), -1)
+    near = np.cumsum(near)[:-1] > 0
+    k = len(covered) - len(sv) + 1
+    inside = np.concatenate([[0], np.cumsum(covered)])
+    new = np.flatnonzero(near & (np.diff(shared_y) == 0))
+    starts = np.flatnonzero(begins)
+    before, after = starts[1:] - 1, starts[1:]
+    end, begin = b[before] + gram - k, b[after]  # the last shingle of a run and the first of the next
+    bent = (a[after] - a[before] != b[after] - b[before]) & (begin > end) & (begin - end <= reach) & near[np.minimum(end, len(near) - 1)]
+    end, begin = end[bent], begin[bent]
+    signs = np.concatenate([sv[new], mix(mix(sv[end]) ^ sv[begin])])
+    return signs, np.concatenate([inside[new + k] - inside[new] < k, inside[begin + k] - inside[end] < begin + k - end])
+
+
+def _runs_longest_first(runs: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Rows (place in x, place in y) where runs of common grams begin."""
+    starts = np.flatnonzero(runs[2])
+    lengths = np.diff(np.concatenate([starts, [len(runs[0])]]))
+    return np.stack(runs[:2], axis=1)[starts[np.argsort(-lengths, kind="stable")]]
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, gram: int, run: int, percent: int) -> DataFrame:
+    """Passages of candidate pairs (first, doc_id, more, leads, known: array of start and end of passages found in doc_id before), where sign is
+    null, and else, of pairs with more, the _signs of doc_id against first, and of those with leads also those of first against doc_id.
+
+    A passage of repeated words has few shingles, and they do not tell how long it is. So where all grams of min_words words or more are also in
+    the first document, but in no passage, runs of min_words words are looked up, and are signs if it does not have them.
+    """
+    types = {"doc_id": pa.int64(), "first_doc_id": pa.int64(), "similarity": pa.float64(), "sign": pa.int64(), "open": pa.bool_()}
+    schema = pa.schema([(n, types.get(n, pa.int32())) for n in (*_RESULT, "sign", "open")])
+    reach = min_words * 100 // percent
+
+    def passages_of(u, v, su, sv, runs, covered):
+        """Passages of one pair, which are marked in covered, _also_in(sv, su), and the hashes of long runs that only y has."""
+        found, tried = [], 0
+        left = _runs_longest_first(runs)
+        some, *counts = _hopeful(su, sv, left[:, 0], left[:, 1], min_words - shingle + 1, percent)
+        left, shared = left[some], None
+        seen_a, seen_b, lone = np.zeros(len(u), bool), np.zeros(len(v), bool), []
+        while True:
+            while len(left):
+                shared = shared or (counts[0], _shared_runs(*counts))
+                (a, b), left = left[0].tolist(), left[1:]
+                passage = common_passage(u, v, su, sv, a, b, min_words, shingle, percent, shared)
+                a0, a1, b0, b1, s = passage or (*_span(u, v, a, b), 0)
+                seen_a[a0:a1], seen_b[b0:b1] = True, True  # shorter runs of equal words are not tried again either
+                left = left[~(seen_a[left[:, 0]] & seen_b[left[:, 1]])]
+                if passage:
+                    covered[b0:b1] = True
+                    found.append((b0, b1, a0, a1, round(s, 6)))
+            if tried:
+                return found, counts[1], lone
+            tried, more = 1, []
+            for low, high in zip(*_stretches_of(runs[1], gram), strict=True):
+                if high - low >= min_words and not covered[low:high].all():
+                    if not more:
+                        values, places = _first_places(shingle_hashes(u, min_words))
+                    long = shingle_hashes(v[low:high], min_words)
+                    inside = np.concatenate([[0], np.cumsum(covered[low:high])])
+                    b = np.flatnonzero(inside[min_words:] - inside[:-min_words] < min_words)
+                    at = np.searchsorted(values, long[b])
+                    there = values[np.minimum(at, len(values) - 1)] == long[b] if len(values) else np.zeros(len(b), bool)
+                    more.append(np.stack([places[at[there]], b[there] + low], axis=1))
+                    lone.append(np.unique(long[b[~there]]))
+            left = np.concatenate(more) if more else left
+            seen_a[:], seen_b = False, covered.copy()
+            left = left[~(seen_b[left[:, 1]] & seen_b[left[:, 1] + min_words - 1])] if more else left
 
     def check(batches):
         for part in chunked(batches, "x", PAIR_BYTES):
             for batch in chunked([part], "y", PAIR_BYTES):
-                x, y = (Words(*text_buffers(batch.column(i)), NON_SPACE) for i in (3, 4))
+                x, y = (Words(*text_buffers(batch.column(i)), NON_SPACE) for i in (2, 3))
                 (shx, gx), (shy, gy) = ((shingle_hashes(w.hash, shingle), shingle_hashes(w.hash, gram)) for w in (x, y))
-                out = []
-                found = batch.column(2)
-                cuts, ats = found.offsets.to_numpy() - found.offsets[0].as_py(), found.flatten()
-                ats = np.stack([ats.field(n).to_numpy().astype(np.int64) for n in (0, 1)], axis=1)
-                for i, (first, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                known = batch.column(4)
+                cuts, spans = known.offsets.to_numpy() - known.offsets[0].as_py(), [s.to_numpy() for s in known.flatten().flatten()]
+                firsts, docs, more, leads = (batch.column(n).to_pylist() for n in (0, 1, 5, 6))
+                out, signs, masks, pending = [], [], {}, []
+                for i, (first, doc) in enumerate(zip(firsts, docs, strict=True)):
                     (a, b), (c, d) = ((w.first[i], w.first[i + 1]) for w in (x, y))
                     u, v, su, sv = x.hash[a:b], y.hash[c:d], shx[a : max(a, b - shingle + 1)], shy[c : max(c, d - shingle + 1)]
-                    # a pair is compared once, so all its common runs of words are tried, the centres of the windows first
-                    more_a, more_b = _common_runs(gx[a : max(a, b - gram + 1)], gy[c : max(c, d - gram + 1)])
-                    seen_a, seen_b = np.zeros(len(u), bool), np.zeros(len(v), bool)
-                    left = np.concatenate([ats[cuts[i] : cuts[i + 1]], np.stack([more_a, more_b], axis=1)])
-                    left = left[(left[:, 0] < len(su)) & (left[:, 1] < len(sv))]  # rows of one id may differ in text
-                    left = left[su[left[:, 0]] == sv[left[:, 1]]]
-                    shared = None
-                    if len(left):
-                        some, *counts = _hopeful(su, sv, left[:, 0], left[:, 1], min_words - shingle + 1, percent)
-                        left = left[some]
-                        shared = counts[0], _shared_runs(*counts)
-                    while len(left):
-                        (a, b), left = left[0].tolist(), left[1:]
-                        passage = common_passage(u, v, su, sv, a, b, min_words, shingle, percent, shared)
-                        a0, a1, b0, b1, s = passage or (*_span(u, v, a, b), 0)
-                        seen_a[a0:a1], seen_b[b0:b1] = True, True  # shorter runs of equal words are not tried again either
-                        left = left[~(seen_a[left[:, 0]] & seen_b[left[:, 1]])]
-                        if passage:
-                            beside = (sv[b0 - shingle] if b0 >= shingle else 0, sv[b1] if b1 < len(sv) else 0)
-                            out.append((doc, b0, b1, first, a0, a1, round(s, 6), *(int(np.uint64(h).view(np.int64)) for h in beside)))
+                    # a pair is compared once, so all its common runs of words are tried
+                    runs = _common_places(gx[a : max(a, b - gram + 1)], gy[c : max(c, d - gram + 1)])
+                    if not len(runs[0]):
+                        continue  # rows of one id may differ in text
+                    covered = np.zeros(len(v), bool)
+                    found, shared_y, lone = passages_of(u, v, su, sv, runs, covered)
+                    out += [(doc, b0, b1, first, a0, a1, s) for b0, b1, a0, a1, s in found]
+                    for begin, end in zip(*(s[cuts[i] : cuts[i + 1]].tolist() for s in spans), strict=True):
+                        covered[begin:end] = True
+                    whole = masks.setdefault((doc, len(v)), covered)  # of all pairs of the document in this batch
+                    whole |= covered
+                    if more[i]:
+                        pending.append((first, doc, su, sv, shared_y, runs, whole, lone))
+                    if leads[i]:
+                        back = _common_places(gy[c : max(c, d - gram + 1)], gx[a : max(a, b - gram + 1)])
+                        sign, _ = _signs(sv, su, _also_in(su, sv), back, np.ones(len(u), bool), gram, run, reach)
+                        sign = np.unique(sign)
+                        signs.append((np.full(len(sign), doc), np.full(len(sign), first), sign, np.zeros(len(sign), bool)))
+                for first, doc, su, sv, shared_y, runs, covered, lone in pending:
+                    sign, opened = _signs(su, sv, shared_y, runs, covered, gram, run, reach)
+                    sign, opened = np.concatenate([sign, *lone]), np.concatenate([opened, np.ones(sum(map(len, lone)), bool)])
+                    order = np.lexsort((~opened, sign))
+                    sign, opened = sign[order], opened[order]
+                    once = np.flatnonzero(np.concatenate([np.ones(min(1, len(sign)), bool), sign[1:] != sign[:-1]]))
+                    signs.append((np.full(len(once), first), np.full(len(once), doc), sign[once], opened[once]))
                 if out:
-                    yield to_batch(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
+                    yield to_batch(schema, **dict(zip(_RESULT, zip(*out, strict=True), strict=True)), sign=pa.nulls(len(out), pa.int64()), open=pa.nulls(len(out), pa.bool_()))
+                if signs:
+                    first, doc, sign, opened = (np.concatenate(x) for x in zip(*signs, strict=True))
+                    empty = {n: pa.nulls(len(doc), types.get(n, pa.int32())) for n in _RESULT}
+                    yield to_batch(schema, **empty | {"doc_id": doc, "first_doc_id": first}, sign=sign.view(np.int64), open=opened)
 
     left = docs.select(F.col("doc_id").alias("first"), F.col("text").alias("x"))
     right = docs.select("doc_id", F.col("text").alias("y"))
-    both = pairs.join(left, "first").join(right, "doc_id").select("first", "doc_id", "at", "x", "y")
-    return both.mapInArrow(check, _PASSAGE)
+    both = pairs.join(left, "first").join(right, "doc_id").select("first", "doc_id", "x", "y", "known", "more", "leads")
+    return both.mapInArrow(check, "doc_id long, start int, end int, first_doc_id long, first_start int, first_end int, similarity double, sign long, open boolean")
 
 
-def _inside(unsettled: DataFrame, found: DataFrame, gram: int) -> DataFrame:
-    """Windows (key, doc_id, place) whose centre lies in a passage of their document, and the shingles before and after these passages that
-    they reach (null: none), with their distances (before_far, after_far) from the centre."""
-    names = ("key", "doc_id", "place", "before", "before_far", "after", "after_far")
-    schema = pa.schema([(n, pa.int64()) for n in names])
+def _alike(signs: DataFrame, tried: DataFrame) -> DataFrame:
+    """(first, doc_id, more, leads) from signs (of, sign, doc_id, open): documents whose sign is open with earlier ones that have it, the first of
+    all and the SEVERAL before it, but for tried pairs and where the first has been tried; more: there are others, and this is the first; leads:
+    the later document is the earlier one of another pair."""
+    rows = Window.partitionBy("of", "sign").orderBy("doc_id")
+    ranked = signs.select("doc_id", "open", F.row_number().over(rows).alias("n"), F.first("doc_id").over(rows).alias("lead"), *(F.lag("doc_id", k).over(rows).alias(f"_{k}") for k in range(1, SEVERAL + 1)))
+    earlier = F.array_distinct(F.array_compact(F.array("lead", *(f"_{k}" for k in range(1, SEVERAL + 1)))))
+    met = ranked.where("open and lead < doc_id").select("lead", "doc_id", "n", earlier.alias("earlier"))
+    met = met.join(tried.withColumnRenamed("first", "lead"), ["lead", "doc_id"], "left_anti").select(F.explode("earlier").alias("first"), "doc_id", "lead", "n")
+    met = met.where("first < doc_id").groupBy("first", "doc_id").agg(F.bool_or((F.col("first") == F.col("lead")) & (F.col("n") > SEVERAL + 2)).alias("more"))
+    return met.join(tried, ["first", "doc_id"], "left_anti")
 
-    def judge(batches):
-        for batch in batches:
-            windows_of, spans_of = (batch.column(i).offsets.to_numpy() - batch.column(i).offsets[0].as_py() for i in (1, 2))
-            keys, places = (x.to_numpy() for x in batch.column(1).flatten().flatten())
-            all_spans = [x.to_numpy().astype(np.int64) for x in batch.column(2).flatten().flatten()]
-            for d, doc in enumerate(batch.column(0).to_pylist()):
-                start, end, before, after = (x[spans_of[d] : spans_of[d + 1]] for x in all_spans)
-                first, last = np.lexsort((before, start)), np.lexsort((after, end))[::-1]
-                step = max(1, (1 << 18) // len(start))
-                for i in range(windows_of[d], windows_of[d + 1], step):
-                    to = min(i + step, windows_of[d + 1])
-                    key, place = keys[i:to], places[i:to]
-                    c = place >> 32
-                    around = (start[first] <= c[:, None]) & (c[:, None] < end[first])  # the least start comes first
-                    some = np.flatnonzero(around.any(axis=1))
-                    if not len(some):
-                        continue
-                    x, key, place, c = first[around[some].argmax(axis=1)], key[some], place[some], c[some]
-                    y = last[((start[last] <= c[:, None]) & (c[:, None] < end[last])).argmax(axis=1)]
-                    no_before = (before[x] == 0) | (c - (place >> 16 & 65535) >= start[x])
-                    no_after = (after[y] == 0) | (c + (place & 65535) + gram <= end[y])
-                    arrays = (key, np.full(len(key), doc), place, pa.array(before[x], mask=no_before), c - start[x], pa.array(after[y], mask=no_after), end[y] - c)
-                    yield to_batch(schema, **dict(zip(names, arrays, strict=True)))
-
-    windows_of = unsettled.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("windows"))
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "before", "after")).alias("spans"))  # one document's passages with its groups' leads
-    return windows_of.join(spans, "doc_id").select("doc_id", "windows", "spans").mapInArrow(judge, ", ".join(f"{n} long" for n in names))
-
-
-_LEFT, _RIGHT = "shiftrightunsigned({0}, 32)", "({0} & 4294967295)"
-
-
-def _same_side(a: str, b: str) -> str:
-    return " OR ".join(f"({side.format(a)} <> 0 AND {side.format(a)} = {side.format(b)})" for side in (_LEFT, _RIGHT))
-
-
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int = SHINGLE, percent: int = PERCENT, hashes: int = HASHES, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int = SHINGLE, percent: int = PERCENT, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, first_doc_id, first_start, first_end, similarity): passages and where they are found first.
 
     Places are word numbers, end exclusive. A passage that many documents share is reported once for each of them but the
@@ -520,75 +565,41 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int
     Python gets texts, and pairs of them, in small batches.
     """
     with small_arrow_batches(docs.sparkSession):
-        return _repeated_passages(docs, min_words, shingle, percent, hashes, gram, id_col, text_col)
+        return _repeated_passages(docs, min_words, shingle, percent, gram, id_col, text_col)
 
 
-def _repeated_passages(docs: DataFrame, min_words: int, shingle: int, percent: int, hashes: int, gram: int, id_col: str, text_col: str) -> DataFrame:
+def _repeated_passages(docs: DataFrame, min_words: int, shingle: int, percent: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     source = documents(docs, id_col, text_col).where("doc_id is not null")
-    gram = min(gram, min_words)
+    run = least_run(min_words, shingle, percent)
+    gram = max(shingle, min(gram, run))
     copies, dropped = _copies(source)
-    made = stage(windows(source, min_words, gram, shingle, hashes), "windows")
-    shared = stage(made.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), "keys")
-    left = stage(made.join(shared, "key").join(dropped, "doc_id", "left_anti").select("key", "doc_id", "place", "sides"), "shared-windows")
-    sizes = made.where("key is null").select("doc_id", F.col("place").cast("int").alias("n"))
-    copied = stage(copies.join(sizes, "doc_id").distinct(), "copied")  # a copy of several texts may have several sizes
-    unstage(made, shared, copies)
-    texts = among(source, left.select("doc_id"))
-    least = (min_words - gram + 1) * percent // 100
-    reach = lambda p: (F.expr(f"shiftright({p}, 32)"), F.expr(f"shiftright({p}, 16) & 65535"), F.expr(f"{p} & 65535"))
-    done = tried = None
-    unsettled, window = left, ["key", "doc_id", "place"]
-    used = [dropped, left]
-    for first_round in (True, False):
-        row = F.struct("doc_id", "place", "sides")
-        drawn = F.struct(F.xxhash64("doc_id"), row)
-        leads = [F.min(row)] if first_round else [F.min_by(row, drawn), F.max_by(row, drawn)]
-        heads = unsettled.groupBy("key").agg(F.array_distinct(F.array(*leads)).alias("h"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-        heads = stage(heads.select("key", F.inline("h").alias("lead", "lead_place", "lead_sides")), "leads")
-        (c, before, after), (lead_c, lead_before, lead_after) = reach("place"), reach("lead_place")
-        overlap = (F.least(before, lead_before) + F.least(after, lead_after) + 1 >= least) & F.expr(_same_side("sides", "lead_sides"))
-        meets = unsettled.join(heads, "key").withColumns({
-            "later": F.col("doc_id") > F.col("lead"), "first": F.least("doc_id", "lead"), "last": F.greatest("doc_id", "lead"), "c": c.cast("int"), "lead_c": lead_c.cast("int"),
-        })
-        at = F.when(F.col("later"), F.struct(F.col("lead_c").alias("first_c"), F.col("c"))).otherwise(F.struct(F.col("c").alias("first_c"), F.col("lead_c").alias("c")))
-        pairs = meets.where((F.col("first") < F.col("last")) & overlap).groupBy("first", F.col("last").alias("doc_id"))
-        pairs = pairs.agg(F.collect_set(at).alias("at"))  # at most the windows of one document each
-        pairs = stage(pairs if tried is None else pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
-        tried = pairs.select("first", "doc_id") if tried is None else tried.union(pairs.select("first", "doc_id"))
-        near = texts if first_round else among(texts, pairs.select("doc_id").union(pairs.select("first")))
-        found = stage(_verify(pairs, near, min_words, shingle, gram, percent).distinct(), "passages")
-        done = found if done is None else done.unionByName(found)
-        # settled: its centre lies in a passage found in its document, or it was the lead when all of its group were unsettled;
-        # but if documents of a group go on alike beyond the passages that they have with the lead, they have more in common, and stay open
-        inside = stage(_inside(unsettled, found, gram), "judged")
-        borders = inside.select(*window, F.explode(F.array_compact(F.array(*(F.when(F.col(x).isNotNull(), F.xxhash64("key", F.lit(i), f"{x}_far", x)) for i, x in ((1, "before"), (2, "after")))))).alias("border"))
-        alike = borders.groupBy("border").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("border")
-        again = stage(borders.join(alike, "border").select(*window).distinct(), "reopened")
-        settled = inside.select(*window)
-        if first_round:
-            led = heads.select("key", F.col("lead").alias("doc_id"))
-            settled = settled.unionByName(unsettled.join(led, ["key", "doc_id"], "left_semi").select(*window))
-        used += [heads, pairs, found, inside, again]
-        unsettled = stage(unsettled.join(settled.join(again, window, "left_anti"), window, "left_anti"), "unsettled")
-        used.append(unsettled)
-
-    # what is left meets all windows with its key and one side
-    opened = stage(unsettled.select("key").distinct(), "opened")
-    side = lambda n, bits: F.when(F.expr(f"{bits} <> 0"), F.xxhash64("key", F.lit(n), F.expr(bits)))
-    left_of = F.expr(_LEFT.format("sides"))
-    # windows with both sides in common meet under the left one only
-    both_sides = F.inline(F.array_compact(F.array(*(F.when(bits.isNotNull(), F.struct(bits.alias("key"), beside.cast("long").alias("beside"))) for bits, beside in ((side(1, _LEFT.format("sides")), F.lit(0)), (side(2, _RIGHT.format("sides")), left_of))))))
-    flagged = left.join(opened, "key", "left_semi").join(unsettled.select(*window).distinct().withColumn("open", F.lit(True)), window, "left")
-    sided = stage(flagged.select(both_sides.alias("key", "beside"), "doc_id", "place", F.coalesce("open", F.lit(False)).alias("open")), "sided")
-    alone = sided.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_or("open").alias("o")).where("a < b and o")
-    alone = stage(alone.select("key"), "keys")
-    rest = stage(sided.join(alone, "key"), "sided")
-    pairs = _left_pairs(rest, among(texts, rest.select("doc_id")), min_words, shingle, percent)
-    pairs = stage(pairs.join(tried, ["first", "doc_id"], "left_anti"), "pairs")
-    near = among(texts, pairs.select("doc_id").union(pairs.select("first")))
-    found = _verify(pairs, near, min_words, shingle, gram, percent)
-    firsts = found.groupBy("doc_id", "start", "end").agg(F.min(F.struct("first_doc_id", "first_start", "first_end", "similarity")).alias("x"))
+    met = stage(_met(windows(source, min_words, gram, max(run, gram))), "met")
+    copied = stage(copies.join(met.where("first is null").select("doc_id", "n"), "doc_id").distinct(), "copied")  # a copy of several texts may have several sizes
+    # the least document of a group is never one that was dropped, as it has an earlier copy
+    pairs = stage(met.where("first is not null").select("first", "doc_id").distinct().join(dropped, "doc_id", "left_anti"), "pairs")
+    unstage(copies, dropped, met)
+    used = [copied]
+    texts = stage(among(source, pairs.select("doc_id").union(pairs.select("first"))), "texts")
+    used.append(texts)
+    tried, done, near = pairs, None, texts
+    asked = pairs.select("*", F.lit(True).alias("more"), F.lit(None).cast(_KNOWN).alias("known"))
+    while True:
+        leads = pairs.select(F.col("first").alias("doc_id"), F.lit(True).alias("leads")).distinct()
+        asked = asked.join(leads, "doc_id", "left").select("first", "doc_id", "more", F.coalesce("leads", F.lit(False)).alias("leads"), F.coalesce("known", F.array().cast(_KNOWN)).alias("known"))
+        found = stage(_verify(asked, near, min_words, shingle, gram, run, percent), "passages")
+        passages = found.where("sign is null")
+        done = passages if done is None else done.unionByName(passages)
+        # documents that go on alike where they have nothing in common with the first of their group meet each other
+        signs = found.where("sign is not null").select(F.col("first_doc_id").alias("of"), "sign", "doc_id", "open")
+        used += [pairs, found]
+        pairs = stage(_alike(signs, tried), "pairs")
+        if pairs.isEmpty():
+            break
+        tried = tried.unionByName(pairs.select("first", "doc_id"))
+        near = among(texts, pairs.select("doc_id").union(pairs.select("first")))
+        known = done.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("known"))
+        asked = pairs.join(known, "doc_id", "left")
     whole = copied.select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("first").alias("first_doc_id"), F.lit(0).alias("first_start"), F.col("n").alias("first_end"), F.lit(1.0).alias("similarity"))
-    out = stage(done.select(*_RESULT).distinct().unionByName(firsts.select("doc_id", "start", "end", "x.*")).unionByName(whole), "passages")
-    unstage(*used, opened, sided, alone, rest, pairs, copied)
+    out = stage(done.select(*_RESULT).distinct().unionByName(whole), "passages")
+    unstage(*used, pairs)
     return out

@@ -270,3 +270,59 @@ def test_bits_shared(most):
         row[rng.choice(2048, most, replace=False) if most > 124 else rng.integers(0, 200, most)] = True
     s, t = np.packbits(bits, axis=2).view(np.uint64)
     assert (substrings._bits_shared(s[:, None], t, most) == (bits[0][:, None] & bits[1]).sum(axis=2)).all()
+
+
+def test_copies_with_many_edits_are_not_compared_with_each_other(spark, monkeypatch):
+    """Copies of one text, in parts of which edits are too dense for a passage with it: what is compared grows with the copies, not with their pairs."""
+    met, verify = [], substrings._verify
+    monkeypatch.setattr(substrings, "_verify", lambda pairs, *a: met.append(pairs.count()) or verify(pairs, *a))
+    rng = random.Random(17)
+    text, n = words(rng, 400, 10**6), 150
+    rows = [(0, " ".join(text))]
+    for d in range(1, n):
+        copy = list(text)
+        for p in rng.sample(range(400), 14):
+            copy[p] = f"x{rng.randrange(10**6)}"
+        rows.append((d, " ".join(copy)))
+    found = {r.doc_id for r in substrings.repeated_passages(table(spark, rows)).collect() if r.first_doc_id == 0}
+    assert found == set(range(1, n)) and sum(met) < 4 * n
+
+
+def test_all_passages_with_an_edit_anywhere_are_found(spark):
+    """Passages of 50 words, one of them replaced, wherever: similarity 0.8 or more, and 24 words in a row in common."""
+    rng = random.Random(32)
+    rows = []
+    for d in range(0, 600, 2):
+        passage, p = words(rng, 50, 10**6), rng.randrange(5, 45)
+        sides = [words(rng, 30, 10**6) for _ in range(4)]
+        rows += [(d, " ".join(sides[0] + passage + sides[1])), (d + 1, " ".join(sides[2] + passage[:p] + ["new"] + passage[p + 1 :] + sides[3]))]
+    found = {(r.first_doc_id, r.doc_id) for r in substrings.repeated_passages(table(spark, rows)).collect()}
+    assert found == {(d, d + 1) for d in range(0, 600, 2)}
+
+
+def test_long_runs_of_repeated_words(spark):
+    """The first document repeats a word too few times; in the second the long run is not the first one, and the third repeats a phrase."""
+    rng = random.Random(4)
+    rows = [
+        (1, " ".join(words(rng, 60, 10**6) + ["ab"] * 30 + words(rng, 60, 10**6))),
+        (2, " ".join(["ab"] * 30 + words(rng, 60, 10**6) + ["ab"] * 158)),
+        (3, " ".join(["p", "q", "r"] * 60 + words(rng, 9, 10**6))),
+        (4, " ".join(words(rng, 7, 10**6) + ["ab"] * 400 + ["q", "r", "p"] * 90)),
+    ]
+    ranges = {4: range(7, 407)}
+    got = substrings.repeated_passages(table(spark, rows)).collect()
+    assert covered(got, rows, ranges) == [1] and covered(got, rows, {4: range(407, 677)})[0] >= 0.98
+    assert {(r.first_doc_id, r.doc_id) for r in got} == {(2, 4), (3, 4)}
+
+
+def test_copies_of_an_edited_copy(spark):
+    """Two documents have the same dense edits of a first one; between them lie others that have edits of their own there."""
+    rng = random.Random(9)
+    text = words(rng, 160, 10**6)
+    edited = [f"y{rng.randrange(10**6)}" if 40 <= i < 120 and i % 11 == 0 else w for i, w in enumerate(text)]
+    rows = [(1, " ".join(text))]
+    for d in range(2, 30):
+        copy = edited if d in (7, 23) else [f"z{rng.randrange(10**6)}" if 40 <= i < 120 and i % 9 == d % 9 else w for i, w in enumerate(text)]
+        rows.append((d, " ".join(copy)))
+    got = substrings.repeated_passages(table(spark, rows)).collect()
+    assert (7, 23) in {(r.first_doc_id, r.doc_id) for r in got} and covered(got, rows, {23: range(160)}) == [1]
