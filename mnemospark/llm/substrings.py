@@ -1,29 +1,24 @@
 """Near-duplicate passages by compact windows.
 
-A passage is a run of words, seen as the sequence of its grams (runs of GRAM words). For each of a few hash functions the
-Cartesian tree of a text's gram hashes groups all its subsequences of at least the wanted length by their min-hash: a node
-(left, centre, right) stands for every subsequence inside left..right that holds the centre, and all of these share its
-minimum. Texts with a passage in common have nodes with the same minimum, so an equi-join on the minimum and an overlap
-condition on the intervals around the centres gives candidate passages.
-
-A passage of 50 words with one edit, the most that a similarity of 0.8 allows there, holds an unedited run of 24 words. Grams
-are a third of that, so every run like that has many to agree on, and the shortest phrases that very many texts share make no
-candidates. All hash functions agree on an exact passage of the least length or more, whatever surrounds it; on 50 words
-with the middle one replaced each agrees with probability 35/51, and four of them miss one in a hundred.
-
-Windows meet only if also six words before their centres or six after their grams agree (a run of 14 words or more); an unedited
-run of 20 words holds one of the two wherever the centre is.
-
-Texts with the same bytes form a class of which only the least document is compared. Each window then meets the leads of its
-group: the least document, then two drawn ones. A window is settled if its centre lies in a passage found in its document, unless the
-five words beyond that passage are those of another document of the group at the same distance from the centre: then the two
-have more in common than either has with the lead, and their windows stay open. Last, windows that are not settled are compared with
-all windows of their group that agree on a side, settled or not and however many, by sketches of the shingles around their centres, in
-pairs of blocks that are spread over tasks; only pairs whose sketches allow a passage go on. A pair of documents is
-verified once, on the words of both texts and from all their common runs: matching runs are extended over small edits, and
-must have the least number of words and the wanted similarity of shingle sets.
-
-Texts of documents without a candidate are kept out of the joins by a bitmap of fixed size over hashed document ids.
+A passage is a run of words, seen as the sequence of its grams (runs of GRAM words). The Cartesian tree of a text's gram hashes groups
+all its subsequences of at least the wanted length by their min-hash: a node stands for every subsequence around its centre that has
+this minimum. Texts with a subsequence in common have nodes with the same minimum.
+
+A passage of 50 words with one edit, the most that a similarity of 0.8 allows there, holds an unedited run of 24 words, and passages
+with more edits hold longer ones (least_run; where shingles repeat inside a passage, its set is smaller, and this need not hold). So the
+nodes are those of 17 grams or more, and two texts that share such a run have one with the same centre in it. Three parts of four of the
+run's other words stand beside the centre's gram, in one of four divisions between both sides: windows meet by these runs of 20 words.
+
+Each window meets the least document of its group. A pair of documents is verified once, on the words of both texts and from all their
+common runs, the longest first: matching runs are extended over small edits, and must have the least number of words and the wanted
+similarity of shingle sets. Verification also gives signs: shingles near the common runs that the first document has not, joints of runs that are
+farther apart in it, and long runs of repeated words. If a passage with a third document is not found with the first one, the two share a sign.
+Documents with a sign that lies in none of their passages meet the least one with the same sign and, if that is a new pair, the SEVERAL before
+them too; of signs that more documents share, the least one becomes the first document of a next round, until no pair is new. So a document that
+shares a sign with more than SEVERAL + 1 earlier ones is not compared with each of them, as that would grow with the square of a group of copies.
+
+Only the least document of texts with the same bytes is compared. Texts of documents without a candidate are kept out of the joins by a bitmap of
+fixed size over hashed document ids.
 
 Null, empty and short texts have no windows. Rows with a null doc_id are left out. Repeated rows of one doc_id are one
 document. Repeats inside one document are not reported. An empty table gives no rows; other columns are ignored.
