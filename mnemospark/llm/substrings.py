@@ -467,10 +467,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, gra
                 passage = common_passage(u, v, su, sv, a, b, min_words, shingle, percent, shared)
                 a0, a1, b0, b1, s = passage or (*_span(u, v, a, b), 0)
                 seen_a[a0:a1], seen_b[b0:b1] = True, True  # shorter runs of equal words are not tried again either
-                left = left[~(seen_a[left[:, 0]] & seen_b[left[:, 1]])]
                 if passage:
                     covered[b0:b1] = True
                     found.append((b0, b1, a0, a1, round(s, 6)))
+                if tried:  # these are whole runs, and wanted until all of their words are in a passage
+                    inside = np.concatenate([[0], np.cumsum(covered)])
+                    left = left[inside[left[:, 1] + min_words] - inside[left[:, 1]] < min_words]
+                else:
+                    left = left[~(seen_a[left[:, 0]] & seen_b[left[:, 1]])]
             if tried:
                 return found, counts[1], lone
             tried, more = 1, []
@@ -486,8 +490,6 @@ def _verify(pairs: DataFrame, docs: DataFrame, min_words: int, shingle: int, gra
                     more.append(np.stack([places[at[there]], b[there] + low], axis=1))
                     lone.append(np.unique(long[b[~there]]))
             left = np.concatenate(more) if more else left
-            seen_a[:], seen_b = False, covered.copy()
-            left = left[~(seen_b[left[:, 1]] & seen_b[left[:, 1] + min_words - 1])] if more else left
 
     def check(batches):
         for part in chunked(batches, "x", PAIR_BYTES):

@@ -326,3 +326,12 @@ def test_copies_of_an_edited_copy(spark):
         rows.append((d, " ".join(copy)))
     got = substrings.repeated_passages(table(spark, rows)).collect()
     assert (7, 23) in {(r.first_doc_id, r.doc_id) for r in got} and covered(got, rows, {23: range(160)}) == [1]
+
+
+def test_exact_runs_that_overlap_other_passages_are_covered(spark):
+    """A run of 50 words begins inside a passage found elsewhere in the first document, and ends inside another one."""
+    rng = random.Random(14)
+    a, b = words(rng, 70, 10**6), words(rng, 70, 10**6)
+    between = a[-24:] + ["m", "n"] + b[:24]
+    rows = [(1, " ".join(a + words(rng, 40, 10**6) + b + words(rng, 40, 10**6) + between)), (2, " ".join(a + ["m", "n"] + b))]
+    assert covered(substrings.repeated_passages(table(spark, rows)).collect(), rows, {2: range(142)}) == [1]
